@@ -46,6 +46,8 @@ PERCENT = 80
 ORDERS = 3
 FREQUENT = 1 << 17
 BLOCK = 1024
+#: Most bits of the filter that says which documents' sets are wanted (16 MB).
+FILTER_BITS = 1 << 27
 #: Shingles of one chunk in which a token must occur in ``CHUNK_DOCS`` classes to count as frequent.
 CHUNK, CHUNK_DOCS = 4_000_000, 4
 
@@ -287,20 +289,45 @@ def _verify(shared):
     return run
 
 
-def _token_sets(docs: DataFrame, text: str) -> DataFrame:
-    """Adds the struct ``s``: fp and the sorted distinct tokens as packed 64-bit numbers."""
+def _filter_bits(ids: DataFrame) -> tuple[int, list]:
+    """A Bloom filter of the rows' (h1, h2): how many bits it has, and its non-zero words.
 
-    def kernel():
-        def one(texts):
-            row, token = _distinct(*shingles(texts))
-            fp, n = _classes(row, token, len(texts))
-            ends = np.cumsum(n)
-            packed = [token[e - k : e].tobytes() for e, k in zip(ends, n, strict=True)]
-            return pa.StructArray.from_arrays([pa.array(fp), pa.array(packed, pa.binary())], names=["fp", "tokens"])
+    It has 16 bits for each row, but never more than ``FILTER_BITS``; a filter that is too small for
+    its rows lets more rows pass and is still never wrong about a row that is in it.
+    """
+    n = ids.count()
+    bits = min(FILTER_BITS, 1 << max(10, (16 * n - 1).bit_length()))
+    place = F.explode(F.array(F.pmod("h1", F.lit(bits)), F.pmod("h2", F.lit(bits)))).alias("p")
+    mask = F.shiftleft(F.lit(1).cast("long"), (F.col("p") % 64).cast("int"))
+    words = ids.select(place).groupBy(F.floor(F.col("p") / 64).alias("w")).agg(F.bit_or(mask).alias("m"))
+    return bits, [(r["w"], r["m"]) for r in words.collect()]
 
-        return one
 
-    return append_struct(docs, text, "s", "fp long, tokens binary", kernel)
+def _hashed(df: DataFrame, id_column: str) -> DataFrame:
+    return df.withColumns({"h1": F.xxhash64(id_column, F.lit(1)), "h2": F.xxhash64(id_column, F.lit(2))})
+
+
+def _token_sets(docs: DataFrame, id_column: str, text: str, bits: int, words) -> DataFrame:
+    """(id, fp, tokens) of the documents whose id may be in the filter; tokens are sorted and packed."""
+    schema = StructType([StructField("id", docs.schema[id_column].dataType), *StructType.fromDDL("fp long, tokens binary").fields])
+
+    def run(batches):
+        table = np.zeros(bits // 64, _U)
+        for w, m in words.value:
+            table[w] = np.int64(m).view(_U)
+        for batch in batches:
+            keep = np.ones(batch.num_rows, bool)
+            for name in ("h1", "h2"):
+                p = batch.column(name).to_numpy().astype(np.int64) % bits
+                keep &= (table[p >> 6] >> (p & 63).astype(_U)) & _U(1) > 0
+            for step in steps([batch.filter(pa.array(keep))], text):
+                row, token = _distinct(*shingles(step.column(text)))
+                fp, n = _classes(row, token, step.num_rows)
+                ends = np.cumsum(n)
+                packed = [token[e - k : e].tobytes() for e, k in zip(ends, n, strict=True)]
+                yield pa.RecordBatch.from_arrays([step.column(id_column), pa.array(fp), pa.array(packed, pa.binary())], names=["id", "fp", "tokens"])
+
+    return _hashed(docs.select(id_column, text), id_column).mapInArrow(run, schema)
 
 
 def group_similar(docs: DataFrame, id_column: str = "doc_id", text: str = "text", buckets: int | None = None) -> DataFrame:
@@ -321,11 +348,13 @@ def group_similar(docs: DataFrame, id_column: str = "doc_id", text: str = "text"
     # How many blocks each neighbourhood is cut into, and each class's block.
     cut = member.groupBy("root").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
     placed = member.join(cut, "root").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    wanted = placed.join(classes, placed["node"] == classes["fp"]).where("least IS NOT NULL").select("root", "node", "blocks", "block", F.col("least").alias("__id"))
-    texts = docs.join(wanted, docs[id_column] == wanted["__id"]).select("root", "node", "blocks", "block", text)
-    sets = _token_sets(texts, text).where(F.col("s.fp") == F.col("node"))
+    wanted = materialize(placed.join(classes, placed["node"] == classes["fp"]).where("least IS NOT NULL").select("root", "node", "blocks", "block", "least"), "wanted")
+    # Only the documents that stand for a wanted class send their sets; the join makes that exact.
+    bits, words = _filter_bits(_hashed(wanted.select("least"), "least"))
+    sets = _token_sets(docs, id_column, text, bits, spark.sparkContext.broadcast(words)).alias("s")
+    sets = sets.join(wanted.alias("w"), (F.col("s.fp") == F.col("w.node")) & (F.col("s.id") == F.col("w.least")))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-    spread = sets.select("root", "block", F.col("s.fp").alias("fp"), F.col("s.tokens").alias("tokens"), other)
+    spread = sets.select("root", "block", "fp", "tokens", other)
     tasks = spread.select("root", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "fp", "tokens")
     verified = tasks.repartition(parts, "root", "i", "j").sortWithinPartitions("root", "i", "j").mapInArrow(_verify(shared), "a long, b long")
     linked = components(verified)
