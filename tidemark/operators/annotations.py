@@ -142,12 +142,14 @@ def crop(annotations: DataFrame, start: float = 0.0, end: float | None = None, f
     if end is not None:
         out = out.withColumn("end", F.least("end", F.lit(float(end))))
     out = shift(out, -start)
+    if freq_min is not None or freq_max is not None:
+        out = out.where("freq_min IS NOT NULL AND freq_max IS NOT NULL")  # greatest and least skip nulls
     if freq_min is not None:
         out = out.withColumn("freq_min", F.greatest("freq_min", F.lit(float(freq_min))))
     if freq_max is not None:
         out = out.withColumn("freq_max", F.least("freq_max", F.lit(float(freq_max))))
     if freq_min is not None or freq_max is not None:
-        out = out.where("freq_min IS NOT NULL AND freq_max > freq_min")
+        out = out.where("freq_max > freq_min")
     return out
 
 

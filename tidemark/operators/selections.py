@@ -36,8 +36,13 @@ def time_shift(table: DataFrame, length: float, step: float, min_overlap: float,
     empty = e <= s
     shifts = F.when(empty, F.array(F.lit(0).cast("long"))).otherwise(F.sequence(first, last))
     spread = table.withColumn("__k", F.explode(shifts)).withColumn("__t", F.col(ref) + F.col("__k") * F.lit(float(step)))
-    enough = fractional_overlap(F.col("__t"), F.col("__t") + length, s, e) >= min_overlap
-    return spread.where((F.col("__k") == 0) | enough).withColumn(ref, F.col("__t")).drop("__k", "__t")
+
+    def enough(at: Column) -> Column:
+        return fractional_overlap(at, at + length, s, e) >= min_overlap
+
+    # Shifts go outwards from the reference and stop at the first that fails.
+    side = t + F.signum("__k") * F.lit(float(step))
+    return spread.where((F.col("__k") == 0) | (enough(side) & enough(F.col("__t")))).withColumn(ref, F.col("__t")).drop("__k", "__t")
 
 
 def select(
@@ -190,8 +195,11 @@ def random_selections(files: DataFrame, length: float, num: int, label: int = 0,
             tries = t.join(a, (F.col("t.filename") == F.col("a.filename")) & overlaps(F.col("a.start"), F.col("a.end"), F.col("t.start"), F.col("t.end")), "left_anti")
         if no_overlap:
             tries = tries.groupBy("filename").applyInPandas(_disjoint, tries.schema)
-        found = tries.orderBy("__rank", "filename", "start").limit(num)
-        if found.count() >= num:
+        # At most ``num`` rows, so they are held once and neither counted nor drawn again.
+        drawn = tries.orderBy("__rank", "filename", "start").limit(num)
+        rows = drawn.collect()
+        found = files.sparkSession.createDataFrame(rows, drawn.schema)
+        if len(rows) >= num:
             break
         wanted *= 2
     w = Window.partitionBy("filename").orderBy("start")
