@@ -298,7 +298,7 @@ def _filter_bits(ids: DataFrame) -> tuple[int, list]:
     n = ids.count()
     bits = min(FILTER_BITS, 1 << max(10, (16 * n - 1).bit_length()))
     place = F.explode(F.array(F.pmod("h1", F.lit(bits)), F.pmod("h2", F.lit(bits)))).alias("p")
-    mask = F.shiftleft(F.lit(1).cast("long"), (F.col("p") % 64).cast("int"))
+    mask = F.expr("shiftleft(1L, cast(p % 64 AS INT))")
     words = ids.select(place).groupBy(F.floor(F.col("p") / 64).alias("w")).agg(F.bit_or(mask).alias("m"))
     return bits, [(r["w"], r["m"]) for r in words.collect()]
 
