@@ -151,10 +151,11 @@ def estimate(counts: dict[tuple[int, ...], int], rounds: int = 100) -> LabelMode
     table = np.empty((2, m, 3))  # class, labeller, vote + 1
     table[1], table[0] = (0.05, 0.35, 0.6), (0.4, 0.3, 0.3)
     votes = v.astype(int) + 1
+    silent = (v == 0).all(1)  # no labeller voted, so there is no evidence beyond the prior
     post = np.full(len(n), 0.5)
     for _ in range(rounds):
         score = [np.log(p) + np.log(table[c][np.arange(m), votes]).sum(1) for c, p in ((0, 1 - prior), (1, prior))]
-        post = 1 / (1 + np.exp(np.clip(score[0] - score[1], -60, 60)))
+        post = np.where(silent, prior, 1 / (1 + np.exp(np.clip(score[0] - score[1], -60, 60))))
         prior = float(np.clip((post @ n + 8) / (n.sum() + 10), 0.02, 0.98))
         for c, weight in ((0, (1 - post) * n), (1, post * n)):
             for value in range(3):
