@@ -491,3 +491,116 @@ def random_choice(spark, d):
 @_query()
 def random_background(spark, d):
     return S.random_selections(V.files(spark, d), 3600.0, 200, label=9, annotations=V.annotations(spark, d), no_overlap=True, buffer=60.0, seed=3)
+
+
+# Kernels and further operators ------------------------------------------------------------------
+
+
+@_query(sql(f"WITH {_DFT} SELECT id, k, round(m, 5) AS m FROM dft", "signal"))
+def stft_kernel(spark, d):
+    """The vectorised transform, on one frame for each signal, against the plain sum."""
+    from tidemark.functions import kernels as K
+
+    one = K.kernel(lambda x: K.stft(x, 64, 64)[0])
+    return V.signals(spark, d).select("id", F.posexplode(one("data")).alias("k", "m")).select("id", "k", F.round("m", 5).alias("m"))
+
+
+@_query(
+    sql(
+        f"""WITH {_DFT}, c AS (SELECT i, floor(65 * 700 * (power(10, i * (2595 * log10(1 + 32.0 / 700)) / 9 / 2595) - 1) / 64) AS c FROM (SELECT unnest(range(0, 10)) AS i)),
+bank AS (SELECT l.i AS m, k.k, CASE WHEN k.k >= l.c AND k.k < n.c THEN (k.k - l.c) / (n.c - l.c) WHEN k.k >= n.c AND k.k < h.c THEN (h.c - k.k) / (h.c - n.c) ELSE 0 END AS w
+  FROM c l JOIN c n ON n.i = l.i + 1 JOIN c h ON h.i = l.i + 2, (SELECT unnest(range(0, 33)) AS k) k)
+SELECT id, bank.m::INT AS m, round(sum(dft.m * dft.m / 64 * w), 5) AS v FROM dft JOIN bank ON bank.k = dft.k GROUP BY id, bank.m""",
+        "signal",
+    )
+)
+def mel_bands(spark, d):
+    from tidemark.functions import kernels as K
+
+    bank = K.mel_bank(64, 64.0, 8)
+    rows = [(m, k, float(bank[m, k])) for m in range(8) for k in range(33)]
+    table = spark.createDataFrame(rows, "m int, f_bin int, weight double")
+    power = V.signals(spark, d).select(F.col("id"), F.lit(0).alias("t_bin"), F.posexplode(arrays.dft_magnitude("data")).alias("f_bin", "x")).select("id", "t_bin", "f_bin", scalar.mag_to_power(F.col("x"), F.lit(64)).alias("value"))
+    return X.weighted_bands(power, table, "id").select("id", "m", F.round("value", 5).alias("v"))
+
+
+@_query("SELECT 'o' || o_orderkey AS filename, i::INT AS frame, i * 700.0 AS \"offset\", 1000.0::DOUBLE AS duration FROM (SELECT o_orderkey, unnest(range(0, greatest(ceil((o_totalprice / 10 - 1000.0) / 700.0 + 1), 1)::INT)) AS i FROM orders WHERE o_totalprice > 0)")
+def frame_stepper(spark, d):
+    files = V.table(spark, d, "orders").select(F.concat(F.lit("o"), F.col("o_orderkey")).alias("filename"), (F.col("o_totalprice") / 10).alias("duration"))
+    return S.frames(files, 1000.0, 700.0)
+
+
+@_query(
+    sql(
+        """SELECT filename, annot_id AS sel_id, CASE WHEN "end" <= start THEN 'empty' WHEN "end" <= 0 THEN 'before' WHEN start > 1000000 THEN 'after'
+WHEN greatest(0, -start) + greatest(0, "end" - 1000000) > 0.5 * ("end" - start) THEN 'mostly_outside' ELSE 'ok' END AS status FROM annot""",
+        "annot",
+    )
+)
+def outside_status(spark, d):
+    a = V.annotations(spark, d).withColumnRenamed("annot_id", "sel_id")
+    return S.outside_status(a, V.files(spark, d).withColumn("duration", F.lit(1_000_000.0))).select("filename", "sel_id", "status")
+
+
+@_query(sql("SELECT 0 AS set_id, filename, annot_id, label FROM annot WHERE label = 0 UNION ALL SELECT 7, filename, annot_id, label FROM annot WHERE label <> 0", "annot"))
+def stack_annotations(spark, d):
+    a = V.annotations(spark, d).select("filename", "annot_id", "label")
+    return A.stack([a.where("label = 0"), a.where("label <> 0")], [0, 7])
+
+
+@_query("SELECT date_trunc('day', ts)::TIMESTAMP AS start, (date_trunc('day', ts) + INTERVAL 1 DAY)::TIMESTAMP AS \"end\", event_type, count(*) AS n FROM events GROUP BY ALL")
+def windowed_counts(spark, d):
+    from tidemark.streaming.detector import windowed_counts as counts
+
+    e = V.table(spark, d, "events").select(F.col("ts").cast("timestamp").alias("ts"), "event_type")
+    return counts(e, "1 day").select(F.col("start").cast("timestamp_ntz").alias("start"), F.col("end").cast("timestamp_ntz").alias("end"), "event_type", "n")
+
+
+@_query(sql("SELECT id, pos::INT + 3 AS pos, round(x, 6) AS x FROM signal UNION ALL SELECT id, 3 - pos::INT AS pos, round(x, 6) FROM signal WHERE pos BETWEEN 1 AND 3 UNION ALL SELECT id, 129 - pos::INT AS pos, round(x, 6) FROM signal WHERE pos BETWEEN 61 AND 62", "signal"))
+def pad_reflect(spark, d):
+    return V.signals(spark, d).select("id", F.posexplode(arrays.pad_reflect("data", 3, 2)).alias("pos", "x")).select("id", "pos", *_r("x"))
+
+
+@_query(sql("SELECT id, (pos - 28)::INT AS i, round(x, 6) AS x FROM signal WHERE pos BETWEEN 28 AND 32", "signal"))
+def nearest_values(spark, d):
+    return V.signals(spark, d).select("id", F.posexplode(arrays.nearest_values("data", 30, 5)).alias("i", "x")).select("id", "i", *_r("x"))
+
+
+@_query(sql("SELECT id, pos::INT AS pos, round(x + 0.5 * coalesce(lag(x, 10) OVER (PARTITION BY id ORDER BY pos), 0), 6) AS x FROM signal", "signal"))
+def add_signals(spark, d):
+    return V.signals(spark, d).select("id", F.posexplode(arrays.add("data", "data", 10, 0.5)).alias("pos", "x")).select("id", "pos", *_r("x"))
+
+
+@_query(f"WITH {_YP}, s AS (SELECT DISTINCT p AS t FROM yp) SELECT round(max(CASE WHEN (SELECT count(*) FROM yp WHERE y = 0 AND p >= t) <= 0.1 * (SELECT count(*) FROM yp WHERE y = 0) + 1e-9 THEN (SELECT count(*) FROM yp WHERE y = 1 AND p >= t) / (SELECT count(*) FROM yp WHERE y = 1) ELSE 0 END), 6) AS sensitivity FROM s")
+def sensitivity_at_specificity(spark, d):
+    return metrics.sensitivity_at_specificity(_truth(spark, d), "y", "p", 0.9 - 1e-9).select(F.round("sensitivity", 6).alias("sensitivity"))
+
+
+@_query(f"WITH {_YP} SELECT round(avg(CASE WHEN abs(y - p) <= 1 THEN 0.5 * (y - p) * (y - p) ELSE abs(y - p) - 0.5 END), 6) AS huber, round(avg(greatest(0, 1 - (2 * y - 1) * p)), 6) AS hinge, round(avg(p - y * ln(p + 1e-7)), 6) AS poisson, round(sqrt(avg((y - p) * (y - p))), 6) AS rmse FROM yp")
+def regression_losses(spark, d):
+    m = metrics
+    return _truth(spark, d).agg(F.round(m.huber("y", "p"), 6).alias("huber"), F.round(m.hinge("y", "p"), 6).alias("hinge"), F.round(m.poisson("y", "p"), 6).alias("poisson"), F.round(m.root_mean_squared_error("y", "p"), 6).alias("rmse"))
+
+
+@_query()
+def model_scores(spark, d):
+    """A network with fixed weights over all signals; NumPy gives the same in the tests."""
+    from tidemark.operators import models as M
+
+    net = M.Network(M.dense_recipe([16], 10), (64,), seed=3)
+    return M.score(V.signals(spark, d), net).select("id", scalar.class_and_confidence(F.col("scores")).alias("c")).select("id", "c.class_id", F.round("c.confidence", 6).alias("confidence"))
+
+
+@_query()
+def bandpass_filter(spark, d):
+    from tidemark.functions import kernels as K
+
+    return V.signals(spark, d).select("id", F.posexplode(K.kernel(lambda x: K.bandpass(x, 64.0, 4.0, 16.0))("data")).alias("pos", "x")).select("id", "pos", *_r("x"))
+
+
+@_query()
+def blurred_images(spark, d):
+    from tidemark.functions import kernels as K
+
+    image = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda t: F.slice("data", t * 8 + 1, 8))
+    return X.explode_image(V.signals(spark, d).select(F.col("id").alias("filename"), K.kernel(lambda a: K.blur(a, 1.0, 1.0), K.IMAGE, image=True)(image).alias("data"))).withColumn("value", F.round("value", 6))
