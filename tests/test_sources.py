@@ -126,3 +126,12 @@ def test_unknown_transforms_are_errors(spark):
     with pytest.raises(ValueError, match="unknown transforms"):
         R.apply_transforms(df, [{"name": "twist"}])
     assert R.apply_transforms(df, [{"name": "adjust_range"}, {"name": "crop", "first": 1, "last": 2}]).first()["data"] == [1.0, 0.25]
+
+
+def test_widened_windows_and_wav_sink(spark, tmp_path):
+    sel = spark.createDataFrame([("a.wav", 0.0, 3.0)], "filename string, start double, end double")
+    w = audio.widen_for_frames(sel, 1000.0, 0.1, 0.02).first()
+    assert (w["start"], w["end"], w["num_frames"]) == (-0.04, pytest.approx(-0.04 + 149 * 0.02 + 0.1), 150)
+    df = spark.createDataFrame([("x.wav", [0.0, 0.5, -0.5], 100.0)], "filename string, data array<double>, rate double")
+    assert audio.write_wavs(df, f"file://{tmp_path}/out", loud=False) == 1
+    assert audio.read_header((tmp_path / "out" / "x.wav").read_bytes()) == (100, 1, 2, 3)

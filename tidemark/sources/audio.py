@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions import kernels as K
-from tidemark.functions.scalar import morlet, parse_datetime
+from tidemark.functions.scalar import morlet, num_samples, parse_datetime
 
 AUDIO = "*.{wav,WAV,flac,FLAC}"
 
@@ -145,6 +145,34 @@ def _load(content, s, rate, channel, mode, normalize) -> dict:
         return {"rate": None, "data": None, "error": f"{type(e).__name__}: {e}"}
 
 
+def widen_for_frames(selections: DataFrame, rate: float, window: float, step: float) -> DataFrame:
+    """Selections widened so that frames of ``window`` every ``step`` are centred on their steps."""
+    win, hop = num_samples(window, rate, even=True), num_samples(step, rate, even=True)
+    first = num_samples(F.col("start"), rate) - F.floor(win / 2) + F.floor(hop / 2)
+    frames = num_samples(F.col("end") - F.col("start"), rate / hop)
+    return selections.withColumns({"start": first / rate, "end": (first + (frames - 1) * hop + win) / rate, "num_frames": frames})
+
+
+def write_wavs(df: DataFrame, uri: str, name: str = "filename", data: str = "data", rate: str = "rate", loud: bool = True) -> int:
+    """A WAV file for each row under ``uri`` (any store that pyarrow opens), written by the executors.
+
+    Files are replaced as a whole, so a task that runs twice leaves the same files. Returns how many.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from pyarrow import fs
+
+        store, root = fs.FileSystem.from_uri(uri)
+        store.create_dir(root, recursive=True)
+        for batch in batches:
+            for n, d, r in zip(batch[name], batch[data], batch[rate], strict=True):
+                with store.open_output_stream(f"{root}/{n}") as out:
+                    out.write(encode_wav(d, r, loud))
+            yield pd.DataFrame({"n": [len(batch)]})
+
+    return int(df.select(name, data, rate).mapInPandas(run, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0])
+
+
 def stitch(waves: DataFrame, n_smooth: int = 0) -> DataFrame:
     """Parts of a selection (sel_id, part, data) as one signal, blended over n_smooth samples."""
     from tidemark.functions.arrays import join_smooth
