@@ -48,6 +48,8 @@ FREQUENT = 1 << 17
 BLOCK = 1024
 #: Most bits of the filter that says which documents' sets are wanted (16 MB).
 FILTER_BITS = 1 << 27
+#: Most rows (of about 40 bytes) of the wanted classes that are broadcast.
+BROADCAST_ROWS = 1_000_000
 #: Shingles of one chunk in which a token must occur in ``CHUNK_DOCS`` classes to count as frequent.
 CHUNK, CHUNK_DOCS = 4_000_000, 4
 
@@ -277,10 +279,10 @@ def _links(sets: list[tuple[int, np.ndarray, int]], order: Order, crossing: bool
 
 def _verify(shared):
     def run(batches):
-        order = Order(shared.value)
+        order = Order((np.array(shared.value, np.int64).view(_U) & _PACKED).view(np.int64).tolist())
         rows = chain.from_iterable((b.slice(i, 1).to_pylist()[0] for i in range(b.num_rows)) for b in batches)
         for (_, i, j), group in groupby(rows, key=lambda r: (r["root"], r["i"], r["j"])):
-            sets = {r["fp"]: (r["fp"], np.frombuffer(r["tokens"], _U), r["block"]) for r in group}
+            sets = {r["fp"]: (r["fp"], _unpack(r["tokens"]), r["block"]) for r in group}
             found = _links(list(sets.values()), order, i != j)
             if found:
                 a, b = zip(*found, strict=True)
@@ -289,8 +291,22 @@ def _verify(shared):
     return run
 
 
-def _filter_bits(ids: DataFrame) -> tuple[int, list]:
-    """A Bloom filter of the rows' (h1, h2): how many bits it has, and its non-zero words.
+_PACKED = _U(0xFFFFFFFFFFFF0000)
+
+
+def _pack(token: np.ndarray) -> bytes:
+    """The upper 48 bits of each token; two tokens of a pair of sets agree by chance once in 10^8 pairs."""
+    return np.ascontiguousarray(token).view(np.uint8).reshape(-1, 8)[:, 2:].tobytes()
+
+
+def _unpack(b: bytes) -> np.ndarray:
+    out = np.zeros((len(b) // 6, 8), np.uint8)
+    out[:, 2:] = np.frombuffer(b, np.uint8).reshape(-1, 6)
+    return out.view(_U).ravel()
+
+
+def _filter_bits(ids: DataFrame) -> tuple[int, list, int]:
+    """A Bloom filter of the rows' (h1, h2): how many bits it has, its non-zero words, and the rows.
 
     It has 16 bits for each row, but never more than ``FILTER_BITS``; a filter that is too small for
     its rows lets more rows pass and is still never wrong about a row that is in it.
@@ -300,7 +316,7 @@ def _filter_bits(ids: DataFrame) -> tuple[int, list]:
     place = F.explode(F.array(F.pmod("h1", F.lit(bits)), F.pmod("h2", F.lit(bits)))).alias("p")
     mask = F.expr("shiftleft(1L, cast(p % 64 AS INT))")
     words = ids.select(place).groupBy(F.floor(F.col("p") / 64).alias("w")).agg(F.bit_or(mask).alias("m"))
-    return bits, [(r["w"], r["m"]) for r in words.collect()]
+    return bits, [(r["w"], r["m"]) for r in words.collect()], n
 
 
 def _hashed(df: DataFrame, id_column: str) -> DataFrame:
@@ -324,7 +340,8 @@ def _token_sets(docs: DataFrame, id_column: str, text: str, bits: int, words) ->
                 row, token = _distinct(*shingles(step.column(text)))
                 fp, n = _classes(row, token, step.num_rows)
                 ends = np.cumsum(n)
-                packed = [token[e - k : e].tobytes() for e, k in zip(ends, n, strict=True)]
+                short = _pack(token)
+                packed = [short[6 * (e - k) : 6 * e] for e, k in zip(ends.tolist(), n.tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([step.column(id_column), pa.array(fp), pa.array(packed, pa.binary())], names=["id", "fp", "tokens"])
 
     return _hashed(docs.select(id_column, text), id_column).mapInArrow(run, schema)
@@ -350,9 +367,11 @@ def group_similar(docs: DataFrame, id_column: str = "doc_id", text: str = "text"
     placed = member.join(cut, "root").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     wanted = materialize(placed.join(classes, placed["node"] == classes["fp"]).where("least IS NOT NULL").select("root", "node", "blocks", "block", "least"), "wanted")
     # Only the documents that stand for a wanted class send their sets; the join makes that exact.
-    bits, words = _filter_bits(_hashed(wanted.select("least"), "least"))
+    bits, words, n_wanted = _filter_bits(_hashed(wanted.select("least"), "least"))
     sets = _token_sets(docs, id_column, text, bits, spark.sparkContext.broadcast(words)).alias("s")
-    sets = sets.join(wanted.alias("w"), (F.col("s.fp") == F.col("w.node")) & (F.col("s.id") == F.col("w.least")))
+    # Few wanted classes travel to the sets; beyond the bound both sides are shuffled.
+    side = F.broadcast(wanted) if n_wanted <= BROADCAST_ROWS else wanted
+    sets = sets.join(side.alias("w"), (F.col("s.fp") == F.col("w.node")) & (F.col("s.id") == F.col("w.least")))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
     spread = sets.select("root", "block", "fp", "tokens", other)
     tasks = spread.select("root", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "fp", "tokens")
