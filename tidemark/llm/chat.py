@@ -17,7 +17,8 @@ turn first, so ties are deterministic; repeated rows are repeated turns; a null
 conversation of its own; texts are never cut; an empty table gives no rows; extra columns are ignored.
 
 Scale: escaping and the first check are row-local; one shuffle brings the turns of a conversation
-together, as the output, one text for each conversation, demands.
+together, as the output, one text for each conversation, demands. Everything about a conversation is
+linear in its length: offsets are a running sum over its rows, and no text is cut up twice.
 """
 
 from __future__ import annotations
@@ -26,6 +27,9 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from tidemark.llm.common import let
 
 LOSS_ROLE = "assistant"
 
@@ -69,14 +73,17 @@ class Template:
 
     def parse(self, c: Column) -> Column:
         """Turns as array of (role, text); null if the text is not of the grammar."""
-        pieces = F.split(c, self.pattern, -1)
-        found = F.regexp_extract_all(c, F.lit(self.pattern), F.lit(0))
-        n = (F.size(found) / 4).cast("int")
-        order = F.flatten(F.array_repeat(F.array(*map(F.lit, self.controls)), n))
-        bare = F.size(F.filter(pieces, lambda p, i: (i % 4 != 1) & (i % 4 != 2) & (p != ""))) == 0
-        at = F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
-        turns = F.transform(at, lambda i: F.struct(self.unescape(F.get(pieces, i * 4 + 1)).alias("role"), self.unescape(F.get(pieces, i * 4 + 2)).alias("text")))
-        return F.when((order == found) & bare, turns)
+        cut = F.struct(F.split(c, self.pattern, -1).alias("pieces"), F.regexp_extract_all(c, F.lit(self.pattern), F.lit(0)).alias("found"))
+
+        def turns(x: Column) -> Column:
+            pieces, n = x["pieces"], (F.size(x["found"]) / 4).cast("int")
+            order = F.flatten(F.array_repeat(F.array(*map(F.lit, self.controls)), n))
+            bare = F.size(F.filter(pieces, lambda p, i: (i % 4 != 1) & (i % 4 != 2) & (p != ""))) == 0
+            at = F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
+            got = F.transform(at, lambda i: F.struct(self.unescape(F.get(pieces, i * 4 + 1)).alias("role"), self.unescape(F.get(pieces, i * 4 + 2)).alias("text")))
+            return F.when((order == x["found"]) & bare, got)
+
+        return let(cut, turns)
 
 
 INST = Template("<s>", "[INST]", "[/INST]", "</s>")
@@ -100,28 +107,34 @@ def render_turns(turns: DataFrame, template: Template = INST, role: str = "role"
     return turns.withColumn("__body", body)
 
 
-CHAT = "formatted string, loss array<struct<start: int, end: int>>, n_turns int, n_escaped int"
+CHAT = "formatted string, loss array<struct<start: int, end: int, turn: int, turn_start: int>>, n_turns int, n_escaped int"
 
 
 def format_chats(turns: DataFrame, template: Template = INST, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text", loss_role: str = LOSS_ROLE) -> DataFrame:
-    """(conv, formatted, loss, n_turns, n_escaped): loss has code point spans of the texts to learn from."""
+    """(conv, formatted, loss, n_turns, n_escaped): loss has code point spans of the texts to learn from.
+
+    A span also says which turn it is in and where that turn starts, so that it is read without
+    counting from the start of a long conversation.
+    """
     rows = render_turns(turns.select(F.col(conv), F.col(turn), F.col(role), F.col(text)), template, role, text)
-    one = F.struct(F.col(turn).alias("turn"), F.coalesce(F.col(role), F.lit("")).alias("role"), F.coalesce(F.col(text), F.lit("")).alias("text"), F.col("__body").alias("body"))
+    width = sum(map(len, template.controls))
+    order = [F.col(turn), F.coalesce(F.col(role), F.lit("")), F.coalesce(F.col(text), F.lit(""))]
+    size = width + F.length("__body.role") + F.length("__body.text")
+    before = Window.partitionBy(conv).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("__at", F.coalesce(F.sum(size).over(before), F.lit(0)).cast("int"))
+    one = F.struct(order[0].alias("turn"), order[1].alias("role"), order[2].alias("text"), F.col("__at").alias("at"), F.col("__body").alias("body"))
     chats = rows.groupBy(conv).agg(F.array_sort(F.collect_list(one)).alias("t"))
     t = F.col("t")
-    width = len(template.turn) + len(template.text) + len(template.end_text) + len(template.end_turn)
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start: int, end: int>>").alias("spans"))
+    head = len(template.turn + template.text)
 
-    def step(acc: Column, x: Column) -> Column:
-        start = acc["at"] + len(template.turn + template.text) + F.length(x["body"]["role"])
-        end = start + F.length(x["body"]["text"])
-        kept = F.when(x["role"] == loss_role, F.concat(acc["spans"], F.array(F.struct(start.alias("start"), end.alias("end"))))).otherwise(acc["spans"])
-        return F.struct((acc["at"] + width + F.length(x["body"]["role"]) + F.length(x["body"]["text"])).alias("at"), kept.alias("spans"))
+    def span(x: Column, i: Column) -> Column:
+        start = x["at"] + head + F.length(x["body"]["role"])
+        return F.when(x["role"] == loss_role, F.struct(start.alias("start"), (start + F.length(x["body"]["text"])).alias("end"), i.alias("turn"), x["at"].alias("turn_start")))
 
     made = chats.select(
         conv,
         F.array_join(F.transform(t, lambda x: template.render(x["body"]["role"], x["body"]["text"])), "").alias("formatted"),
-        F.aggregate(t, zero, step, lambda acc: acc["spans"]).alias("loss"),
+        F.filter(F.transform(t, span), lambda s: s.isNotNull()).alias("loss"),
         F.size(t).alias("n_turns"),
         F.size(F.filter(t, lambda x: x["body"]["level"] > 0)).alias("n_escaped"),
         F.transform(t, lambda x: F.struct(x["role"].alias("role"), x["text"].alias("text"))).alias("__source"),
@@ -132,4 +145,8 @@ def format_chats(turns: DataFrame, template: Template = INST, conv: str = "conv_
 
 def loss_texts(chats: DataFrame, template: Template = INST) -> Column:
     """The unescaped texts under the loss mask of a formatted conversation, as an array."""
-    return F.transform(chats["loss"], lambda s: template.unescape(F.substring(chats["formatted"], s["start"] + 1, s["end"] - s["start"])))
+
+    def texts(rows: Column) -> Column:
+        return F.transform(chats["loss"], lambda s: template.unescape(F.substring(F.get(rows, s["turn"]), s["start"] - s["turn_start"] + 1, s["end"] - s["start"])))
+
+    return let(F.split(chats["formatted"], _quoted(template.end_turn), -1), texts)

@@ -113,6 +113,11 @@ def ascii_lower_column(c):
     return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
+def let(value, fn):
+    """``fn(value)`` as an expression that computes ``value`` once; a lambda would do so for each element."""
+    return F.get(F.transform(F.array(value), fn), F.lit(0))
+
+
 def pack(a: np.ndarray) -> bytes:
     return np.ascontiguousarray(a).tobytes()
 
