@@ -12,11 +12,14 @@ share a token under *every* global token order. Several orders are used:
 3. What remains is verified exactly on the whole sets, except for pairs that verified links already
    connect, which cannot change the components.
 
-All orders put rare tokens first: shingles that are frequent in any chunk of the corpus are counted
-over all documents, and the ``FREQUENT`` most frequent come last, by frequency. The others follow a
-different hash in each order. The table only orders tokens, so its size affects speed and never the
-result. Neighbourhoods of more than ``BLOCK`` classes are cut into blocks, every pair of blocks being
-a task of its own, so that no task holds more than two blocks however large a group of copies is.
+All orders put tokens first that occur in one set only, and leave these out of the index, since nothing
+can be shared through them. Which those are is read from a bitmap with about two bits for each token of
+the corpus: a bit is set if tokens with its position were seen twice. Two tokens with one position set
+it by mistake, which only moves them back in the orders and never changes the result. The bitmap is
+built in ranges, stored in the shared folder and memory-mapped. A text of which a fifth is its own
+therefore has no candidates, however many passages it shares. Neighbourhoods of more than ``BLOCK``
+classes are cut into blocks, every pair of blocks being a task of its own, so that no task holds more
+than two blocks however large a group of copies is.
 
 Defined results: a null, empty or blank text has no shingles, links with nothing and is its own
 component; a text of fewer than five words has its word sequence as one shingle; repeated rows and
@@ -34,28 +37,32 @@ from itertools import chain, groupby
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.fs as pafs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from tidemark.llm.common import MIX, append_struct, ascii_words, hash_words, materialize, scramble, steps
+from tidemark.llm.common import MIX, append_struct, ascii_words, fresh_path, hash_words, materialize, scramble, steps
 from tidemark.llm.graph import components
+from tidemark.llm.language_model import Store
 
 WORDS = 5
 PERCENT = 80
 ORDERS = 3
-FREQUENT = 1 << 17
 BLOCK = 1024
 #: Most bits of the filter that says which documents' sets are wanted (16 MB).
 FILTER_BITS = 1 << 27
 #: Most rows (of about 40 bytes) of the wanted classes that are broadcast.
 BROADCAST_ROWS = 1_000_000
-#: Shingles of one chunk in which a token must occur in ``CHUNK_DOCS`` classes to count as frequent.
-CHUNK, CHUNK_DOCS = 4_000_000, 4
+#: Tokens that a task gathers before it sends them on.
+CHUNK = 4_000_000
+#: Characters of text for each bit of the bitmap of repeated tokens.
+CHARS_PER_BIT = 4
 
 _U = np.uint64
 _SEEDS = (_U(0x243F6A8885A308D3), _U(0x13198A2E03707344), _U(0xA4093822299F31D0))
 _TOP = _U(1 << 63)
+_PACKED = _U(0xFFFFFFFFFFFF0000)
 #: Odd factors, one for each place of a word in a shingle.
 _FACTORS = scramble(np.arange(1, WORDS + 1, dtype=_U)) | _U(1)
 
@@ -109,21 +116,57 @@ def _classes(row: np.ndarray, token: np.ndarray, n: int) -> tuple[np.ndarray, np
 
 
 class Order:
-    """Keys of tokens under several global orders, ascending from rare to frequent."""
+    """Keys of tokens under several global orders: single tokens first, then by a hash of each order."""
 
-    def __init__(self, frequent: list[int]):
-        """``frequent``: tokens from rarest to most frequent."""
-        token = np.array(frequent, np.int64).view(_U)
-        at = np.argsort(token)
-        self.token, self.rank = token[at], at.astype(_U)
+    def __init__(self, repeated):
+        """``repeated``: a function from tokens to whether each was seen twice."""
+        self.repeated = repeated
 
     def keys(self, token: np.ndarray, order: int) -> np.ndarray:
-        key = scramble(token ^ _SEEDS[order]) & ~_TOP
-        if len(self.token) and len(token):
-            at = np.minimum(np.searchsorted(self.token, token), len(self.token) - 1)
-            hit = self.token[at] == token
-            key[hit] = _TOP | self.rank[at[hit]]
-        return key
+        return (scramble(token ^ _SEEDS[order]) >> _U(1)) | (self.repeated(token).astype(_U) << _U(63))
+
+
+def _position(token: np.ndarray, bits: int) -> np.ndarray:
+    """The bit of a token, from the part of it that travels with sets."""
+    return (scramble(token & _PACKED) >> _U(64 - bits)).astype(np.int64)
+
+
+class Repeats:
+    """The bitmap of repeated tokens: ranges of positions, each a mapped file."""
+
+    def __init__(self, path: str, bits: int, ranges: int):
+        self.store, self.bits, self.ranges, self.maps = Store(path), bits, ranges, {}
+
+    def __call__(self, token: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(token), bool)
+        p = _position(token, self.bits)
+        width = (1 << self.bits) // self.ranges
+        order = np.argsort(p)
+        edges = np.searchsorted(p[order], np.arange(self.ranges + 1) * width)
+        for k in np.flatnonzero(np.diff(edges)).tolist():
+            at = order[edges[k] : edges[k + 1]]
+            if k not in self.maps:
+                there = self.store.fs.get_file_info(f"{self.store.root}/{k}").type == pafs.FileType.File
+                self.maps[k] = self.store.get(str(k), np.uint8) if there else np.zeros(width // 8, np.uint8)
+            local = p[at] - k * width
+            out[at] = (self.maps[k][local >> 3] >> (local & 7).astype(np.uint8)) & 1
+        return out
+
+
+def _pack_steps(d: np.ndarray) -> bytes:
+    """Differences of sorted numbers in 1, 2 or 4 bytes each, with the rare larger ones listed after."""
+    kind = np.uint8 if d.mean() < 100 else np.uint16 if d.mean() < 20_000 else np.uint32
+    top = np.iinfo(kind).max
+    big = np.flatnonzero(d >= top)
+    return b"".join([np.array([len(d), kind().itemsize], np.int64).tobytes(), np.minimum(d, top).astype(kind).tobytes(), big.astype(np.int64).tobytes(), d[big].astype(np.int64).tobytes()])
+
+
+def _unpack_steps(b: bytes) -> np.ndarray:
+    n, size = np.frombuffer(b, np.int64, 2).tolist()
+    d = np.frombuffer(b, {1: np.uint8, 2: np.uint16, 4: np.uint32}[size], n, 16).astype(np.int64)
+    at, value = np.frombuffer(b[16 + n * size :], np.int64).reshape(2, -1)
+    d[at] = value
+    return d
 
 
 def prefix(n):
@@ -131,19 +174,22 @@ def prefix(n):
     return n - (n * PERCENT + 99) // 100 + 1
 
 
-def _profile(docs: DataFrame, id_column: str, text: str) -> DataFrame:
-    """A row (id, fp, n) for each document and rows (token, df) for tokens frequent in a chunk."""
+def _profile(docs: DataFrame, id_column: str, text: str, bits: int, ranges: int) -> DataFrame:
+    """A row (id, fp, n) for each document, and rows (range, blob) with sorted positions of tokens."""
     id_type = docs.schema[id_column].dataType
-    schema = StructType([StructField("id", id_type), StructField("fp", LongType()), StructField("n", LongType()), StructField("token", LongType()), StructField("df", LongType())])
+    schema = StructType([StructField("id", id_type), *StructType.fromDDL("fp long, n long, range int, blob binary").fields])
 
     def run(batches):
         held, size, seen = [], 0, set()
+        width = (1 << bits) // ranges
 
-        def frequent(id_arrow):
-            token, count = np.unique(np.concatenate(held), return_counts=True)
-            token, count = token[count >= CHUNK_DOCS], count[count >= CHUNK_DOCS]
-            none = pa.nulls(len(token), pa.int64())
-            return pa.RecordBatch.from_arrays([pa.nulls(len(token), id_arrow), none, none, pa.array(token.view(np.int64)), pa.array(count.astype(np.int64))], names=schema.names)
+        def positions(id_arrow):
+            p = np.sort(np.concatenate(held))
+            edges = np.searchsorted(p, np.arange(ranges + 1) * width)
+            some = np.flatnonzero(np.diff(edges)).tolist()
+            blobs = [_pack_steps(np.diff(p[edges[k] : edges[k + 1]], prepend=k * width)) for k in some]
+            none = pa.nulls(len(some), pa.int64())
+            return pa.RecordBatch.from_arrays([pa.nulls(len(some), id_arrow), none, none, pa.array(some, pa.int32()), pa.array(blobs, pa.binary())], names=schema.names)
 
         kind = None
         for step in steps(batches, text):
@@ -151,28 +197,50 @@ def _profile(docs: DataFrame, id_column: str, text: str) -> DataFrame:
             row, token = _distinct(*shingles(step.column(text)))
             fp, n = _classes(row, token, m)
             kind = step.column(id_column).type
-            yield pa.RecordBatch.from_arrays([step.column(id_column), pa.array(fp), pa.array(n.astype(np.int64)), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64())], names=schema.names)
+            yield pa.RecordBatch.from_arrays([step.column(id_column), pa.array(fp), pa.array(n.astype(np.int64)), pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary())], names=schema.names)
             new = np.zeros(m, bool)
             for i, x in enumerate(fp.tolist()):
                 if x not in seen:
                     seen.add(x)
                     new[i] = True
-            held.append(token[new[row]])
+            held.append(_position(token[new[row]], bits))
             size += len(held[-1])
             if size >= CHUNK:
-                yield frequent(kind)
+                yield positions(kind)
                 held, size, seen = [], 0, set()
-        if held:
-            yield frequent(kind)
+        if size:
+            yield positions(kind)
 
     return docs.select(id_column, text).mapInArrow(run, schema)
 
 
-def _index(docs: DataFrame, text: str, shared, buckets: int) -> DataFrame:
+def _mark_repeats(blobs: DataFrame, path: str, bits: int, ranges: int, parts: int) -> None:
+    """Store the bitmap, range by range; a range is one task's work and has a bounded size."""
+    width = (1 << bits) // ranges
+
+    def run(batches):
+        store, n = Store(path), 0
+        rows = chain.from_iterable((b.slice(i, 1).to_pylist()[0] for i in range(b.num_rows)) for b in batches)
+        for k, group in groupby(rows, key=lambda r: r["range"]):
+            once, twice = np.zeros(width, bool), np.zeros(width, bool)
+            for r in group:
+                p = np.cumsum(_unpack_steps(r["blob"]))
+                again = p[1:][p[1:] == p[:-1]]
+                twice[again] = True
+                twice[p[once[p]]] = True
+                once[p] = True
+            store.put(str(k), np.packbits(twice, bitorder="little"))
+            n += 1
+        yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], names=["n"])
+
+    blobs.repartition(parts, "range").sortWithinPartitions("range").mapInArrow(run, "n long").agg(F.sum("n")).collect()
+
+
+def _index(docs: DataFrame, text: str, repeats: tuple, buckets: int) -> DataFrame:
     """Blobs of the prefix tokens under the first order: (bucket, keys, owner, fps, sizes)."""
 
     def run(batches):
-        order = Order(shared.value)
+        order = Order(Repeats(*repeats))
         held, count, seen = [], 0, set()
 
         def flush():
@@ -205,7 +273,8 @@ def _index(docs: DataFrame, text: str, shared, buckets: int) -> DataFrame:
             at = np.lexsort((key, row))
             row, key = row[at], key[at]
             starts = np.cumsum(n * new) - n * new
-            early = np.arange(len(row)) - starts[row] < prefix(n)[row]
+            # A single token in a prefix leads nowhere.
+            early = (np.arange(len(row)) - starts[row] < prefix(n)[row]) & (key >= _TOP)
             held.append((key[early], fp[row[early]], n[row[early]]))
             count += int(early.sum())
             if count >= CHUNK // 4:
@@ -277,9 +346,9 @@ def _links(sets: list[tuple[int, np.ndarray, int]], order: Order, crossing: bool
     return found
 
 
-def _verify(shared):
+def _verify(repeats: tuple):
     def run(batches):
-        order = Order((np.array(shared.value, np.int64).view(_U) & _PACKED).view(np.int64).tolist())
+        order = Order(Repeats(*repeats))
         rows = chain.from_iterable((b.slice(i, 1).to_pylist()[0] for i in range(b.num_rows)) for b in batches)
         for (_, i, j), group in groupby(rows, key=lambda r: (r["root"], r["i"], r["j"])):
             sets = {r["fp"]: (r["fp"], _unpack(r["tokens"]), r["block"]) for r in group}
@@ -291,9 +360,6 @@ def _verify(shared):
     return run
 
 
-_PACKED = _U(0xFFFFFFFFFFFF0000)
-
-
 def _pack(token: np.ndarray) -> bytes:
     """The upper 48 bits of each token; two tokens of a pair of sets agree by chance once in 10^8 pairs."""
     return np.ascontiguousarray(token).view(np.uint8).reshape(-1, 8)[:, 2:].tobytes()
@@ -352,13 +418,16 @@ def group_similar(docs: DataFrame, id_column: str = "doc_id", text: str = "text"
     spark = docs.sparkSession
     docs = docs.select(id_column, text)
     parts = buckets or max(4, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    profile = materialize(_profile(docs, id_column, text), "profile")
-    frequent = profile.where("token IS NOT NULL").groupBy("token").agg(F.sum("df").alias("df")).orderBy(F.desc("df"), "token").limit(FREQUENT)
-    shared = spark.sparkContext.broadcast([r["token"] for r in reversed(frequent.select("token", "df").collect())])
-    rows = profile.where("token IS NULL").select("id", "fp", "n")
+    chars = docs.agg(F.sum(F.length(text))).first()[0] or 0
+    bits = max(16, (chars // CHARS_PER_BIT).bit_length())
+    ranges = 1 << min(bits - 3, max(2, (parts - 1).bit_length()))
+    repeats = (fresh_path(spark, "repeats"), bits, ranges)
+    profile = materialize(_profile(docs, id_column, text, bits, ranges), "profile")
+    _mark_repeats(profile.where("range IS NOT NULL").select("range", "blob"), *repeats, parts)
+    rows = profile.where("range IS NULL").select("id", "fp", "n")
     classes = rows.where("n > 0").groupBy("fp").agg(F.min("id").alias("least"))
 
-    index = _index(docs, text, shared, parts)
+    index = _index(docs, text, repeats, parts)
     edges = index.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(_neighbours, "a long, b long")
     near = components(edges)
     member = materialize(near.unionByName(near.select(F.col("root").alias("node"), "root").distinct()), "near")
@@ -375,7 +444,7 @@ def group_similar(docs: DataFrame, id_column: str = "doc_id", text: str = "text"
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
     spread = sets.select("root", "block", "fp", "tokens", other)
     tasks = spread.select("root", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "fp", "tokens")
-    verified = tasks.repartition(parts, "root", "i", "j").sortWithinPartitions("root", "i", "j").mapInArrow(_verify(shared), "a long, b long")
+    verified = tasks.repartition(parts, "root", "i", "j").sortWithinPartitions("root", "i", "j").mapInArrow(_verify(repeats), "a long, b long")
     linked = components(verified)
     full = classes.join(linked, classes["fp"] == linked["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     named = full.select("fp", "root").join(full.groupBy("root").agg(F.min("least").alias("component")), "root").select("fp", "component")
