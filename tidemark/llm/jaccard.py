@@ -12,12 +12,13 @@ share a token under *every* global token order. Several orders are used:
 3. What remains is verified exactly on the whole sets, except for pairs that verified links already
    connect, which cannot change the components.
 
-All orders put tokens first that occur in one set only, and leave these out of the index, since nothing
-can be shared through them. Which those are is read from a bitmap with about two bits for each token of
-the corpus: a bit is set if tokens with its position were seen twice. Two tokens with one position set
-it by mistake, which only moves them back in the orders and never changes the result. The bitmap is
-built in ranges, stored in the shared folder and memory-mapped. A text of which a fifth is its own
-therefore has no candidates, however many passages it shares. Neighbourhoods of more than ``BLOCK``
+All orders put rare tokens first, so that near copies meet through what only they share and not through
+passages that many documents share. How many sets hold a token is read from a table of counters (one
+byte, up to 255) with about two for each token of the corpus. Tokens that share a counter look more
+frequent than they are, which only moves them back in the orders and never changes the result. The
+table is built in ranges, stored in the shared folder and memory-mapped. Tokens of a single set are
+left out of the index, since nothing can be shared through them.
+Neighbourhoods of more than ``BLOCK``
 classes are cut into blocks, every pair of blocks being a task of its own, so that no task holds more
 than two blocks however large a group of copies is.
 
@@ -56,12 +57,13 @@ FILTER_BITS = 1 << 27
 BROADCAST_ROWS = 1_000_000
 #: Tokens that a task gathers before it sends them on.
 CHUNK = 4_000_000
-#: Characters of text for each bit of the bitmap of repeated tokens.
-CHARS_PER_BIT = 4
+#: Characters of text for each counter of the table of token counts.
+CHARS_PER_COUNTER = 4
 
 _U = np.uint64
 _SEEDS = (_U(0x243F6A8885A308D3), _U(0x13198A2E03707344), _U(0xA4093822299F31D0))
-_TOP = _U(1 << 63)
+#: Keys from here on are of tokens that two sets or more may hold.
+_SHARED = _U(2 << 56)
 _PACKED = _U(0xFFFFFFFFFFFF0000)
 #: Odd factors, one for each place of a word in a shingle.
 _FACTORS = scramble(np.arange(1, WORDS + 1, dtype=_U)) | _U(1)
@@ -116,29 +118,29 @@ def _classes(row: np.ndarray, token: np.ndarray, n: int) -> tuple[np.ndarray, np
 
 
 class Order:
-    """Keys of tokens under several global orders: single tokens first, then by a hash of each order."""
+    """Keys of tokens under several global orders: rare tokens first, then by a hash of each order."""
 
-    def __init__(self, repeated):
-        """``repeated``: a function from tokens to whether each was seen twice."""
-        self.repeated = repeated
+    def __init__(self, counts):
+        """``counts``: a function from tokens to how many sets hold each, up to 255."""
+        self.counts = counts
 
     def keys(self, token: np.ndarray, order: int) -> np.ndarray:
-        return (scramble(token ^ _SEEDS[order]) >> _U(1)) | (self.repeated(token).astype(_U) << _U(63))
+        return (scramble(token ^ _SEEDS[order]) >> _U(8)) | (self.counts(token).astype(_U) << _U(56))
 
 
 def _position(token: np.ndarray, bits: int) -> np.ndarray:
-    """The bit of a token, from the part of it that travels with sets."""
+    """The counter of a token, from the part of it that travels with sets."""
     return (scramble(token & _PACKED) >> _U(64 - bits)).astype(np.int64)
 
 
-class Repeats:
-    """The bitmap of repeated tokens: ranges of positions, each a mapped file."""
+class Counts:
+    """The table of token counts: ranges of positions, each a mapped file."""
 
     def __init__(self, path: str, bits: int, ranges: int):
         self.store, self.bits, self.ranges, self.maps = Store(path), bits, ranges, {}
 
     def __call__(self, token: np.ndarray) -> np.ndarray:
-        out = np.zeros(len(token), bool)
+        out = np.zeros(len(token), np.uint8)
         p = _position(token, self.bits)
         width = (1 << self.bits) // self.ranges
         order = np.argsort(p)
@@ -147,9 +149,8 @@ class Repeats:
             at = order[edges[k] : edges[k + 1]]
             if k not in self.maps:
                 there = self.store.fs.get_file_info(f"{self.store.root}/{k}").type == pafs.FileType.File
-                self.maps[k] = self.store.get(str(k), np.uint8) if there else np.zeros(width // 8, np.uint8)
-            local = p[at] - k * width
-            out[at] = (self.maps[k][local >> 3] >> (local & 7).astype(np.uint8)) & 1
+                self.maps[k] = self.store.get(str(k), np.uint8) if there else np.zeros(width, np.uint8)
+            out[at] = self.maps[k][p[at] - k * width]
         return out
 
 
@@ -214,33 +215,30 @@ def _profile(docs: DataFrame, id_column: str, text: str, bits: int, ranges: int)
     return docs.select(id_column, text).mapInArrow(run, schema)
 
 
-def _mark_repeats(blobs: DataFrame, path: str, bits: int, ranges: int, parts: int) -> None:
-    """Store the bitmap, range by range; a range is one task's work and has a bounded size."""
+def _store_counts(blobs: DataFrame, path: str, bits: int, ranges: int, parts: int) -> None:
+    """Store the counters, range by range; a range is one task's work and has a bounded size."""
     width = (1 << bits) // ranges
 
     def run(batches):
         store, n = Store(path), 0
         rows = chain.from_iterable((b.slice(i, 1).to_pylist()[0] for i in range(b.num_rows)) for b in batches)
         for k, group in groupby(rows, key=lambda r: r["range"]):
-            once, twice = np.zeros(width, bool), np.zeros(width, bool)
+            total = np.zeros(width, np.uint16)
             for r in group:
-                p = np.cumsum(_unpack_steps(r["blob"]))
-                again = p[1:][p[1:] == p[:-1]]
-                twice[again] = True
-                twice[p[once[p]]] = True
-                once[p] = True
-            store.put(str(k), np.packbits(twice, bitorder="little"))
+                p, c = np.unique(np.cumsum(_unpack_steps(r["blob"])), return_counts=True)
+                total[p] = np.minimum(total[p] + np.minimum(c, 255), 255)
+            store.put(str(k), total.astype(np.uint8))
             n += 1
         yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], names=["n"])
 
     blobs.repartition(parts, "range").sortWithinPartitions("range").mapInArrow(run, "n long").agg(F.sum("n")).collect()
 
 
-def _index(docs: DataFrame, text: str, repeats: tuple, buckets: int) -> DataFrame:
+def _index(docs: DataFrame, text: str, counts: tuple, buckets: int) -> DataFrame:
     """Blobs of the prefix tokens under the first order: (bucket, keys, owner, fps, sizes)."""
 
     def run(batches):
-        order = Order(Repeats(*repeats))
+        order = Order(Counts(*counts))
         held, count, seen = [], 0, set()
 
         def flush():
@@ -274,7 +272,7 @@ def _index(docs: DataFrame, text: str, repeats: tuple, buckets: int) -> DataFram
             row, key = row[at], key[at]
             starts = np.cumsum(n * new) - n * new
             # A single token in a prefix leads nowhere.
-            early = (np.arange(len(row)) - starts[row] < prefix(n)[row]) & (key >= _TOP)
+            early = (np.arange(len(row)) - starts[row] < prefix(n)[row]) & (key >= _SHARED)
             held.append((key[early], fp[row[early]], n[row[early]]))
             count += int(early.sum())
             if count >= CHUNK // 4:
@@ -346,9 +344,9 @@ def _links(sets: list[tuple[int, np.ndarray, int]], order: Order, crossing: bool
     return found
 
 
-def _verify(repeats: tuple):
+def _verify(counts: tuple):
     def run(batches):
-        order = Order(Repeats(*repeats))
+        order = Order(Counts(*counts))
         rows = chain.from_iterable((b.slice(i, 1).to_pylist()[0] for i in range(b.num_rows)) for b in batches)
         for (_, i, j), group in groupby(rows, key=lambda r: (r["root"], r["i"], r["j"])):
             sets = {r["fp"]: (r["fp"], _unpack(r["tokens"]), r["block"]) for r in group}
@@ -419,15 +417,15 @@ def group_similar(docs: DataFrame, id_column: str = "doc_id", text: str = "text"
     docs = docs.select(id_column, text)
     parts = buckets or max(4, int(spark.conf.get("spark.sql.shuffle.partitions")))
     chars = docs.agg(F.sum(F.length(text))).first()[0] or 0
-    bits = max(16, (chars // CHARS_PER_BIT).bit_length())
+    bits = max(16, (chars // CHARS_PER_COUNTER).bit_length())
     ranges = 1 << min(bits - 3, max(2, (parts - 1).bit_length()))
-    repeats = (fresh_path(spark, "repeats"), bits, ranges)
+    counts = (fresh_path(spark, "counts"), bits, ranges)
     profile = materialize(_profile(docs, id_column, text, bits, ranges), "profile")
-    _mark_repeats(profile.where("range IS NOT NULL").select("range", "blob"), *repeats, parts)
+    _store_counts(profile.where("range IS NOT NULL").select("range", "blob"), *counts, parts)
     rows = profile.where("range IS NULL").select("id", "fp", "n")
     classes = rows.where("n > 0").groupBy("fp").agg(F.min("id").alias("least"))
 
-    index = _index(docs, text, repeats, parts)
+    index = _index(docs, text, counts, parts)
     edges = index.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(_neighbours, "a long, b long")
     near = components(edges)
     member = materialize(near.unionByName(near.select(F.col("root").alias("node"), "root").distinct()), "near")
@@ -444,7 +442,7 @@ def group_similar(docs: DataFrame, id_column: str = "doc_id", text: str = "text"
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
     spread = sets.select("root", "block", "fp", "tokens", other)
     tasks = spread.select("root", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "fp", "tokens")
-    verified = tasks.repartition(parts, "root", "i", "j").sortWithinPartitions("root", "i", "j").mapInArrow(_verify(repeats), "a long, b long")
+    verified = tasks.repartition(parts, "root", "i", "j").sortWithinPartitions("root", "i", "j").mapInArrow(_verify(counts), "a long, b long")
     linked = components(verified)
     full = classes.join(linked, classes["fp"] == linked["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     named = full.select("fp", "root").join(full.groupBy("root").agg(F.min("least").alias("component")), "root").select("fp", "component")
