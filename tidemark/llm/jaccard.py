@@ -43,7 +43,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from tidemark.llm.common import MIX, append_struct, ascii_words, fresh_path, hash_words, materialize, scramble, steps
+from tidemark.llm.common import MIX, append_struct, ascii_words, delete_path, fresh_path, hash_words, materialize, scramble, steps
 from tidemark.llm.graph import components
 from tidemark.llm.language_model import Store
 
@@ -444,6 +444,7 @@ def group_similar(docs: DataFrame, id_column: str = "doc_id", text: str = "text"
     tasks = spread.select("root", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "fp", "tokens")
     verified = tasks.repartition(parts, "root", "i", "j").sortWithinPartitions("root", "i", "j").mapInArrow(_verify(counts), "a long, b long")
     linked = components(verified)
+    delete_path(spark, counts[0])  # the links are stored by now
     full = classes.join(linked, classes["fp"] == linked["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     named = full.select("fp", "root").join(full.groupBy("root").agg(F.min("least").alias("component")), "root").select("fp", "component")
     out = rows.join(named, "fp", "left")
