@@ -1,6 +1,6 @@
 """Licence scans by canonical digest lookup, in native expressions.
 
-A text is brought to a canonical form (lower case, copyright lines removed, equivalent spellings
+A text is brought to a canonical form (lower case, copyright statements removed, equivalent spellings
 unified, punctuation and white space collapsed to single spaces) and addressed by its SHA-256. The
 digests of whole texts are joined by hash to the digests of the known licences. Short licence notices
 are looked up the same way, with each line of a text as the entire text of a possible notice.
@@ -34,9 +34,18 @@ SPELLINGS = (
     ("whilst", "while"),
     ("https://", "http://"),
 )
+# A line that begins with the word copyright is a statement if the sign, a year or its place, or the reservation
+# of rights follows, or if it is short (a name). It is not if a word of ``_PROSE`` comes next: wrapped licences
+# have such lines. RE2 knows no lookahead, so a quotation mark, which goes later, shields what stays.
+_LINE = r"(^|\n)([ \t*#/;-]*copyright[ \t:]+"
+_PROSE = r"notice|holder|owner|license|law|act|statement|interest|protection|ownership|permission|disclaimer|infringement|claim|treaty|treatie|right|term|material|work|grant|and|or|in|is|are|was|were|as|to|on|for|of|with|under|from|if|it|that|which|may|can|shall|must|has|have|except|subsist|including|resulting|doctrine|the[ \t]+(?:software|library|program|work)"
+_YEAR = r"(?:19|20)[0-9]{2}|yyyy|[<{\[][ \t]*(?:year|name|date)|year[ \t]"
 #: Applied in order after them. The patterns mean the same in Java and in RE2.
 CANON = (
-    (r"(?m)^[ \t*#/;-]*(copyright|\(c\)|©|all rights reserved)[^\n]*", " "),
+    (_LINE + rf"(?:{_PROSE})s?([^a-z]|\z))", r'\1"\2'),
+    (r"(^|\n)[ \t*#/;-]*(copyright[ \t:,]*(\(c\)|©|&copy;|" + _YEAR + r")|copyright[ \t:,][^\n]*((?:19|20)[0-9]{2}|all rights reserved)|\(c\)[ \t]*(copyright|" + _YEAR + r")|©|all rights reserved)[^\n]*", " "),
+    (_LINE + r"[^ \t\n]+([ \t]+[^ \t\n]+){6})", r'\1"\2'),
+    (_LINE + r"[^ \t\r\n][^\n]*)", " "),
     (r"version ([0-9])", r"v\1"),
     (r"v([0-9]+)\.0([^0-9.]|$)", r"v\1\2"),
     (r"[^0-9a-z\x{80}-\x{10FFFF}]+", " "),
