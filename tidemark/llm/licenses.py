@@ -16,6 +16,10 @@ against ``MAX_REGISTRY``; nothing is shuffled.
 
 from __future__ import annotations
 
+import itertools
+import pkgutil
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -58,14 +62,82 @@ _BSD = "Redistribution and use in source and binary forms, with or without modif
 _BSD3 = "3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.\n"
 _BSD_WARRANTY = 'THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.'
 _MIT = "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:\nThe above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.\n"
+_ISC = "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted"
+_ISC_COND = ", provided that the above copyright notice and this permission notice appear in all copies"
+_ZLIB = "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software.\nPermission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:\n1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required.\n2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software.\n3. This notice may not be removed or altered from any source distribution."
+
+#: Texts in ``texts/``: by id, the files, where the text without its title begins and where what follows the terms begins.
+FILES = {
+    "Apache-2.0": (("Apache-2.0",), ("TERMS AND CONDITIONS FOR USE",), ("END OF TERMS AND CONDITIONS", "APPENDIX: How to apply")),
+    "Artistic-1.0-Perl": (("Artistic-1.0-Perl",), ("Preamble",), ("The End",)),
+    "BSL-1.0": (("BSL-1.0",), ("Permission is hereby granted",), ()),
+    "CC-BY-SA-4.0": (("CC-BY-SA-4.0",), ("Creative Commons Corporation", "Creative Commons Attribution-ShareAlike 4.0 International Public"), ("Creative Commons is not a party to its public",)),
+    "CC0-1.0": (("CC0-1.0",), ("CC0 1.0 Universal", "CREATIVE COMMONS CORPORATION IS NOT", "Statement of Purpose"), ()),
+    "GFDL-1.2": (("GFDL-1.2",), ("Copyright (C)",), ("ADDENDUM: How to use",)),
+    "GFDL-1.3": (("GFDL-1.3",), ("Copyright (C)",), ("ADDENDUM: How to use",)),
+    "GPL-1.0": (("GPL-1.0",), ("Copyright (C)",), ("Appendix: How to Apply These Terms",)),
+    "GPL-2.0": (("GPL-2.0", "GPL-2.0-SPDX"), ("Copyright (C)",), ("How to Apply These Terms",)),
+    "GPL-3.0": (("GPL-3.0",), ("Copyright (C)",), ("How to Apply These Terms",)),
+    "LGPL-2.0": (("LGPL-2.0",), ("Copyright (C)",), ("How to Apply These Terms",)),
+    "LGPL-2.1": (("LGPL-2.1",), ("Copyright (C)",), ("How to Apply These Terms",)),
+    "LGPL-3.0": (("LGPL-3.0",), ("Copyright (C)",), ()),
+    "MPL-1.1": (("MPL-1.1",), ("1. Definitions",), ("EXHIBIT A -Mozilla",)),
+    "MPL-2.0": (("MPL-2.0",), ("1. Definitions",), ("Exhibit A - Source Code", 'Exhibit B - "Incompatible')),
+    "OFL-1.1": (("OFL-1.1",), ("PREAMBLE",), ()),
+    "Unicode-3.0": (("Unicode-3.0",), ("COPYRIGHT AND PERMISSION", "NOTICE TO USER"), ()),
+    "Unlicense": (("Unlicense",), (), ("For more information",)),
+}
+#: The Free Software Foundation's addresses: its texts went out with each of them, and without one in the heading.
+_ADDRESS = re.compile(r"51 Franklin St(?:reet)?, Fifth Floor, Boston,? MA\s+02110-1301,?\s+USA")
+ADDRESSES = ("51 Franklin Street, Fifth Floor, Boston, MA 02110-1301 USA", "51 Franklin St, Fifth Floor, Boston, MA 02110-1301 USA", "59 Temple Place, Suite 330, Boston, MA 02111-1307 USA", "675 Mass Ave, Cambridge, MA 02139, USA")
+
+
+def _from_files(files: tuple, starts: tuple, ends: tuple) -> tuple[str, ...]:
+    """The texts of a licence with and without title, appendix and the publisher's old addresses."""
+    found: dict[str, None] = {}
+    for file in files:
+        whole = pkgutil.get_data(__name__, f"texts/{file}.txt").decode()
+        heads = [0, *(whole.index(s) for s in starts)]
+        tails = [*(whole.rindex(s) for s in ends), len(whole)]
+        for a, b in itertools.product(heads, tails):
+            text = whole[a:b]
+            found[text] = None
+            if _ADDRESS.search(text):
+                found |= dict.fromkeys([*(_ADDRESS.sub(x, text) for x in ADDRESSES), _ADDRESS.sub("", text, count=1)])
+    return tuple(found)
+
+
+def _titled(titles: tuple, texts: tuple) -> tuple[str, ...]:
+    return tuple(f"{t}\n{x}" for t in titles for x in texts)
+
+
+def _bsd(clauses: str) -> tuple[str, ...]:
+    """The warranty names holders, owners, regents or authors; conditions have numbers or bullets."""
+    out = []
+    for by, event in (("COPYRIGHT HOLDERS AND CONTRIBUTORS", "COPYRIGHT HOLDER OR CONTRIBUTORS"), ("COPYRIGHT HOLDERS AND CONTRIBUTORS", "COPYRIGHT OWNER OR CONTRIBUTORS"), ("REGENTS AND CONTRIBUTORS", "REGENTS OR CONTRIBUTORS"), ("AUTHOR AND CONTRIBUTORS", "AUTHOR OR CONTRIBUTORS"), ("AUTHOR", "AUTHOR")):
+        text = clauses + _BSD_WARRANTY.replace("COPYRIGHT HOLDERS AND CONTRIBUTORS", by).replace("COPYRIGHT HOLDER OR CONTRIBUTORS", event)
+        out += [text, re.sub(r"(?m)^[0-9]\. ", "* ", text)]
+    return tuple(out)
+
+
+def _bsd3() -> tuple[str, ...]:
+    named = (_BSD3, _BSD3.replace("copyright holder", "University"), _BSD3.replace("copyright holder", "author"))
+    return tuple(x for clause in named for x in _bsd(_BSD + clause))
+
+
+_ISC_TEXTS = tuple(f"{start}{_ISC_COND}.\n{_ISC_WARRANTY}" for start in (_ISC, _ISC.replace("and/or", "and")))
+_ZERO = (f"{_ISC}.\n{_ISC_WARRANTY}",)
+_MIT_TEXTS = (_MIT + _WARRANTY, (_MIT + _WARRANTY).replace("this permission notice shall", "this permission notice (including the next paragraph) shall"))
 LICENSES = {
-    "0BSD": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted.\n" + _ISC_WARRANTY,
-    "BSD-2-Clause": _BSD + _BSD_WARRANTY,
-    "BSD-3-Clause": _BSD + _BSD3 + _BSD_WARRANTY,
-    "ISC": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.\n" + _ISC_WARRANTY,
+    "0BSD": (*_ZERO, *_titled(("BSD Zero Clause License", "Zero-Clause BSD"), _ZERO)),
+    "BSD-2-Clause": (*_bsd(_BSD), *_titled(("BSD 2-Clause License", "The 2-Clause BSD License"), _bsd(_BSD))),
+    "BSD-3-Clause": (*_bsd3(), *_titled(("BSD 3-Clause License", "The 3-Clause BSD License", "BSD License"), _bsd3())),
+    "ISC": (*_ISC_TEXTS, *_titled(("ISC License", "The ISC License", "ISC License (ISC)"), _ISC_TEXTS)),
     "MIT": _MIT + _WARRANTY,
-    "MIT titled": "MIT License\n" + _MIT + _WARRANTY,
-    "Zlib": "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software.\nPermission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:\n1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required.\n2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software.\n3. This notice may not be removed or altered from any source distribution.",
+    "MIT titled": (*_titled(("MIT License", "The MIT License", "The MIT License (MIT)"), _MIT_TEXTS), _MIT_TEXTS[1]),
+    "Zlib": _ZLIB,
+    "Zlib titled": _titled(("zlib License", "The zlib License", "The zlib/libpng License"), (_ZLIB,)),
+    **{k: _from_files(*v) for k, v in FILES.items()},
 }
 # One-line licence notices. Each holds the word license, or a line without it is not looked up.
 NOTICES = {
