@@ -140,6 +140,19 @@ def test_keep_one(spark):
     assert sorted((r["doc_id"], r["text"] or "") for r in kept.collect()) == sorted([(1, a), (7, b), (9, ""), (9, ""), (4, "")])
 
 
+def test_documents_without_ids_link(spark):
+    """Near copies link whether or not their rows have ids, also through a class of which no row has one."""
+    words = [f"w{i}" for i in range(200)]
+    near = lambda k: " ".join(words[k * 8 : k * 8 + 100])
+    other = lambda k: " ".join(f"x{i}" for i in range(60)) + f" tail{k}"
+    rows = [(4, near(0)), (None, near(1)), (None, near(1)), (9, near(2)), (None, other(1)), (None, other(2)), (None, other(2)), (None, other(3)), (7, "alone in the world with words"), (None, ""), (None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(((r["id"], r["n"], r["component"]) for r in jaccard.group_similar(docs).collect()), key=str)
+    assert got == sorted([(4, 96, 4), (None, 96, 4), (None, 96, 4), (9, 96, 4), *[(None, 57, None)] * 4, (7, 2, 7), (None, 0, None), (None, 0, None)], key=str)
+    kept = [(r["doc_id"], (r["text"] or "")[:2]) for r in jaccard.keep_one(docs).collect()]
+    assert sorted(kept, key=str) == sorted([(4, "w0"), (None, "x0"), (7, "al"), (None, ""), (None, "")], key=str)
+
+
 def test_licences_of_whole_texts(spark):
     mit = "MIT Licence\n\nCopyright (c) 2020 Somebody\n\n" + licenses.LICENSES["MIT"].replace("sublicense", "sub-license").upper()
     docs = spark.createDataFrame([(1, mit), (2, mit + " and more"), (3, None), (4, licenses.LICENSES["Zlib"].replace(" ", "  "))], "doc_id long, text string")

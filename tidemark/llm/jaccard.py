@@ -24,9 +24,9 @@ than two blocks however large a group of copies is.
 
 Defined results: a null, empty or blank text has no shingles, links with nothing and is its own
 component; a text of fewer than five words has its word sequence as one shingle; repeated rows and
-equal texts are in one class; texts are read whole; rows without an id share the component of their
-class but name no component, and if no row of a class has an id its component is null; an empty
-table gives no rows; extra columns are ignored.
+equal texts are in one class; texts are read whole; rows without an id link like all others but name no
+component, and if no row of a component has an id its name is null; an empty table gives no rows; extra
+columns are ignored.
 
 Tokens are 64-bit hashes and classes 64-bit sums of hashes; two different sets of ``N`` classes agree
 by chance with a probability of about ``N * N / 2 ** 65``.
@@ -38,6 +38,7 @@ from itertools import chain, groupby
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -273,6 +274,8 @@ def _index(docs: DataFrame, text: str, counts: tuple, buckets: int) -> DataFrame
             starts = np.cumsum(n * new) - n * new
             # A single token in a prefix leads nowhere.
             early = (np.arange(len(row)) - starts[row] < prefix(n)[row]) & (key >= _SHARED)
+            if not early.any():
+                continue
             held.append((key[early], fp[row[early]], n[row[early]]))
             count += int(early.sum())
             if count >= CHUNK // 4:
@@ -388,31 +391,45 @@ def _hashed(df: DataFrame, id_column: str) -> DataFrame:
 
 
 def _token_sets(docs: DataFrame, id_column: str, text: str, bits: int, words) -> DataFrame:
-    """(id, fp, tokens) of the documents whose id may be in the filter; tokens are sorted and packed."""
+    """(id, fp, tokens) of the documents whose id may be in the filter; tokens are sorted and packed.
+
+    Rows without an id are held against the filter by their class, and each task sends a class of them once.
+    """
     schema = StructType([StructField("id", docs.schema[id_column].dataType), *StructType.fromDDL("fp long, tokens binary").fields])
 
     def run(batches):
         table = np.zeros(bits // 64, _U)
         for w, m in words.value:
             table[w] = np.int64(m).view(_U)
+        sent = set()
+
+        def inside(h: np.ndarray) -> np.ndarray:
+            p = h.astype(np.int64) % bits
+            return (table[p >> 6] >> (p & 63).astype(_U)) & _U(1) > 0
+
         for batch in batches:
-            keep = np.ones(batch.num_rows, bool)
-            for name in ("h1", "h2"):
-                p = batch.column(name).to_numpy().astype(np.int64) % bits
-                keep &= (table[p >> 6] >> (p & 63).astype(_U)) & _U(1) > 0
+            keep = inside(batch.column("h1").to_numpy()) & inside(batch.column("h2").to_numpy())
             for step in steps([batch.filter(pa.array(keep))], text):
                 row, token = _distinct(*shingles(step.column(text)))
                 fp, n = _classes(row, token, step.num_rows)
                 ends = np.cumsum(n)
                 short = _pack(token)
                 packed = [short[6 * (e - k) : 6 * e] for e, k in zip(ends.tolist(), n.tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([step.column(id_column), pa.array(fp), pa.array(packed, pa.binary())], names=["id", "fp", "tokens"])
+                made = pa.RecordBatch.from_arrays([step.column(id_column), pa.array(fp), pa.array(packed, pa.binary())], names=["id", "fp", "tokens"])
+                nameless = pc.is_null(step.column(id_column)).to_numpy(zero_copy_only=False)
+                if nameless.any():
+                    wanted = ~nameless | (inside(fp) & inside(fp >> 32))
+                    for i in np.flatnonzero(nameless & wanted).tolist():
+                        wanted[i] = int(fp[i]) not in sent
+                        sent.add(int(fp[i]))
+                    made = made.filter(pa.array(wanted))
+                yield made
 
     return _hashed(docs.select(id_column, text), id_column).mapInArrow(run, schema)
 
 
 def group_similar(docs: DataFrame, id_column: str = "doc_id", text: str = "text", buckets: int | None = None) -> DataFrame:
-    """(id, fp, n, component) for each row of ``docs``: class, set size, least id that links reach."""
+    """(id, fp, n, component, root) for each row of ``docs``: class, set size, least id and least class that links reach."""
     spark = docs.sparkSession
     docs = docs.select(id_column, text)
     parts = buckets or max(4, int(spark.conf.get("spark.sql.shuffle.partitions")))
@@ -432,13 +449,15 @@ def group_similar(docs: DataFrame, id_column: str = "doc_id", text: str = "text"
     # How many blocks each neighbourhood is cut into, and each class's block.
     cut = member.groupBy("root").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
     placed = member.join(cut, "root").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    wanted = materialize(placed.join(classes, placed["node"] == classes["fp"]).where("least IS NOT NULL").select("root", "node", "blocks", "block", "least"), "wanted")
+    wanted = materialize(placed.join(classes, placed["node"] == classes["fp"]).select("root", "node", "blocks", "block", "least"), "wanted")
     # Only the documents that stand for a wanted class send their sets; the join makes that exact.
-    bits, words, n_wanted = _filter_bits(_hashed(wanted.select("least"), "least"))
+    # A class of which no row has an id is in the filter twice: as rows without an id, and by its fp.
+    nameless = wanted.where("least IS NULL").select("least", F.col("node").alias("h1"), F.shiftright("node", 32).alias("h2"))
+    bits, words, n_wanted = _filter_bits(_hashed(wanted.select("least"), "least").unionByName(nameless))
     sets = _token_sets(docs, id_column, text, bits, spark.sparkContext.broadcast(words)).alias("s")
     # Few wanted classes travel to the sets; beyond the bound both sides are shuffled.
     side = F.broadcast(wanted) if n_wanted <= BROADCAST_ROWS else wanted
-    sets = sets.join(side.alias("w"), (F.col("s.fp") == F.col("w.node")) & (F.col("s.id") == F.col("w.least")))
+    sets = sets.join(side.alias("w"), (F.col("s.fp") == F.col("w.node")) & F.col("s.id").eqNullSafe(F.col("w.least")))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
     spread = sets.select("root", "block", "fp", "tokens", other)
     tasks = spread.select("root", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "fp", "tokens")
@@ -446,15 +465,16 @@ def group_similar(docs: DataFrame, id_column: str = "doc_id", text: str = "text"
     linked = components(verified)
     delete_path(spark, counts[0])  # the links are stored by now
     full = classes.join(linked, classes["fp"] == linked["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    named = full.select("fp", "root").join(full.groupBy("root").agg(F.min("least").alias("component")), "root").select("fp", "component")
+    named = full.select("fp", "root").join(full.groupBy("root").agg(F.min("least").alias("component")), "root").select("fp", "component", "root")
     out = rows.join(named, "fp", "left")
-    return out.select("id", "fp", "n", F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("id")).alias("component"))
+    return out.select("id", "fp", "n", F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("id")).alias("component"), "root")
 
 
 def keep_one(docs: DataFrame, id_column: str = "doc_id", text: str = "text") -> DataFrame:
-    """One document of each group, that with the least id; documents without shingles or id all stay."""
+    """One document of each group, that with the least id, or of the least class if none has an id; documents without shingles all stay."""
     groups = group_similar(docs, id_column, text)
-    gone = groups.where("n > 0 AND component IS NOT NULL AND (id IS NULL OR id <> component)").select("id", "fp").distinct()
+    other = F.when(F.col("component").isNull(), F.col("fp") != F.col("root")).otherwise(F.col("id").isNull() | (F.col("id") != F.col("component")))
+    gone = groups.where((F.col("n") > 0) & other).select("id", "fp").distinct()
     marked = _token_classes(docs, text)
     kept = marked.join(gone, (marked["__class.fp"] == gone["fp"]) & marked[id_column].eqNullSafe(gone["id"]), "left_anti")
     whole = kept.select(*docs.columns, F.when(F.col("__class.fp") != 0, F.col("__class.fp")).alias("__fp"))
