@@ -69,3 +69,11 @@ def test_awkward_documents_pass_all_stages(spark, tmp_path, sf_dir):
         for name, stage in corpus_pipeline.STAGES:
             now = materialize(stage(spark, now, sf_dir), f"test-{name}")
         assert {r["doc_id"] for r in now.collect()} <= {1, 2, 3, None}
+
+
+def test_quality_drops_labelled_bad(spark):
+    """On sf0.1: with the 200 documents of sf0.001 the classifier keeps 4 of 11 bad ones (README)."""
+    d = "/root/testdata/sf0.1"
+    bad = {r["doc_id"] for r in spark.read.parquet(f"{d}/labels.parquet").where("quality = 0").collect()}
+    kept = {r["doc_id"] for r in corpus_pipeline.quality_stage(spark, read_table(spark, d, "documents"), d).select("doc_id").collect()}
+    assert len(bad) >= 500 and len(bad & kept) <= 0.05 * len(bad)
