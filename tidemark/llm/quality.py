@@ -4,8 +4,8 @@ Overlapping heuristic labellers look at a whole document and vote good, bad or a
 counted by pattern over all documents; there are at most ``3 ** labellers`` patterns, so the counts
 fit the driver whatever the input. Expectation-maximisation for a two-class model with conditionally
 independent labellers estimates the prior, each labeller's accuracy and each pattern's posterior.
-The posteriors are the training labels of a logistic scorer over hashed features (word shapes and
-shape pairs with their logarithmic counts, no vocabulary), fitted on ``TRAIN_ROWS`` documents at
+The posteriors are the training labels of a logistic scorer over hashed features (word shapes
+with their logarithmic counts, the measures of the labellers and the length, no vocabulary), fitted on ``TRAIN_ROWS`` documents at
 most, drawn by hash. The scorer alone decides: a document below ``THRESHOLD`` is rejected.
 
 Defined results: a null, empty or blank text scores 0 and is rejected; texts are read whole, whatever
