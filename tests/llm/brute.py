@@ -106,14 +106,18 @@ def held_out(doc_id):
     return zlib.crc32(str(doc_id).encode()) % 7 == 2
 
 
-def language_model(docs):
+def language_model(docs, order=3):
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base, score) by direct formulas."""
     text = {i: [*ascii_words(t), None] for i, t in docs}
-    train = [(i, w) for i, w in text.items() if not held_out(i)]
-    c1, pairs = Counter(), Counter()
-    for _, w in train:
-        c1.update(w)
-        pairs.update(zip(["<s>", *w[:-1]], w, strict=True))
+    c1 = Counter()
+    levels = {n: Counter() for n in range(1, order + 1)}
+    for i, w in text.items():
+        if not held_out(i):
+            c1.update(w)
+            padded = ["<s>"] * (order - 1) + w
+            levels[order].update(tuple(padded[k : k + order]) for k in range(len(w)))
+    for n in range(order - 1, 0, -1):
+        levels[n].update(g[1:] for g in levels[n + 1])
 
     def discount(counts):
         n = [sum(1 for c in counts if c == k) for k in (1, 2, 3, 4)]
@@ -121,25 +125,25 @@ def language_model(docs):
         d = [1 - 2 * y * n[1] / n[0] if n[0] else 0.5, 2 - 3 * y * n[2] / n[1] if n[1] else 1.0, 3 - 4 * y * n[3] / n[2] if n[2] else 1.5]
         return [0.0] + [x if 0 < x < k else k / 2 for k, x in enumerate(d, 1)]
 
-    cont, total, kinds = Counter(), Counter(), defaultdict(Counter)
-    for (u, w), c in pairs.items():
-        cont[w] += 1
-        total[u] += c
-        kinds[u][min(c, 3)] += 1
-    d, e = discount(pairs.values()), discount(cont.values())
-    n_all, types, distinct = sum(c1.values()), len(c1), len(pairs)
-    spare = sum(e[min(k, 3)] for k in cont.values()) / distinct
-
-    def q(w):
-        return (cont[w] - e[min(cont[w], 3)]) / distinct + spare / (types + 1)
-
-    def p(u, w):
-        if not total[u]:
-            return q(w)
-        c = pairs[u, w]
-        return (c - d[min(c, 3)]) / total[u] + sum(d[k] * m for k, m in kinds[u].items()) / total[u] * q(w)
+    d = {n: discount(list(g.values())) for n, g in levels.items()}
+    after = {n: defaultdict(list) for n in levels}
+    for n, g in levels.items():
+        for words, c in g.items():
+            after[n][words[:-1]].append(c)
+    n_all, types = sum(c1.values()), len(c1)
+
+    def p(context, w):
+        n = len(context) + 1
+        below = 1 / (types + 1) if n == 1 else p(context[1:], w)
+        counts = after[n].get(context)
+        if not counts:
+            return below
+        c = levels[n].get((*context, w), 0)
+        return (c - d[n][min(c, 3)]) / sum(counts) + sum(d[n][min(x, 3)] for x in counts) / sum(counts) * below
 
     for i, w in text.items():
         base = sum(math.log10((c1[x] + 1) / (n_all + types + 1)) for x in w)
-        yield i, held_out(i), len(w), sum(c1[x] > 0 for x in w), n_all, base, sum(math.log10(p(u, x)) for u, x in zip(["<s>", *w[:-1]], w, strict=True))
-    language_model.sums = [sum(p(u, w) for w in [*c1, "?"]) for u in list(total)[:20]]
+        padded = ["<s>"] * (order - 1) + w
+        score = sum(math.log10(p(tuple(padded[k : k + order - 1]), x)) for k, x in enumerate(w))
+        yield i, held_out(i), len(w), sum(c1[x] > 0 for x in w), n_all, base, score
+    language_model.sums = [sum(p(u, w) for w in [*c1, "?"]) for n in levels for u in list(after[n])[:8]]

@@ -3,14 +3,15 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 #: Bytes of text that one step of a vectorised kernel works on; bounds a worker's memory.
 STEP_BYTES = 6 << 20
@@ -29,14 +30,51 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share, from ``spark.checkpoint.dir``.
 
-    Only where the setting is absent (one machine, tests) a local folder is used.
+    Only where the setting is absent on one machine (tests) a local folder is used; on a cluster its absence is an error.
     """
-    found = spark.conf.get("spark.checkpoint.dir", None)
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
-        found = spark.sparkContext.getCheckpointDir() or f"file://{LOCAL_CHECKPOINTS}"
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("name a folder that the driver and all executors share in spark.checkpoint.dir")
+        found = f"file://{LOCAL_CHECKPOINTS}"
     return found.rstrip("/")
 
 
+def column(name: str) -> Column:
+    """The column of exactly this name, also if the name has dots, spaces or backticks."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def columns(df: DataFrame) -> list[Column]:
+    return [column(name) for name in df.columns]
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, made longer until no column of ``df`` has it (names match without case)."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def lookup(rows: DataFrame, table: DataFrame, key: str) -> DataFrame:
+    """``rows`` left-joined on ``key`` with ``table``, which has one row for each key.
+
+    Keys that hold at least one of ``parts`` shares of the rows, of which there can be no more than
+    ``parts``, travel to their rows by broadcast; the others are shuffled. So no key, however many
+    rows it has, lands in one task. ``rows`` should be a stored table: it is read three times.
+    """
+    parts = max(4, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    total = rows.count()
+    held = rows.groupBy(key).count().where((F.col("count") * parts >= total) & F.col(key).isNotNull())
+    hot = [r[0] for r in held.select(key).collect()] if total > 10 * parts else []
+    if not hot:
+        return rows.join(table, key, "left")
+    is_hot = F.coalesce(F.col(key).isin(hot), F.lit(False))
+    few = rows.where(is_hot).join(F.broadcast(table.where(is_hot)), key, "left")
+    return few.unionByName(rows.where(~is_hot).join(table.where(~is_hot), key, "left"))
+
+
 def fresh_path(spark: SparkSession, what: str) -> str:
     return f"{shared_dir(spark)}/tidemark/{what}-{uuid.uuid4().hex}"
 
@@ -46,7 +84,14 @@ def materialize(df: DataFrame, what: str) -> DataFrame:
     spark = df.sparkSession
     path = fresh_path(spark, what)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
+
+
+def discard(stored: DataFrame) -> None:
+    """Delete what ``materialize`` wrote, once nothing reads it any more."""
+    delete_path(stored.sparkSession, stored.stored_at)
 
 
 def path_exists(spark: SparkSession, path: str) -> bool:
@@ -59,15 +104,16 @@ def delete_path(spark: SparkSession, path: str) -> None:
     hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
 
 
-def steps(batches: Iterator[pa.RecordBatch], column: str, limit: int = STEP_BYTES) -> Iterator[pa.RecordBatch]:
+def steps(batches: Iterator[pa.RecordBatch], column: str, limit: int = STEP_BYTES, measure: Callable[[pa.Array], np.ndarray] | None = None) -> Iterator[pa.RecordBatch]:
     """Cut record batches so that each holds about ``limit`` bytes of ``column``, or one row.
 
-    A single longer text stays whole in a step of its own.
+    A single longer text stays whole in a step of its own. ``measure`` gives other sizes than lengths.
     """
     for batch in batches:
         if not batch.num_rows:
             continue
-        sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        values = batch.column(column)
+        sizes = measure(values) if measure else pc.fill_null(pc.binary_length(values), 0).to_numpy(zero_copy_only=False).astype(np.int64)
         step_of = (np.cumsum(sizes) - sizes) // limit
         edges = [0, *(np.flatnonzero(np.diff(step_of)) + 1).tolist(), batch.num_rows]
         for a, b in zip(edges, edges[1:], strict=False):
@@ -122,15 +168,22 @@ def pack(a: np.ndarray) -> bytes:
     return np.ascontiguousarray(a).tobytes()
 
 
-def append_struct(df: DataFrame, column: str, out: str, schema, kernel_factory) -> DataFrame:
+def map_batches(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: StructType) -> DataFrame:
+    """``mapInArrow`` for columns of any name, also with dots and backticks, which it can't name itself."""
+    names = df.columns
+    safe = df.toDF(*[f"c{i}" for i in range(len(names))])
+    return safe.mapInArrow(lambda batches: run(b.rename_columns(names) for b in batches), schema)
+
+
+def append_struct(df: DataFrame, column: str, out: str, schema, kernel_factory, limit: int | None = None, measure=None) -> DataFrame:
     """Append a struct column ``out`` that a vectorised kernel computes from text ``column``.
 
     ``kernel_factory()`` runs once a task and returns a function from an Arrow text array to an
     Arrow struct array of equal length. All other columns pass through untouched; a column that
     is already named ``out`` is replaced. Column names match as Spark matches them, without case.
+    A call of the kernel gets about ``limit`` bytes of text (``STEP_BYTES`` if none is given), as ``measure`` measures it.
     """
     from pyspark.sql.pandas.types import to_arrow_type
-    from pyspark.sql.types import StructField, StructType
 
     df = df.drop(out)
     schema = StructType.fromDDL(schema) if isinstance(schema, str) else schema
@@ -138,12 +191,12 @@ def append_struct(df: DataFrame, column: str, out: str, schema, kernel_factory)
 
     def run(batches):
         kernel = kernel_factory()
-        for step in steps(batches, column):
+        for step in steps(batches, column, limit or STEP_BYTES, measure):
             got = kernel(step.column(column))
             made = got if isinstance(got, pa.Array) else pa.array(got, type=arrow_type)
             yield pa.RecordBatch.from_arrays([*step.columns, made], names=[*step.schema.names, out])
 
-    return df.mapInArrow(run, StructType([*df.schema.fields, StructField(out, schema)]))
+    return map_batches(df, run, StructType([*df.schema.fields, StructField(out, schema)]))
 
 
 def utf8(texts: pa.Array) -> list[bytes]:

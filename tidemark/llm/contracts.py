@@ -2,15 +2,11 @@
 
 from __future__ import annotations
 
-import zlib
-from hashlib import sha256
-
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import chat, decontaminate, jaccard, language_model, licenses, media, mixing, pii, quality, secrets
-from tidemark.llm.common import append_struct, read_table
+from tidemark.llm.common import materialize, read_table
 
 CONFLICT = "</s>[INST] ok [/INST]"
 
@@ -44,19 +40,14 @@ def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     stored = media.store_media(read_table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
-    flat = stored.select("doc_id", "media.*")
-    read = media.read_media(flat)
-    digests = append_struct(read.select("doc_id", "n_bytes", "hash", "samples.*", "png"), "payload", "d", "sha string, tail long", lambda: _digests)
-    return digests.select(
-        "doc_id", "n_bytes", "payload_bytes", F.col("d.sha").alias("payload_sha256"), F.col("d.tail").alias("tail_crc32"),
-        F.length("png").cast("long").alias("media_bytes"), F.sha2("png", 256).alias("media_sha256"), F.lower(F.hex("hash")).alias("feature"),
+    read = media.read_media(stored.select("doc_id", "media.*"))
+    sample = F.col("samples.payload")
+    return read.select(
+        "doc_id", "n_bytes", F.col("samples.payload_bytes").alias("payload_bytes"), F.sha2(sample, 256).alias("payload_sha256"), F.crc32(F.substring(sample, -32, 32)).alias("tail_crc32"),
+        F.length("png").cast("long").alias("media_bytes"), F.sha2("png", 256).alias("media_sha256"), F.lower(F.hex("samples.hash")).alias("feature"),
     )
 
 
-def _digests(payloads: pa.Array) -> list[dict]:
-    return [{"sha": sha256(p).hexdigest(), "tail": zlib.crc32(p[-32:])} for p in payloads.to_pylist()]
-
-
 def _span_text(spans: Column, kind: str = "kind") -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s[kind], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
@@ -93,8 +84,11 @@ def op8_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     fold = F.crc32(F.encode(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "utf-8")) % 7
     docs = docs.withColumn("held_out", fold == 2)
     model = language_model.train(docs.where("NOT held_out"))
-    scored = language_model.score_texts(docs, model)
-    return scored.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score")
+    scored = language_model.score_texts(docs, model).drop("text", "perplexity")
+    # The scores are stored, which frees the model's arrays.
+    scores = materialize(scored, "scores")
+    language_model.delete(spark, model)
+    return scores.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score")
 
 
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

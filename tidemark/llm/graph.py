@@ -1,7 +1,7 @@
 """Connected components of an edge table by alternating large-star and small-star rounds.
 
 Edges are rows (a, b) of longs. Each round is a few shuffles of the edges that are left, and is
-written to shared storage; rounds grow with the logarithm of the longest path. Nothing is collected
+written to shared storage, where it takes the place of the one before; rounds grow with the logarithm of the longest path. Nothing is collected
 but two numbers a round, which tell whether anything changed.
 """
 
@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import materialize
+from tidemark.llm.common import discard, materialize
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -32,7 +32,8 @@ def components(edges: DataFrame, rounds: int = 100) -> DataFrame:
     now = materialize(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), "edges")
     mark = None
     for _ in range(rounds):
-        now = materialize(_small_star(_large_star(now)), "edges")
+        before, now = now, materialize(_small_star(_large_star(now)), "edges")
+        discard(before)
         seen = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if tuple(seen) == mark:
             return now.select(F.col("a").alias("node"), F.col("b").alias("root"))

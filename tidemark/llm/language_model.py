@@ -1,205 +1,371 @@
-"""LM scoring: an interpolated modified Kneser-Ney bigram model, counted in Spark, memory-mapped by workers.
+"""LM scoring: an interpolated modified Kneser-Ney n-gram model, counted in Spark, memory-mapped by workers.
 
-Counting. Each task turns its texts into 64-bit word hashes and counts (context, word) pairs; pairs
-are combined within the task, cut into buckets by context and shuffled as packed blobs. A bucket
-task sums them and writes its pairs, sorted by hash, with their counts, and for each context its
-total and how many words followed it once, twice and more. Continuation counts (in how many contexts
-a word occurs) are summed from the buckets by word in the same way.
+Counting. A first pass counts words and gives each a number: words are cut into buckets by hash, and
+frequent words of a bucket get small numbers. A second pass turns texts into these numbers and counts
+n-grams of ``order`` words; a task combines what it has seen, cuts it into buckets by context and
+shuffles it as packed columns. A bucket task sums its n-grams, stores them, stores for each context its
+total and how many words followed it once, twice and more, and sends on the n-grams without their first
+word, with the number of distinct first words: the continuation counts of the next shorter n-grams. So
+each order follows from the one above, down to single words.
 
-Storage. A model is a folder in the cluster's shared storage: for each bucket sorted uint64 arrays
-``pairs``, ``contexts``, ``words`` beside arrays of their numbers. Workers memory-map them (a store
-that is no file system is copied to the worker's own temporary folder first) and look hashes up by
-binary search.
+Storage. A model is a folder in the cluster's shared storage: for each order and bucket sorted arrays
+of the hashes of n-grams and of contexts beside arrays of their numbers. Workers memory-map them (a
+store that is no file system is copied to the worker's own temporary folder first) and look hashes up
+by binary search.
 
-Model. With c the pair count, c(u) the context's total, D1, D2, D3 the modified Kneser-Ney discounts
-from the counts of counts, and N(w) the number of contexts of w::
+Model. With c(u w) the count of word w after context u (the continuation count below the highest
+order), c(u) the context's total, u' the context without its first word, and D1, D2, D3 the modified
+Kneser-Ney discounts of the order, from its counts of counts::
 
-    P(w | u) = (c(u w) - D(c(u w))) / c(u) + g(u) * Q(w)
-    Q(w)     = (N(w) - E(N(w))) / N + h / (V + 1)
+    P(w | u) = (c(u w) - D(c(u w))) / c(u) + g(u) * P(w | u')
+    P(w)     = (N(w) - D(N(w))) / N + h / (V + 1)
 
-Q is discounted likewise and mixed with the uniform distribution over the V training words and one
-unknown word, so that P sums to 1 over them. A context not seen in training leaves Q alone. Texts
-begin in a start context and end with an end token, which is scored.
+where N(w) is the number of distinct words before w. P(w) is mixed with the uniform distribution over
+the V training words and one unknown word, so that P sums to 1 over them. A context not seen in
+training leaves the shorter one alone. Texts begin in ``order - 1`` start marks and end with an end
+token, which is scored.
 
 Defined results: a null text is empty and has the end token only; no token is dropped and texts are
 read whole; repeated rows count and score repeatedly; without training rows every word is unknown,
-Q is uniform over one word and N and V are 0; extra columns pass through and columns with the names
+P is uniform over one word and N and V are 0; extra columns pass through and columns with the names
 of the results are replaced.
 
-Scale: what is gathered grows with the distinct pairs, as a model must; no task holds more than one
-bucket, and buckets follow ``spark.sql.shuffle.partitions``. A frequent context costs no more than
-its distinct successors, since tasks combine pairs before the shuffle.
+Scale: what is gathered grows with the distinct n-grams, as a model must. Buckets follow the size of
+the text, about ``BUCKET_BYTES`` each, so that no task holds more than one of bounded size. A frequent
+context costs no more than its distinct successors, since tasks combine n-grams before the shuffle.
 """
 
 from __future__ import annotations
 
-import os
-import shutil
-import tempfile
 from dataclasses import dataclass
+from itertools import chain, groupby
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.fs as pafs
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
-from tidemark.llm.common import MIX, ascii_words, fresh_path, hash_words, scramble, steps
+from tidemark.llm.common import MIX, ascii_words, column, delete_path, fresh_path, hash_words, map_batches, scramble, steps
+from tidemark.llm.store import HashArray, Sparse, Store
 
 _U = np.uint64
+ORDER = 3
 END = _U(xxhash.xxh3_64_intdigest("</s> end of text"))
-START = _U(xxhash.xxh3_64_intdigest("<s> start of text"))
-#: Distinct pairs that a counting task holds before it sends them on.
-HELD_PAIRS = 2_500_000
+#: Numbers of the start mark, and of words that are not in the training texts.
+START, UNKNOWN = _U(0), _U(0xFFFFFFFFFFFFFFFF)
+#: Distinct n-grams (or words) that a counting task holds before it sends them on.
+HELD = 2_000_000
+#: Bytes of text for each bucket.
+BUCKET_BYTES = 24 << 20
 
-BLOB = "bucket int, words binary, contexts binary, sizes binary, counts binary"
-TALLY = "bucket int, words binary, n binary, c binary"
-
-
-def pair_hash(u: np.ndarray, w: np.ndarray) -> np.ndarray:
-    return scramble(u * MIX + w)
+_CODEC = pa.Codec("zstd", compression_level=1)
 
 
 def bucket_of(h: np.ndarray, buckets: int) -> np.ndarray:
     return ((h >> _U(40)) % _U(buckets)).astype(np.int64)
 
 
-def tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """(row, word hash) of every token in order, with an end token after the words of each row."""
-    row, word, dictionary = ascii_words(texts)
-    h = hash_words(dictionary)[word] if len(word) else np.empty(0, _U)
-    n = len(texts)
-    sizes = np.bincount(row, minlength=n)
-    at = np.arange(len(row)) + row
-    out_row, out_h = np.repeat(np.arange(n), sizes + 1), np.full(len(row) + n, END)
-    out_h[at] = h
-    return out_row, out_h
+def gram_hash(words: list[np.ndarray]) -> np.ndarray:
+    """The hash of n-grams given by columns of word numbers, first word first."""
+    h = scramble(words[0] + MIX)
+    for w in words[1:]:
+        h = scramble(h * MIX + w)
+    return h
+
+
+def _pack(a: np.ndarray) -> bytes:
+    """Non-negative numbers by their bytes, lowest first, compressed: small numbers cost little."""
+    a = np.ascontiguousarray(a, _U)
+    width = max(1, (int(a.max(initial=0)).bit_length() + 7) // 8)
+    planes = np.ascontiguousarray(a.view(np.uint8).reshape(-1, 8)[:, :width].T)
+    return np.array([len(a), width], np.int64).tobytes() + _CODEC.compress(planes.tobytes(), asbytes=True)
+
+
+def _unpack(b: bytes) -> np.ndarray:
+    n, width = np.frombuffer(b, np.int64, 2).tolist()
+    out = np.zeros((n, 8), np.uint8)
+    if n:
+        out[:, :width] = np.frombuffer(_CODEC.decompress(b[16:], n * width, asbytes=True), np.uint8).reshape(width, n).T
+    return out.view(_U).ravel()
+
+
+def _runs(key: np.ndarray) -> np.ndarray:
+    """Where runs of equal values begin in a sorted array."""
+    return np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.empty(0, np.int64)
+
+
+def _summed(key: np.ndarray, *counts: np.ndarray) -> tuple:
+    """(order, first of each distinct key in that order, summed counts)."""
+    order = np.argsort(key)
+    first = _runs(key[order])
+    return (order, first, *(np.add.reduceat(c[order], first) if len(first) else c[:0] for c in counts))
+
+
+def _one_by_one(batches):
+    """Rows of record batches as dictionaries, one at a time."""
+    return chain.from_iterable((b.slice(i, 1).to_pylist()[0] for i in range(b.num_rows)) for b in batches)
+
+
+STATS_FIELDS = ("total", "kinds", "n1", "n2", "n3", "n4", "more")
+STATS = ", ".join(["level int", *(f"{k} long" for k in STATS_FIELDS)])
+BLOB = f"bucket int, data array<binary>, {STATS}"
 
 
-def contexts_of(row: np.ndarray, h: np.ndarray) -> np.ndarray:
-    u = np.empty_like(h)
-    u[1:] = h[:-1]
-    u[np.flatnonzero(np.diff(row, prepend=-1))] = START
-    return u
+def _blob(bucket: int, data: list[bytes]) -> pa.RecordBatch:
+    return _batch(bucket, data, None, [None] * len(STATS_FIELDS))
 
 
-def _sum_pairs(u: np.ndarray, w: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct (u, w), sorted, with summed counts."""
-    order = np.lexsort((w, u))
-    u, w, c = u[order], w[order], c[order]
-    first = np.flatnonzero(np.concatenate([[True], (u[1:] != u[:-1]) | (w[1:] != w[:-1])])) if len(u) else np.empty(0, int)
-    return u[first], w[first], np.add.reduceat(c, first) if len(first) else c
+def _statistics(level: int, counts: np.ndarray) -> pa.RecordBatch:
+    """A row with what the discounts of a level need; it has no bucket and is passed on to the end."""
+    numbers = [int(counts.sum()), len(counts), *(int((counts == k).sum()) for k in (1, 2, 3, 4)), int((counts > 4).sum())]
+    return _batch(-1, [], level, numbers)
 
 
-def _pack_counts(c: np.ndarray) -> bytes:
-    """One byte for counts below 255, then the positions and values of the others."""
-    big = np.flatnonzero(c >= 255)
-    small = np.minimum(c, 255).astype(np.uint8)
-    return b"".join([np.int64(len(c)).tobytes(), small.tobytes(), big.astype(np.int64).tobytes(), c[big].astype(np.int64).tobytes()])
+def _batch(bucket: int, data: list[bytes], level: int | None, numbers: list) -> pa.RecordBatch:
+    arrays = [pa.array([bucket], pa.int32()), pa.array([data], pa.list_(pa.binary())), pa.array([level], pa.int32()), *[pa.array([x], pa.int64()) for x in numbers]]
+    return pa.RecordBatch.from_arrays(arrays, names=["bucket", "data", "level", *STATS_FIELDS])
 
 
-def _unpack_counts(b: bytes) -> np.ndarray:
-    n = int(np.frombuffer(b, np.int64, 1)[0])
-    c = np.frombuffer(b, np.uint8, n, 8).astype(np.int64)
-    rest = np.frombuffer(b[8 + n :], np.int64).reshape(2, -1)
-    c[rest[0]] = rest[1]
-    return c
+def _again(row: dict) -> pa.RecordBatch:
+    return _batch(row["bucket"], row["data"], row["level"], [row[k] for k in STATS_FIELDS])
 
 
-def _count(batches, column: str, buckets: int):
-    held: list[tuple] = []
-    size = 0
+# Words
+
+
+def _count_words(batches, text: str, buckets: int):
+    """Blobs (hashes, counts) of a task's words, the end token among them."""
+    held, size = [], 0
 
     def flush():
-        u, w, c = _sum_pairs(*(np.concatenate(x) for x in zip(*held, strict=True)))
-        b = bucket_of(scramble(u), buckets)
-        order = np.argsort(b, kind="stable")
-        u, w, c, b = u[order], w[order], c[order], b[order]
-        edges = np.flatnonzero(np.diff(b, prepend=-1, append=-2))
-        rows = []
+        h, c = (np.concatenate(x) for x in zip(*held, strict=True))
+        order, first, c = _summed(h, c)
+        h = h[order][first]
+        b = bucket_of(scramble(h), buckets)
+        by = np.argsort(b, kind="stable")
+        edges = np.flatnonzero(np.diff(b[by], prepend=-1, append=-2))
         for i, j in zip(edges, edges[1:], strict=False):
-            first = np.flatnonzero(np.diff(u[i:j], prepend=~u[i]))
-            rows.append((int(b[i]), w[i:j].tobytes(), u[i:j][first].tobytes(), np.diff(first, append=j - i).astype(np.uint32).tobytes(), _pack_counts(c[i:j])))
-        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.int32(), *[pa.binary()] * 4), strict=True)], names=["bucket", "words", "contexts", "sizes", "counts"])
-
-    for step in steps(batches, column):
-        row, h = tokens(step.column(column))
-        held.append(_sum_pairs(contexts_of(row, h), h, np.ones(len(h), np.int64)))
+            at = by[i:j]
+            yield _blob(int(b[at[0]]), [h[at].tobytes(), _pack(c[at])])
+
+    for step in steps(batches, text):
+        _, word, dictionary = ascii_words(step.column(text))
+        h = np.append(hash_words(dictionary), END)
+        c = np.append(np.bincount(word, minlength=len(dictionary)), step.num_rows)
+        held.append((h[c > 0], c[c > 0]))
         size += len(held[-1][0])
-        if size >= HELD_PAIRS:
-            yield flush()
+        if size >= HELD:
+            yield from flush()
             held, size = [], 0
     if held:
-        yield flush()
+        yield from flush()
+
+
+def _store_words(path: str):
+    """Store the words of each bucket with their counts and their ranks by count."""
+
+    def run(batches):
+        for bucket, rows in groupby(_one_by_one(batches), key=lambda r: r["bucket"]):
+            parts = [(np.frombuffer(r["data"][0], _U), _unpack(r["data"][1]).astype(np.int64)) for r in rows]
+            h, c = (np.concatenate(x) for x in zip(*parts, strict=True))
+            order, first, c = _summed(h, c)
+            rank = np.empty(len(c), np.uint32)
+            rank[np.lexsort((h[order][first], -c))] = np.arange(len(c))
+            store = Store(path)
+            store.put(f"words-{bucket}", h[order][first])
+            store.put(f"ranks-{bucket}", rank)
+            Sparse.put(store, f"frequencies-{bucket}", c)
+            yield _statistics(0, c)
+
+    return run
+
+
+class Words:
+    """Numbers and counts of words, by hash."""
+
+    def __init__(self, path: str, buckets: int):
+        self.store, self.buckets, self.maps = Store(path), buckets, {}
+
+    def _bucket(self, b: int) -> tuple:
+        if b not in self.maps:
+            self.maps[b] = (self.store.get(f"words-{b}", _U), self.store.get(f"ranks-{b}", np.uint32), Sparse.get(self.store, f"frequencies-{b}"))
+        return self.maps[b]
+
+    def find(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(number, count) of each word; UNKNOWN and 0 if it is not in the training texts."""
+        number, count = np.full(len(h), UNKNOWN), np.zeros(len(h), np.int64)
+        for b, at in _by_bucket(bucket_of(scramble(h), self.buckets), h):
+            words, ranks, counts = self._bucket(b)
+            if len(words):
+                place = np.minimum(np.searchsorted(words, h[at]), len(words) - 1)
+                hit = np.flatnonzero(words[place] == h[at])
+                number[at[hit]] = ranks[place[hit]].astype(_U) * _U(self.buckets) + _U(b + 1)
+                count[at[hit]] = counts[place[hit]]
+        return number, count
+
 
+def _by_bucket(bucket: np.ndarray, h: np.ndarray):
+    """(bucket, positions of its hashes in ascending order) for each bucket."""
+    order = np.argsort((bucket.astype(_U) << _U(44)) | (h >> _U(20)))
+    edges = np.flatnonzero(np.diff(bucket[order], prepend=-1, append=-2))
+    for i, j in zip(edges, edges[1:], strict=False):
+        yield int(bucket[order[i]]), order[i:j]
 
-def _gather_pairs(batches) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    parts = []
-    for batch in batches:
-        for words, contexts, sizes, counts in zip(*(batch.column(k).to_pylist() for k in ("words", "contexts", "sizes", "counts")), strict=True):
-            u = np.repeat(np.frombuffer(contexts, _U), np.frombuffer(sizes, np.uint32))
-            parts.append((u, np.frombuffer(words, _U), _unpack_counts(counts)))
-        if len(parts) > 32:
-            parts = [_sum_pairs(*(np.concatenate(x) for x in zip(*parts, strict=True)))]
-    return _sum_pairs(*(np.concatenate(x) for x in zip(*parts, strict=True))) if parts else (np.empty(0, _U), np.empty(0, _U), np.empty(0, np.int64))
 
+def _tokens(texts: pa.Array, words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, number, training count) of every token in order, with an end token after the words of each row."""
+    row, word, dictionary = ascii_words(texts)
+    number, count = words.find(np.append(hash_words(dictionary), END))
+    n, end = len(texts), len(dictionary)
+    sizes = np.bincount(row, minlength=n)
+    token = np.full(len(row) + n, end)
+    token[np.arange(len(row)) + row] = word
+    return np.repeat(np.arange(n), sizes + 1), number[token], count[token]
+
+
+def _columns(row: np.ndarray, number: np.ndarray, order: int) -> list[np.ndarray]:
+    """The words of the n-gram that ends in each token, first word first; start marks before a text."""
+    out = [number]
+    begins = np.flatnonzero(np.diff(row, prepend=-1))
+    place = np.arange(len(row)) - np.repeat(begins, np.diff(begins, append=len(row)))
+    for k in range(1, order):
+        w = np.full(len(number), START)
+        inside = np.flatnonzero(place >= k)
+        w[inside] = number[inside - k]
+        out.insert(0, w)
+    return out
+
+
+# n-grams
+
+
+def _grams(words: list[np.ndarray], counts: np.ndarray, buckets: int):
+    """Blobs (sizes, context words, last words, counts) of n-grams, for each bucket by context."""
+    context = gram_hash(words[:-1])
+    bucket = bucket_of(context, buckets)
+    order = np.argsort((bucket.astype(_U) << _U(44)) | (context >> _U(20)))
+    b, h = bucket[order], context[order]
+    edges = np.flatnonzero(np.diff(b, prepend=-1, append=-2))
+    for i, j in zip(edges, edges[1:], strict=False):
+        at, first = order[i:j], _runs(h[i:j])
+        sizes = np.diff(first, append=j - i)
+        yield _blob(int(b[i]), [_pack(sizes), *(_pack(w[at[first]]) for w in words[:-1]), _pack(words[-1][at]), _pack(counts[at])])
 
-class Store:
-    """Arrays by name in a folder of shared storage."""
 
-    def __init__(self, uri: str):
-        self.fs, self.root = pafs.FileSystem.from_uri(uri if "://" in uri else uri.replace("file:", "file://", 1) if uri.startswith("file:") else f"file://{uri}")
+def _count_grams(batches, text: str, path: str, buckets: int, order: int):
+    words = Words(path, buckets)
+    held, size = [], 0
+
+    def flush():
+        cols = [np.concatenate(x) for x in zip(*held, strict=True)]
+        at, first, c = _summed(gram_hash(cols[:-1]), cols[-1])
+        yield from _grams([w[at[first]] for w in cols[:-1]], c, buckets)
+
+    for step in steps(batches, text):
+        row, number, _ = _tokens(step.column(text), words)
+        cols = _columns(row, number, order)
+        at, first, c = _summed(gram_hash(cols), np.ones(len(number), np.int64))
+        held.append((*(w[at[first]] for w in cols), c))
+        size += len(c)
+        if size >= HELD:
+            yield from flush()
+            held, size = [], 0
+    if held:
+        yield from flush()
 
-    def put(self, name: str, a: np.ndarray) -> None:
-        """Written under a name of its own and then moved, so a task that runs twice does no harm."""
-        self.fs.create_dir(self.root, recursive=True)
-        own = f"{self.root}/.{name}.{os.getpid()}.{os.urandom(6).hex()}"
-        with self.fs.open_output_stream(own) as out:
-            out.write(np.ascontiguousarray(a).data if len(a) else b"")
-        self.fs.move(own, f"{self.root}/{name}")
 
-    def get(self, name: str, dtype) -> np.ndarray:
-        path = f"{self.root}/{name}"
-        if self.fs.get_file_info(path).size in (0, None):
-            return np.empty(0, dtype)
-        if isinstance(self.fs, pafs.LocalFileSystem):
-            return np.memmap(path, dtype, mode="r")
-        local = os.path.join(_local_copies(), f"{abs(hash(self.root))}-{name}")
-        if not os.path.exists(local):
-            own = f"{local}.{os.getpid()}"
-            with self.fs.open_input_stream(path) as source, open(own, "wb") as out:
-                shutil.copyfileobj(source, out, 1 << 20)
-            os.replace(own, local)
-        return np.memmap(local, dtype, mode="r")
+def _put_contexts(store: Store, name: str, context: np.ndarray, numbers: np.ndarray) -> None:
+    """Contexts (sorted hashes) and four numbers each: one byte for the most frequent sets of numbers, others listed."""
+    HashArray.put(store, name, context)
+    small = (numbers < 1 << 16).all(1)
+    packed = (numbers[small].astype(_U) << (_U(16) * np.arange(4, dtype=_U))).sum(1, dtype=_U)
+    sets, which, times = np.unique(packed, return_inverse=True, return_counts=True)
+    top = np.argsort(-times, kind="stable")[:255]
+    code_of = np.full(len(sets), 255, np.uint8)
+    code_of[top] = np.arange(len(top))
+    code = np.full(len(numbers), 255, np.uint8)
+    code[small] = code_of[which]
+    rest = np.flatnonzero(code == 255)
+    store.put(f"{name}-codes", code)
+    store.put(f"{name}-sets", (sets[top][:, None] >> (_U(16) * np.arange(4, dtype=_U)) & _U(0xFFFF)).astype(np.int64).ravel())
+    store.put(f"{name}-rest", np.concatenate([rest[:, None], numbers[rest]], 1).astype(np.int64).ravel())
 
 
-_copies: tempfile.TemporaryDirectory | None = None
+def _store_grams(path: str, level: int, buckets: int):
+    """Store the n-grams of each bucket; send on their ends of one word less, with how many first words each has."""
 
+    def run(batches):
+        for bucket, rows in groupby(_one_by_one(batches), key=lambda r: r["bucket"]):
+            if bucket < 0:
+                yield from map(_again, rows)
+                continue
+            parts = []
+            for r in rows:
+                sizes, *words, last, counts = (_unpack(d) for d in r["data"])
+                sizes = sizes.astype(np.int64)
+                parts.append((*(np.repeat(w, sizes) for w in words), last, counts.astype(np.int64)))
+            *words, c = (np.concatenate(x) for x in zip(*parts, strict=True))
+            del parts
+            store = Store(path)
+            h = gram_hash(words)
+            order, first, c = _summed(h, c)
+            at = order[first]
+            words, h = [w[at] for w in words], h[at]
+            HashArray.put(store, f"grams-{level}-{bucket}", h)
+            Sparse.put(store, f"counts-{level}-{bucket}", c)
+            yield _statistics(level, c)
+            context = gram_hash(words[:-1])
+            kinds = [c, *((c == k).astype(np.int64) for k in (1, 2)), (c > 2).astype(np.int64)]
+            order, first, *numbers = _summed(context, *kinds)
+            _put_contexts(store, f"contexts-{level}-{bucket}", context[order][first], np.stack(numbers, 1))
+            ends = words[1:]
+            order, first, k = _summed(gram_hash(ends), np.ones(len(c), np.int64))
+            ends = [w[order[first]] for w in ends]
+            if level > 2:
+                yield from _grams(ends, k, buckets)
+            else:
+                owner = ((ends[0] - _U(1)) % _U(buckets)).astype(np.int64)
+                by = np.argsort(owner, kind="stable")
+                edges = np.flatnonzero(np.diff(owner[by], prepend=-1, append=-2))
+                for i, j in zip(edges, edges[1:], strict=False):
+                    yield _blob(int(owner[by[i]]), [_pack((ends[0][by[i:j]] - _U(1)) // _U(buckets)), _pack(k[by[i:j]])])
+
+    return run
+
+
+def _store_continuations(path: str):
+    """Store, by rank, how many words come before each word."""
+
+    def run(batches):
+        for bucket, rows in groupby(_one_by_one(batches), key=lambda r: r["bucket"]):
+            if bucket < 0:
+                yield from map(_again, rows)
+                continue
+            rank, k = (np.concatenate(x) for x in zip(*((_unpack(r["data"][0]).astype(np.int64), _unpack(r["data"][1]).astype(np.int64)) for r in rows), strict=True))
+            total = np.bincount(rank, k).astype(np.int64)
+            Sparse.put(Store(path), f"continuations-{bucket}", total)
+            yield _statistics(1, total[total > 0])
 
-def _local_copies() -> str:
-    """A worker's own folder for copies from a store that cannot be mapped; it goes with the worker."""
-    global _copies
-    if _copies is None:
-        _copies = tempfile.TemporaryDirectory(prefix="tidemark-lm-")
-    return _copies.name
+    return run
 
 
 @dataclass(frozen=True)
 class Model:
-    """Where the arrays are, and the numbers that all buckets share."""
+    """Where the arrays are, and the numbers that all buckets share; ``discounts`` and ``ones`` by level from 1."""
 
     path: str
     buckets: int
+    order: int
     tokens: int
     types: int
-    discounts: tuple[float, float, float]
-    lower_discounts: tuple[float, float, float]
+    discounts: tuple[tuple[float, float, float], ...]
     lower_total: int
     lower_ones: tuple[int, int, int]
 
 
-def discounts(n: np.ndarray) -> tuple[float, float, float]:
+def discounts(n: list[int]) -> tuple[float, float, float]:
     """D1, D2 and D3+ from n1 to n4, the numbers of things that occur once to four times.
 
     Where the counts of counts do not determine a discount between 0 and its count, half is used.
@@ -210,96 +376,34 @@ def discounts(n: np.ndarray) -> tuple[float, float, float]:
     return tuple(float(d) if 0 < d < k else k / 2 for k, d in enumerate(found, 1))
 
 
-STATS_FIELDS = ("tokens", "types", "total", "n1", "n2", "n3", "n4", "more")
-STATS = ", ".join(["upper boolean", *(f"{k} long" for k in STATS_FIELDS)])
-
-
-def _of_counts(c: np.ndarray) -> list[int]:
-    """How many of ``c`` are 1, 2, 3, 4 and more."""
-    return [int((c == k).sum()) for k in (1, 2, 3, 4)] + [int((c > 4).sum())]
-
-
-def _stats(upper: bool, numbers: list[int]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([upper]), *[pa.array([x], pa.int64()) for x in numbers]], names=["upper", *STATS_FIELDS])
-
-
-def _tally(bucket: int, words: bytes, n: bytes, c: bytes) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), *[pa.array([x], pa.binary()) for x in (words, n, c)]], names=["bucket", "words", "n", "c"])
-
-
-def train(docs: DataFrame, text: str = "text", buckets: int | None = None) -> Model:
-    """Count all texts of ``docs`` and store the model."""
+def train(docs: DataFrame, text: str = "text", order: int = ORDER, buckets: int | None = None) -> Model:
+    """Count all texts of ``docs`` and store a model of n-grams of ``order`` words (2 or more)."""
+    if order < 2:
+        raise ValueError("a model has n-grams of two words or more")
     spark = docs.sparkSession
+    docs = docs.select(column(text).alias("text"))
     path = fresh_path(spark, "lm")
-    n = buckets or max(4, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    counted = docs.select(text).mapInArrow(lambda it: _count(it, text, n), BLOB)
-    own = F.col("bucket")
+    if not buckets:
+        size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+        buckets = max(4, int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // BUCKET_BYTES))
+    n = buckets
 
-    def pairs(batches):
-        """Store the pairs and contexts of a bucket; send on its words with their continuation counts."""
-        from itertools import chain, groupby
+    def by_bucket(df: DataFrame) -> DataFrame:
+        return df.repartition(n, "bucket").sortWithinPartitions("bucket")
 
-        rows = chain.from_iterable((b.slice(i, 1) for i in range(b.num_rows)) for b in batches)
-        for bucket, group in groupby(rows, key=lambda r: r.column("bucket")[0].as_py()):
-            store = Store(path)
-            u, w, c = _gather_pairs(group)
-            h = pair_hash(u, w)
-            order = np.argsort(h)
-            store.put(f"pairs-{bucket}", h[order])
-            store.put(f"pair_counts-{bucket}", np.minimum(c[order], 255).astype(np.uint8))
-            big = np.flatnonzero(c[order] >= 255)
-            store.put(f"pair_frequent-{bucket}", np.stack([big, c[order][big]]).astype(np.int64).ravel())
-            first = np.flatnonzero(np.concatenate([[True], u[1:] != u[:-1]]))
-            store.put(f"contexts-{bucket}", u[first])
-            kinds = [np.add.reduceat(x, first) for x in (c, (c == 1).astype(np.int64), (c == 2).astype(np.int64), (c > 2).astype(np.int64))]
-            store.put(f"context_counts-{bucket}", np.stack(kinds, 1).astype(np.uint32).ravel())
-            of_pairs = _of_counts(c)
-            order = np.argsort(w, kind="stable")
-            w, c = w[order], c[order]
-            first = np.flatnonzero(np.concatenate([[True], w[1:] != w[:-1]]))
-            words, contexts, counts = w[first], np.diff(first, append=len(w)), np.add.reduceat(c, first)
-            yield _tally(-1, b"", np.array(of_pairs, np.int64).tobytes(), b"")
-            b = bucket_of(scramble(words), n)
-            order = np.argsort(b, kind="stable")
-            edges = np.flatnonzero(np.diff(b[order], prepend=-1, append=-2))
-            for i, j in zip(edges, edges[1:], strict=False):
-                at = order[i:j]
-                yield _tally(int(b[at[0]]), words[at].tobytes(), _pack_counts(contexts[at]), _pack_counts(counts[at]))
-
-    def words(batches):
-        """Store the words of a bucket: in how many contexts each occurs, and how often."""
-        parts: dict[int, list] = {}
-        for batch in batches:
-            for r in batch.to_pylist():
-                if r["bucket"] < 0:
-                    yield _stats(True, [0, 0, 0, *np.frombuffer(r["n"], np.int64).tolist()])
-                else:
-                    parts.setdefault(r["bucket"], []).append((np.frombuffer(r["words"], _U), _unpack_counts(r["n"]), _unpack_counts(r["c"])))
-        for bucket, found in parts.items():
-            store = Store(path)
-            w, k, c = (np.concatenate(x) for x in zip(*found, strict=True))
-            order = np.argsort(w, kind="stable")
-            w, k, c = w[order], k[order], c[order]
-            first = np.flatnonzero(np.concatenate([[True], w[1:] != w[:-1]]))
-            k, c = np.add.reduceat(k, first), np.add.reduceat(c, first)
-            store.put(f"words-{bucket}", w[first])
-            store.put(f"word_counts-{bucket}", np.stack([k, c], 1).ravel())
-            yield _stats(False, [int(c.sum()), len(first), int(k.sum()), *_of_counts(k)])
-
-    tallied = counted.repartition(n, own).sortWithinPartitions("bucket").mapInArrow(pairs, TALLY)
-    sums = tallied.repartition(n, own).mapInArrow(words, STATS).groupBy("upper").agg(*[F.sum(k) for k in STATS_FIELDS]).collect()
-    by = {r[0]: [int(x) for x in r[1:]] for r in sums}
-    upper, lower = by.get(True, [0] * len(STATS_FIELDS)), by.get(False, [0] * len(STATS_FIELDS))
-    ones = (lower[3], lower[4], sum(lower[5:]))
-    return Model(path, n, lower[0], lower[1], discounts(np.array(upper[3:])), discounts(np.array(lower[3:])), lower[2], ones)
-
-
-def _look_up(keys: np.ndarray, table: np.ndarray) -> np.ndarray:
-    """Positions of sorted distinct ``keys`` in a sorted table, -1 where missing."""
-    if not len(table):
-        return np.full(len(keys), -1)
-    at = np.minimum(np.searchsorted(table, keys), len(table) - 1)
-    return np.where(table[at] == keys, at, -1)
+    def numbers(df: DataFrame) -> dict[int, list[int]]:
+        rows = df.where("level IS NOT NULL").groupBy("level").agg(*[F.sum(k) for k in STATS_FIELDS]).collect()
+        return {r[0]: [int(x) for x in r[1:]] for r in rows}
+
+    counted = docs.mapInArrow(lambda it: _count_words(it, "text", n), BLOB)
+    tokens, types = numbers(by_bucket(counted).mapInArrow(_store_words(path), BLOB)).get(0, [0, 0])[:2]
+    grams = docs.mapInArrow(lambda it: _count_grams(it, "text", path, n, order), BLOB)
+    for level in range(order, 1, -1):
+        grams = by_bucket(grams).mapInArrow(_store_grams(path, level, n), BLOB)
+    by = numbers(by_bucket(grams).mapInArrow(_store_continuations(path), BLOB))
+    of = lambda level: by.get(level, [0] * len(STATS_FIELDS))
+    lowest = of(1)
+    return Model(path, n, order, tokens, types, tuple(discounts(of(k)[2:]) for k in range(1, order + 1)), lowest[0], (lowest[2], lowest[3], sum(lowest[4:])))
 
 
 class Reader:
@@ -307,63 +411,82 @@ class Reader:
 
     def __init__(self, model: Model):
         self.m, self.store, self.maps = model, Store(model.path), {}
+        self.words = Words(model.path, model.buckets)
+
+    def _get(self, name: str, kind):
+        if name not in self.maps:
+            self.maps[name] = kind(self.store, name)
+        return self.maps[name]
+
+    def _contexts(self, level: int, h: np.ndarray) -> np.ndarray:
+        """(len(h), 4): total, and how many words followed once, twice and more; 0 where a context is not stored."""
+        out = np.zeros((len(h), 4), np.int64)
+        for b, at in _by_bucket(bucket_of(h, self.m.buckets), h):
+            name = f"contexts-{level}-{b}"
+            found = self._get(name, HashArray.get).find(h[at])
+            hit = np.flatnonzero(found >= 0)
+            if len(hit):
+                place = found[hit]
+                code = self._get(f"{name}-codes", lambda s, k: s.get(k, np.uint8))[place]
+                sets = self._get(f"{name}-sets", lambda s, k: s.get(k, np.int64)).reshape(-1, 4)
+                rest = self._get(f"{name}-rest", lambda s, k: s.get(k, np.int64)).reshape(-1, 5)
+                numbers = np.zeros((len(hit), 4), np.int64)
+                listed = code == 255
+                numbers[~listed] = sets[code[~listed]]
+                if listed.any():
+                    numbers[listed] = rest[np.searchsorted(rest[:, 0], place[listed]), 1:]
+                out[at[hit]] = numbers
+        return out
 
-    def _array(self, name: str, bucket: int, dtype) -> np.ndarray:
-        key = (name, bucket)
-        if key not in self.maps:
-            path = f"{name}-{bucket}"
-            there = self.store.fs.get_file_info(f"{self.store.root}/{path}").type == pafs.FileType.File
-            self.maps[key] = self.store.get(path, dtype) if there else np.empty(0, dtype)
-        return self.maps[key]
-
-    def _rows(self, keys: np.ndarray, bucket: np.ndarray, table: str, counts: str, dtype, width: int) -> np.ndarray:
-        """(len(keys), width) numbers of distinct keys by bucket, 0 where a key is missing."""
-        out = np.zeros((len(keys), width), np.int64)
-        order = np.lexsort((keys, bucket))
-        edges = np.flatnonzero(np.diff(bucket[order], prepend=-1, append=-2))
-        for i, j in zip(edges, edges[1:], strict=False):
-            at = order[i:j]
-            b = int(bucket[at[0]])
-            found = _look_up(keys[at], self._array(table, b, _U))
-            hit = found >= 0
-            numbers = self._array(counts, b, dtype)
-            out[at[hit]] = numbers.reshape(-1, width)[found[hit]] if len(numbers) else 0
-            if dtype is np.uint8 and (full := out[at, 0] == 255).any():
-                where, count = self._array("pair_frequent", b, np.int64).reshape(2, -1)
-                out[at[full], 0] = count[np.searchsorted(where, found[full])]
+    def _counts(self, level: int, context: np.ndarray, h: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(h), np.int64)
+        for b, at in _by_bucket(bucket_of(context, self.m.buckets), h):
+            found = self._get(f"grams-{level}-{b}", HashArray.get).find(h[at])
+            hit = np.flatnonzero(found >= 0)
+            if len(hit):
+                out[at[hit]] = self._get(f"counts-{level}-{b}", Sparse.get)[found[hit]]
         return out
 
-    def words(self, w: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Q, the training count and whether it is known, for distinct words."""
+    def _lowest(self, number: np.ndarray) -> np.ndarray:
+        """P(w) without context, for words by number."""
         m = self.m
-        got = self._rows(w, bucket_of(scramble(w), m.buckets), "words", "word_counts", np.int64, 2)
-        k, c = got[:, 0], got[:, 1]
         if not m.lower_total:
-            return np.ones(len(w)), c, c > 0
-        d = np.array([0.0, *m.lower_discounts])
+            return np.ones(len(number))
+        different, which = np.unique(number, return_inverse=True)
+        k = np.zeros(len(different), np.int64)
+        known = np.flatnonzero(different != UNKNOWN)
+        owner = ((different[known] - _U(1)) % _U(m.buckets)).astype(np.int64)
+        rank = ((different[known] - _U(1)) // _U(m.buckets)).astype(np.int64)
+        for b, at in _by_bucket(owner, different[known]):
+            k[known[at]] = self._get(f"continuations-{b}", Sparse.get)[rank[at]]
+        d = np.array([0.0, *m.discounts[0]])
         rest = float(np.dot(d[1:], m.lower_ones)) / m.lower_total
-        return (k - d[np.minimum(k, 3)]) / m.lower_total + rest / (m.types + 1), c, c > 0
+        return ((k - d[np.minimum(k, 3)]) / m.lower_total + rest / (m.types + 1))[which]
 
-    def score(self, row: np.ndarray, h: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(known tokens, base score, model score) of ``n`` texts given their tokens."""
+    def probabilities(self, words: list[np.ndarray]) -> np.ndarray:
+        """P(last word | words before), for n-grams of ``order`` words by columns of numbers."""
         m = self.m
-        u = contexts_of(row, h)
-        w, w_at = np.unique(h, return_inverse=True)
-        q, c, known = self.words(w)
-        contexts, u_at = np.unique(u, return_inverse=True)
-        bucket = bucket_of(scramble(contexts), m.buckets)
-        ctx = self._rows(contexts, bucket, "contexts", "context_counts", np.uint32, 4)
-        both, p_at = np.unique(pair_hash(u, h), return_index=False, return_inverse=True)
-        owner = np.empty(len(both), np.int64)
-        owner[p_at] = bucket[u_at]
-        count = self._rows(both, owner, "pairs", "pair_counts", np.uint8, 1)[:, 0]
-        d = np.array([0.0, *m.discounts])
-        total = np.maximum(ctx[:, 0], 1)
-        spare = np.where(ctx[:, 0] > 0, (ctx[:, 1:] @ d[1:]) / total, 1.0)
-        cc = count[p_at]
-        p = (cc - d[np.minimum(cc, 3)]) / total[u_at] + spare[u_at] * q[w_at]
-        base = np.log10((c[w_at] + 1.0) / (m.tokens + 1.0 * (m.types + 1)))
-        return np.bincount(row, known[w_at], n).astype(np.int64), np.bincount(row, base, n), np.bincount(row, np.log10(p), n)
+        p = self._lowest(words[-1])
+        for level in range(2, m.order + 1):
+            part = words[-level:]
+            context = gram_hash(part[:-1])
+            numbers = self._contexts(level, context)
+            seen = np.flatnonzero((numbers[:, 0] > 0) & ~np.any([w == UNKNOWN for w in part[:-1]], axis=0))
+            count = np.zeros(len(p), np.int64)
+            whole = seen[part[-1][seen] != UNKNOWN]
+            count[whole] = self._counts(level, context[whole], gram_hash([w[whole] for w in part]))
+            d = np.array([0.0, *m.discounts[level - 1]])
+            total, c = numbers[seen, 0], count[seen]
+            p[seen] = (c - d[np.minimum(c, 3)]) / total + (numbers[seen, 1:] @ d[1:]) / total * p[seen]
+        return p
+
+    def score(self, texts: pa.Array) -> tuple[np.ndarray, ...]:
+        """(tokens, known tokens, base score, model score) of each text."""
+        m, n = self.m, len(texts)
+        row, number, c = _tokens(texts, self.words)
+        p = self.probabilities(_columns(row, number, m.order))
+        base = np.log10((c + 1.0) / (m.tokens + 1.0 * (m.types + 1)))
+        return np.bincount(row, minlength=n), np.bincount(row, c > 0, n).astype(np.int64), np.bincount(row, base, n), np.bincount(row, np.log10(p), n)
 
 
 RESULT = ("n_tokens", "n_known", "base_score", "score", "perplexity")
@@ -371,25 +494,18 @@ RESULT = ("n_tokens", "n_known", "base_score", "score", "perplexity")
 
 def score_texts(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """Documents with n_tokens, n_known, base_score, score (log10) and perplexity."""
-    from pyspark.sql.types import DoubleType, LongType, StructField, StructType
-
     docs = docs.drop(*RESULT)
     schema = StructType([*docs.schema.fields, *[StructField(k, LongType() if k.startswith("n_") else DoubleType()) for k in RESULT]])
 
     def run(batches):
         reader = Reader(model)
         for step in steps(batches, text):
-            n = step.num_rows
-            row, h = tokens(step.column(text))
-            size = np.bincount(row, minlength=n)
-            known, base, score = reader.score(row, h, n)
+            size, known, base, score = reader.score(step.column(text))
             made = (size, known, base, score, 10.0 ** (-score / size))
             yield pa.RecordBatch.from_arrays([*step.columns, *[pa.array(x) for x in made]], names=[*step.schema.names, *RESULT])
 
-    return docs.mapInArrow(run, schema)
+    return map_batches(docs, run, schema)
 
 
 def delete(spark: SparkSession, model: Model) -> None:
-    from tidemark.llm.common import delete_path
-
     delete_path(spark, model.path)
