@@ -1,17 +1,22 @@
 """Media columns: payloads stored as PNG, read back with checksum tests, hashed by cosine transform.
 
 ``encode`` writes an 8-bit grey PNG: signature, IHDR, IDAT chunks of a zlib stream, IEND, each chunk
-with its CRC-32. ``decode`` checks the signature, every chunk's CRC-32, the zlib Adler-32 and the
-sizes, and reverses all five row filters with numpy. ``feature`` is a 64-bit perceptual hash: area
-means on a 32 x 32 grid, the 8 x 8 lowest frequencies of its DCT-II, one bit each for those above
-their median, and 8 more bytes with the mean and spread.
+with its CRC-32. For every image row it chooses among the five filters of the format the one with the
+least sum of absolute differences. ``decode`` checks the signature, every chunk's CRC-32, the zlib
+Adler-32 and the sizes, and reverses the filters with numpy, for many images at once: a filtered
+sample depends on its left, upper and upper left neighbours, so samples on one anti-diagonal of all
+images are restored together. ``feature`` is a 64-bit perceptual hash: area means on a 32 x 32 grid,
+the 8 x 8 lowest frequencies of its DCT-II, one bit each for those above their median, and 4 more
+bytes with the mean and spread.
 
 Defined results: a null text is the empty text; the payload is the UTF-8 text followed by bytes 255
 up to the next positive multiple of ``UNIT``, so an empty text is one unit of 255; texts may have any
 length (image height grows); equal texts give equal bytes and hashes; repeated rows repeat; other
-columns pass through, a column with the name of the result is replaced.
+columns pass through, a column with the name of the result is replaced. A stored form that is null
+reads as null; one that is corrupt, or that unpacks to more than its header says, fails the job.
 
-Scale: each row is encoded where it is, there is no shuffle, and a step holds a few MB.
+Scale: each row is encoded where it is and there is no shuffle. A step holds a few MB of payload, when
+writing and when reading: the size once unpacked is taken from the headers before anything is unpacked.
 """
 
 from __future__ import annotations
@@ -20,6 +25,7 @@ import struct
 import zlib
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from tidemark.llm.common import append_struct, utf8
@@ -42,108 +48,134 @@ def payload(text: bytes) -> bytes:
     return text + b"\xff" * (size - len(text))
 
 
-def _chunk(kind: bytes, data: bytes) -> bytes:
-    return struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data))
+def _paeth(a: np.ndarray, b: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """The PNG predictor: whichever of left, up, corner is nearest to left + up - corner."""
+    da, db = np.abs(b - c), np.abs(a - c)
+    dc = np.abs(a + b - 2 * c)
+    return np.where((da <= db) & (da <= dc), a, np.where(db <= dc, b, c))
 
 
-def encode(data: bytes, width: int = WIDTH, filters: bytes | None = None, level: int = LEVEL) -> bytes:
-    """Samples as PNG. ``filters`` has a filter type (0 to 4) for each row; none means 0 throughout.
+def _differences(rows: np.ndarray) -> np.ndarray:
+    """(5, height, width): the rows under each filter."""
+    x = rows.astype(np.int16)
+    left, up, corner = np.zeros_like(x), np.zeros_like(x), np.zeros_like(x)
+    left[:, 1:], up[1:], corner[1:, 1:] = x[:, :-1], x[:-1], x[:-1, :-1]
+    guesses = (0, left, up, (left + up) >> 1, _paeth(left, up, corner))
+    return np.stack([(x - g).astype(np.uint8) for g in guesses])
 
-    Text compresses best unfiltered, which is therefore the stored form.
-    """
+
+def encode(data: bytes, width: int = WIDTH, filters: bytes | None = None, level: int = LEVEL) -> bytes:
+    """Samples as PNG. ``filters`` names a filter type (0 to 4) for each row; without it each row gets the best."""
     rows = np.frombuffer(data, np.uint8).reshape(-1, width)
-    kinds = np.frombuffer(filters, np.uint8) if filters else np.zeros(len(rows), np.uint8)
+    under = _differences(rows)
+    if filters is None:
+        # Differences count as signed bytes; of equal sums the first filter wins.
+        kinds = np.abs(under.view(np.int8).astype(np.int16)).sum(2, dtype=np.int64).argmin(0)
+    else:
+        kinds = np.frombuffer(filters, np.uint8).astype(np.int64)
     body = np.empty((len(rows), width + 1), np.uint8)
     body[:, 0] = kinds
-    body[:, 1:] = rows
-    if kinds.any():
-        left = np.zeros_like(rows)
-        left[:, 1:] = rows[:, :-1]
-        up = np.zeros_like(rows)
-        up[1:] = rows[:-1]
-        corner = np.zeros_like(rows)
-        corner[1:, 1:] = rows[:-1, :-1]
-        wide = [x.astype(np.int16) for x in (left, up, corner)]
-        predicted = {1: left, 2: up, 3: ((wide[0] + wide[1]) >> 1).astype(np.uint8), 4: _paeth(*wide)}
-        for kind, guess in predicted.items():
-            at = kinds == kind
-            body[at, 1:] = rows[at] - guess[at]
+    body[:, 1:] = under[kinds, np.arange(len(rows))]
     packed = zlib.compress(body.tobytes(), level)
     parts = [_chunk(b"IDAT", packed[i : i + CHUNK]) for i in range(0, len(packed), CHUNK)]
     head = struct.pack(">IIBBBBB", width, len(rows), 8, 0, 0, 0, 0)
     return b"".join([SIGNATURE, _chunk(b"IHDR", head), *parts, _chunk(b"IEND", b"")])
 
 
-def _paeth(a: np.ndarray, b: np.ndarray, c: np.ndarray) -> np.ndarray:
-    """The PNG predictor: whichever of left, up, corner is nearest to left + up - corner."""
-    p = a + b - c
-    da, db, dc = abs(p - a), abs(p - b), abs(p - c)
-    return np.where((da <= db) & (da <= dc), a, np.where(db <= dc, b, c)).astype(np.uint8)
-
-
 class Corrupt(ValueError):
     """Stored bytes that fail a test."""
 
 
-def decode(png: bytes) -> np.ndarray:
-    """The samples of an 8-bit grey PNG as (height, width), or Corrupt."""
+def _chunk(kind: bytes, data: bytes) -> bytes:
+    return struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data))
+
+
+def _size(png: bytes) -> tuple[int, int]:
+    """(width, height) of the header, which must come first."""
     if png[:8] != SIGNATURE:
         raise Corrupt("signature")
-    at, head, data, ended = 8, None, [], False
-    while not ended:
+    if png[8:16] != b"\x00\x00\x00\x0dIHDR" or len(png) < 33:
+        raise Corrupt("header")
+    width, height, *rest = struct.unpack_from(">IIBBBBB", png, 16)
+    if rest != [8, 0, 0, 0, 0] or not width:
+        raise Corrupt("not 8-bit grey without interlace")
+    return width, height
+
+
+def _filtered(png: bytes) -> np.ndarray:
+    """The filtered rows (height, 1 + width) after all tests; never unpacks more than the header says."""
+    width, height = _size(png)
+    at, data, kind = 8, [], b""
+    while kind != b"IEND":
         if at + 12 > len(png):
             raise Corrupt("truncated")
         (size,) = struct.unpack_from(">I", png, at)
         kind, body = png[at + 4 : at + 8], png[at + 8 : at + 8 + size]
         if len(body) != size or zlib.crc32(kind + body) != int.from_bytes(png[at + 8 + size : at + 12 + size], "big"):
             raise Corrupt(f"chunk {kind!r}")
-        if kind == b"IHDR":
-            head = struct.unpack(">IIBBBBB", body)
-        elif kind == b"IDAT":
+        if kind == b"IDAT":
             data.append(body)
-        ended = kind == b"IEND"
         at += 12 + size
-    if head is None or head[2:] != (8, 0, 0, 0, 0):
-        raise Corrupt("not 8-bit grey without interlace")
+    want = height * (width + 1)
+    unpacker = zlib.decompressobj()
     try:
-        raw = zlib.decompress(b"".join(data))
+        raw = unpacker.decompress(b"".join(data), want + 1)
+        if len(raw) == want and not unpacker.eof:  # the checksum at the end may be still to come
+            raw += unpacker.decompress(unpacker.unconsumed_tail, 1)
     except zlib.error as e:
         raise Corrupt(f"zlib: {e}") from e
-    width, height = head[:2]
-    if len(raw) != height * (width + 1):
+    if len(raw) != want or not unpacker.eof:
         raise Corrupt("size")
-    return _unfilter(np.frombuffer(raw, np.uint8).reshape(height, width + 1))
+    return np.frombuffer(raw, np.uint8).reshape(height, width + 1)
+
+
+def decode_all(pngs: list[bytes]) -> list[np.ndarray]:
+    """The samples of 8-bit grey PNGs as (height, width) each, or Corrupt; images of one width go together."""
+    found = [_filtered(p) for p in pngs]
+    out: list[np.ndarray] = [np.empty(0)] * len(found)
+    for width in sorted({f.shape[1] for f in found}):
+        own = [i for i, f in enumerate(found) if f.shape[1] == width]
+        for i, rows in zip(own, _unfilter([found[i] for i in own]), strict=True):
+            out[i] = rows
+    return out
+
+
+def decode(png: bytes) -> np.ndarray:
+    return decode_all([png])[0]
 
 
-def _unfilter(raw: np.ndarray) -> np.ndarray:
-    kinds, rows = raw[:, 0], raw[:, 1:].copy()
+def _unfilter(images: list[np.ndarray]) -> list[np.ndarray]:
+    """Undo the row filters of images of equal width.
+
+    The images lie under each other in one array, each below a row of zeros and right of a column of
+    zeros, which stand for what is outside. Step t restores sample t - y of every row y that has it.
+    """
+    width = images[0].shape[1]  # of a row with its filter type, or with a zero before it
+    heights = np.array([len(f) for f in images])
+    kinds = np.concatenate([f[:, 0] for f in images])
     if kinds.max(initial=0) > 4:
         raise Corrupt("filter type")
-    sub = kinds == 1
-    if sub.any():
-        rows[sub] = np.cumsum(rows[sub], axis=1, dtype=np.uint8)
-    if (kinds <= 1).all():
-        return rows
-    above = np.zeros(rows.shape[1], np.uint8)
-    for y, kind in enumerate(kinds):
-        row = rows[y]
-        if kind == 2:
-            row += above
-        elif kind == 3:
-            left = 0
-            for x in range(len(row)):
-                left = row[x] = (int(row[x]) + ((left + int(above[x])) >> 1)) & 255
-        elif kind == 4:
-            a = c = 0
-            for x in range(len(row)):
-                b = int(above[x])
-                p = a + b - c
-                da, db, dc = abs(p - a), abs(p - b), abs(p - c)
-                guess = a if da <= db and da <= dc else b if db <= dc else c
-                a = row[x] = (int(row[x]) + guess) & 255
-                a, c = int(a), b
-        above = row
-    return rows
+    first = np.cumsum(heights + 1) - heights  # of each image, below its row of zeros
+    y = np.arange(len(kinds)) - np.repeat(np.cumsum(heights) - heights, heights)
+    line = np.repeat(first, heights) + y
+    flat = np.zeros((len(kinds) + len(images), width), np.int16)
+    flat[line, 1:] = np.concatenate([f[:, 1:] for f in images])
+    x = flat.ravel()
+    order = np.argsort(y, kind="stable")
+    starts, kind = line[order] * width, kinds[order]
+    upto = np.searchsorted(y[order], np.arange(heights.max(initial=0) + 1))
+    sub, up, mean, paeth = (kind == k for k in (1, 2, 3, 4))
+    for t in range(1, int(heights.max(initial=0)) + width - 1):
+        low, high = upto[max(0, t - width + 1)], upto[min(len(upto) - 1, t)]
+        if low == high:
+            continue
+        s = slice(low, high)
+        at = starts[s] + (t - y[order[s]])
+        a, b, c = x[at - 1], x[at - width], x[at - width - 1]
+        guess = sub[s] * a + up[s] * b + mean[s] * ((a + b) >> 1) + paeth[s] * _paeth(a, b, c)
+        x[at] = (x[at] + guess) & 255
+    done = flat[:, 1:].astype(np.uint8)
+    return [done[f : f + h] for f, h in zip(first.tolist(), heights.tolist(), strict=True)]
 
 
 def _areas(n: int, grid: int) -> np.ndarray:
@@ -177,32 +209,32 @@ def feature(image: np.ndarray) -> str:
     return np.packbits(bits).tobytes().hex() + f"{round(float(x.mean()) * 256) & 0xFFFF:04x}{round(float(x.std()) * 256) & 0xFFFF:04x}"
 
 
-MEDIA = "n_bytes long, png binary, hash binary"
+MEDIA = "n_bytes long, png binary"
 
 
 def store_media(docs: DataFrame, text: str = "text", out: str = "media") -> DataFrame:
-    """Documents with ``out``: n_bytes (of the text), png (stored form) and hash (of the read-back image)."""
+    """Documents with ``out``: n_bytes (of the text) and png (stored form of its payload)."""
+    return append_struct(docs, text, out, MEDIA, lambda: lambda texts: [{"n_bytes": len(t), "png": encode(payload(t))} for t in utf8(texts)])
 
-    def one(t: bytes) -> dict:
-        png = encode(payload(t))
-        return {"n_bytes": len(t), "png": png, "hash": bytes.fromhex(feature(decode(png)))}
 
-    return append_struct(docs, text, out, MEDIA, lambda: lambda texts: [one(t) for t in utf8(texts)])
+READ_BACK = "payload_bytes long, payload binary, hash binary"
 
 
-READ_BACK = "payload_bytes long, payload binary"
+def _unpacked(pngs: pa.Array) -> np.ndarray:
+    """How many bytes each stored form unpacks to, by its header."""
+    sizes = [_size(p) if p is not None else (0, 0) for p in pngs.to_pylist()]
+    return np.array([(width + 1) * height for width, height in sizes], np.int64)
 
 
-def read_media(stored: DataFrame, png: str = "png", out: str = "samples") -> DataFrame:
-    """Rows with ``out``: the samples of each stored PNG, after all checksum tests; null for null.
-
-    A corrupt form fails the job, with the part that is wrong.
-    """
+def _read(pngs: list[bytes | None]) -> list[dict | None]:
+    images = iter(decode_all([p for p in pngs if p is not None]))
+    out = []
+    for png in pngs:
+        image = None if png is None else next(images)
+        out.append(None if image is None else {"payload_bytes": image.size, "payload": image.tobytes(), "hash": bytes.fromhex(feature(image))})
+    return out
 
-    def one(form: bytes | None) -> dict | None:
-        if form is None:
-            return None
-        data = decode(form).tobytes()
-        return {"payload_bytes": len(data), "payload": data}
 
-    return append_struct(stored, png, out, READ_BACK, lambda: lambda forms: [one(x) for x in forms.to_pylist()])
+def read_media(stored: DataFrame, png: str = "png", out: str = "samples") -> DataFrame:
+    """Rows with ``out``: the samples of each stored PNG, after all tests, and their hash; null for null."""
+    return append_struct(stored, png, out, READ_BACK, lambda: lambda forms: _read(forms.to_pylist()), measure=_unpacked)
