@@ -10,24 +10,34 @@ item without id marks words but is not listed; equal items or equal windows of s
 one pattern that names all of them; repeated rows give repeated results; an empty benchmark hits
 nothing; other columns pass through, a column with the name of the result is replaced.
 
-Scale: documents are only scanned, nothing is shuffled. Patterns are broadcast in blocks of at most
-``block_bytes`` of item text, each with an automaton of its own, so that the broadcast stays bounded
-however large the benchmark is.
+Scale: documents are only scanned, nothing of them is shuffled. The windows are prepared by executors
+and stored in the shared folder; they are not broadcast and never reach the driver. A benchmark of up to
+``block_bytes`` of text (more than the usual public ones have together) is one automaton, which a task
+builds once. A larger one is stored in parts by a hash of the item; a task then reads its documents in
+chunks of ``CHUNK_BYTES`` and passes each chunk through one part after the other, so that a worker
+never holds more than one chunk and one automaton, however large the benchmark is.
 """
 
 from __future__ import annotations
 
+import pickle
 import re
+from itertools import chain, groupby
 
 import ahocorasick
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import append_struct, utf8
+from tidemark.llm.common import append_struct, column, columns, fresh_path, free_name, utf8
+from tidemark.llm.store import Store
 
 WIDTH = 10
 #: Item text in one automaton; a window costs about 1 KB of a worker's memory.
 BLOCK_BYTES = 4 << 20
+#: Text that a task passes through the automata of a large benchmark at a time.
+CHUNK_BYTES = 16 << 20
 
 _KEEP = bytes(i if 48 <= i <= 57 or 97 <= i <= 122 or i >= 128 else i + 32 if 65 <= i <= 90 else 32 for i in range(256))
 _WORD = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
@@ -69,11 +79,9 @@ class Matcher:
         return [(end + 1 - n, end + 1, ids) for end, (n, ids) in self.automaton.iter(tuple([get(x, 0) for x in w]))]
 
 
-def _summary(text: bytes, matchers: list[Matcher]) -> dict:
-    w = words(text)
-    found = [x for m in matchers for x in m.find(w)]
+def _summary(text: bytes, n: int, found: list[tuple[int, int, list[str | None]]]) -> dict:
     if not found:
-        return {"n_words": len(w), "n_hit": 0, "items": [], "hits": []}
+        return {"n_words": n, "n_hit": 0, "items": [], "hits": []}
     spans = [m.span() for m in _WORD.finditer(text.decode("utf-8", "replace"))]
     hit, by_item = 0, {}
     upto = 0
@@ -89,33 +97,66 @@ def _summary(text: bytes, matchers: list[Matcher]) -> dict:
                 runs.append([a, b])
     hits = sorted(((spans[a][0], spans[b - 1][1], item) for item, runs in by_item.items() for a, b in runs), key=lambda h: (h[0], h[1], h[2] or ""))
     return {
-        "n_words": len(w),
+        "n_words": n,
         "n_hit": hit,
         "items": sorted(i for i in by_item if i is not None),
         "hits": [{"item_id": i, "start": a, "end": b} for a, b, i in hits],
     }
 
 
+def _store_windows(items: DataFrame, path: str, blocks: int, width: int) -> None:
+    """Store the windows of items (i, t), each block as one file that a task writes."""
+
+    def run(batches):
+        rows = chain.from_iterable(b.to_pylist() for b in batches)
+        n = 0
+        for block, group in groupby(rows, key=lambda r: r["block"]):
+            found = windows([(r["i"], bytes(r["t"])) for r in group], width)
+            Store(path).put(str(block), np.frombuffer(pickle.dumps(found, 5), np.uint8))
+            n += 1
+        yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], names=["n"])
+
+    placed = items.withColumn("block", F.pmod(F.xxhash64("t"), F.lit(blocks)).cast("int"))
+    placed.repartition(blocks, "block").sortWithinPartitions("block").mapInArrow(run, "n long").agg(F.sum("n")).collect()
+
+
+def _matcher(path: str, block: int) -> Matcher:
+    stored = Store(path).get(str(block), np.uint8)
+    return Matcher(pickle.loads(stored.tobytes()) if len(stored) else {})
+
+
 def find_contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text", out: str = "contamination", item_id: str = "item_id", item_text: str = "text", width: int = WIDTH, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Documents with a struct ``out``: n_words, n_hit, items, hits (item and code point offsets)."""
-    spark = docs.sparkSession
-    items = benchmark.select(F.col(item_id).cast("string").alias("i"), F.encode(F.col(item_text), "utf-8").alias("t")).where("length(t) > 0").distinct()
+    items = benchmark.select(column(item_id).cast("string").alias("i"), F.encode(column(item_text), "utf-8").alias("t")).where("length(t) > 0").distinct()
     total = items.agg(F.sum(F.length("t"))).first()[0] or 0
     blocks = max(1, -(-total // block_bytes))
-    shared = []
-    for k in range(blocks):
-        part = items.where(F.pmod(F.xxhash64("t"), F.lit(blocks)) == k) if blocks > 1 else items
-        rows = [(r["i"], bytes(r["t"])) for r in part.collect()]
-        shared.append(spark.sparkContext.broadcast(windows(rows, width)))
+    path = fresh_path(docs.sparkSession, "windows")
+    _store_windows(items, path, blocks, width)
 
     def kernel():
-        matchers = [Matcher(b.value) for b in shared]
-        return lambda texts: [_summary(t, matchers) for t in utf8(texts)]
+        only = _matcher(path, 0) if blocks == 1 else None
+
+        def run(texts):
+            read = utf8(texts)
+            # With several parts the words of a chunk are kept while the parts pass by.
+            kept = [words(t) for t in read] if blocks > 1 else None
+            found: list[list] = [[] for _ in read]
+            made = []
+            for block in range(blocks):
+                m = only or _matcher(path, block)
+                for k, t in enumerate(read):
+                    w = kept[k] if kept else words(t)
+                    found[k] += m.find(w)
+                    if block == blocks - 1:
+                        made.append(_summary(t, len(w), found[k]))
+            return made
+
+        return run
 
-    return append_struct(docs, text, out, HITS, kernel)
+    return append_struct(docs, text, out, HITS, kernel, limit=CHUNK_BYTES if blocks > 1 else None)
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """The documents without a single word inside an occurrence of a benchmark window."""
-    name = "__contamination"
-    return find_contamination(docs, benchmark, out=name, **options).where(F.col(f"{name}.n_hit") == 0).select(*docs.columns)
+    name = free_name(docs, "__contamination")
+    return find_contamination(docs, benchmark, out=name, **options).where(F.col(f"{name}.n_hit") == 0).select(*columns(docs))
