@@ -44,9 +44,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from tidemark.llm.common import MIX, append_struct, ascii_words, delete_path, fresh_path, hash_words, materialize, scramble, steps
+from tidemark.llm.common import MIX, append_struct, ascii_words, column, columns, delete_path, discard, free_name, fresh_path, hash_words, lookup, materialize, scramble, steps
 from tidemark.llm.graph import components
-from tidemark.llm.language_model import Store
+from tidemark.llm.store import Store
 
 WORDS = 5
 PERCENT = 80
@@ -431,7 +431,8 @@ def _token_sets(docs: DataFrame, id_column: str, text: str, bits: int, words) ->
 def group_similar(docs: DataFrame, id_column: str = "doc_id", text: str = "text", buckets: int | None = None) -> DataFrame:
     """(id, fp, n, component, root) for each row of ``docs``: class, set size, least id and least class that links reach."""
     spark = docs.sparkSession
-    docs = docs.select(id_column, text)
+    docs = docs.select(column(id_column).alias("id"), column(text).alias("text"))
+    id_column, text = "id", "text"
     parts = buckets or max(4, int(spark.conf.get("spark.sql.shuffle.partitions")))
     chars = docs.agg(F.sum(F.length(text))).first()[0] or 0
     bits = max(16, (chars // CHARS_PER_COUNTER).bit_length())
@@ -466,8 +467,13 @@ def group_similar(docs: DataFrame, id_column: str = "doc_id", text: str = "text"
     delete_path(spark, counts[0])  # the links are stored by now
     full = classes.join(linked, classes["fp"] == linked["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     named = full.select("fp", "root").join(full.groupBy("root").agg(F.min("least").alias("component")), "root").select("fp", "component", "root")
-    out = rows.join(named, "fp", "left")
-    return out.select("id", "fp", "n", F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("id")).alias("component"), "root")
+    named = materialize(named, "named")
+    for table in (member, wanted):
+        discard(table)
+    # Documents without shingles are in no class; a class of very many copies gets its name by broadcast.
+    out = lookup(rows.where("n > 0"), named, "fp").select("id", "fp", "n", "component", "root")
+    alone = rows.where("n = 0").select("id", "fp", "n", F.col("id").alias("component"), F.lit(None).cast("long").alias("root"))
+    return out.unionByName(alone)
 
 
 def keep_one(docs: DataFrame, id_column: str = "doc_id", text: str = "text") -> DataFrame:
@@ -475,15 +481,18 @@ def keep_one(docs: DataFrame, id_column: str = "doc_id", text: str = "text") ->
     groups = group_similar(docs, id_column, text)
     other = F.when(F.col("component").isNull(), F.col("fp") != F.col("root")).otherwise(F.col("id").isNull() | (F.col("id") != F.col("component")))
     gone = groups.where((F.col("n") > 0) & other).select("id", "fp").distinct()
-    marked = _token_classes(docs, text)
-    kept = marked.join(gone, (marked["__class.fp"] == gone["fp"]) & marked[id_column].eqNullSafe(gone["id"]), "left_anti")
-    whole = kept.select(*docs.columns, F.when(F.col("__class.fp") != 0, F.col("__class.fp")).alias("__fp"))
-    # Rows that repeat one id and one set are one document.
-    single = whole.where("__fp IS NOT NULL").dropDuplicates([id_column, "__fp"])
-    return single.unionByName(whole.where("__fp IS NULL")).select(*docs.columns)
-
-
-def _token_classes(docs: DataFrame, text: str) -> DataFrame:
+    name = free_name(docs, "__class")
+    marked = _token_classes(docs, text, name)
+    own = F.col(f"{name}.fp")
+    gone = gone.select(F.struct("fp", "id").alias("gone"))
+    kept = marked.join(gone, (own == F.col("gone.fp")) & column(id_column).eqNullSafe(F.col("gone.id")), "left_anti")
+    # Rows that repeat one id and one set are one document; a row without shingles is one by itself.
+    only = free_name(docs, "__only")
+    unique = F.struct(column(id_column), own, F.when(own == 0, F.monotonically_increasing_id()))
+    return kept.withColumn(only, unique).dropDuplicates([only]).select(*columns(docs))
+
+
+def _token_classes(docs: DataFrame, text: str, name: str) -> DataFrame:
     def kernel():
         def one(texts):
             row, token = _distinct(*shingles(texts))
@@ -492,7 +501,4 @@ def _token_classes(docs: DataFrame, text: str) -> DataFrame:
 
         return one
 
-    return append_struct(docs, text, "__class", "fp long", kernel)
-
-
-
+    return append_struct(docs, text, name, "fp long", kernel)
