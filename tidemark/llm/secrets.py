@@ -7,7 +7,11 @@ drops by anti-join the pairs that the ledger has, scans the rest once, appends t
 and joins the ledger's findings back to all paths.
 
 Offsets come from two native calls for each rule: ``split`` gives the text between matches and
-``regexp_extract_all`` the matches, and the running sum of their lengths places each match.
+``regexp_extract_all`` the matches, and the running sum of their lengths places each match. The sum
+runs over blocks of ``BLOCK`` matches and then within each, so a text's cost is linear in its matches.
+
+Findings are those of the rules asked for, in their present versions: what an older version of a rule
+found stays in the ledger and is not reported.
 
 Defined results: a null or empty text is the empty blob and has no findings; texts are read whole;
 every rule matches leftmost without overlap within its kind and failing matches are dropped;
@@ -15,7 +19,8 @@ repeated rows and equal texts share one scan and give repeated results; an empty
 ledger as it is; columns other than path and text are not needed and ignored.
 
 Scale: the only wide shuffle moves each distinct blob once (copies are combined before it); the
-join back moves hashes and findings, never texts.
+join back moves hashes and findings, never texts, and sends a blob with very many paths (the empty
+one, say) to them by broadcast.
 """
 
 from __future__ import annotations
@@ -25,7 +30,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import fresh_path, path_exists
+from tidemark.llm.common import column, fresh_path, let, lookup, materialize, path_exists
 
 
 @dataclass(frozen=True)
@@ -63,6 +68,9 @@ MORE_RULES = (
 )
 RULES = BASE_RULES + MORE_RULES
 
+#: Matches whose offsets are summed in one go.
+BLOCK = 256
+
 FINDING = "array<struct<start: int, rank: int, end: int, kind: string>>"
 LEDGER = f"blob string, rule string, findings {FINDING}"
 
@@ -75,16 +83,24 @@ def _matches(text: Column, rule: Rule, rank: int) -> Column:
     parts = F.arrays_zip(
         F.transform(gaps, F.length).alias("gap"), F.transform(whole, F.length).alias("size"), F.transform(part, F.length).alias("own")
     )
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start: int, end: int>>").alias("found"))
+    advance = lambda at, m: at + m["gap"] + F.coalesce(m["size"], F.lit(0))
+
+    def block(matches: Column, at: Column) -> Column:
+        def step(acc: Column, m: Column) -> Column:
+            a, b = acc["at"] + m["gap"], advance(acc["at"], m)
+            span = F.struct(a.alias("start"), F.lit(rank).alias("rank"), b.alias("end"), F.lit(rule.kind).alias("kind"))
+            keep = m["size"].isNotNull() & (m["own"] >= rule.shortest)
+            return F.struct(b.alias("at"), F.when(keep, F.concat(acc["found"], F.array(span))).otherwise(acc["found"]).alias("found"))
 
-    def step(acc: Column, m: Column) -> Column:
-        a = acc["at"] + m["gap"]
-        b = a + F.coalesce(m["size"], F.lit(0))
-        keep = m["size"].isNotNull() & (m["own"] >= rule.shortest)
-        return F.struct(b.alias("at"), F.when(keep, F.concat(acc["found"], F.array(F.struct(a.alias("start"), b.alias("end"))))).otherwise(acc["found"]).alias("found"))
+        return F.aggregate(matches, F.struct(at.alias("at"), F.array().cast(FINDING).alias("found")), step, lambda acc: acc["found"])
 
-    found = F.aggregate(parts, start, step, lambda acc: acc["found"])
-    shaped = F.transform(found, lambda m: F.struct(m["start"].alias("start"), F.lit(rank).alias("rank"), m["end"].alias("end"), F.lit(rule.kind).alias("kind")))
+    def place(blocks: Column) -> Column:
+        sums = F.transform(blocks, lambda b: F.aggregate(b, F.lit(0), advance))
+        starts = F.aggregate(sums, F.array(F.lit(0)), lambda acc, n: F.concat(acc, F.array(F.element_at(acc, -1) + n)))
+        return F.flatten(F.zip_with(blocks, F.slice(starts, 1, F.size(blocks)), block))
+
+    cut = lambda p: F.transform(F.sequence(F.lit(0), F.floor((F.size(p) - 1) / BLOCK).cast("int")), lambda k: F.slice(p, k * BLOCK + 1, BLOCK))
+    shaped = let(let(parts, cut), place)
     seen = F.lit(False)
     if rule.hints:
         for hint in rule.hints:
@@ -94,19 +110,29 @@ def _matches(text: Column, rule: Rule, rank: int) -> Column:
     return F.when(seen, shaped).otherwise(F.array().cast(FINDING))
 
 
+def _blob(text: str) -> Column:
+    return F.sha2(F.coalesce(column(text), F.lit("")), 256)
+
+
 def blobs(versions: DataFrame, text: str = "text") -> DataFrame:
     """Distinct (blob, text) of all versions."""
-    body = F.coalesce(F.col(text), F.lit(""))
-    return versions.select(F.sha2(body, 256).alias("blob"), body.alias("text")).groupBy("blob").agg(F.first("text").alias("text"))
+    return versions.select(_blob(text).alias("blob"), F.coalesce(column(text), F.lit("")).alias("text")).groupBy("blob").agg(F.first("text").alias("text"))
 
 
 def empty_ledger(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([], LEDGER)
 
 
+def _ranks(rules: tuple[Rule, ...]) -> dict[str, int]:
+    """The place of each rule's kind among equal starts: that of RULES, then that in ``rules``."""
+    known = [r.kind for r in RULES]
+    kinds = known + [r.kind for r in rules if r.kind not in known]
+    return {r.key: kinds.index(r.kind) for r in rules}
+
+
 def scan(unseen: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """Ledger rows for (blob, text, rules): only the pairs named in ``rules`` are scanned."""
-    rank = {r.key: i for i, r in enumerate(RULES)} | {r.key: len(RULES) + i for i, r in enumerate(rules) if r not in RULES}
+    rank = _ranks(rules)
     due = F.col("__due")
     entries = F.array(*[
         F.struct(F.lit(r.key).alias("rule"), F.when(F.array_contains(due, r.key), _matches(F.col("text"), r, rank[r.key])).alias("findings"))
@@ -136,12 +162,15 @@ def update_ledger(versions: DataFrame, ledger: DataFrame | None = None, rules: t
         scanned = known.groupBy("blob").agg(F.collect_set("rule").alias("__done"))
         unseen = found.join(scanned, "blob", "left").withColumn("__due", F.array_except(keys, F.coalesce("__done", F.array().cast("array<string>")))).where(F.size("__due") > 0)
     scan(unseen, rules).write.mode("append").parquet(target)
-    added = spark.read.schema(LEDGER).parquet(target)
-    return known.unionByName(added) if ledger is not None else added
-
-
-def findings(versions: DataFrame, ledger: DataFrame, path: str = "path", text: str = "text", out: str = "findings") -> DataFrame:
-    """(path, blob, findings) for every version row, findings by start and rule order."""
-    by_blob = ledger.where(F.size("findings") > 0).groupBy("blob").agg(F.array_sort(F.flatten(F.collect_list("findings"))).alias(out))
-    rows = versions.select(F.col(path), F.sha2(F.coalesce(F.col(text), F.lit("")), 256).alias("blob"))
-    return rows.join(by_blob, "blob", "left").select(path, "blob", F.coalesce(F.col(out), F.array().cast(FINDING)).alias(out))
+    stored_now = spark.read.schema(LEDGER).parquet(target)
+    # Rows that both the given ledger and the folder hold are one.
+    return known.unionByName(stored_now).dropDuplicates(["blob", "rule"]) if ledger is not None else stored_now
+
+
+def findings(versions: DataFrame, ledger: DataFrame, path: str = "path", text: str = "text", out: str = "findings", rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """(path, blob, findings) for every version row: what ``rules`` found, by start and rule order."""
+    current = ledger.where(F.col("rule").isin([r.key for r in rules]) & (F.size("findings") > 0))
+    by_blob = current.groupBy("blob").agg(F.array_sort(F.flatten(F.collect_list("findings"))).alias("found"))
+    rows = materialize(versions.select(column(path).alias("path"), _blob(text).alias("blob")), "versions")
+    found = lookup(rows, by_blob, "blob")
+    return found.select(F.col("path").alias(path), "blob", F.coalesce(F.col("found"), F.array().cast(FINDING)).alias(out))
