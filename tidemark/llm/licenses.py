@@ -10,8 +10,9 @@ and a null digest; texts may have any length and are read whole; one digest name
 ambiguous registry is refused); repeated rows repeat; an empty table gives no rows; other columns pass
 through, columns named like the results are replaced.
 
-Scale: row-local expressions and a broadcast hash join with the registry, whose size is checked
-against ``MAX_REGISTRY``; nothing is shuffled.
+Scale: row-local expressions and a hash join with the registry. Up to ``BROADCAST_TEXTS`` texts it is
+broadcast and nothing is shuffled; a larger registry, given as a table (license, text), is shuffled by
+digest, with documents without a digest kept out of the join.
 """
 
 from __future__ import annotations
@@ -23,7 +24,10 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-MAX_REGISTRY = 20_000
+from tidemark.llm.common import column, columns, free_name
+
+#: Most texts of a registry that is broadcast (of each only id and digest, about 100 bytes).
+BROADCAST_TEXTS = 200_000
 
 #: Equivalent spellings, applied in order to the lower-case text.
 SPELLINGS = (
@@ -167,32 +171,46 @@ def digest(text: Column) -> Column:
     return F.get(F.transform(F.array(canonical(text)), lambda c: F.when(F.length(c) > 0, F.sha2(c, 256))), F.lit(0))
 
 
-def registry(spark: SparkSession, known: dict[str, str | tuple[str, ...]]) -> DataFrame:
-    """(license, digest) of the known texts; different licences must not share a digest."""
-    rows = [(k, t) for k, texts in sorted(known.items()) for t in ([texts] if isinstance(texts, str) else texts)]
-    if len(rows) > MAX_REGISTRY:
-        raise ValueError(f"a registry of more than {MAX_REGISTRY} texts is not broadcast")
-    return spark.createDataFrame(rows, "license string, text string").select("license", digest(F.col("text")).alias("digest")).where("digest IS NOT NULL").distinct()
+def registry(spark: SparkSession, known: dict[str, str | tuple[str, ...]] | DataFrame) -> DataFrame:
+    """(license, digest) of the known texts, given by id or as a table (license, text)."""
+    if isinstance(known, DataFrame):
+        texts = known.select("license", "text")
+    else:
+        texts = spark.createDataFrame([(k, t) for k, v in sorted(known.items()) for t in ([v] if isinstance(v, str) else v)], "license string, text string")
+    return texts.select("license", digest(F.col("text")).alias("digest")).where("digest IS NOT NULL").distinct()
 
 
-def _lookup(spark: SparkSession, known: dict) -> dict[str, str]:
-    found: dict[str, str] = {}
-    for r in registry(spark, known).collect():
-        if found.setdefault(r["digest"], r["license"]) != r["license"]:
-            raise ValueError(f"{r['license']} and {found[r['digest']]} have the same canonical text")
-    return found
+def _checked(known: DataFrame) -> DataFrame:
+    """The registry, if no two licences share a digest."""
+    clash = known.groupBy("digest").agg(F.min("license").alias("a"), F.max("license").alias("b")).where("a <> b").first()
+    if clash:
+        raise ValueError(f"{clash['a']} and {clash['b']} have the same canonical text")
+    return known
 
 
-def find_licenses(docs: DataFrame, text: str = "text", licenses: dict | None = None, notices: dict | None = None) -> DataFrame:
+def find_licenses(docs: DataFrame, text: str = "text", licenses: dict | DataFrame | None = None, notices: dict | None = None) -> DataFrame:
     """Documents with license_digest, license (of the entire text) and notices (sorted ids, from lines)."""
     spark = docs.sparkSession
-    whole = _lookup(spark, licenses or LICENSES)
-    lines = _lookup(spark, notices or NOTICES)
-    table = spark.createDataFrame(sorted((d, k) for d, k in whole.items()), "__known string, license string")
-    by_digest = F.create_map(*[F.lit(x) for d, k in sorted(lines.items()) for x in (d, k)])
+    whole = _checked(registry(spark, LICENSES if licenses is None else licenses))
+    lines = _checked(registry(spark, NOTICES if notices is None else notices)).collect()
+    small = whole.count() <= BROADCAST_TEXTS
+    body = column(text)
     # Only lines that hold the word can be notices, so only they are brought to canonical form.
-    candidates = F.filter(F.split(F.col(text), r"\n", -1), lambda line: F.contains(F.lower(line), F.lit("licen")))
-    ids = F.array_sort(F.array_distinct(F.filter(F.transform(candidates, lambda line: by_digest[digest(line)]), lambda x: x.isNotNull())))
-    base = docs.drop("license_digest", "license", "notices").withColumn("license_digest", digest(F.col(text)))
-    joined = base.join(F.broadcast(table), F.col("license_digest") == F.col("__known"), "left").drop("__known")
-    return joined.withColumn("notices", F.when(F.contains(F.lower(F.col(text)), F.lit("licen")), ids).otherwise(F.array().cast("array<string>")))
+    has_word = F.contains(F.lower(body), F.lit("licen"))
+    candidates = F.filter(F.split(body, r"\n", -1), lambda line: F.contains(F.lower(line), F.lit("licen")))
+    ids = F.array().cast("array<string>")
+    if lines:
+        by_digest = F.create_map(*[F.lit(x) for r in sorted(lines, key=lambda r: r["digest"]) for x in (r["digest"], r["license"])])
+        ids = F.array_sort(F.array_distinct(F.filter(F.transform(candidates, lambda line: by_digest[digest(line)]), lambda x: x.isNotNull())))
+    base = docs.drop("license_digest", "license", "notices")
+    own, found = free_name(base, "__own"), free_name(base, "__found")
+    base = base.withColumn(own, F.struct(digest(body).alias("digest"), F.when(has_word, ids).otherwise(F.array().cast("array<string>")).alias("notices")))
+    table = whole.select(F.struct("digest", "license").alias(found))
+    same = F.col(f"{own}.digest") == F.col(f"{found}.digest")
+    if small:
+        joined = base.join(F.broadcast(table), same, "left")
+    else:
+        some = F.col(f"{own}.digest").isNotNull()
+        empty = base.where(~some).withColumn(found, F.lit(None).cast(table.schema[found].dataType))
+        joined = base.where(some).join(table, same, "left").unionByName(empty)
+    return joined.select(*columns(docs.drop("license_digest", "license", "notices")), F.col(f"{own}.digest").alias("license_digest"), F.col(f"{found}.license").alias("license"), F.col(f"{own}.notices").alias("notices"))

@@ -5,7 +5,7 @@ counted by pattern over all documents; there are at most ``3 ** labellers`` patt
 fit the driver whatever the input. Expectation-maximisation for a two-class model with conditionally
 independent labellers estimates the prior, each labeller's accuracy and each pattern's posterior.
 The posteriors are the training labels of a logistic scorer over hashed features (word shapes
-with their logarithmic counts, the measures of the labellers and the length, no vocabulary), fitted on ``TRAIN_ROWS`` documents at
+with their logarithmic counts, the measures of the labellers and the length, no vocabulary), fitted on ``TRAIN_ROWS`` distinct texts at
 most, drawn by hash. The scorer alone decides: a document below ``THRESHOLD`` is rejected.
 
 Defined results: a null, empty or blank text scores 0 and is rejected; texts are read whole, whatever
@@ -31,7 +31,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import append_struct
+from tidemark.llm.common import append_struct, column, columns, free_name
 
 HASH_BITS = 14
 TRAIN_ROWS = 12_000
@@ -217,12 +217,15 @@ def _texts(a):
 
 def train(docs: DataFrame, text: str = "text", train_rows: int = TRAIN_ROWS) -> tuple[LabelModel, Scorer]:
     """The label model from the votes of all documents and the scorer from a bounded sample of them."""
-    seen = append_struct(docs.select(text), text, "__q", "votes array<int>", lambda: lambda a: [{"votes": list(vote(look(t)))} for t in _texts(a)])
+    docs = docs.select(column(text).alias("t"))
+    text = "t"
+    seen = append_struct(docs, text, "__q", "votes array<int>", lambda: lambda a: [{"votes": list(vote(look(t)))} for t in _texts(a)])
     counts = {tuple(r["votes"]): r["count"] for r in seen.groupBy("__q.votes").count().collect()}
     labels = estimate(counts)
     total = sum(counts.values())
-    share = min(1.0, train_rows / max(1, total))
-    # Copies of a text share its hash and are drawn once, so a hot group of copies can't fill the sample.
+    # Twice the wanted share is drawn, since copies of a text share its hash and count once (a hot group of
+    # copies can't fill the sample), and of these the first ``train_rows`` in the order of the hash.
+    share = min(1.0, 2 * train_rows / max(1, total))
     h = F.xxhash64(text, F.lit(5))
     drawn = docs.where(F.length(F.trim(text)) > 0).select(text, h.alias("h")).where(F.col("h") / 2.0**64 + 0.5 <= share)
 
@@ -232,7 +235,7 @@ def train(docs: DataFrame, text: str = "text", train_rows: int = TRAIN_ROWS) ->
         return {"votes": list(vote(x)), "slots": slots.tolist(), "values": values.tolist()}
 
     sample = append_struct(drawn, text, "__q", VOTES, lambda: lambda a: [one(t) for t in _texts(a)])
-    sample = sample.groupBy("h").agg(F.first("__q").alias("q")).select("q.*").limit(2 * train_rows).collect()
+    sample = sample.groupBy("h").agg(F.first("__q").alias("q")).orderBy("h").limit(train_rows).select("q.*").collect()
     rows = sorted(((tuple(r["slots"]), tuple(r["values"]), labels.posterior[tuple(r["votes"])]) for r in sample))
     return labels, fit([(np.array(s, dtype=np.int64), np.array(v), p) for s, v, p in rows], labels.prior)
 
@@ -257,5 +260,5 @@ def score_quality(docs: DataFrame, text: str = "text", out: str = "quality", mod
 
 def keep_good(docs: DataFrame, text: str = "text", **options) -> DataFrame:
     """The documents that the scorer accepts, with their columns."""
-    name = "__quality"
-    return score_quality(docs, text, name, **options).where(F.col(f"{name}.keep")).select(*docs.columns)
+    name = free_name(docs, "__quality")
+    return score_quality(docs, text, name, **options).where(F.col(f"{name}.keep")).select(*columns(docs))
