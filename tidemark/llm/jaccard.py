@@ -52,8 +52,8 @@ WORDS = 5
 PERCENT = 80
 ORDERS = 3
 BLOCK = 1024
-#: Most bits of the filter that says which documents' sets are wanted (16 MB).
-FILTER_BITS = 1 << 27
+#: The filter that says which documents' sets are wanted is cut into files of 2 ** FILTER_RANGE bits (1 MB).
+FILTER_RANGE = 23
 #: Most rows (of about 40 bytes) of the wanted classes that are broadcast.
 BROADCAST_ROWS = 1_000_000
 #: Tokens that a task gathers before it sends them on.
@@ -372,25 +372,63 @@ def _unpack(b: bytes) -> np.ndarray:
     return out.view(_U).ravel()
 
 
-def _filter_bits(ids: DataFrame) -> tuple[int, list, int]:
-    """A Bloom filter of the rows' (h1, h2): how many bits it has, its non-zero words, and the rows.
+class Filter:
+    """A Bloom filter of two hashes in the shared folder: ranges of bits, each a mapped file."""
 
-    It has 16 bits for each row, but never more than ``FILTER_BITS``; a filter that is too small for
-    its rows lets more rows pass and is still never wrong about a row that is in it.
+    def __init__(self, path: str, bits: int):
+        self.store, self.bits, self.maps = Store(path), bits, {}
+
+    def __call__(self, h: np.ndarray) -> np.ndarray:
+        p = h.astype(np.int64) % self.bits
+        out = np.zeros(len(p), bool)
+        part = p >> FILTER_RANGE
+        for k in np.unique(part).tolist():
+            if k not in self.maps:
+                self.maps[k] = self.store.get(str(k), np.uint8)
+            if len(self.maps[k]):
+                at = np.flatnonzero(part == k)
+                inner = p[at] & ((1 << FILTER_RANGE) - 1)
+                out[at] = (self.maps[k][inner >> 3] >> (inner & 7).astype(np.uint8)) & 1 > 0
+        return out
+
+
+def _store_filter(ids: DataFrame, parts: int) -> tuple[str, int, int]:
+    """Store a filter of the rows' (h1, h2), 16 bits for each row: its path, how many bits it has, and the rows.
+
+    Each range of bits is one task's work and a file; nothing of it passes through the driver.
     """
-    n = ids.count()
-    bits = min(FILTER_BITS, 1 << max(10, (16 * n - 1).bit_length()))
+    path, n = fresh_path(ids.sparkSession, "filter"), ids.count()
+    bits = 1 << max(10, (16 * n - 1).bit_length())
+
+    def run(batches):
+        store, now, held, n = Store(path), None, None, 0
+        for batch in batches:
+            part, p = (batch.column(k).to_numpy() for k in ("part", "p"))
+            edges = np.flatnonzero(np.diff(part, prepend=-1, append=-2))
+            for i, j in zip(edges, edges[1:], strict=False):
+                if part[i] != now:
+                    if now is not None:
+                        store.put(str(now), held)
+                        n += 1
+                    now, held = int(part[i]), np.zeros(1 << (FILTER_RANGE - 3), np.uint8)
+                inner = p[i:j] & ((1 << FILTER_RANGE) - 1)
+                np.bitwise_or.at(held, inner >> 3, np.left_shift(1, inner & 7).astype(np.uint8))
+        if now is not None:
+            store.put(str(now), held)
+            n += 1
+        yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], names=["n"])
+
     place = F.explode(F.array(F.pmod("h1", F.lit(bits)), F.pmod("h2", F.lit(bits)))).alias("p")
-    mask = F.expr("shiftleft(1L, cast(p % 64 AS INT))")
-    words = ids.select(place).groupBy(F.floor(F.col("p") / 64).alias("w")).agg(F.bit_or(mask).alias("m"))
-    return bits, [(r["w"], r["m"]) for r in words.collect()], n
+    placed = ids.select(place).withColumn("part", F.shiftright("p", FILTER_RANGE).cast("int"))
+    placed.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(run, "n long").agg(F.sum("n")).collect()
+    return path, bits, n
 
 
 def _hashed(df: DataFrame, id_column: str) -> DataFrame:
     return df.withColumns({"h1": F.xxhash64(id_column, F.lit(1)), "h2": F.xxhash64(id_column, F.lit(2))})
 
 
-def _token_sets(docs: DataFrame, id_column: str, text: str, bits: int, words) -> DataFrame:
+def _token_sets(docs: DataFrame, id_column: str, text: str, path: str, bits: int) -> DataFrame:
     """(id, fp, tokens) of the documents whose id may be in the filter; tokens are sorted and packed.
 
     Rows without an id are held against the filter by their class, and each task sends a class of them once.
@@ -398,14 +436,7 @@ def _token_sets(docs: DataFrame, id_column: str, text: str, bits: int, words) ->
     schema = StructType([StructField("id", docs.schema[id_column].dataType), *StructType.fromDDL("fp long, tokens binary").fields])
 
     def run(batches):
-        table = np.zeros(bits // 64, _U)
-        for w, m in words.value:
-            table[w] = np.int64(m).view(_U)
-        sent = set()
-
-        def inside(h: np.ndarray) -> np.ndarray:
-            p = h.astype(np.int64) % bits
-            return (table[p >> 6] >> (p & 63).astype(_U)) & _U(1) > 0
+        inside, sent = Filter(path, bits), set()
 
         for batch in batches:
             keep = inside(batch.column("h1").to_numpy()) & inside(batch.column("h2").to_numpy())
@@ -454,8 +485,8 @@ def group_similar(docs: DataFrame, id_column: str = "doc_id", text: str = "text"
     # Only the documents that stand for a wanted class send their sets; the join makes that exact.
     # A class of which no row has an id is in the filter twice: as rows without an id, and by its fp.
     nameless = wanted.where("least IS NULL").select("least", F.col("node").alias("h1"), F.shiftright("node", 32).alias("h2"))
-    bits, words, n_wanted = _filter_bits(_hashed(wanted.select("least"), "least").unionByName(nameless))
-    sets = _token_sets(docs, id_column, text, bits, spark.sparkContext.broadcast(words)).alias("s")
+    filter_path, filter_bits, n_wanted = _store_filter(_hashed(wanted.select("least"), "least").unionByName(nameless), parts)
+    sets = _token_sets(docs, id_column, text, filter_path, filter_bits).alias("s")
     # Few wanted classes travel to the sets; beyond the bound both sides are shuffled.
     side = F.broadcast(wanted) if n_wanted <= BROADCAST_ROWS else wanted
     sets = sets.join(side.alias("w"), (F.col("s.fp") == F.col("w.node")) & F.col("s.id").eqNullSafe(F.col("w.least")))
@@ -464,7 +495,8 @@ def group_similar(docs: DataFrame, id_column: str = "doc_id", text: str = "text"
     tasks = spread.select("root", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "fp", "tokens")
     verified = tasks.repartition(parts, "root", "i", "j").sortWithinPartitions("root", "i", "j").mapInArrow(_verify(counts), "a long, b long")
     linked = components(verified)
-    delete_path(spark, counts[0])  # the links are stored by now
+    for path in (counts[0], filter_path):
+        delete_path(spark, path)  # the links are stored by now
     full = classes.join(linked, classes["fp"] == linked["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     named = full.select("fp", "root").join(full.groupBy("root").agg(F.min("least").alias("component")), "root").select("fp", "component", "root")
     named = materialize(named, "named")
