@@ -8,7 +8,7 @@ total and how many words followed it once, twice and more, and sends on the n-gr
 word, with the number of distinct first words: the continuation counts of the next shorter n-grams. So
 each order follows from the one above, down to single words.
 
-Storage. A model is a folder in the cluster's shared storage: for each order and bucket sorted arrays
+Storage. A model is a folder in the cluster's shared storage: for each order and bucket a file of sorted arrays
 of the hashes of n-grams and of contexts beside arrays of their numbers. Workers memory-map them (a
 store that is no file system is copied to the worker's own temporary folder first) and look hashes up
 by binary search.
@@ -48,7 +48,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
 from tidemark.llm.common import MIX, ascii_words, column, delete_path, fresh_path, hash_words, map_batches, scramble, steps
-from tidemark.llm.store import HashArray, Sparse, Store
+from tidemark.llm.store import Bundle, HashArray, Sparse, Store
 
 _U = np.uint64
 ORDER = 3
@@ -56,9 +56,9 @@ END = _U(xxhash.xxh3_64_intdigest("</s> end of text"))
 #: Numbers of the start mark, and of words that are not in the training texts.
 START, UNKNOWN = _U(0), _U(0xFFFFFFFFFFFFFFFF)
 #: Distinct n-grams (or words) that a counting task holds before it sends them on.
-HELD = 2_000_000
+HELD = 1_500_000
 #: Bytes of text for each bucket.
-BUCKET_BYTES = 24 << 20
+BUCKET_BYTES = 16 << 20
 
 _CODEC = pa.Codec("zstd", compression_level=1)
 
@@ -173,10 +173,11 @@ def _store_words(path: str):
             order, first, c = _summed(h, c)
             rank = np.empty(len(c), np.uint32)
             rank[np.lexsort((h[order][first], -c))] = np.arange(len(c))
-            store = Store(path)
-            store.put(f"words-{bucket}", h[order][first])
-            store.put(f"ranks-{bucket}", rank)
-            Sparse.put(store, f"frequencies-{bucket}", c)
+            bundle = Bundle()
+            bundle.put("words", h[order][first])
+            bundle.put("ranks", rank)
+            Sparse.put(bundle, "counts", c)
+            bundle.save(Store(path), f"words-{bucket}")
             yield _statistics(0, c)
 
     return run
@@ -190,7 +191,8 @@ class Words:
 
     def _bucket(self, b: int) -> tuple:
         if b not in self.maps:
-            self.maps[b] = (self.store.get(f"words-{b}", _U), self.store.get(f"ranks-{b}", np.uint32), Sparse.get(self.store, f"frequencies-{b}"))
+            found = Bundle.open(self.store, f"words-{b}")
+            self.maps[b] = (found.get("words", _U), found.get("ranks", np.uint32), Sparse.get(found, "counts"))
         return self.maps[b]
 
     def find(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -276,9 +278,9 @@ def _count_grams(batches, text: str, path: str, buckets: int, order: int):
         yield from flush()
 
 
-def _put_contexts(store: Store, name: str, context: np.ndarray, numbers: np.ndarray) -> None:
+def _put_contexts(bundle: Bundle, context: np.ndarray, numbers: np.ndarray) -> None:
     """Contexts (sorted hashes) and four numbers each: one byte for the most frequent sets of numbers, others listed."""
-    HashArray.put(store, name, context)
+    HashArray.put(bundle, "contexts", context)
     small = (numbers < 1 << 16).all(1)
     packed = (numbers[small].astype(_U) << (_U(16) * np.arange(4, dtype=_U))).sum(1, dtype=_U)
     sets, which, times = np.unique(packed, return_inverse=True, return_counts=True)
@@ -288,9 +290,9 @@ def _put_contexts(store: Store, name: str, context: np.ndarray, numbers: np.ndar
     code = np.full(len(numbers), 255, np.uint8)
     code[small] = code_of[which]
     rest = np.flatnonzero(code == 255)
-    store.put(f"{name}-codes", code)
-    store.put(f"{name}-sets", (sets[top][:, None] >> (_U(16) * np.arange(4, dtype=_U)) & _U(0xFFFF)).astype(np.int64).ravel())
-    store.put(f"{name}-rest", np.concatenate([rest[:, None], numbers[rest]], 1).astype(np.int64).ravel())
+    bundle.put("codes", code)
+    bundle.put("sets", (sets[top][:, None] >> (_U(16) * np.arange(4, dtype=_U)) & _U(0xFFFF)).astype(np.int64).ravel())
+    bundle.put("rest", np.concatenate([rest[:, None], numbers[rest]], 1).astype(np.int64).ravel())
 
 
 def _store_grams(path: str, level: int, buckets: int):
@@ -308,18 +310,20 @@ def _store_grams(path: str, level: int, buckets: int):
                 parts.append((*(np.repeat(w, sizes) for w in words), last, counts.astype(np.int64)))
             *words, c = (np.concatenate(x) for x in zip(*parts, strict=True))
             del parts
-            store = Store(path)
+            bundle = Bundle()
             h = gram_hash(words)
             order, first, c = _summed(h, c)
             at = order[first]
             words, h = [w[at] for w in words], h[at]
-            HashArray.put(store, f"grams-{level}-{bucket}", h)
-            Sparse.put(store, f"counts-{level}-{bucket}", c)
+            HashArray.put(bundle, "grams", h)
+            Sparse.put(bundle, "counts", c)
             yield _statistics(level, c)
             context = gram_hash(words[:-1])
             kinds = [c, *((c == k).astype(np.int64) for k in (1, 2)), (c > 2).astype(np.int64)]
             order, first, *numbers = _summed(context, *kinds)
-            _put_contexts(store, f"contexts-{level}-{bucket}", context[order][first], np.stack(numbers, 1))
+            _put_contexts(bundle, context[order][first], np.stack(numbers, 1))
+            bundle.save(Store(path), f"grams-{level}-{bucket}")
+            del bundle, h, context, numbers
             ends = words[1:]
             order, first, k = _summed(gram_hash(ends), np.ones(len(c), np.int64))
             ends = [w[order[first]] for w in ends]
@@ -345,7 +349,9 @@ def _store_continuations(path: str):
                 continue
             rank, k = (np.concatenate(x) for x in zip(*((_unpack(r["data"][0]).astype(np.int64), _unpack(r["data"][1]).astype(np.int64)) for r in rows), strict=True))
             total = np.bincount(rank, k).astype(np.int64)
-            Sparse.put(Store(path), f"continuations-{bucket}", total)
+            bundle = Bundle()
+            Sparse.put(bundle, "before", total)
+            bundle.save(Store(path), f"continuations-{bucket}")
             yield _statistics(1, total[total > 0])
 
     return run
@@ -413,23 +419,28 @@ class Reader:
         self.m, self.store, self.maps = model, Store(model.path), {}
         self.words = Words(model.path, model.buckets)
 
-    def _get(self, name: str, kind):
-        if name not in self.maps:
-            self.maps[name] = kind(self.store, name)
-        return self.maps[name]
+    def _bundle(self, file: str) -> tuple[Bundle, dict]:
+        """A mapped file, and what was made of its arrays so far."""
+        if file not in self.maps:
+            self.maps[file] = (Bundle.open(self.store, file), {})
+        return self.maps[file]
+
+    def _of(self, file: str, name: str, kind):
+        bundle, made = self._bundle(file)
+        if name not in made:
+            made[name] = kind.get(bundle, name)
+        return made[name]
 
     def _contexts(self, level: int, h: np.ndarray) -> np.ndarray:
         """(len(h), 4): total, and how many words followed once, twice and more; 0 where a context is not stored."""
         out = np.zeros((len(h), 4), np.int64)
         for b, at in _by_bucket(bucket_of(h, self.m.buckets), h):
-            name = f"contexts-{level}-{b}"
-            found = self._get(name, HashArray.get).find(h[at])
+            file = f"grams-{level}-{b}"
+            found = self._of(file, "contexts", HashArray).find(h[at])
             hit = np.flatnonzero(found >= 0)
             if len(hit):
-                place = found[hit]
-                code = self._get(f"{name}-codes", lambda s, k: s.get(k, np.uint8))[place]
-                sets = self._get(f"{name}-sets", lambda s, k: s.get(k, np.int64)).reshape(-1, 4)
-                rest = self._get(f"{name}-rest", lambda s, k: s.get(k, np.int64)).reshape(-1, 5)
+                bundle, place = self._bundle(file)[0], found[hit]
+                code, sets, rest = bundle.get("codes", np.uint8)[place], bundle.get("sets", np.int64).reshape(-1, 4), bundle.get("rest", np.int64).reshape(-1, 5)
                 numbers = np.zeros((len(hit), 4), np.int64)
                 listed = code == 255
                 numbers[~listed] = sets[code[~listed]]
@@ -441,10 +452,11 @@ class Reader:
     def _counts(self, level: int, context: np.ndarray, h: np.ndarray) -> np.ndarray:
         out = np.zeros(len(h), np.int64)
         for b, at in _by_bucket(bucket_of(context, self.m.buckets), h):
-            found = self._get(f"grams-{level}-{b}", HashArray.get).find(h[at])
+            file = f"grams-{level}-{b}"
+            found = self._of(file, "grams", HashArray).find(h[at])
             hit = np.flatnonzero(found >= 0)
             if len(hit):
-                out[at[hit]] = self._get(f"counts-{level}-{b}", Sparse.get)[found[hit]]
+                out[at[hit]] = self._of(file, "counts", Sparse)[found[hit]]
         return out
 
     def _lowest(self, number: np.ndarray) -> np.ndarray:
@@ -458,7 +470,7 @@ class Reader:
         owner = ((different[known] - _U(1)) % _U(m.buckets)).astype(np.int64)
         rank = ((different[known] - _U(1)) // _U(m.buckets)).astype(np.int64)
         for b, at in _by_bucket(owner, different[known]):
-            k[known[at]] = self._get(f"continuations-{b}", Sparse.get)[rank[at]]
+            k[known[at]] = self._of(f"continuations-{b}", "before", Sparse)[rank[at]]
         d = np.array([0.0, *m.discounts[0]])
         rest = float(np.dot(d[1:], m.lower_ones)) / m.lower_total
         return ((k - d[np.minimum(k, 3)]) / m.lower_total + rest / (m.types + 1))[which]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import os
 import shutil
 import tempfile
@@ -52,6 +53,42 @@ def _local_copies() -> str:
     return _copies.name
 
 
+class Bundle:
+    """Named arrays in one file, which is written and mapped as a whole; ``put`` and ``get`` as of a Store."""
+
+    def __init__(self):
+        self.arrays: dict[str, np.ndarray] = {}
+
+    def put(self, name: str, a: np.ndarray) -> None:
+        self.arrays[name] = np.ascontiguousarray(a)
+
+    def save(self, store: Store, file: str) -> None:
+        places, at = {}, 0
+        for name, a in self.arrays.items():
+            places[name] = (at, a.nbytes)
+            at += -(-a.nbytes // 8) * 8
+        head = json.dumps(places).encode()
+        head += b" " * (-len(head) % 8)
+        out = np.zeros(8 + len(head) + at, np.uint8)
+        out[:8] = np.frombuffer(np.int64(len(head)).tobytes(), np.uint8)
+        out[8 : 8 + len(head)] = np.frombuffer(head, np.uint8)
+        for name, a in self.arrays.items():
+            first = 8 + len(head) + places[name][0]
+            out[first : first + a.nbytes] = a.view(np.uint8).ravel()
+        store.put(file, out)
+
+    @classmethod
+    def open(cls, store: Store, file: str) -> Bundle:
+        out, mapped = cls(), store.get(file, np.uint8)
+        if len(mapped):
+            size = 8 + int(mapped[:8].view(np.int64)[0])
+            out.arrays = {name: mapped[size + at : size + at + n] for name, (at, n) in json.loads(mapped[8:size].tobytes()).items()}
+        return out
+
+    def get(self, name: str, dtype) -> np.ndarray:
+        return self.arrays[name].view(dtype) if name in self.arrays else np.empty(0, dtype)
+
+
 class Sparse:
     """Non-negative numbers as one byte each, with those from 255 on listed apart."""
 
@@ -59,14 +96,14 @@ class Sparse:
         self.small, self.at, self.large = small, at, large
 
     @staticmethod
-    def put(store: Store, name: str, values: np.ndarray) -> None:
+    def put(store: Store | Bundle, name: str, values: np.ndarray) -> None:
         at = np.flatnonzero(values >= 255)
         store.put(name, np.minimum(values, 255).astype(np.uint8))
         if len(at):
             store.put(f"{name}-large", np.concatenate([at, values[at]]).astype(np.int64))
 
     @classmethod
-    def get(cls, store: Store, name: str) -> Sparse:
+    def get(cls, store: Store | Bundle, name: str) -> Sparse:
         at, large = store.get(f"{name}-large", np.int64).reshape(2, -1)
         return cls(store.get(name, np.uint8), at, large)
 
@@ -89,7 +126,7 @@ class HashArray:
         self.index, self.low = index, low
 
     @staticmethod
-    def put(store: Store, name: str, hashes: np.ndarray) -> None:
+    def put(store: Store | Bundle, name: str, hashes: np.ndarray) -> None:
         """``hashes`` are sorted."""
         bits = max(1, (len(hashes) >> 4).bit_length())
         upper = (hashes >> _U(64 - bits)).astype(np.int64)
@@ -97,7 +134,7 @@ class HashArray:
         store.put(f"{name}-low", ((hashes << _U(bits)) >> _U(32)).astype(np.uint32))
 
     @classmethod
-    def get(cls, store: Store, name: str) -> HashArray:
+    def get(cls, store: Store | Bundle, name: str) -> HashArray:
         return cls(store.get(f"{name}-index", np.uint32), store.get(f"{name}-low", np.uint32))
 
     def find(self, hashes: np.ndarray) -> np.ndarray:
