@@ -9,7 +9,10 @@ import brute
 import duckdb
 import pytest
 
-from tidemark.llm import contracts
+from pyspark.sql import functions as F
+
+from tidemark.llm import contracts, media, mixing
+from tidemark.llm.common import read_table
 from tidemark.llm.oracles import ORACLES
 
 PASSAGE = "one two three four five six seven eight nine ten eleven twelve"
@@ -56,7 +59,9 @@ def test_pii(spark, hard_dir):
     found = got(spark, contracts.op5_pii, d)
     order = ["email", "ip", "card", "phone"]
     for i, t in docs:
-        if len(t) < 300_000:
+        if len(t) >= 300_000:  # quadratic for the plain patterns: digits beyond 19 are no card, and no address follows the @
+            assert found[i]["base_sha256"] == brute.sha("") and found[i]["spans"] == ""
+        else:
             want = brute.pii(t)
             assert found[i]["base_sha256"] == brute.sha(brute.digest(want, order)), t[:80]
             assert [found[i][f"n_{k}"] for k in order] == [sum(s[2] == k for s in want) for k in order]
@@ -114,6 +119,26 @@ def test_media(spark, hard_dir):
     assert found[0]["media_sha256"] == found[1]["media_sha256"]
 
 
+def test_media_by_plain_decoder(spark, hard_dir):
+    """What is stored, read back sample by sample; its digest and hash; all five filters are in use."""
+    d, docs, _, _ = hard_dir
+    found = got(spark, contracts.op4_media_columns, d)
+    rng = random.Random(5)
+    mixed = "".join(chr(rng.choice([32, 97, 122, 255, 0x20AC])) for _ in range(20_000)) + "ab" * 2000 + "x" * 3000 + "".join(chr(40 + k % 50) for k in range(6000)) + "".join(rng.choice("\0\0\0\0\5") for _ in range(5000))
+    stored = media.store_media(read_table(spark, d, "documents").select("doc_id", "text").unionByName(spark.createDataFrame([(-1, mixed)], "doc_id long, text string")))
+    kinds = set()
+    for r in stored.select("doc_id", "media.png", "text").collect():
+        rows, used = brute.png(bytes(r["png"]))
+        kinds |= set(used)
+        p = (r["text"] or "").encode()
+        assert bytes(v for row in rows for v in row) == media.payload(p)
+        if r["doc_id"] >= 0:
+            assert found[r["doc_id"]]["media_sha256"] == hashlib.sha256(r["png"]).hexdigest()
+            if len(rows) < 2000:
+                assert found[r["doc_id"]]["feature"] == brute.cosine_hash(rows)
+    assert kinds == {0, 1, 2, 3, 4}
+
+
 def test_mixing(spark, hard_dir):
     d, docs, rows, _ = hard_dir
     found = got(spark, contracts.op7_mixing, d)
@@ -128,6 +153,10 @@ def test_mixing(spark, hard_dir):
         own = [found[i] for i in size if source[i] == s]
         assert abs(sum(r["taken"] for r in own) - own[0]["target"]) <= max(r["size"] for r in own) / 2 + 1
         assert len({r["taken"] // r["size"] for r in own if r["size"]}) <= 2  # whole epochs, and one more for some
+    drawn = read_table(spark, d, "documents").select("doc_id", "source", "text", mixing.size_of(F.col("text")).alias("n"))
+    drawn = drawn.withColumns({"h": F.xxhash64(F.lit(17), F.col("doc_id").cast("string"), "text"), "w": F.greatest(F.coalesce(mixing.default_weight(F.col("text"), F.col("n")), F.lit(0.0)), F.lit(mixing.LEAST_WEIGHT))})
+    plain = [(r["doc_id"], r["source"], r["n"], ((r["h"] % 2**64 >> 11) + 0.5) / 2**53, r["w"]) for r in drawn.collect()]
+    assert {i: r["copies"] for i, r in found.items()} == brute.mixed(plain, {r["source"]: r["target"] for r in found.values()}, total)
     again = got(spark, contracts.op7_mixing, d)
     assert {i: r["taken"] for i, r in again.items()} == {i: r["taken"] for i, r in found.items()}
 
@@ -152,7 +181,13 @@ def test_licenses(spark, hard_dir):
 
 
 def test_quality(spark, hard_dir):
-    found = got(spark, contracts.op3_quality_classifier, hard_dir[0])
+    d, docs, _, _ = hard_dir
+    found = got(spark, contracts.op3_quality_classifier, d)
+    want = brute.quality([t for _, t in docs])
+    for i, t in docs:
+        votes, posterior, score = want[t]
+        assert found[i]["votes"] == ",".join(map(str, votes)), t[:80]
+        assert found[i]["posterior"] == pytest.approx(posterior, abs=1e-9) and found[i]["score"] == pytest.approx(score, abs=1e-6) and found[i]["keep"] == (score >= 0.5)
     assert not found[0]["keep"] and not found[1]["keep"] and not found[2]["keep"] and all(0 <= r["score"] <= 1 for r in found.values())
 
 
