@@ -28,6 +28,18 @@ def test_ordinals_over_partitions(spark):
     assert sorted(r["ord"] for r in B.with_ordinal(spark.range(50), B.shuffled(3, "id")).collect()) == list(range(50))
 
 
+def test_ordinals_of_many_rows(spark):
+    """A million rows of several columns, a skewed first key and partitions in disorder: no gap and no number twice."""
+    t = spark.range(1_000_000, numPartitions=9).select("id", F.when(F.col("id") % 3 == 0, 0).otherwise(F.xxhash64("id") % 1000).alias("k"), F.concat(F.lit("text "), "id").alias("a"), F.rand(3).alias("b"))
+    for order in (["k", "id"], B.shuffled(5, "id")):
+        got = B.with_ordinal(t, order, partitions=8).select("ord", "id", "a")
+        n, different, low, high, same = got.agg(F.count("*"), F.count_distinct("ord"), F.min("ord"), F.max("ord"), F.count_if(F.col("a") == F.concat(F.lit("text "), "id"))).first()
+        assert (n, different, low, high, same) == (1_000_000, 1_000_000, 0, 999_999, 1_000_000)
+    ordered = B.with_ordinal(t, ["k", "id"], partitions=8).select("ord", "k", "id")
+    after = ordered.select((F.col("ord") - 1).alias("ord"), F.col("k").alias("k2"), F.col("id").alias("id2"))
+    assert ordered.join(after, "ord").where("k > k2 OR (k = k2 AND id > id2)").count() == 0
+
+
 def test_labels(spark):
     t = spark.createDataFrame([(1,), (3,), (5,), (3,)], "label int")
     assert sorted(r[0] for r in B.map_labels(t, B.label_codes(t)).collect()) == [0, 1, 1, 2]

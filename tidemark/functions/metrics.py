@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+
+from tidemark.storage import running
 
 EPS = 1e-7
 
@@ -139,21 +140,21 @@ def mean_iou(df: DataFrame, y: str, predicted: str) -> DataFrame:
 
 
 def roc(df: DataFrame, y: str, p: str) -> DataFrame:
-    """(score, tp, fp, positives, negatives) at each distinct score, from the greatest down.
+    """(score, tp, fp, positives, negatives, pos, neg) at each distinct score, from the greatest down.
 
-    Scores are combined before they are ordered, so ties count together.
+    Scores are combined before they are ordered, so ties count together: ``pos`` and ``neg`` have the
+    score itself. Distinct scores are summed in ranges, not in one task.
     """
     counts = df.groupBy(F.col(p).alias("score")).agg(F.sum(F.when(F.col(y) >= 0.5, 1).otherwise(0)).alias("pos"), F.sum(F.when(F.col(y) < 0.5, 1).otherwise(0)).alias("neg"))
-    w = Window.orderBy(F.desc("score"))
-    total = Window.partitionBy()
-    return counts.select("score", F.sum("pos").over(w).alias("tp"), F.sum("neg").over(w).alias("fp"), F.sum("pos").over(total).alias("positives"), F.sum("neg").over(total).alias("negatives"))
+    summed = running(counts, [F.desc("score")], {"tp": "pos", "fp": "neg"})
+    total = counts.agg(F.sum("pos").alias("positives"), F.sum("neg").alias("negatives"))
+    return summed.join(F.broadcast(total)).select("score", "tp", "fp", "positives", "negatives", "pos", "neg")
 
 
 def auc(df: DataFrame, y: str, p: str) -> DataFrame:
     """Area under the ROC curve by the trapezoid rule."""
-    w = Window.orderBy(F.desc("score"))
-    curve = roc(df, y, p).withColumns({"tp0": F.coalesce(F.lag("tp").over(w), F.lit(0)), "fp0": F.coalesce(F.lag("fp").over(w), F.lit(0))})
-    return curve.agg(F.sum(F.try_divide((F.col("fp") - F.col("fp0")) * (F.col("tp") + F.col("tp0")) / 2.0, F.col("positives") * F.col("negatives"))).alias("auc"))
+    area = F.col("neg") * (2 * F.col("tp") - F.col("pos")) / 2.0
+    return roc(df, y, p).agg(F.sum(F.try_divide(area, F.col("positives") * F.col("negatives"))).alias("auc"))
 
 
 def sensitivity_at_specificity(df: DataFrame, y: str, p: str, least: float) -> DataFrame:

@@ -1,7 +1,7 @@
 """Batches as columns: ordinals, batch numbers, label codes, joint and multimodal batches.
 
 A global ordinal is needed to cut a table into batches. ``with_ordinal`` gets it without sorting in
-one task: rows are range-partitioned by their order, counted by partition, and numbered inside it.
+one task: rows are cut into ranges of their order and stored, counted by range, and numbered inside it.
 """
 
 from __future__ import annotations
@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from tidemark.storage import running
+
 
 def label_codes(table: DataFrame, label: str = "label") -> DataFrame:
     """(label, code): sorted distinct labels from 0; distinct labels are few by nature."""
@@ -36,14 +38,8 @@ def unique_labels(*tables: DataFrame, label: str = "label") -> DataFrame:
 
 def with_ordinal(table: DataFrame, order: list, name: str = "ord", partitions: int | None = None) -> DataFrame:
     """Rows numbered from 0 in the given total order."""
-    spark = table.sparkSession
-    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ranged = table.repartitionByRange(n, *order).withColumn("__part", F.spark_partition_id())
-    local = ranged.withColumn("__i", F.row_number().over(Window.partitionBy("__part").orderBy(*order)) - 1)
-    counts = ranged.groupBy("__part").agg(F.count("*").alias("__n"))
-    before = counts.withColumn("__before", F.coalesce(F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    joined = local.join(F.broadcast(before.select("__part", "__before")), "__part")
-    return joined.withColumn(name, F.col("__before") + F.col("__i")).drop("__part", "__i", "__before")
+    counted = running(table.withColumn("__one", F.lit(1).cast("long")), order, {name: "__one"}, partitions)
+    return counted.withColumn(name, F.col(name) - 1).drop("__one")
 
 
 def shuffled(seed: int, *keys: str) -> list[Column]:
