@@ -85,7 +85,9 @@ def test_store_round_trip(spark, tmp_path):
     s.write("t", rows, annot, order=["filename"], attrs={"rate": 1000}, shape=(3,), resize=1)
     got = {r["filename"]: r for r in s.load("t").collect()}
     assert got["a"]["id"] == 0 and len(got["a"]["annotations"]) == 2 and got["b"]["data"] == [1.0, 2.0, 2.0] and got["b"]["annotations"] == []
-    s.write("t", rows, order=["filename"], shape=(3,), discard=True)
+    assert s.unique_labels("t") == [1, 2]
+    s.write("t", rows.where("label = 1").withColumn("label", F.lit(7)), order=["filename"], shape=(3,), discard=True)
+    assert s.unique_labels("t") == [1, 2, 7]
     assert sorted(r["id"] for r in s.open("t").select("id").collect()) == [0, 1, 2]
     assert [r["id"] for r in s.ids_with_label("t", 4).collect()] == [0] and s.load("t", [1]).count() == 1
     with pytest.raises(TypeError):
@@ -135,3 +137,26 @@ def test_widened_windows_and_wav_sink(spark, tmp_path):
     df = spark.createDataFrame([("x.wav", [0.0, 0.5, -0.5], 100.0)], "filename string, data array<double>, rate double")
     assert audio.write_wavs(df, f"file://{tmp_path}/out", loud=False) == 1
     assert audio.read_header((tmp_path / "out" / "x.wav").read_bytes()) == (100, 1, 2, 3)
+
+
+def test_numbers_of_many_stored_rows(spark, tmp_path):
+    """Rows of several columns and appends: every id once, and annotations point to the rows meant."""
+    s = Store(spark, str(tmp_path / "many"))
+    rows = spark.range(60_000, numPartitions=7).select((F.xxhash64("id") % 1000).alias("k"), F.col("id").alias("own"), F.concat(F.lit("x"), "id").alias("name"), F.lit(1).alias("label"))
+    s.write("t", rows, order=["k", "own"])
+    s.write("t", rows, order=["k", "own"])
+    t = s.open("t")
+    assert t.agg(F.count("*"), F.count_distinct("id"), F.min("id"), F.max("id")).first() == (120_000, 120_000, 0, 119_999)
+    assert t.where("id >= 60000").agg(F.count_distinct("own")).first()[0] == 60_000
+
+
+def test_headers_of_compressed_files(spark, tmp_path):
+    """A FLAC header alone: rate, channels, width and frames; without the codec the samples' row says what is missing."""
+    info = (48_000 << 44 | 1 << 41 | 23 << 36 | 96_000).to_bytes(8, "big")
+    (tmp_path / "a.flac").write_bytes(b"fLaC" + b"\x80\x00\x00\x22" + bytes(10) + info + bytes(16))
+    assert audio.read_header((tmp_path / "a.flac").read_bytes()) == (48_000, 2, 3, 96_000)
+    h = audio.headers(spark, str(tmp_path)).first()
+    assert (h["filename"], h["rate"], h["duration"]) == ("a.flac", 48_000, 2.0)
+    files = spark.read.format("binaryFile").load(str(tmp_path)).select(F.lit("a.flac").alias("filename"), "content")
+    sel = spark.createDataFrame([("a.flac", 0.0, 1.0)], "filename string, start double, end double")
+    assert audio.load_waveforms(sel, files).first()["wave"]["error"]

@@ -1,7 +1,9 @@
 """Audio files as tables: listing, headers, samples, archives, synthetic signals, and a WAV sink.
 
 Files are read by Spark's binary reader, so any store that Spark reads works. Decoding is vectorised
-on the executors; headers alone are decoded where only they are needed.
+on the executors; headers alone are decoded where only they are needed. Headers of WAV and FLAC files are
+read here; samples of FLAC files are decoded by the package ``soundfile`` where that is installed, and
+are an error of their row where it is not.
 """
 
 from __future__ import annotations
@@ -41,7 +43,11 @@ def find_files(spark: SparkSession, path: str, substrings: list[str] | str | Non
 
 
 def read_header(content: bytes) -> tuple[int, int, int, int] | None:
-    """(rate, channels, bytes a sample, frames) of a WAV file; null if it is none."""
+    """(rate, channels, bytes a sample, frames) of a WAV or FLAC file; null if it is neither."""
+    if content[:4] == b"fLaC" and len(content) >= 26:
+        # Block head (4 bytes), block and frame sizes (10), then 20 bits rate, 3 channels, 5 bits a sample, 36 frames.
+        packed = int.from_bytes(content[18:26], "big")
+        return packed >> 44, (packed >> 41 & 7) + 1, ((packed >> 36 & 31) + 8) // 8, packed & (1 << 36) - 1
     try:
         with wave.open(io.BytesIO(content)) as w:
             return w.getframerate(), w.getnchannels(), w.getsampwidth(), w.getnframes()
@@ -51,6 +57,11 @@ def read_header(content: bytes) -> tuple[int, int, int, int] | None:
 
 def decode(content: bytes, channel: int = 0, start: int = 0, stop: int | None = None) -> np.ndarray:
     """Samples [start, stop) of one channel, scaled to [-1, 1)."""
+    if content[:4] == b"fLaC":
+        import soundfile  # not installed everywhere
+
+        x, _ = soundfile.read(io.BytesIO(content), start=max(0, start), stop=stop, dtype="float64", always_2d=True)
+        return x[:, channel]
     with wave.open(io.BytesIO(content)) as w:
         width, channels, n = w.getsampwidth(), w.getnchannels(), w.getnframes()
         start = min(max(0, start), n)
@@ -224,6 +235,16 @@ def wav_bytes(data: Column, rate: Column, loud: bool = True) -> Column:
 # Synthetic signals -----------------------------------------------------------------------------
 
 
+def hashed_uniform(seed, *key) -> Column:
+    """A number in (0, 1) from a hash of seed and key."""
+    return (F.shiftrightunsigned(F.xxhash64(F.lit(seed) if isinstance(seed, int) else seed, *key), 11) + 0.5) / F.lit(2.0**53)
+
+
+def normal(seed, *key) -> Column:
+    """A normal number from two hashed uniform ones (Box and Muller)."""
+    return F.sqrt(-2 * F.ln(hashed_uniform(seed, *key, F.lit(1)))) * F.cos(2 * np.pi * hashed_uniform(seed, *key, F.lit(2)))
+
+
 def _times(samples: int, rate: float) -> Column:
     return (F.col("id") - (samples - 1) / 2) / rate
 
@@ -235,7 +256,8 @@ def cosine(spark: SparkSession, rate: float, frequency: float, duration: float =
 
 
 def gaussian_noise(spark: SparkSession, sigma: float, samples: int, seed: int = 1) -> DataFrame:
-    return spark.range(samples, numPartitions=1 if samples < 1_000_000 else None).select(F.col("id").alias("pos"), (F.randn(seed) * sigma).alias("value"))
+    """(pos, value) of normal noise, by hashes of seed and place: the same on every layout."""
+    return spark.range(samples).select(F.col("id").alias("pos"), (normal(seed, F.col("id")) * sigma).alias("value"))
 
 
 def morlet_wavelet(spark: SparkSession, rate: float, frequency: float, width: float, samples: int | None = None, height: float = 1.0, displacement: float = 0.0, dfdt: float = 0.0) -> DataFrame:
@@ -246,12 +268,10 @@ def morlet_wavelet(spark: SparkSession, rate: float, frequency: float, width: fl
 
 
 def random_floats(spark: SparkSession, size: int = 1, low: float = 0.0, high: float = 1.0, seed: int = 1) -> DataFrame:
-    return spark.range(size).select((low + (high - low) * F.rand(seed)).alias("value"))
+    return spark.range(size).select((low + (high - low) * hashed_uniform(seed, F.col("id"))).alias("value"))
 
 
 def add_noise(df: DataFrame, sigma: float, data: str = "data", seed: int = 1) -> DataFrame:
     """Normal noise on every sample, by hashes of the row and the place, so that reruns agree."""
     key = F.xxhash64(F.lit(seed), *[c for c in df.columns if c != data])
-    u = lambda i, k: (F.shiftrightunsigned(F.xxhash64(key, i, F.lit(k)), 11) + 0.5) / F.lit(2.0**53)
-    normal = lambda i: F.sqrt(-2 * F.ln(u(i, 1))) * F.cos(2 * np.pi * u(i, 2))
-    return df.withColumn(data, F.transform(data, lambda v, i: v + sigma * normal(i)))
+    return df.withColumn(data, F.transform(data, lambda v, i: v + sigma * normal(key, i)))

@@ -2,7 +2,8 @@
 
 A store is a folder with one folder for each table. ``<name>`` holds rows with an ``id`` and
 ``<name>_annot`` their annotations, many for each ``data_index``. What holds for a whole table (column
-shapes, unique labels, the representation's parameters) is metadata of its columns.
+shapes, the representation's parameters) is metadata of its columns. The distinct labels of each write
+are rows of ``<name>_labels``, so that those of all writes are known without a scan of the data.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from pyspark.sql import types as T
 from tidemark.operators.batching import strong_labels, with_ordinal
 from tidemark.schema import SchemaError
 
-ATTRS, LABELS = "representation", "unique_labels"
+ATTRS = "representation"
 CODEC = "zstd"
 
 
@@ -58,11 +59,11 @@ class Store:
             data = with_ordinal(data, order or [c for c, t in data.dtypes if not t.startswith("array")], "id").withColumn("id", (F.col("id") + first).cast("long"))
         if attrs:
             data = data.withMetadata("id", {ATTRS: json.dumps(attrs, sort_keys=True)})
-        if "label" in data.columns and partition_by is None:
-            data = data.withMetadata("label", {LABELS: [r[0] for r in data.select("label").distinct().orderBy("label").collect() if r[0] is not None]})
         out = data.write.mode(mode).option("compression", CODEC)
         out = out.option("maxRecordsPerFile", max_records) if max_records else out
         (out.partitionBy(*partition_by) if partition_by else out).parquet(self.path(name))
+        if "label" in data.columns:
+            data.select("label").where("label IS NOT NULL").distinct().write.mode(mode).parquet(self.path(f"{name}_labels"))
         if annotations is not None:
             annotations.write.mode(mode).option("compression", CODEC).parquet(self.path(f"{name}_annot"))
 
@@ -88,10 +89,10 @@ class Store:
         return json.loads(self.open(name).schema["id"].metadata.get(ATTRS, "{}"))
 
     def unique_labels(self, name: str) -> list:
-        """From the table's metadata, or by a scan if that has none."""
-        table = self.open(name)
-        kept = table.schema["label"].metadata.get(LABELS)
-        return kept if kept else [r[0] for r in table.select("label").distinct().orderBy("label").collect()]
+        """The distinct labels of all writes; codes of classes, so few."""
+        kept = f"{name}_labels"
+        table = self.open(kept if self.exists(kept) else name)
+        return [r[0] for r in table.select("label").where("label IS NOT NULL").distinct().orderBy("label").collect()]
 
 
 def fit_shape(data: DataFrame, shape: tuple[int, ...], resize: int = 0, discard: bool = False, column: str = "data") -> DataFrame:
