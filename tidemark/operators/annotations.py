@@ -9,6 +9,7 @@ from pyspark.sql.window import Window
 
 from tidemark import schema
 from tidemark.functions.scalar import parse_datetime, to_hertz, to_seconds
+from tidemark.operators.batching import with_ordinal
 
 LABEL_MAP = "label_map"
 
@@ -186,8 +187,11 @@ def append(annotations: DataFrame, more: DataFrame, set_column: str | None = Non
     key = [set_column] if set_column else []
     conv = {c: (to_seconds if c in ("start", "end") else to_hertz)(F.col(c)) for c in schema.FLOATS if c in more.columns and isinstance(more.schema[c].dataType, T.StringType)}
     more = more.withColumns(conv).withColumn("label", F.col("label").cast("int"))
-    w = Window.partitionBy(*key).orderBy(*[c for c in ("start", "end", "label") if c in more.columns])
-    numbered = more.withColumn("annot_id", F.row_number().over(w) - 1)
+    order = [c for c in ("start", "end", "label") if c in more.columns]
+    if key:
+        numbered = more.withColumn("annot_id", F.row_number().over(Window.partitionBy(*key).orderBy(*order)) - 1)
+    else:
+        numbered = with_ordinal(more, order, "annot_id")
     top = annotations.groupBy(*key).agg((F.max("annot_id") + 1).alias("__next"))
     joined = numbered.join(F.broadcast(top), key, "left") if key else numbered.withColumn("__next", F.lit(top.first()[0]))
     placed = joined.withColumn("annot_id", (F.col("annot_id") + F.coalesce("__next", F.lit(0))).cast("int")).drop("__next")

@@ -35,22 +35,28 @@ def interval_join(left: DataFrame, right: DataFrame, on: str | list[str] = "file
     return joined.select("l.*", *[F.col(f"r.{c}").alias(c + suffix if c in left.columns else c) for c in right.columns if c not in keys])
 
 
-def banded_join(left: DataFrame, right: DataFrame, width: float, on: str = "filename", suffix: str = "_right") -> DataFrame:
+def banded_join(left: DataFrame, right: DataFrame, width: float, on: str = "filename", suffix: str = "_right", closed: bool = False) -> DataFrame:
     """``interval_join`` for keys with very many intervals; zero-length bands never arise."""
 
     def banded(df: DataFrame, name: str) -> DataFrame:
         first = F.floor(F.col("start") / width)
-        last = F.greatest(first, F.ceil(F.col("end") / width) - 1)
+        last = F.floor(F.col("end") / width) if closed else F.greatest(first, F.ceil(F.col("end") / width) - 1)
         return df.withColumn(f"__first_{name}", first).withColumn("__band", F.explode(F.sequence(first, last)))
 
     l, r = banded(left, "l").alias("l"), banded(right, "r").alias("r")
     once = F.col("l.__band") == F.greatest(F.col("l.__first_l"), F.col("r.__first_r"))
-    meet = overlaps(F.col("l.start"), F.col("l.end"), F.col("r.start"), F.col("r.end"))
+    meet = overlaps(F.col("l.start"), F.col("l.end"), F.col("r.start"), F.col("r.end"), closed)
     joined = l.join(r, (F.col(f"l.{on}") == F.col(f"r.{on}")) & (F.col("l.__band") == F.col("r.__band")) & once & meet)
     out = [F.col(f"l.{c}") for c in left.columns]
     return joined.select(*out, *[F.col(f"r.{c}").alias(c + suffix if c in left.columns else c) for c in right.columns if c != on])
 
 
+def touching(left: DataFrame, right: DataFrame, keys: list[str], width: float, on: str = "filename", closed: bool = False) -> DataFrame:
+    """The distinct ``keys`` of left rows that meet a right row, by bands; for semi and anti joins."""
+    met = banded_join(left.select(*keys, *[c for c in (on, "start", "end") if c not in keys]), right.select(on, "start", "end"), width, on, closed=closed)
+    return met.select(*keys).distinct()
+
+
 def union_duration(table: DataFrame, label: int | list[int] | None = None, by: list[str] | None = None) -> DataFrame:
     """Time covered by at least one interval of a file, summed by ``by`` (all rows together if none)."""
     rows = table if label is None else table.where(F.col("label").isin(label if isinstance(label, list) else [label]))

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tidemark.functions.scalar import ceil_tolerant, floor_tolerant, fractional_overlap
-from tidemark.operators.intervals import overlaps
+from tidemark.operators.intervals import banded_join, touching
+from tidemark.storage import stored
 
 
 def _list(x) -> list:
@@ -90,9 +91,8 @@ def select(
         else:
             unwanted = annotations.where(F.col("label").isin(_list(avoid_label)))
         if unwanted is not None:
-            s, a = out.alias("s"), unwanted.select("filename", "start", "end").alias("a")
-            touch = overlaps(F.col("a.start"), F.col("a.end"), F.col("s.start"), F.col("s.end"), closed=True)
-            out = s.join(a, (F.col("s.filename") == F.col("a.filename")) & touch, "left_anti")
+            # Windows and annotations meet in bands of time, so a file with very many of both is no product.
+            out = out.join(touching(out, unwanted, ["filename", "sel_id"], length, closed=True), ["filename", "sel_id"], "left_anti").select(*out.columns)
     if files is not None:
         inside = out.join(files.select("filename", "duration"), "filename").where("start >= 0 AND end <= duration")
         out = inside.select(*out.columns)
@@ -190,16 +190,12 @@ def random_selections(files: DataFrame, length: float, num: int, label: int = 0,
         tries = room.where(n > 0).withColumn("__i", F.explode(F.sequence(F.lit(1), n)))
         tries = tries.withColumns({"start": F.col("__room") * uniform(seed, "filename", "__i"), "__rank": uniform(seed + 1, "filename", "__i")}).withColumn("end", F.col("start") + length)
         if annotations is not None:
-            a = annotations.select("filename", (F.col("start") - buffer).alias("start"), (F.col("end") + buffer).alias("end")).alias("a")
-            t = tries.alias("t")
-            tries = t.join(a, (F.col("t.filename") == F.col("a.filename")) & overlaps(F.col("a.start"), F.col("a.end"), F.col("t.start"), F.col("t.end")), "left_anti")
+            a = annotations.select("filename", (F.col("start") - buffer).alias("start"), (F.col("end") + buffer).alias("end"))
+            tries = tries.join(touching(tries, a, ["filename", "__i"], length), ["filename", "__i"], "left_anti")
         if no_overlap:
             tries = tries.groupBy("filename").applyInPandas(_disjoint, tries.schema)
-        # At most ``num`` rows, so they are held once and neither counted nor drawn again.
-        drawn = tries.orderBy("__rank", "filename", "start").limit(num)
-        rows = drawn.collect()
-        found = files.sparkSession.createDataFrame(rows, drawn.schema)
-        if len(rows) >= num:
+        found = stored(tries.orderBy("__rank", "filename", "start").limit(num), "drawn")
+        if found.count() >= num:
             break
         wanted *= 2
     w = Window.partitionBy("filename").orderBy("start")
@@ -230,22 +226,24 @@ def outside_status(selections: DataFrame, files: DataFrame) -> DataFrame:
     return s.withColumn("status", status).drop("__d")
 
 
-def attach_annotations(selections: DataFrame, annotations: DataFrame) -> DataFrame:
+def attach_annotations(selections: DataFrame, annotations: DataFrame, width: float | None = None) -> DataFrame:
     """Each selection with the annotations that overlap it, in time relative to it.
 
     A selection may consist of parts of several files (rows with one sel_id, in order of ``part``); the
-    lengths of the parts before an annotation's own part are added to its times.
+    lengths of the parts before an annotation's own part are added to its times. Both sides meet in
+    bands of ``width`` seconds, the mean length of the selections if none is given.
     """
+    in_parts = "part" in selections.columns
+    key = ["sel_id", "part"] if in_parts else ["filename", "sel_id"]
+    if width is None:
+        width = selections.agg(F.avg(F.col("end") - F.col("start"))).first()[0] or 1.0
     w = Window.partitionBy("sel_id").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    parts = selections if "part" in selections.columns else selections.withColumn("part", F.lit(0))
-    key = ["sel_id", "part"] if "part" in selections.columns else ["filename", "sel_id"]
-    placed = parts.withColumn("__before", F.coalesce(F.sum(F.col("end") - F.col("start")).over(w), F.lit(0.0)) if "part" in selections.columns else F.lit(0.0))
-    a = annotations.select("filename", F.col("label").alias("__label"), F.col("start").alias("__s"), F.col("end").alias("__e")).alias("a")
-    p = placed.alias("p")
-    joined = p.join(a, (F.col("p.filename") == F.col("a.filename")) & (F.col("__e") > F.col("start")) & (F.col("__s") < F.col("end")), "left")
-    one = F.struct((F.col("__s") - F.col("start") + F.col("__before")).alias("start"), (F.col("__e") - F.col("start") + F.col("__before")).alias("end"), F.col("__label").alias("label"))
-    grouped = joined.groupBy(*[F.col(f"p.{c}") for c in placed.columns if c in key or c in ("filename", "start", "end", "label")]).agg(F.array_sort(F.collect_list(F.when(F.col("__s").isNotNull(), one))).alias("annotations"))
-    return grouped
-
-
-
+    before = F.coalesce(F.sum(F.col("end") - F.col("start")).over(w), F.lit(0.0)) if in_parts else F.lit(0.0)
+    placed = selections.select(*dict.fromkeys([*key, "filename", "start", "end"]), before.alias("__before"))
+    met = banded_join(placed, annotations.select("filename", "label", "start", "end"), width)
+    at = lambda t: (F.col(t) - F.col("start") + F.col("__before")).alias(t.removesuffix("_right"))
+    one = F.struct(at("start_right"), at("end_right"), F.col("label"))
+    found = met.groupBy(*key).agg(F.array_sort(F.collect_list(one)).alias("annotations"))
+    kind = found.schema["annotations"].dataType
+    kept = selections.select(*[c for c in selections.columns if c in key or c in ("filename", "start", "end", "label")])
+    return kept.join(found, key, "left").withColumn("annotations", F.coalesce("annotations", F.array().cast(kind)))
