@@ -18,10 +18,25 @@ WINDOWS = {"hamming": np.hamming, "hann": np.hanning, "hanning": np.hanning, "bl
 SIGNAL, IMAGE = "array<double>", "array<array<double>>"
 
 
-def kernel(fn: Callable, returns: str = SIGNAL, image: bool = False) -> Callable[..., Column]:
-    """A column function that applies ``fn`` to each array; null stays null."""
+def kernel(fn: Callable, returns: str = SIGNAL, image: bool = False, together: bool = False) -> Callable[..., Column]:
+    """A column function that applies ``fn`` to each array; null stays null.
+
+    With ``together`` the signals of equal length in a batch are the columns of one matrix, for kernels
+    that work along the first axis sample by sample.
+    """
+
+    def at_once(values: pd.Series) -> pd.Series:
+        out: list = [None] * len(values)
+        lengths = values.map(len, na_action="ignore")
+        for n in lengths.dropna().unique():
+            own = (lengths == n).to_numpy().nonzero()[0]
+            for i, y in zip(own, fn(np.stack(values.iloc[own].to_list()).astype(float).T).T.tolist(), strict=True):
+                out[i] = y
+        return pd.Series(out)
 
     def run(values: pd.Series) -> pd.Series:
+        if together:
+            return at_once(values)
         out = []
         for v in values:
             if v is None:
@@ -39,13 +54,14 @@ def kernel(fn: Callable, returns: str = SIGNAL, image: bool = False) -> Callable
 
 def pad(x: np.ndarray, left: int = 0, right: int = 0, mode: str = "reflect", invert: bool = False) -> np.ndarray:
     """Zeros, or the signal mirrored about its ends (and about their values if ``invert``), then zeros."""
+    zeros = lambda n: np.zeros((n, *x.shape[1:]))
     if mode == "zero":
-        return np.concatenate([np.zeros(left), x, np.zeros(right)])
+        return np.concatenate([zeros(left), x, zeros(right)])
 
     def mirrored(values: np.ndarray, edge: float, want: int) -> np.ndarray:
         got = values[:want]
         got = 2 * edge - got if invert else got
-        return np.concatenate([got, np.zeros(want - len(got))])
+        return np.concatenate([got, zeros(want - len(got))])
 
     head = mirrored(x[1:], x[0] if len(x) else 0.0, left)[::-1]
     tail = mirrored(x[-2::-1] if len(x) > 1 else x[:0], x[-1] if len(x) else 0.0, right)
@@ -165,53 +181,65 @@ def resample(x: np.ndarray, rate: float, new_rate: float) -> np.ndarray:
     return np.fft.irfft(fitted, n) * (n / len(x))
 
 
-def butterworth(rate: float, low: float | None, high: float | None, order: int = 3) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Second-order sections of a low-, high- or band-pass as a cascade of high- and low-pass, bilinear."""
-    sections = []
-    for kind, freq in (("high", low), ("low", high)):
-        if freq is None or freq <= 0 or (kind == "low" and freq >= rate / 2):
-            continue
-        c = math.tan(math.pi * freq / rate)
-        for i in range(order // 2):
-            k = 2 * math.sin(math.pi * (2 * i + 1) / (2 * order))
-            a0 = 1 + k * c + c * c
-            b = np.array([c * c, 2 * c * c, c * c]) if kind == "low" else np.array([1.0, -2.0, 1.0])
-            sections.append((b / a0, np.array([1.0, 2 * (c * c - 1) / a0, (1 - k * c + c * c) / a0])))
-        if order % 2:
-            b = np.array([c, c, 0.0]) if kind == "low" else np.array([1.0, -1.0, 0.0])
-            sections.append((b / (1 + c), np.array([1.0, (c - 1) / (1 + c), 0.0])))
-    return sections
-
-
-def iir(b: np.ndarray, a: np.ndarray, x: np.ndarray) -> np.ndarray:
-    """Direct form II transposed, any order."""
+def butterworth(rate: float, low: float | None, high: float | None, order: int = 3) -> tuple[np.ndarray, np.ndarray]:
+    """Coefficients (b, a) of a digital Butterworth filter: high-pass above ``low``, low-pass below ``high``, or
+    band-pass between them, of twice the order. Poles of the analogue prototype are moved and then mapped bilinearly."""
+    prototype = np.exp(1j * np.pi * (2 * np.arange(order) + order + 1) / (2 * order))
+    low = low if low and low > 0 else None
+    high = high if high and high < rate / 2 else None
+    if low is None and high is None:
+        return np.ones(1), np.ones(1)
+    w1, w2 = (2 * rate * math.tan(math.pi * f / rate) if f else None for f in (low, high))
+    if low is None:
+        poles, zeros, at = prototype * w2, 0, 1.0
+    elif high is None:
+        poles, zeros, at = w1 / prototype, order, -1.0
+    else:
+        half, square = prototype * (w2 - w1) / 2, w1 * w2
+        root = np.sqrt(half * half - square)
+        poles, zeros = np.concatenate([half + root, half - root]), order
+        at = np.exp(2j * math.atan(math.sqrt(square) / (2 * rate)))
+    b = np.poly(np.concatenate([np.ones(zeros), -np.ones(len(poles) - zeros)]))
+    a = np.real(np.poly((2 * rate + poles) / (2 * rate - poles)))
+    return b * np.real(np.polyval(a, at) / np.polyval(b, at)), a
+
+
+def iir(b: np.ndarray, a: np.ndarray, x: np.ndarray, z: np.ndarray | None = None) -> np.ndarray:
+    """Direct form II transposed, any order, along the first axis; ``z`` is the state to begin in."""
     order = max(len(a), len(b)) - 1
     b, a = np.pad(b, (0, order + 1 - len(b))) / a[0], np.pad(a, (0, order + 1 - len(a))) / a[0]
-    z, y = [0.0] * (order + 1), np.empty(len(x))
-    bs, as_ = b.tolist(), a.tolist()
-    for n, v in enumerate(np.asarray(x, float).tolist()):
-        out = bs[0] * v + z[0]
-        for i in range(1, order + 1):
-            z[i - 1] = bs[i] * v + z[i] - as_[i] * out
-        y[n] = out
+    x = np.asarray(x, float)
+    z, y = np.zeros((order + 1, *x.shape[1:])) if z is None else np.concatenate([z, z[:1] * 0]), np.empty(x.shape)
+    column = (slice(1, None), *[None] * (x.ndim - 1))
+    for n, v in enumerate(x):
+        y[n] = b[0] * v + z[0]
+        z[:-1] = b[column] * v + z[1:] - a[column] * y[n]
     return y
 
 
-def zero_phase(sections: list[tuple[np.ndarray, np.ndarray]], x: np.ndarray) -> np.ndarray:
-    """Forward and backward through all sections, over a signal extended by odd reflection."""
-    extra = min(len(x) - 1, 9 * max(1, len(sections)))
-    if extra < 1 or not sections:
-        return x
-    y = pad(x, extra, extra, "reflect", invert=True)
-    for _ in range(2):
-        for b, a in sections:
-            y = iir(b, a, y)
-        y = y[::-1]
-    return y[extra : extra + len(x)]
+def settled(b: np.ndarray, a: np.ndarray) -> np.ndarray:
+    """The state of ``iir`` after a long run of ones."""
+    order = max(len(a), len(b)) - 1
+    b, a = np.pad(b, (0, order + 1 - len(b))) / a[0], np.pad(a, (0, order + 1 - len(a))) / a[0]
+    level = b.sum() / a.sum()
+    return np.cumsum((b[1:] - a[1:] * level)[::-1])[::-1]
+
+
+def zero_phase(filters: list[tuple[np.ndarray, np.ndarray]], x: np.ndarray) -> np.ndarray:
+    """Forward and backward through each filter, over a signal extended by odd reflection, from a settled state."""
+    for b, a in filters:
+        extra = min(len(x) - 1, 3 * max(len(a), len(b)))
+        if len(a) == len(b) == 1 or extra < 1:
+            continue
+        y, z = pad(x, extra, extra, "reflect", invert=True), settled(b, a)
+        for _ in range(2):
+            y = iir(b, a, y, np.multiply.outer(z, y[0]))[::-1]
+        x = y[extra : extra + len(x)]
+    return x
 
 
 def bandpass(x: np.ndarray, rate: float, freq_min: float | None = None, freq_max: float | None = None, order: int = 3) -> np.ndarray:
-    return zero_phase(butterworth(rate, freq_min, freq_max, order), x)
+    return zero_phase([butterworth(rate, freq_min, freq_max, order)], x)
 
 
 def gammatone_section(rate: float, freq: float) -> list[tuple[np.ndarray, np.ndarray]]:

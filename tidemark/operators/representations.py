@@ -180,7 +180,7 @@ TRANSFORMS = {
     "adjust_range": _on_image(_adjust),
     "crop": lambda df, data, image, first=0, last=None: df.withColumn(data, F.slice(data, first + 1, (last - first + 1) if last is not None else (1 << 30))),
     "add_gaussian_noise": lambda df, data, image, sigma=1.0, seed=1: add_noise(df, sigma, data, seed),
-    "bandpass_filter": _on_image(lambda a, rate=1000.0, freq_min=None, freq_max=None, N=3: K.bandpass(a, rate, freq_min, freq_max, N)),
+    "bandpass_filter": lambda df, data, image, rate=1000.0, freq_min=None, freq_max=None, N=3: df.withColumn(data, K.kernel(lambda a: K.bandpass(a, rate, freq_min, freq_max, N), together=True)(data)),
     "blur": _on_image(lambda a, sigma_time=1.0, sigma_freq=0.0: K.blur(a, sigma_time, sigma_freq)),
     "enhance_signal": _on_image(_enhance),
     "reduce_tonal_noise": _on_image(_tonal),
