@@ -3,6 +3,10 @@
 A recipe is a JSON document that names the model, its layers, optimiser, loss and metrics. Networks are
 plain NumPy stacks of layers, enough to score and to train modest detectors here; any callable of a
 batch of arrays to a batch of score vectors can be scored instead.
+
+Training is data-parallel: in each round every task sums the gradients of its rows at the present
+weights, Spark sums the tasks' vectors, and the driver, which sees model-sized sums only, takes the
+optimiser's step. Dense layers are trained; what lies below them are fixed features.
 """
 
 from __future__ import annotations
@@ -16,14 +20,97 @@ from pathlib import Path
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions import metrics
 
+#: Losses that training minimises, for class labels; a recipe with another one can be scored and not trained.
+TRAINABLE = ("CategoricalCrossentropy", "SparseCategoricalCrossentropy", "MeanSquaredError")
+
+
+class Optimizer:
+    """One of the usual first-order rules, by name, with its usual parameters.
+
+    ``step`` gives the change of an array for its gradient; ``rate`` may be a number, or a function of the
+    number of steps so far (see ``schedule``). Moments are kept by the name of the array.
+    """
+
+    def __init__(self, name: str, learning_rate=None, rho: float | None = None, momentum: float = 0.0, nesterov: bool = False, beta_1: float = 0.9, beta_2: float = 0.999, epsilon: float = 1e-7, initial_accumulator_value: float = 0.1, decay: float = 0.0):
+        if name not in OPTIMIZERS:
+            raise ValueError(f"unknown optimizer {name!r}")
+        self.name, self.momentum, self.nesterov, self.b1, self.b2, self.eps, self.decay = name, momentum, nesterov, beta_1, beta_2, epsilon, decay
+        self.rho = rho if rho is not None else 0.95 if name == "Adadelta" else 0.9
+        self.rate = learning_rate if learning_rate is not None else 0.01 if name == "SGD" else 0.001
+        self.first, self.state, self.n = initial_accumulator_value, {}, 0
+
+    def _moment(self, key: tuple, like: np.ndarray, start: float = 0.0) -> np.ndarray:
+        return self.state.setdefault(key, np.full(like.shape, start))
+
+    def begin(self) -> None:
+        """Before the arrays of each step."""
+        self.n += 1
+
+    def step(self, key: str, g: np.ndarray) -> np.ndarray:
+        rate = (self.rate(self.n - 1) if callable(self.rate) else self.rate) / (1 + self.decay * (self.n - 1))
+        if self.name == "SGD":
+            if not self.momentum:
+                return -rate * g
+            v = self._moment((key, "v"), g)
+            v *= self.momentum
+            v -= rate * g
+            return self.momentum * v - rate * g if self.nesterov else v.copy()
+        if self.name == "Adagrad":
+            s = self._moment((key, "s"), g, self.first)
+            s += g * g
+            return -rate * g / (np.sqrt(s) + self.eps)
+        if self.name in ("RMSprop", "Adadelta"):
+            s = self._moment((key, "s"), g)
+            s += (1 - self.rho) * (g * g - s)
+            if self.name == "RMSprop":
+                v = self._moment((key, "v"), g)
+                v *= self.momentum
+                v += rate * g / (np.sqrt(s) + self.eps)
+                return -v
+            d = self._moment((key, "d"), g)
+            move = -np.sqrt(d + self.eps) / np.sqrt(s + self.eps) * g
+            d += (1 - self.rho) * (move * move - d)
+            return rate * move
+        m, s = self._moment((key, "m"), g), self._moment((key, "s"), g)
+        m += (1 - self.b1) * (g - m)
+        unbiased = m / (1 - self.b1**self.n)
+        if self.name == "Adamax":
+            s[...] = np.maximum(self.b2 * s, np.abs(g))
+            return -rate * unbiased / (s + self.eps)
+        s += (1 - self.b2) * (g * g - s)
+        if self.name == "Nadam":
+            unbiased = self.b1 * m / (1 - self.b1 ** (self.n + 1)) + (1 - self.b1) * g / (1 - self.b1**self.n)
+        return -rate * unbiased / (np.sqrt(s / (1 - self.b2**self.n)) + self.eps)
+
+
 OPTIMIZERS = ("Adadelta", "Adagrad", "Adam", "Adamax", "Nadam", "RMSprop", "SGD")
 
 
+def schedule(kind: str, rate: float, **p) -> Callable[[int], float]:
+    """A learning rate as a function of the steps so far: ExponentialDecay, InverseTimeDecay, PiecewiseConstantDecay, PolynomialDecay."""
+    if kind == "PiecewiseConstantDecay":
+        return lambda n: p["values"][int(np.searchsorted(p["boundaries"], n, side="left"))]
+    part = (lambda n: n // p["decay_steps"]) if p.get("staircase") else (lambda n: n / p["decay_steps"])
+    if kind == "ExponentialDecay":
+        return lambda n: rate * p["decay_rate"] ** part(n)
+    if kind == "InverseTimeDecay":
+        return lambda n: rate / (1 + p["decay_rate"] * part(n))
+    if kind == "PolynomialDecay":
+        low, steps, power, again = p.get("end_learning_rate", 1e-4), p["decay_steps"], p.get("power", 1.0), p.get("cycle", False)
+
+        def at(n: int) -> float:
+            whole = steps * max(1, -(-n // steps)) if again else steps
+            return (rate - low) * (1 - min(n, whole) / whole) ** power + low
+
+        return at
+    raise ValueError(f"unknown schedule {kind!r}")
+
+
 @dataclass(frozen=True)
 class Recipe:
     """What a model is made of; ``layers`` are dictionaries with a ``kind`` and its parameters."""
@@ -185,21 +272,46 @@ class Network:
             new.freeze(*self._dense()[:-1])
         return new
 
-    def train_step(self, x: np.ndarray, y: np.ndarray, rate: float) -> float:
-        """One gradient step on the dense layers; returns the cross-entropy before it."""
+    def gradients(self, x: np.ndarray, y: np.ndarray, loss: str = "CategoricalCrossentropy") -> tuple[float, dict[str, np.ndarray]]:
+        """The summed loss of a batch and the sums of its gradients by the arrays of the dense layers that aren't frozen."""
         out = self._forward(self.with_channel(x))
-        hot = np.eye(self.recipe.n_classes)[np.asarray(y, int)]
-        loss = float(-np.log(np.maximum((out[-1] * hot).sum(1), 1e-12)).mean())
-        g = (out[-1] - hot) / len(hot)
-        names = self._dense()
+        hot, p = np.eye(self.recipe.n_classes)[np.asarray(y, int)], out[-1]
+        if loss == "MeanSquaredError":
+            value = float(((p - hot) ** 2).mean(1).sum())
+            d = 2 * (p - hot) / p.shape[1]
+            g = p * (d - (d * p).sum(1, keepdims=True))
+        elif loss in TRAINABLE:
+            value = float(-np.log(np.maximum((p * hot).sum(1), 1e-12)).sum())
+            g = p - hot
+        else:
+            raise ValueError(f"{loss} is not a loss that training minimises; it is one of {TRAINABLE}")
+        names, found = self._dense(), {}
         for i in range(len(names) - 1, -1, -1):
-            w, b = self.weights[f"{names[i]}.w"], self.weights[f"{names[i]}.b"]
-            gw, gb = out[i].T @ g, g.sum(0)
-            g = (g @ w.T) * (out[i] > 0)
             if names[i] not in self.frozen:
-                w -= rate * gw
-                b -= rate * gb
-        return loss
+                found[f"{names[i]}.w"], found[f"{names[i]}.b"] = out[i].T @ g, g.sum(0)
+            g = (g @ self.weights[f"{names[i]}.w"].T) * (out[i] > 0)
+        return value, found
+
+    def optimizer(self) -> Optimizer:
+        """The recipe's optimizer; its learning rate may be a schedule {"recipe_name", "parameters"}."""
+        p = dict(self.recipe.optimizer.get("parameters") or {})
+        rate = p.get("learning_rate")
+        if isinstance(rate, dict):
+            given = dict(rate["parameters"])
+            p["learning_rate"] = schedule(rate["recipe_name"], given.pop("initial_learning_rate", 0.0), **given)
+        return Optimizer(self.recipe.optimizer["recipe_name"], **p)
+
+    def apply(self, optimizer: Optimizer, sums: dict[str, np.ndarray], n: int) -> None:
+        """One step of the optimizer along mean gradients."""
+        optimizer.begin()
+        for key, g in sums.items():
+            self.weights[key] = self.weights[key] + optimizer.step(key, g / n)
+
+    def train_step(self, x: np.ndarray, y: np.ndarray, optimizer: Optimizer) -> float:
+        """One step on a batch at hand; returns the mean loss before it."""
+        loss, sums = self.gradients(x, y, self.recipe.loss_function["recipe_name"])
+        self.apply(optimizer, sums, len(x))
+        return loss / len(x)
 
     def save(self, path: str, representation: dict | None = None, metadata: dict | None = None) -> None:
         """A zip archive: recipe, weights, and the representation and metadata if given."""
@@ -224,16 +336,55 @@ class Network:
         return (model.with_new_top(new_classes) if new_classes else model), representation
 
 
-def train(model: Network, batches: Callable[[], Iterator[tuple[np.ndarray, np.ndarray]]], epochs: int = 5, rate: float = 0.05, validate: Callable[[], Iterator[tuple[np.ndarray, np.ndarray]]] | None = None, patience: int | None = None, log: str | None = None) -> list[dict]:
-    """Epochs of gradient steps over batches; stops early when the validation loss no longer falls."""
+def _stacked(values) -> np.ndarray:
+    return np.stack([np.vstack(v) if len(v) and np.ndim(v[0]) else np.asarray(v, float) for v in values])
+
+
+def summed_gradients(df: DataFrame, model: Network, data: str = "data", label: str = "label", batch: int = 128) -> tuple[int, float, dict[str, np.ndarray]]:
+    """(rows, summed loss, summed gradients by array) over all rows: one vector leaves each task, and Spark adds them up."""
+    shared = df.sparkSession.sparkContext.broadcast(model)
+    loss = model.recipe.loss_function["recipe_name"]
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        net, n, total, sums = shared.value, 0, 0.0, {}
+        for frame in frames:
+            for i in range(0, len(frame), batch):
+                part = frame.iloc[i : i + batch]
+                value, found = net.gradients(_stacked(part[data]), part[label].to_numpy(), loss)
+                n, total = n + len(part), total + value
+                for k, g in found.items():
+                    sums[k] = sums.get(k, 0) + g
+        if n:
+            yield pd.DataFrame({"key": ["", *sums], "at": [[float(n), total], *(g.ravel().tolist() for g in sums.values())]})
+
+    parts = df.select(data, label).mapInPandas(run, "key string, at array<double>")
+    added = parts.select("key", F.posexplode("at").alias("i", "v")).groupBy("key", "i").agg(F.sum("v").alias("v"))
+    rows = added.groupBy("key").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "v"))), lambda s: s["v"]).alias("at")).collect()
+    shared.unpersist()
+    by = {r["key"]: np.array(r["at"]) for r in rows}
+    n, total = by.pop("", np.zeros(2))
+    return int(n), float(total), {k: v.reshape(model.weights[k].shape) for k, v in by.items()}
+
+
+def train(model: Network, df: DataFrame, epochs: int = 5, batches: int = 1, data: str = "data", label: str = "label", validate: DataFrame | None = None, patience: int | None = None, log: str | None = None, seed: int = 1) -> list[dict]:
+    """Epochs of the recipe's optimizer over a table, in ``batches`` parts of it that a hash draws anew each epoch.
+
+    Stops early when the validation loss no longer falls. Returns, and writes as CSV to ``log``, a row for each epoch.
+    """
+    optimizer = model.optimizer()
     history, best, since = [], float("inf"), 0
     for epoch in range(epochs):
-        losses = [model.train_step(x, y, rate) for x, y in batches()]
-        row = {"epoch": epoch, "train_loss": float(np.mean(losses))}
+        seen, lost = 0, 0.0
+        for k in range(batches):
+            part = df.where(F.pmod(F.xxhash64(F.lit(seed), F.lit(epoch), data, label), F.lit(batches)) == k) if batches > 1 else df
+            n, loss, sums = summed_gradients(part, model, data, label)
+            if n:
+                model.apply(optimizer, sums, n)
+            seen, lost = seen + n, lost + loss
+        row = {"epoch": epoch, "train_loss": lost / max(1, seen)}
         if validate is not None:
-            scores = [(model(x), np.asarray(y, int)) for x, y in validate()]
-            row["val_loss"] = float(np.mean([-np.log(np.maximum(p[np.arange(len(y)), y], 1e-12)).mean() for p, y in scores]))
-            row["val_accuracy"] = float(np.mean(np.concatenate([p.argmax(1) == y for p, y in scores])))
+            got = evaluate(score(validate, model, data), label).first()
+            row |= {"val_loss": float(got["loss"]), "val_accuracy": float(got["accuracy"])}
             since = 0 if row["val_loss"] < best - 1e-4 else since + 1
             best = min(best, row["val_loss"])
         history.append(row)
@@ -255,31 +406,38 @@ def score(df: DataFrame, model: Callable[[np.ndarray], np.ndarray], data: str =
             made = []
             for i in range(0, len(values), batch):
                 part = values.iloc[i : i + batch]
-                x = np.stack([np.vstack(v) if len(v) and np.ndim(v[0]) else np.asarray(v, float) for v in part])
-                made += np.asarray(fn(x)).tolist()
+                made += np.asarray(fn(_stacked(part))).tolist()
             yield pd.Series(made)
 
     return df.withColumn(out, run(data))
 
 
-def evaluate(scored: DataFrame, label: str = "label", scores: str = "scores") -> DataFrame:
-    """Loss and accuracy of score vectors against integer labels."""
-    predicted = F.array_position(scores, F.array_max(scores)) - 1
-    return scored.agg(metrics.sparse_crossentropy(label, scores).alias("loss"), metrics.class_accuracy(F.col(label), predicted).alias("accuracy"), F.count("*").alias("n"))
+#: Metrics of a recipe that are computed from a label and a score vector, and how.
+ON_SCORES = ("CategoricalCrossentropy", "SparseCategoricalCrossentropy", "CategoricalHinge", "TopKCategoricalAccuracy", "SparseTopKCategoricalAccuracy")
+ON_CLASSES = ("CategoricalAccuracy", "SparseCategoricalAccuracy")
+
+
+def metric_value(name: str, label: str = "label", scores: str = "scores", positive: int = 1) -> Column:
+    """A registered metric of score vectors against integer labels; binary ones look at the class ``positive``."""
+    fn = metrics.REGISTRY[name]
+    if name in ON_SCORES:
+        return fn(label, scores)
+    if name in ON_CLASSES:
+        return fn(F.col(label), F.array_position(scores, F.array_max(scores)) - 1)
+    p = F.get(F.col(scores), F.lit(positive))
+    return fn(p) if name in ("Mean", "Sum") else fn((F.col(label) == positive).cast("double"), p)
 
 
-def feed_arrays(df: DataFrame, data: str = "data", label: str = "label", batch: int = 128) -> Callable[[], Iterator[tuple[np.ndarray, np.ndarray]]]:
-    """Batches of a table for ``train``, streamed to the driver partition by partition."""
+def evaluate(scored: DataFrame, label: str = "label", scores: str = "scores", recipe: Recipe | None = None) -> DataFrame:
+    """Loss and accuracy of score vectors against integer labels, and the recipe's own loss and metrics if it is given."""
+    predicted = F.array_position(scores, F.array_max(scores)) - 1
+    own = [] if recipe is None else [metric_value(m["recipe_name"], label, scores).alias(m["recipe_name"]) for m in {m["recipe_name"]: m for m in (recipe.loss_function, *recipe.metrics)}.values()]
+    return scored.agg(metrics.sparse_crossentropy(label, scores).alias("loss"), metrics.class_accuracy(F.col(label), predicted).alias("accuracy"), F.count("*").alias("n"), *own)
+
 
-    def run():
-        xs, ys = [], []
-        for r in df.select(data, label).toLocalIterator(prefetchPartitions=True):
-            xs.append(r[data])
-            ys.append(r[label])
-            if len(xs) == batch:
-                yield np.array(xs), np.array(ys)
-                xs, ys = [], []
-        if xs:
-            yield np.array(xs), np.array(ys)
+def detect(df: DataFrame, model: Callable[[np.ndarray], np.ndarray], label: int = 1, data: str = "data", **options) -> DataFrame:
+    """Detections of one class in a table of inputs (filename, offset, data); ``options`` are those of ``detections.detect``."""
+    from tidemark.operators import detections
 
-    return run
+    frames = score(df, model, data).select("filename", "offset", F.get("scores", F.lit(label)).alias("score"))
+    return detections.detect(frames, **options)

@@ -68,6 +68,17 @@ def median_filter(long: DataFrame, row_factor: float = 3.0, col_factor: float =
     return kept.withColumn(value, F.when((F.col("__v") > col_factor * F.median("__v").over(cols)) & (F.col("__v") > 0), 1.0).otherwise(0.0)).drop("__v")
 
 
+def detect_peaks(df: DataFrame, distance: int = 1, multiplicity: int = 1, prominence: float = 1.0, height: float | None = None, data: str = "data", out: str = "peaks") -> DataFrame:
+    """Images (time by series) with ``out``: 1 for each time at which at least ``multiplicity`` series peak, else 0.
+
+    Prominence is in units of a series' median distance from its median; peaks are ``distance`` apart.
+    """
+    from tidemark.functions import kernels as K
+
+    flags = K.kernel(lambda a: K.peak_flags(a, distance, multiplicity, prominence, height), "array<int>", image=True)
+    return df.withColumn(out, flags(data))
+
+
 def add_images(a: DataFrame, b: DataFrame, t_offset: int = 0, scale: float = 1.0, key: str = KEY) -> DataFrame:
     """Value by value sum of two images of an object, the second moved in time; the extent is the first's."""
     moved = b.select(key, (F.col("t_bin") + t_offset).alias("t_bin"), "f_bin", (F.col("value") * scale).alias("__b"))
