@@ -26,7 +26,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
-def _query(oracle: str | None = None):
+def query(oracle: str | None = None):
     def add(fn):
         QUERIES[fn.__name__] = fn
         if oracle:
@@ -36,29 +36,29 @@ def _query(oracle: str | None = None):
     return add
 
 
-def _r(*names: str) -> list:
+def rounded(*names: str) -> list:
     return [F.round(n, 6).alias(n) for n in names]
 
 
-def _rounded(*names: str) -> str:
+def rounded_sql(*names: str) -> str:
     return ", ".join(f'round("{n}", 6) AS "{n}"' for n in names)
 
 
 # Annotations ---------------------------------------------------------------------------------
 
 
-@_query(sql("SELECT label, count(*) AS n FROM segannot GROUP BY label", "segannot"))
+@query(sql("SELECT label, count(*) AS n FROM segannot GROUP BY label", "segannot"))
 def segments_label_count(spark, d):
     _, annot = S.select_by_segmenting(V.files(spark, d), LENGTH, V.annotations(spark, d), STEP)
     return annot.groupBy("label").agg(F.count("*").alias("n"))
 
 
-@_query(sql(f'SELECT filename, annot_id, label, {_rounded("start", "end")}, event_id FROM annot', "annot"))
+@query(sql(f'SELECT filename, annot_id, label, {rounded_sql("start", "end")}, event_id FROM annot', "annot"))
 def standardize_labels(spark, d):
-    return A.standardize(V.raw_annotations(spark, d), order=["event_id"]).select("filename", "annot_id", "label", *_r("start", "end"), "event_id")
+    return A.standardize(V.raw_annotations(spark, d), order=["event_id"]).select("filename", "annot_id", "label", *rounded("start", "end"), "event_id")
 
 
-@_query(
+@query(
     """SELECT source AS filename, label, doc_id FROM (SELECT source, doc_id, unnest(string_split(lang || ',' || source, ',')) AS label FROM documents)"""
 )
 def unfold_labels(spark, d):
@@ -66,7 +66,7 @@ def unfold_labels(spark, d):
     return A.unfold(docs)
 
 
-@_query(sql("SELECT label, count(*) AS n FROM annot GROUP BY label", "annot"))
+@query(sql("SELECT label, count(*) AS n FROM annot GROUP BY label", "annot"))
 def label_occurrence(spark, d):
     return A.label_occurrence(V.annotations(spark, d))
 
@@ -74,15 +74,15 @@ def label_occurrence(spark, d):
 _CENTER = f'SELECT filename, annot_id AS sel_id, label, round(start + 0.5 * ("end" - start - {LENGTH}), 6) AS start, round(start + 0.5 * ("end" - start - {LENGTH}) + {LENGTH}, 6) AS "end" FROM annot'
 
 
-@_query(sql(_CENTER, "annot"))
+@query(sql(_CENTER, "annot"))
 def select_center(spark, d):
-    return S.select(V.annotations(spark, d), LENGTH, center=True).select("filename", "sel_id", "label", *_r("start", "end"))
+    return S.select(V.annotations(spark, d), LENGTH, center=True).select("filename", "sel_id", "label", *rounded("start", "end"))
 
 
 _SHIFT_L, _SHIFT_STEP, _SHIFT_MIN = 3600.0, 900.0, 0.5
 
 
-@_query(
+@query(
     sql(
         f"""WITH a AS (SELECT *, start + 0.5 * ("end" - start - {_SHIFT_L}) AS t FROM annot),
 k AS (SELECT unnest(range(-64, 65)) AS k),
@@ -94,10 +94,10 @@ FROM o WHERE k = 0 OR o >= {_SHIFT_MIN}""",
     )
 )
 def select_stepped(spark, d):
-    return S.select(V.annotations(spark, d), _SHIFT_L, step=_SHIFT_STEP, min_overlap=_SHIFT_MIN, center=True).select("filename", "sel_id", "label", *_r("start", "end"))
+    return S.select(V.annotations(spark, d), _SHIFT_L, step=_SHIFT_STEP, min_overlap=_SHIFT_MIN, center=True).select("filename", "sel_id", "label", *rounded("start", "end"))
 
 
-@_query(
+@query(
     sql(
         f"""WITH c AS (SELECT filename, annot_id AS sel_id, label, start + 0.5 * ("end" - start - 600.0) AS s FROM annot WHERE label IN (0, 2))
 SELECT filename, sel_id, label, round(s, 6) AS start, round(s + 600.0, 6) AS "end" FROM c
@@ -106,53 +106,41 @@ WHERE NOT EXISTS (SELECT 1 FROM annot a WHERE a.filename = c.filename AND a.labe
     )
 )
 def select_avoid_label(spark, d):
-    return S.select(V.annotations(spark, d), 600.0, center=True, label=[0, 2], avoid_label=1).select("filename", "sel_id", "label", *_r("start", "end"))
+    return S.select(V.annotations(spark, d), 600.0, center=True, label=[0, 2], avoid_label=1).select("filename", "sel_id", "label", *rounded("start", "end"))
 
 
-@_query(sql(f"SELECT * FROM ({_CENTER}) JOIN files USING (filename) WHERE start >= 0 AND \"end\" <= duration", "annot", "files").replace("SELECT * FROM", 'SELECT filename, sel_id, label, start, "end" FROM'))
+@query(sql(f"SELECT * FROM ({_CENTER}) JOIN files USING (filename) WHERE start >= 0 AND \"end\" <= duration", "annot", "files").replace("SELECT * FROM", 'SELECT filename, sel_id, label, start, "end" FROM'))
 def select_inside_file(spark, d):
-    return S.select(V.annotations(spark, d), LENGTH, center=True, files=V.files(spark, d)).select("filename", "sel_id", "label", *_r("start", "end"))
+    return S.select(V.annotations(spark, d), LENGTH, center=True, files=V.files(spark, d)).select("filename", "sel_id", "label", *rounded("start", "end"))
 
 
-@_query(sql('SELECT * FROM seg', "seg"))
+@query(sql('SELECT * FROM seg', "seg"))
 def segment_files(spark, d):
     return V.segments(spark, d)
 
 
-@_query(sql(f'SELECT filename, sel_id, annot_id, label, {_rounded("start", "end")} FROM segannot', "segannot"))
+@query(sql(f'SELECT filename, sel_id, annot_id, label, {rounded_sql("start", "end")} FROM segannot', "segannot"))
 def segment_annotations(spark, d):
     n = int((V.DAYS_30 - LENGTH) / STEP + 1)
-    return S.segment_annotations(V.annotations(spark, d), n, LENGTH, STEP).select("filename", "sel_id", "annot_id", "label", *_r("start", "end"))
+    return S.segment_annotations(V.annotations(spark, d), n, LENGTH, STEP).select("filename", "sel_id", "annot_id", "label", *rounded("start", "end"))
 
 
-@_query(sql("SELECT filename, sel_id, start, \"end\", 9 AS label FROM seg WHERE NOT EXISTS (SELECT 1 FROM segannot x WHERE x.filename = seg.filename AND x.sel_id = seg.sel_id)", "seg", "segannot"))
+@query(sql("SELECT filename, sel_id, start, \"end\", 9 AS label FROM seg WHERE NOT EXISTS (SELECT 1 FROM segannot x WHERE x.filename = seg.filename AND x.sel_id = seg.sel_id)", "seg", "segannot"))
 def segments_empty(spark, d):
     return S.select_by_segmenting(V.files(spark, d), LENGTH, V.annotations(spark, d), STEP, keep_only_empty=True, label_empty=9)[0]
 
 
-@_query(sql("SELECT * FROM seg WHERE EXISTS (SELECT 1 FROM segannot x WHERE x.filename = seg.filename AND x.sel_id = seg.sel_id)", "seg", "segannot"))
+@query(sql("SELECT * FROM seg WHERE EXISTS (SELECT 1 FROM segannot x WHERE x.filename = seg.filename AND x.sel_id = seg.sel_id)", "seg", "segannot"))
 def segments_nonempty(spark, d):
     return S.select_by_segmenting(V.files(spark, d), LENGTH, V.annotations(spark, d), STEP, discard_empty=True)[0]
 
 
-@_query(sql("SELECT * FROM seg WHERE NOT EXISTS (SELECT 1 FROM segannot x WHERE x.filename = seg.filename AND x.sel_id = seg.sel_id AND x.label = 1)", "seg", "segannot"))
-def segments_avoid_label(spark, d):
-    return S.select_by_segmenting(V.files(spark, d), LENGTH, V.annotations(spark, d), STEP, avoid_label=1)[0]
-
-
-@_query(sql(f"SELECT filename, annot_id, label, {_rounded('start', 'end')} FROM annot WHERE label IN (1, 3) AND \"end\" > 100000 AND start < 900000", "annot"))
+@query(sql(f"SELECT filename, annot_id, label, {rounded_sql('start', 'end')} FROM annot WHERE label IN (1, 3) AND \"end\" > 100000 AND start < 900000", "annot"))
 def query_interval(spark, d):
-    return A.query(V.annotations(spark, d), label=[1, 3], start=100_000, end=900_000).select("filename", "annot_id", "label", *_r("start", "end"))
-
-
-@_query(sql("SELECT * FROM seg WHERE EXISTS (SELECT 1 FROM segannot x WHERE x.filename = seg.filename AND x.sel_id = seg.sel_id AND x.label = 2 AND x.\"end\" > 0 AND x.start < 5000)", "seg", "segannot"))
-def query_annotated(spark, d):
-    n = int((V.DAYS_30 - LENGTH) / STEP + 1)
-    found = S.segment_annotations(V.annotations(spark, d), n, LENGTH, STEP)
-    return A.query_annotated(V.segments(spark, d), found, label=2, start=0.0, end=5000.0)[0]
+    return A.query(V.annotations(spark, d), label=[1, 3], start=100_000, end=900_000).select("filename", "annot_id", "label", *rounded("start", "end"))
 
 
-@_query(
+@query(
     sql(
         """WITH o AS (SELECT filename, start, "end", max("end") OVER (PARTITION BY filename ORDER BY start, "end" ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS pm FROM annot)
 SELECT filename, round(sum(greatest(0, "end" - greatest(start, coalesce(pm, start)))), 4) AS duration FROM o GROUP BY filename""",
@@ -163,7 +151,7 @@ def union_duration(spark, d):
     return I.union_duration(V.annotations(spark, d), by=["filename"]).withColumn("duration", F.round("duration", 4))
 
 
-@_query(
+@query(
     sql(
         """WITH c AS (SELECT filename, annot_id, label, greatest(0, start - 86400) AS start, greatest(0, least("end", 864000) - 86400) AS "end" FROM annot)
 SELECT filename, annot_id, label, round(greatest(0, start + 500), 6) AS start, round(greatest(0, "end" + 500), 6) AS "end" FROM c WHERE "end" > start""",
@@ -171,10 +159,10 @@ SELECT filename, annot_id, label, round(greatest(0, start + 500), 6) AS start, r
     )
 )
 def crop_shift(spark, d):
-    return A.shift(A.crop(V.annotations(spark, d), 86400.0, 864000.0), 500.0).select("filename", "annot_id", "label", *_r("start", "end"))
+    return A.shift(A.crop(V.annotations(spark, d), 86400.0, 864000.0), 500.0).select("filename", "annot_id", "label", *rounded("start", "end"))
 
 
-@_query(
+@query(
     sql(
         """SELECT filename, segment_id, annot_id, label, round(greatest(0, start - t0), 6) AS start, round(greatest(0, least("end", t0 + 43200) - t0), 6) AS "end"
 FROM annot, (SELECT n::INT AS segment_id, 1000 + n * 40000.0 AS t0 FROM (SELECT unnest(range(0, 60)) AS n))
@@ -183,10 +171,10 @@ WHERE greatest(0, least("end", t0 + 43200) - t0) > greatest(0, start - t0)""",
     )
 )
 def annotation_segments(spark, d):
-    return A.segment(V.annotations(spark, d), 60, 43200.0, 40000.0, 1000.0).select("filename", "segment_id", "annot_id", "label", *_r("start", "end"))
+    return A.segment(V.annotations(spark, d), 60, 43200.0, 40000.0, 1000.0).select("filename", "segment_id", "annot_id", "label", *rounded("start", "end"))
 
 
-@_query(sql("SELECT filename, count(*) AS num_annotations FROM annot GROUP BY filename", "annot"))
+@query(sql("SELECT filename, count(*) AS num_annotations FROM annot GROUP BY filename", "annot"))
 def annotation_sets(spark, d):
     return A.counts_by_set(V.annotations(spark, d), "filename")
 
@@ -194,7 +182,7 @@ def annotation_sets(spark, d):
 _BINS = 60
 
 
-@_query(
+@query(
     sql(
         f"""WITH b AS (SELECT unnest(range(0, {_BINS})) AS b), f AS (SELECT DISTINCT filename FROM annot)
 SELECT f.filename, b.b::INT AS b, (EXISTS (SELECT 1 FROM annot a WHERE a.filename = f.filename AND a.label = 1 AND b.b >= floor(a.start / 43200.0) AND b.b <= ceil(a."end" / 43200.0) - 1))::INT AS present FROM f, b""",
@@ -205,7 +193,7 @@ def label_presence(spark, d):
     return A.label_array(V.annotations(spark, d), 1, _BINS, 43200.0).select("filename", F.posexplode("presence").alias("b", "present"))
 
 
-@_query(
+@query(
     sql(
         """SELECT s.filename, s.sel_id, count(a.annot_id) AS n, round(coalesce(sum(a.start - s.start), 0), 3) AS first FROM seg s
 LEFT JOIN annot a ON a.filename = s.filename AND a."end" > s.start AND a.start < s."end" GROUP BY s.filename, s.sel_id""",
@@ -219,7 +207,7 @@ def attached_annotations(spark, d):
     return got.select("filename", "sel_id", F.size("annotations").cast("long").alias("n"), F.round(first, 3).alias("first"))
 
 
-@_query(sql('SELECT a.filename, a.annot_id, b.annot_id AS other FROM annot a JOIN annot b ON a.filename = b.filename AND a.label = 1 AND b.label = 2 AND a."end" > b.start AND a.start < b."end"', "annot"))
+@query(sql('SELECT a.filename, a.annot_id, b.annot_id AS other FROM annot a JOIN annot b ON a.filename = b.filename AND a.label = 1 AND b.label = 2 AND a."end" > b.start AND a.start < b."end"', "annot"))
 def interval_self_join(spark, d):
     a = V.annotations(spark, d)
     joined = I.banded_join(a.where("label = 1").select("filename", "annot_id", "start", "end"), a.where("label = 2").select("filename", F.col("annot_id").alias("other"), "start", "end"), 43200.0)
@@ -236,22 +224,22 @@ h AS (SELECT i.*, threshold, i - row_number() OVER (PARTITION BY filename, thres
 r AS (SELECT threshold::DOUBLE AS threshold, filename, greatest(min(t0), min(i) * 0.5 - 0.25 + min(t0)) AS start, least(max(t1), max(i) * 0.5 + 0.25 + min(t0)) + 0.5 AS e, avg(score) AS score FROM h GROUP BY threshold, filename, g)"""
 
 
-@_query(sql(f'WITH {_AVG} SELECT filename, "offset", round(score, 6) AS score FROM avg_', "frames"))
+@query(sql(f'WITH {_AVG} SELECT filename, "offset", round(score, 6) AS score FROM avg_', "frames"))
 def moving_average(spark, d):
     return D.moving_average(V.frames(spark, d), 5).withColumn("score", F.round("score", 6))
 
 
-@_query(sql("SELECT t.threshold::DOUBLE AS threshold, filename, \"offset\" AS start, 3.0::DOUBLE AS duration, score FROM frames, (SELECT unnest([0.5, 0.9]) AS threshold) t WHERE score >= t.threshold", "frames"))
+@query(sql("SELECT t.threshold::DOUBLE AS threshold, filename, \"offset\" AS start, 3.0::DOUBLE AS duration, score FROM frames, (SELECT unnest([0.5, 0.9]) AS threshold) t WHERE score >= t.threshold", "frames"))
 def threshold_frames(spark, d):
     return D.threshold_frames(V.frames(spark, d), [0.5, 0.9], 3.0)
 
 
-@_query(sql(f"WITH {_RUNS} SELECT threshold, filename, round(start, 6) AS start, round(e - start, 6) AS duration, round(score, 6) AS score FROM r", "frames"))
+@query(sql(f"WITH {_RUNS} SELECT threshold, filename, round(start, 6) AS start, round(e - start, 6) AS duration, round(score, 6) AS score FROM r", "frames"))
 def group_detections(spark, d):
-    return D.group(V.frames(spark, d), [0.2, 0.5], 0.5, 0.25).select("threshold", "filename", *_r("start", "duration", "score"))
+    return D.group(V.frames(spark, d), [0.2, 0.5], 0.5, 0.25).select("threshold", "filename", *rounded("start", "duration", "score"))
 
 
-@_query(
+@query(
     sql(
         f"""WITH {_RUNS},
 m AS (SELECT *, max(e) OVER (PARTITION BY threshold, filename ORDER BY start, e - start, score ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS seen FROM r),
@@ -264,7 +252,7 @@ SELECT threshold, filename, round(min(start), 6) AS start, round(max(e) - min(st
 )
 def merge_detections(spark, d):
     found = D.detect(V.frames(spark, d), [0.2, 0.5], grouped=True, merged=True, step=0.5, buffer=0.25)
-    return found.select("threshold", "filename", *_r("start", "duration", "score"))
+    return found.select("threshold", "filename", *rounded("start", "duration", "score"))
 
 
 # Batches and labels --------------------------------------------------------------------------
@@ -272,12 +260,12 @@ def merge_detections(spark, d):
 _N = "n AS (SELECT vec_id AS id, label, row_number() OVER (ORDER BY vec_id) - 1 AS ord, count(*) OVER () AS total FROM embeddings)"
 
 
-@_query(f"WITH {_N} SELECT id, label, least(ord // 32, greatest(total // 32, 1) - 1)::INT AS batch_id FROM n")
+@query(f"WITH {_N} SELECT id, label, least(ord // 32, greatest(total // 32, 1) - 1)::INT AS batch_id FROM n")
 def batches(spark, d):
     return B.batches(V.signals(spark, d), 32, ["id"]).select("id", "label", "batch_id")
 
 
-@_query(
+@query(
     f"""WITH {_N}, b AS (SELECT unnest(range(0, (SELECT greatest(max(total) // 32, 1) FROM n))) AS b)
 SELECT id, b::INT AS batch_id FROM n, b WHERE CASE WHEN ord >= (total // 32) * 32 THEN b = total // 32 - 1 ELSE ord >= b * 32 - 3 AND ord < (b + 1) * 32 + 3 END"""
 )
@@ -290,43 +278,43 @@ b AS (SELECT id, label, g, least(ord // CASE g WHEN 0 THEN 16 ELSE 32 END, great
 s AS (SELECT g, max(batch_id) + 1 AS size FROM b GROUP BY g)"""
 
 
-@_query(f"WITH {_JOINT}, r AS (SELECT unnest(range(0, 1 + (SELECT max(size) FROM s))) AS r) SELECT id, label, (batch_id + r.r * s.size)::INT AS batch_id, b.g AS gen_id FROM b JOIN s ON s.g = b.g, r WHERE batch_id + r.r * s.size < (SELECT max(size) FROM s)")
+@query(f"WITH {_JOINT}, r AS (SELECT unnest(range(0, 1 + (SELECT max(size) FROM s))) AS r) SELECT id, label, (batch_id + r.r * s.size)::INT AS batch_id, b.g AS gen_id FROM b JOIN s ON s.g = b.g, r WHERE batch_id + r.r * s.size < (SELECT max(size) FROM s)")
 def joint_batches(spark, d):
     s = V.signals(spark, d).select("id", "label")
     return B.joint([B.batches(s.where("label % 2 = 0"), 16, ["id"], drop_ordinal=True), B.batches(s.where("label % 2 = 1"), 32, ["id"], drop_ordinal=True)], "max")
 
 
-@_query("SELECT e.vec_id AS id, round(e.embedding[1]::DOUBLE, 6) AS first, l.quality FROM embeddings e JOIN labels l ON l.doc_id = e.vec_id")
+@query("SELECT e.vec_id AS id, round(e.embedding[1]::DOUBLE, 6) AS first, l.quality FROM embeddings e JOIN labels l ON l.doc_id = e.vec_id")
 def multimodal(spark, d):
     modes = {"signal": V.signals(spark, d), "weak": V.table(spark, d, "labels").select(F.col("doc_id").alias("id"), "quality")}
     return B.multimodal(modes).select("id", F.round(F.get("signal.data", F.lit(0)), 6).alias("first"), "weak.quality")
 
 
-@_query(sql("SELECT e.vec_id AS id, count(a.event_id) AS n, coalesce(sum(a.label), 0)::BIGINT AS labels FROM embeddings e LEFT JOIN annot a ON a.filename = 'u' || e.vec_id GROUP BY e.vec_id", "annot"))
+@query(sql("SELECT e.vec_id AS id, count(a.event_id) AS n, coalesce(sum(a.label), 0)::BIGINT AS labels FROM embeddings e LEFT JOIN annot a ON a.filename = 'u' || e.vec_id GROUP BY e.vec_id", "annot"))
 def strong_labels(spark, d):
     a = V.annotations(spark, d).select(F.substring("filename", 2, 20).cast("long").alias("data_index"), "start", "end", "label")
     got = B.strong_labels(V.signals(spark, d).select("id"), a)
     return got.select("id", F.size("annotations").cast("long").alias("n"), F.aggregate("annotations", F.lit(0).cast("long"), lambda s, x: s + x["label"]).alias("labels"))
 
 
-@_query("SELECT e.vec_id AS id, (SELECT count(DISTINCT label) FROM embeddings x WHERE x.label < e.label AND x.label <> 4)::INT AS label FROM embeddings e WHERE label <> 4")
+@query("SELECT e.vec_id AS id, (SELECT count(DISTINCT label) FROM embeddings x WHERE x.label < e.label AND x.label <> 4)::INT AS label FROM embeddings e WHERE label <> 4")
 def label_mapping(spark, d):
     s = V.signals(spark, d).where("label <> 4").select("id", "label")
     return B.map_labels(s, B.label_codes(s))
 
 
-@_query("SELECT DISTINCT label FROM (SELECT label FROM embeddings UNION ALL SELECT quality FROM labels)")
+@query("SELECT DISTINCT label FROM (SELECT label FROM embeddings UNION ALL SELECT quality FROM labels)")
 def unique_labels(spark, d):
     return B.unique_labels(V.signals(spark, d), V.table(spark, d, "labels").withColumnRenamed("quality", "label"))
 
 
-@_query("SELECT vec_id AS id, i::INT AS i, (label = i)::INT::DOUBLE AS v, label AS back FROM embeddings, (SELECT unnest(range(0, 10)) AS i)")
+@query("SELECT vec_id AS id, i::INT AS i, (label = i)::INT::DOUBLE AS v, label AS back FROM embeddings, (SELECT unnest(range(0, 10)) AS i)")
 def one_hot(spark, d):
     hot = V.signals(spark, d).select("id", scalar.one_hot(F.col("label"), 10).alias("h"))
     return hot.select("id", F.posexplode("h").alias("i", "v"), scalar.arg_max(F.col("h")).alias("back"))
 
 
-@_query("SELECT vec_id AS id, list_position(embedding, list_max(embedding))::INT - 1 AS class_id, round(list_max(embedding)::DOUBLE, 6) AS confidence FROM embeddings")
+@query("SELECT vec_id AS id, list_position(embedding, list_max(embedding))::INT - 1 AS class_id, round(list_max(embedding)::DOUBLE, 6) AS confidence FROM embeddings")
 def class_and_confidence(spark, d):
     return V.signals(spark, d).select("id", scalar.class_and_confidence(F.col("data")).alias("c")).select("id", "c.class_id", F.round("c.confidence", 6).alias("confidence"))
 
@@ -334,32 +322,32 @@ def class_and_confidence(spark, d):
 # Signals -------------------------------------------------------------------------------------
 
 
-@_query(sql("SELECT id, pos::INT AS pos, round((x - avg(x) OVER w) / stddev_pop(x) OVER w * 2.0 + 1.0, 6) AS x FROM signal WINDOW w AS (PARTITION BY id)", "signal"))
+@query(sql("SELECT id, pos::INT AS pos, round((x - avg(x) OVER w) / stddev_pop(x) OVER w * 2.0 + 1.0, 6) AS x FROM signal WINDOW w AS (PARTITION BY id)", "signal"))
 def normalize_signals(spark, d):
-    return V.signals(spark, d).select("id", F.posexplode(arrays.normalize("data", 1.0, 2.0)).alias("pos", "x")).select("id", "pos", *_r("x"))
+    return V.signals(spark, d).select("id", F.posexplode(arrays.normalize("data", 1.0, 2.0)).alias("pos", "x")).select("id", "pos", *rounded("x"))
 
 
-@_query(sql("SELECT filename, t_bin, f_bin, round((value - min(value) OVER w) / nullif(max(value) OVER w - min(value) OVER w, 0), 6) AS value FROM image WINDOW w AS (PARTITION BY filename, f_bin)", "image"))
+@query(sql("SELECT filename, t_bin, f_bin, round((value - min(value) OVER w) / nullif(max(value) OVER w - min(value) OVER w, 0), 6) AS value FROM image WINDOW w AS (PARTITION BY filename, f_bin)", "image"))
 def adjust_range(spark, d):
     return X.adjust_range(V.images(spark, d)).withColumn("value", F.round("value", 6))
 
 
-@_query(sql("SELECT filename, f_bin, round(max(value), 6) AS max, round(min(value), 6) AS min, round(stddev_pop(value), 6) AS std, round(avg(value), 6) AS average, round(median(value), 6) AS median FROM image GROUP BY filename, f_bin", "image"))
+@query(sql("SELECT filename, f_bin, round(max(value), 6) AS max, round(min(value), 6) AS min, round(stddev_pop(value), 6) AS std, round(avg(value), 6) AS average, round(median(value), 6) AS median FROM image GROUP BY filename, f_bin", "image"))
 def image_statistics(spark, d):
-    return X.statistics(V.images(spark, d)).select("filename", "f_bin", *_r("max", "min", "std", "average", "median"))
+    return X.statistics(V.images(spark, d)).select("filename", "f_bin", *rounded("max", "min", "std", "average", "median"))
 
 
-@_query(sql("SELECT filename, t_bin, f_bin, round(value - median(value) OVER (PARTITION BY filename, f_bin), 6) AS value FROM image", "image"))
+@query(sql("SELECT filename, t_bin, f_bin, round(value - median(value) OVER (PARTITION BY filename, f_bin), 6) AS value FROM image", "image"))
 def reduce_tonal_noise(spark, d):
     return X.reduce_tonal_median(V.images(spark, d)).withColumn("value", F.round("value", 6))
 
 
-@_query(sql("SELECT filename, t_bin, f_bin, round(value / (exp(-((value - median(value) OVER w - stddev_pop(value) OVER w) / (stddev_pop(value) OVER w / 2.0))) + 1), 6) AS value FROM image WINDOW w AS (PARTITION BY filename)", "image"))
+@query(sql("SELECT filename, t_bin, f_bin, round(value / (exp(-((value - median(value) OVER w - stddev_pop(value) OVER w) / (stddev_pop(value) OVER w / 2.0))) + 1), 6) AS value FROM image WINDOW w AS (PARTITION BY filename)", "image"))
 def enhance_signal(spark, d):
     return X.enhance(V.images(spark, d), 2.0).withColumn("value", F.round("value", 6))
 
 
-@_query(
+@query(
     sql(
         """WITH m AS (SELECT *, median(value) OVER (PARTITION BY filename, t_bin) AS rm, median(value) OVER (PARTITION BY filename, f_bin) AS cm FROM image)
 SELECT filename, t_bin, f_bin, CASE WHEN value > 1.5 * rm AND value > 1.5 * cm AND value > 0 THEN 1.0 ELSE 0.0 END::DOUBLE AS value FROM (SELECT filename, t_bin, f_bin, value, rm, median(CASE WHEN value > 1.5 * rm THEN value ELSE 0 END) OVER (PARTITION BY filename, f_bin) AS cm FROM m)""",
@@ -370,36 +358,36 @@ def median_filter(spark, d):
     return X.median_filter(V.images(spark, d), 1.5, 1.5)
 
 
-@_query(sql("SELECT a.filename, a.t_bin, a.f_bin, round(a.value + 0.5 * coalesce(b.value, 0), 6) AS value FROM image a LEFT JOIN image b ON a.filename = b.filename AND a.f_bin = b.f_bin AND a.t_bin = b.t_bin + 2", "image"))
+@query(sql("SELECT a.filename, a.t_bin, a.f_bin, round(a.value + 0.5 * coalesce(b.value, 0), 6) AS value FROM image a LEFT JOIN image b ON a.filename = b.filename AND a.f_bin = b.f_bin AND a.t_bin = b.t_bin + 2", "image"))
 def add_images(spark, d):
     i = V.images(spark, d)
     return X.add_images(i, i, 2, 0.5).withColumn("value", F.round("value", 6))
 
 
-@_query(sql("SELECT id, (pos // 8)::INT AS frame, (s.pos - (pos // 8) * 8)::INT AS i, round(x, 6) AS x FROM signal s UNION ALL SELECT id, (pos // 8)::INT - 1 AS frame, (pos % 8 + 8)::INT AS i, round(x, 6) AS x FROM signal WHERE pos >= 8", "signal") + " ORDER BY 1")
+@query(sql("SELECT id, (pos // 8)::INT AS frame, (s.pos - (pos // 8) * 8)::INT AS i, round(x, 6) AS x FROM signal s UNION ALL SELECT id, (pos // 8)::INT - 1 AS frame, (pos % 8 + 8)::INT AS i, round(x, 6) AS x FROM signal WHERE pos >= 8", "signal") + " ORDER BY 1")
 def framing(spark, d):
     f = V.signals(spark, d).select("id", F.posexplode(arrays.frames("data", 16, 8, num=8, pad="zero")).alias("frame", "w"))
-    return f.select("id", "frame", F.posexplode("w").alias("i", "x")).where("frame * 8 + i < 64").select("id", "frame", "i", *_r("x"))
+    return f.select("id", "frame", F.posexplode("w").alias("i", "x")).where("frame * 8 + i < 64").select("id", "frame", "i", *rounded("x"))
 
 
-_DFT = """w AS (SELECT id, pos, x * (0.54 - 0.46 * cos(2 * pi() * pos / 63)) AS x FROM signal), k AS (SELECT unnest(range(0, 33)) AS k),
+DFT = """w AS (SELECT id, pos, x * (0.54 - 0.46 * cos(2 * pi() * pos / 63)) AS x FROM signal), k AS (SELECT unnest(range(0, 33)) AS k),
 dft AS (SELECT id, k::INT AS k, sqrt(power(sum(x * cos(2 * pi() * k * pos / 64)), 2) + power(sum(x * sin(2 * pi() * k * pos / 64)), 2)) AS m FROM w, k GROUP BY id, k)"""
 
 
-@_query(sql(f"WITH {_DFT} SELECT id, k, round(m, 5) AS m FROM dft", "signal"))
+@query(sql(f"WITH {DFT} SELECT id, k, round(m, 5) AS m FROM dft", "signal"))
 def dft_magnitude(spark, d):
     return V.signals(spark, d).select("id", F.posexplode(arrays.dft_magnitude("data")).alias("k", "m")).select("id", "k", F.round("m", 5).alias("m"))
 
 
-@_query(sql(f"WITH {_DFT} SELECT id, k, round(20 * log10(m * m / 64), 3) AS db FROM dft WHERE m > 0", "signal"))
+@query(sql(f"WITH {DFT} SELECT id, k, round(20 * log10(m * m / 64), 3) AS db FROM dft WHERE m > 0", "signal"))
 def power_decibel(spark, d):
     f = V.signals(spark, d).select("id", F.posexplode(arrays.dft_magnitude("data")).alias("k", "m"))
     return f.select("id", "k", F.round(scalar.to_decibel(scalar.mag_to_power(F.col("m"), F.lit(64))), 3).alias("db")).where("db IS NOT NULL")
 
 
-@_query(sql("SELECT id, pos::INT AS pos, round(x - 0.97 * coalesce(lag(x) OVER (PARTITION BY id ORDER BY pos), 0), 6) AS x FROM signal", "signal"))
+@query(sql("SELECT id, pos::INT AS pos, round(x - 0.97 * coalesce(lag(x) OVER (PARTITION BY id ORDER BY pos), 0), 6) AS x FROM signal", "signal"))
 def preemphasis(spark, d):
-    return V.signals(spark, d).select("id", F.posexplode(arrays.preemphasis("data")).alias("pos", "x")).select("id", "pos", *_r("x"))
+    return V.signals(spark, d).select("id", F.posexplode(arrays.preemphasis("data")).alias("pos", "x")).select("id", "pos", *rounded("x"))
 
 
 # Scalars -------------------------------------------------------------------------------------
@@ -407,7 +395,7 @@ def preemphasis(spark, d):
 _MEL = 2595.0
 
 
-@_query(
+@query(
     """WITH v AS (SELECT event_id, value AS x FROM events), p AS (SELECT event_id, x, 2595.0 * log10(1 + x / 700.0) / (2595.0 * log10(1 + 500.0 / 700.0)) * 41 - 0.5 AS m FROM v),
 q AS (SELECT event_id, x, CASE WHEN m < -0.5 THEN m + 0.5 WHEN m < 1 THEN 1 - (1 - m) / 1.5 WHEN m > 40.5 THEN m - 0.5 WHEN m > 39 AND m < 40.5 THEN 39 + (m - 39) / 1.5 ELSE m END AS m, x / 2.5 AS l, 8 * log2(x / 0.5) AS g FROM p)
 SELECT event_id, trunc(CASE WHEN l = 200 THEN 199 WHEN l < 0 THEN l - 1 ELSE l END)::INT AS linear, trunc(CASE WHEN g = 128 THEN 127 WHEN g < 0 THEN g - 1 ELSE g END)::INT AS octave,
@@ -418,7 +406,7 @@ def axis_bins(spark, d):
     return V.table(spark, d, "events").select("event_id", LinearAxis(200, 0.0, 500.0).bin(x).alias("linear"), Log2Axis(128, 8.0, 0.5).bin(x).alias("octave"), MelAxis.of(40, 500.0).bin(x).alias("mel"))
 
 
-@_query(
+@query(
     """SELECT event_id, round(2595.0 * log10(1 + value / 700), 6) AS mel, round(700 * (power(10, value / 2595.0) - 1), 6) AS hz, round(20 * log10(value), 6) AS db,
 ceil(value * 10) / 10 AS up, floor(value * 10) / 10 AS down, (floor(value * 1000) + CASE WHEN value * 1000 - floor(value * 1000) > 1.1920928955078125e-07 THEN 1 ELSE 0 END)::BIGINT AS samples,
 round(1000.0 * power(2.0, user_id % 11 - 5), 6) AS centre FROM events WHERE value > 0"""
@@ -432,13 +420,13 @@ def scalar_functions(spark, d):
     )
 
 
-@_query("SELECT page_id, regexp_replace(url, '[^/]*$', '') AS dir, regexp_extract(url, '([^/]*)$', 1) AS base, regexp_matches(regexp_extract(url, '([^/]*)$', 1), '^[+-]?[0-9]+$') AS whole FROM pages")
+@query("SELECT page_id, regexp_replace(url, '[^/]*$', '') AS dir, regexp_extract(url, '([^/]*)$', 1) AS base, regexp_matches(regexp_extract(url, '([^/]*)$', 1), '^[+-]?[0-9]+$') AS whole FROM pages")
 def path_functions(spark, d):
     p = V.table(spark, d, "pages")
     return p.select("page_id", scalar.relative_dir(F.col("url")).alias("dir"), F.regexp_extract("url", r"([^/]*)$", 1).alias("base"), scalar.is_int(F.regexp_extract("url", r"([^/]*)$", 1)).alias("whole"))
 
 
-@_query("SELECT event_id, date_trunc('second', ts)::TIMESTAMP AS parsed FROM events")
+@query("SELECT event_id, date_trunc('second', ts)::TIMESTAMP AS parsed FROM events")
 def parse_datetimes(spark, d):
     name = F.concat(F.lit("rec_"), F.date_format(F.col("ts").cast("timestamp"), "yyyyMMdd'T'HHmmss"), F.lit(".wav"))
     return V.table(spark, d, "events").select("event_id", scalar.parse_datetime(name, "*_%Y%m%dT%H%M%S.wav").cast("timestamp_ntz").alias("parsed"))
@@ -454,7 +442,7 @@ def _truth(spark, d):
     return V.table(spark, d, "labels").join(docs, "doc_id").select(F.col("quality").alias("y"), F.least(F.lit(1.0), F.col("n_chars") / 4000.0).alias("p"))
 
 
-@_query(
+@query(
     f"""WITH {_YP}, c AS (SELECT count_if(y = 1 AND p >= 0.5) AS tp, count_if(y = 0 AND p >= 0.5) AS fp, count_if(y = 0 AND p < 0.5) AS tn, count_if(y = 1 AND p < 0.5) AS fn,
 avg(((y = 1) = (p >= 0.5))::INT) AS acc, avg((y - p) * (y - p)) AS mse, avg(abs(y - p)) AS mae, avg(-(y * ln(least(greatest(p, 1e-7), 1 - 1e-7)) + (1 - y) * ln(1 - least(greatest(p, 1e-7), 1 - 1e-7)))) AS bce,
 sum(y * p) AS stp, sum((1 - y) * p) AS sfp, sum(y * (1 - p)) AS sfn FROM yp)
@@ -470,12 +458,12 @@ def binary_metrics(spark, d):
     )
 
 
-@_query(f"WITH {_YP} SELECT round(sum(CASE WHEN a.p > b.p THEN 1.0 WHEN a.p = b.p THEN 0.5 ELSE 0 END) / count(*), 6) AS auc FROM yp a, yp b WHERE a.y = 1 AND b.y = 0")
+@query(f"WITH {_YP} SELECT round(sum(CASE WHEN a.p > b.p THEN 1.0 WHEN a.p = b.p THEN 0.5 ELSE 0 END) / count(*), 6) AS auc FROM yp a, yp b WHERE a.y = 1 AND b.y = 0")
 def auc(spark, d):
     return metrics.auc(_truth(spark, d), "y", "p").select(F.round("auc", 6).alias("auc"))
 
 
-@_query("SELECT quality AS truth, toxic AS predicted, count(*) AS n FROM labels GROUP BY ALL")
+@query("SELECT quality AS truth, toxic AS predicted, count(*) AS n FROM labels GROUP BY ALL")
 def confusion(spark, d):
     return metrics.confusion(V.table(spark, d, "labels"), "quality", "toxic")
 
@@ -483,12 +471,12 @@ def confusion(spark, d):
 # Samples: no SQL gives the same draw; the tests check their properties --------------------------
 
 
-@_query()
+@query()
 def random_choice(spark, d):
     return S.random_choice(V.annotations(spark, d), 100, seed=3)
 
 
-@_query()
+@query()
 def random_background(spark, d):
     return S.random_selections(V.files(spark, d), 3600.0, 200, label=9, annotations=V.annotations(spark, d), no_overlap=True, buffer=60.0, seed=3)
 
@@ -496,7 +484,12 @@ def random_background(spark, d):
 # Kernels and further operators ------------------------------------------------------------------
 
 
-@_query(sql(f"WITH {_DFT} SELECT id, k, round(m, 5) AS m FROM dft", "signal"))
+MEL_BANK = """c AS (SELECT i, floor(65 * 700 * (power(10, i * (2595 * log10(1 + 32.0 / 700)) / 9 / 2595) - 1) / 64) AS c FROM (SELECT unnest(range(0, 10)) AS i)),
+bank AS (SELECT l.i AS m, k.k, CASE WHEN k.k >= l.c AND k.k < n.c THEN (k.k - l.c) / (n.c - l.c) WHEN k.k >= n.c AND k.k < h.c THEN (h.c - k.k) / (h.c - n.c) ELSE 0 END AS w
+  FROM c l JOIN c n ON n.i = l.i + 1 JOIN c h ON h.i = l.i + 2, (SELECT unnest(range(0, 33)) AS k) k)"""
+
+
+@query(sql(f"WITH {DFT} SELECT id, k, round(m, 5) AS m FROM dft", "signal"))
 def stft_kernel(spark, d):
     """The vectorised transform, on one frame for each signal, against the plain sum."""
     from tidemark.functions import kernels as K
@@ -505,11 +498,9 @@ def stft_kernel(spark, d):
     return V.signals(spark, d).select("id", F.posexplode(one("data")).alias("k", "m")).select("id", "k", F.round("m", 5).alias("m"))
 
 
-@_query(
+@query(
     sql(
-        f"""WITH {_DFT}, c AS (SELECT i, floor(65 * 700 * (power(10, i * (2595 * log10(1 + 32.0 / 700)) / 9 / 2595) - 1) / 64) AS c FROM (SELECT unnest(range(0, 10)) AS i)),
-bank AS (SELECT l.i AS m, k.k, CASE WHEN k.k >= l.c AND k.k < n.c THEN (k.k - l.c) / (n.c - l.c) WHEN k.k >= n.c AND k.k < h.c THEN (h.c - k.k) / (h.c - n.c) ELSE 0 END AS w
-  FROM c l JOIN c n ON n.i = l.i + 1 JOIN c h ON h.i = l.i + 2, (SELECT unnest(range(0, 33)) AS k) k)
+        f"""WITH {DFT}, {MEL_BANK}
 SELECT id, bank.m::INT AS m, round(sum(dft.m * dft.m / 64 * w), 5) AS v FROM dft JOIN bank ON bank.k = dft.k GROUP BY id, bank.m""",
         "signal",
     )
@@ -524,13 +515,13 @@ def mel_bands(spark, d):
     return X.weighted_bands(power, table, "id").select("id", "m", F.round("value", 5).alias("v"))
 
 
-@_query("SELECT 'o' || o_orderkey AS filename, i::INT AS frame, i * 700.0 AS \"offset\", 1000.0::DOUBLE AS duration FROM (SELECT o_orderkey, unnest(range(0, greatest(ceil((o_totalprice / 10 - 1000.0) / 700.0 + 1), 1)::INT)) AS i FROM orders WHERE o_totalprice > 0)")
+@query("SELECT 'o' || o_orderkey AS filename, i::INT AS frame, i * 700.0 AS \"offset\", 1000.0::DOUBLE AS duration FROM (SELECT o_orderkey, unnest(range(0, greatest(ceil((o_totalprice / 10 - 1000.0) / 700.0 + 1), 1)::INT)) AS i FROM orders WHERE o_totalprice > 0)")
 def frame_stepper(spark, d):
     files = V.table(spark, d, "orders").select(F.concat(F.lit("o"), F.col("o_orderkey")).alias("filename"), (F.col("o_totalprice") / 10).alias("duration"))
     return S.frames(files, 1000.0, 700.0)
 
 
-@_query(
+@query(
     sql(
         """SELECT filename, annot_id AS sel_id, CASE WHEN "end" <= start THEN 'empty' WHEN "end" <= 0 THEN 'before' WHEN start > 1000000 THEN 'after'
 WHEN greatest(0, -start) + greatest(0, "end" - 1000000) > 0.5 * ("end" - start) THEN 'mostly_outside' ELSE 'ok' END AS status FROM annot""",
@@ -542,13 +533,13 @@ def outside_status(spark, d):
     return S.outside_status(a, V.files(spark, d).withColumn("duration", F.lit(1_000_000.0))).select("filename", "sel_id", "status")
 
 
-@_query(sql("SELECT 0 AS set_id, filename, annot_id, label FROM annot WHERE label = 0 UNION ALL SELECT 7, filename, annot_id, label FROM annot WHERE label <> 0", "annot"))
+@query(sql("SELECT 0 AS set_id, filename, annot_id, label FROM annot WHERE label = 0 UNION ALL SELECT 7, filename, annot_id, label FROM annot WHERE label <> 0", "annot"))
 def stack_annotations(spark, d):
     a = V.annotations(spark, d).select("filename", "annot_id", "label")
     return A.stack([a.where("label = 0"), a.where("label <> 0")], [0, 7])
 
 
-@_query("SELECT date_trunc('day', ts)::TIMESTAMP AS start, (date_trunc('day', ts) + INTERVAL 1 DAY)::TIMESTAMP AS \"end\", event_type, count(*) AS n FROM events GROUP BY ALL")
+@query("SELECT date_trunc('day', ts)::TIMESTAMP AS start, (date_trunc('day', ts) + INTERVAL 1 DAY)::TIMESTAMP AS \"end\", event_type, count(*) AS n FROM events GROUP BY ALL")
 def windowed_counts(spark, d):
     from tidemark.streaming.detector import windowed_counts as counts
 
@@ -556,51 +547,27 @@ def windowed_counts(spark, d):
     return counts(e, "1 day").select(F.col("start").cast("timestamp_ntz").alias("start"), F.col("end").cast("timestamp_ntz").alias("end"), "event_type", "n")
 
 
-@_query(sql("SELECT id, pos::INT + 3 AS pos, round(x, 6) AS x FROM signal UNION ALL SELECT id, 3 - pos::INT AS pos, round(x, 6) FROM signal WHERE pos BETWEEN 1 AND 3 UNION ALL SELECT id, 129 - pos::INT AS pos, round(x, 6) FROM signal WHERE pos BETWEEN 61 AND 62", "signal"))
+@query(sql("SELECT id, pos::INT + 3 AS pos, round(x, 6) AS x FROM signal UNION ALL SELECT id, 3 - pos::INT AS pos, round(x, 6) FROM signal WHERE pos BETWEEN 1 AND 3 UNION ALL SELECT id, 129 - pos::INT AS pos, round(x, 6) FROM signal WHERE pos BETWEEN 61 AND 62", "signal"))
 def pad_reflect(spark, d):
-    return V.signals(spark, d).select("id", F.posexplode(arrays.pad_reflect("data", 3, 2)).alias("pos", "x")).select("id", "pos", *_r("x"))
+    return V.signals(spark, d).select("id", F.posexplode(arrays.pad_reflect("data", 3, 2)).alias("pos", "x")).select("id", "pos", *rounded("x"))
 
 
-@_query(sql("SELECT id, (pos - 28)::INT AS i, round(x, 6) AS x FROM signal WHERE pos BETWEEN 28 AND 32", "signal"))
+@query(sql("SELECT id, (pos - 28)::INT AS i, round(x, 6) AS x FROM signal WHERE pos BETWEEN 28 AND 32", "signal"))
 def nearest_values(spark, d):
-    return V.signals(spark, d).select("id", F.posexplode(arrays.nearest_values("data", 30, 5)).alias("i", "x")).select("id", "i", *_r("x"))
+    return V.signals(spark, d).select("id", F.posexplode(arrays.nearest_values("data", 30, 5)).alias("i", "x")).select("id", "i", *rounded("x"))
 
 
-@_query(sql("SELECT id, pos::INT AS pos, round(x + 0.5 * coalesce(lag(x, 10) OVER (PARTITION BY id ORDER BY pos), 0), 6) AS x FROM signal", "signal"))
+@query(sql("SELECT id, pos::INT AS pos, round(x + 0.5 * coalesce(lag(x, 10) OVER (PARTITION BY id ORDER BY pos), 0), 6) AS x FROM signal", "signal"))
 def add_signals(spark, d):
-    return V.signals(spark, d).select("id", F.posexplode(arrays.add("data", "data", 10, 0.5)).alias("pos", "x")).select("id", "pos", *_r("x"))
+    return V.signals(spark, d).select("id", F.posexplode(arrays.add("data", "data", 10, 0.5)).alias("pos", "x")).select("id", "pos", *rounded("x"))
 
 
-@_query(f"WITH {_YP}, s AS (SELECT DISTINCT p AS t FROM yp) SELECT round(max(CASE WHEN (SELECT count(*) FROM yp WHERE y = 0 AND p >= t) <= 0.1 * (SELECT count(*) FROM yp WHERE y = 0) + 1e-9 THEN (SELECT count(*) FROM yp WHERE y = 1 AND p >= t) / (SELECT count(*) FROM yp WHERE y = 1) ELSE 0 END), 6) AS sensitivity FROM s")
+@query(f"WITH {_YP}, s AS (SELECT DISTINCT p AS t FROM yp) SELECT round(max(CASE WHEN (SELECT count(*) FROM yp WHERE y = 0 AND p >= t) <= 0.1 * (SELECT count(*) FROM yp WHERE y = 0) + 1e-9 THEN (SELECT count(*) FROM yp WHERE y = 1 AND p >= t) / (SELECT count(*) FROM yp WHERE y = 1) ELSE 0 END), 6) AS sensitivity FROM s")
 def sensitivity_at_specificity(spark, d):
     return metrics.sensitivity_at_specificity(_truth(spark, d), "y", "p", 0.9 - 1e-9).select(F.round("sensitivity", 6).alias("sensitivity"))
 
 
-@_query(f"WITH {_YP} SELECT round(avg(CASE WHEN abs(y - p) <= 1 THEN 0.5 * (y - p) * (y - p) ELSE abs(y - p) - 0.5 END), 6) AS huber, round(avg(greatest(0, 1 - (2 * y - 1) * p)), 6) AS hinge, round(avg(p - y * ln(p + 1e-7)), 6) AS poisson, round(sqrt(avg((y - p) * (y - p))), 6) AS rmse FROM yp")
+@query(f"WITH {_YP} SELECT round(avg(CASE WHEN abs(y - p) <= 1 THEN 0.5 * (y - p) * (y - p) ELSE abs(y - p) - 0.5 END), 6) AS huber, round(avg(greatest(0, 1 - (2 * y - 1) * p)), 6) AS hinge, round(avg(p - y * ln(p + 1e-7)), 6) AS poisson, round(sqrt(avg((y - p) * (y - p))), 6) AS rmse FROM yp")
 def regression_losses(spark, d):
     m = metrics
     return _truth(spark, d).agg(F.round(m.huber("y", "p"), 6).alias("huber"), F.round(m.hinge("y", "p"), 6).alias("hinge"), F.round(m.poisson("y", "p"), 6).alias("poisson"), F.round(m.root_mean_squared_error("y", "p"), 6).alias("rmse"))
-
-
-@_query()
-def model_scores(spark, d):
-    """A network with fixed weights over all signals; NumPy gives the same in the tests."""
-    from tidemark.operators import models as M
-
-    net = M.Network(M.dense_recipe([16], 10), (64,), seed=3)
-    return M.score(V.signals(spark, d), net).select("id", scalar.class_and_confidence(F.col("scores")).alias("c")).select("id", "c.class_id", F.round("c.confidence", 6).alias("confidence"))
-
-
-@_query()
-def bandpass_filter(spark, d):
-    from tidemark.functions import kernels as K
-
-    return V.signals(spark, d).select("id", F.posexplode(K.kernel(lambda x: K.bandpass(x, 64.0, 4.0, 16.0))("data")).alias("pos", "x")).select("id", "pos", *_r("x"))
-
-
-@_query()
-def blurred_images(spark, d):
-    from tidemark.functions import kernels as K
-
-    image = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda t: F.slice("data", t * 8 + 1, 8))
-    return X.explode_image(V.signals(spark, d).select(F.col("id").alias("filename"), K.kernel(lambda a: K.blur(a, 1.0, 1.0), K.IMAGE, image=True)(image).alias("data"))).withColumn("value", F.round("value", 6))
