@@ -21,12 +21,11 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections import Counter
 from dataclasses import dataclass
-from math import log2, sqrt
-from operator import eq
+from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -40,97 +39,127 @@ LABELLERS = ("symbols", "capitals", "repeats", "separators", "sentences", "varie
 
 _MARKS = re.compile(r"[^\w\s.,;:'\"()?!-]")
 _ENDS = tuple(mark + gap for mark in ".!?" for gap in (" ", "\n", "\r", "\t"))
-_SEPARATORS = frozenset(("|", "-", "•", "*", "::", "/"))
+_SEPARATORS = pa.array(["|", "-", "•", "*", "::", "/"])
 #: Letters and digits as one sign each, over the Latin blocks; other characters stay as they are.
 _SIGNS = {i: "X" if chr(i).isupper() else "x" if chr(i).isalpha() else "9" for i in range(0x250) if chr(i).isalnum()}
 
 
-@dataclass
-class Look:
-    """What the labellers and the features are made of."""
+MEASURES = ("marks", "capitals", "repeats", "separators", "ends", "variety")
 
-    words: list[str]
-    marks: float
-    capitals: float
-    repeats: float
-    separators: float
-    ends: float
-    variety: float
 
-
-def look(text: str) -> Look:
-    words = text.split()
-    lowered = text.lower().split()
-    n, after = max(1, len(words)), lowered[1:]
+@dataclass
+class Look:
+    """What the labellers and the features are made of, for a batch of texts.
+
+    Words are numbered once in a batch, so what concerns a word is computed for each different one; counts by
+    text are sums over arrays.
+    """
+
+    n: np.ndarray  # words of each text
+    measures: np.ndarray  # (texts, MEASURES)
+    text: np.ndarray  # of each word, the text
+    word: np.ndarray  # of each word, its number
+    words: pa.Array  # by number
+
+
+def _numbered(values: pa.Array) -> tuple[np.ndarray, pa.Array]:
+    found = values.dictionary_encode()
+    return found.indices.to_numpy(zero_copy_only=False).astype(np.int64), found.dictionary
+
+
+def look(texts: pa.Array) -> Look:
+    m = len(texts)
+    split = pc.utf8_split_whitespace(texts)
+    text = np.repeat(np.arange(m), np.diff(split.offsets.to_numpy()))
+    word, words = _numbered(split.flatten())
+    blank = np.flatnonzero(pc.equal(words, "").to_numpy(zero_copy_only=False))  # before the first and after the last word
+    if len(blank):
+        text, word = text[word != blank[0]], word[word != blank[0]]
+    n = np.bincount(text, minlength=m)
+    low = _numbered(pc.utf8_lower(words))[0][word]
+    of_word = lambda found: np.bincount(text, found.to_numpy(zero_copy_only=False)[word], m)
+    inside = np.flatnonzero(text[1:] == text[:-1])
+    first, after, own = low[inside], low[inside + 1], text[inside]
+    size, plain = np.maximum(n, 1), texts.to_pylist()
+    marks = np.fromiter((len(_MARKS.findall(t)) + t.count("!!") + t.count("??") for t in plain), float, m)
+    ends = np.fromiter((sum(map(t.count, _ENDS)) + t.endswith((".", "!", "?")) for t in plain), float, m)
     return Look(
-        words,
-        (len(_MARKS.findall(text)) + text.count("!!") + text.count("??")) / n,
-        sum(map(str.isupper, words)) / n,
-        sum(map(eq, lowered, after)) / n,
-        sum(map(_SEPARATORS.__contains__, words)) / n,
-        (sum(map(text.count, _ENDS)) + text.endswith((".", "!", "?"))) / n,
-        len(set(zip(lowered, after, strict=False))) / max(1, len(after)),
-    )
-
-
-def vote(x: Look) -> tuple[int, ...]:
-    """-1 bad, 0 abstain, 1 good, in the order of LABELLERS."""
-    if not x.words:
-        return (-1,) * len(LABELLERS)
-
-    def junk(v: float, bad: float) -> int:
-        return -1 if v >= bad else 0
-
-    long = len(x.words) >= 8
-    return (
-        junk(x.marks, 0.1),
-        junk(x.capitals, 0.25),
-        junk(x.repeats, 0.1),
-        junk(x.separators, 0.08),
-        0 if not long else 1 if 0.02 <= x.ends <= 0.5 else -1,
-        0 if not long else 1 if x.variety >= 0.8 else -1 if x.variety < 0.5 else 0,
-    )
-
-
-_shape_of: dict[str, str] = {}
-_slot_of: dict[str, tuple[int, float]] = {}
-
-
+        n,
+        np.stack([
+            marks / size, of_word(pc.utf8_is_upper(words)) / size, np.bincount(own[first == after], minlength=m) / size, of_word(pc.is_in(words, _SEPARATORS)) / size,
+            ends / size, _distinct_pairs(own, first, after, m, len(words)) / np.maximum(n - 1, 1),
+        ], 1),
+        text, word, words,
+    )
+
+
+def _distinct_pairs(text: np.ndarray, first: np.ndarray, after: np.ndarray, m: int, words: int) -> np.ndarray:
+    """How many different pairs each text has."""
+    bits = max(1, words - 1).bit_length()
+    if max(1, m - 1).bit_length() + 2 * bits <= 63:
+        key = np.unique(text << 2 * bits | first << bits | after)
+        return np.bincount(key >> 2 * bits, minlength=m)
+    order = np.lexsort((after, first, text))
+    t, a, b = text[order], first[order], after[order]
+    new = np.concatenate([[True], (t[1:] != t[:-1]) | (a[1:] != a[:-1]) | (b[1:] != b[:-1])]) if len(t) else np.empty(0, bool)
+    return np.bincount(t[new], minlength=m)
+
+
+def vote(x: Look) -> np.ndarray:
+    """(texts, LABELLERS): -1 bad, 0 abstain, 1 good."""
+    marks, capitals, repeats, separators, ends, variety = x.measures.T
+    long = x.n >= 8
+    votes = np.stack([
+        -(marks >= 0.1).astype(int), -(capitals >= 0.25).astype(int), -(repeats >= 0.1).astype(int), -(separators >= 0.08).astype(int),
+        np.where(long, np.where((ends >= 0.02) & (ends <= 0.5), 1, -1), 0), np.where(long, np.where(variety >= 0.8, 1, np.where(variety < 0.5, -1, 0)), 0),
+    ], 1)
+    votes[x.n == 0] = -1
+    return votes
+
+
+@lru_cache(maxsize=200_000)
 def _slot(name: str) -> tuple[int, float]:
     h = zlib.crc32(name.encode("utf-8", "surrogatepass"))
     return h >> (32 - HASH_BITS), 1.0 if h & 1 else -1.0
 
 
-def shape(word: str) -> str:
-    """The first and the last three characters, with one sign for all small letters, capitals and digits."""
-    key = word[:1] + word[-3:]
-    got = _shape_of.get(key)
-    if got is None:
-        got = key.translate(_SIGNS)
-        if len(_shape_of) < 200_000:
-            _shape_of[key] = got
-    return got
-
-
-def features(x: Look) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted slots and values of the hashed features of a document."""
-    n = max(1, len(x.words))
-    named = {f"w {k}": log2(1 + 64 * c / n) for k, c in Counter(map(shape, x.words)).items()}
-    for name, v in (("marks", x.marks), ("capitals", x.capitals), ("repeats", x.repeats), ("separators", x.separators), ("ends", x.ends), ("variety", x.variety)):
-        named[f"s {name} {min(20, int(v * 20))}"] = 1.0
-        named[f"v {name}"] = log2(1 + 64 * min(v, 4.0))
-    named[f"n {int(log2(n))}"] = 1.0
-    slots: dict[int, float] = {}
-    for k, v in named.items():
-        got = _slot_of.get(k)
-        if got is None:
-            got = _slot(k)
-            if len(_slot_of) < 100_000:
-                _slot_of[k] = got
-        slots[got[0]] = slots.get(got[0], 0.0) + got[1] * v
-    order = sorted(slots)
-    norm = max(1e-9, sqrt(sum([v * v for v in slots.values()])))
-    return np.array(order, dtype=np.int64), np.array([slots[s] / norm for s in order])
+def _shapes(words: pa.Array) -> tuple[np.ndarray, list[str]]:
+    """Of each word the number of its shape, and the shapes: the first and the last three characters, with one
+    sign for all small letters, capitals and digits."""
+    word, ends = _numbered(pc.binary_join_element_wise(pc.utf8_slice_codeunits(words, 0, 1), pc.utf8_slice_codeunits(words, -3), ""))
+    end, shapes = _numbered(pa.array([x.translate(_SIGNS) for x in ends.to_pylist()], pa.string()))
+    return end[word], shapes.to_pylist()
+
+
+def _slots(names) -> tuple[np.ndarray, np.ndarray]:
+    found = [_slot(x) for x in names]
+    return np.array([f[0] for f in found], np.int64), np.array([f[1] for f in found])
+
+
+def features(x: Look) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, slot, value) of the hashed features, by text and slot; the values of a text have norm 1."""
+    m, size = len(x.n), np.maximum(x.n, 1)
+    of_word, shapes = _shapes(x.words)
+    key, count = np.unique(x.text * max(1, len(shapes)) + of_word[x.word], return_counts=True)
+    at, which = np.divmod(key, max(1, len(shapes)))
+    slot, sign = _slots(f"w {k}" for k in shapes)
+    parts = [(at, slot[which], sign[which] * np.log2(1 + 64 * count / size[at]))] if len(shapes) else []
+    every = np.arange(m)
+    for i, name in enumerate(MEASURES):
+        v = x.measures[:, i]
+        slot, sign = _slots(f"s {name} {k}" for k in range(21))
+        step = np.minimum(20, (v * 20).astype(int))
+        parts.append((every, slot[step], sign[step]))
+        (slot,), (sign,) = _slots([f"v {name}"])
+        parts.append((every, np.full(m, slot), sign * np.log2(1 + 64 * np.minimum(v, 4.0))))
+    slot, sign = _slots(f"n {k}" for k in range(64))
+    length = np.log2(size).astype(int)
+    parts.append((every, slot[length], sign[length]))
+    text, slot, value = (np.concatenate(p) for p in zip(*parts, strict=True))
+    key, which = np.unique(text << HASH_BITS | slot, return_inverse=True)
+    value = np.bincount(which, value, len(key))
+    text, slot = key >> HASH_BITS, key & ((1 << HASH_BITS) - 1)
+    return text, slot, value / np.maximum(1e-9, np.sqrt(np.bincount(text, value * value, m)))[text]
 
 
 @dataclass(frozen=True)
@@ -171,11 +200,10 @@ class Scorer:
     weights: np.ndarray
     bias: float
 
-    def score(self, x: Look) -> float:
-        if not x.words:
-            return 0.0
-        slots, values = features(x)
-        return float(1 / (1 + np.exp(-np.clip(self.weights[slots] @ values + self.bias, -30, 30))))
+    def score(self, x: Look) -> np.ndarray:
+        text, slot, value = features(x)
+        z = np.bincount(text, self.weights[slot] * value, len(x.n)) + self.bias
+        return np.where(x.n > 0, 1 / (1 + np.exp(-np.clip(z, -30, 30))), 0.0)
 
 
 def fit(rows: list[tuple[np.ndarray, np.ndarray, float]], prior: float, epochs: int = 30) -> Scorer:
@@ -211,15 +239,15 @@ VOTES = "votes array<int>, slots array<long>, values array<double>"
 QUALITY = "score double, keep boolean, votes array<int>, posterior double"
 
 
-def _texts(a):
-    return pc.fill_null(a, "").to_pylist()
+def _texts(a: pa.Array) -> pa.Array:
+    return pc.fill_null(a, "")
 
 
 def train(docs: DataFrame, text: str = "text", train_rows: int = TRAIN_ROWS) -> tuple[LabelModel, Scorer]:
     """The label model from the votes of all documents and the scorer from a bounded sample of them."""
     docs = docs.select(column(text).alias("t"))
     text = "t"
-    seen = append_struct(docs, text, "__q", "votes array<int>", lambda: lambda a: [{"votes": list(vote(look(t)))} for t in _texts(a)])
+    seen = append_struct(docs, text, "__q", "votes array<int>", lambda: lambda a: [{"votes": v} for v in vote(look(_texts(a))).tolist()])
     counts = {tuple(r["votes"]): r["count"] for r in seen.groupBy("__q.votes").count().collect()}
     labels = estimate(counts)
     total = sum(counts.values())
@@ -229,12 +257,13 @@ def train(docs: DataFrame, text: str = "text", train_rows: int = TRAIN_ROWS) ->
     h = F.xxhash64(text, F.lit(5))
     drawn = docs.where(F.length(F.trim(text)) > 0).select(text, h.alias("h")).where(F.col("h") / 2.0**64 + 0.5 <= share)
 
-    def one(t: str) -> dict:
-        x = look(t)
-        slots, values = features(x)
-        return {"votes": list(vote(x)), "slots": slots.tolist(), "values": values.tolist()}
+    def rows_of(a) -> list[dict]:
+        x = look(_texts(a))
+        at, slot, value = features(x)
+        edges = np.searchsorted(at, np.arange(len(x.n) + 1)).tolist()
+        return [{"votes": v, "slots": slot[i:j].tolist(), "values": value[i:j].tolist()} for v, i, j in zip(vote(x).tolist(), edges, edges[1:], strict=False)]
 
-    sample = append_struct(drawn, text, "__q", VOTES, lambda: lambda a: [one(t) for t in _texts(a)])
+    sample = append_struct(drawn, text, "__q", VOTES, lambda: rows_of)
     sample = sample.groupBy("h").agg(F.first("__q").alias("q")).orderBy("h").limit(train_rows).select("q.*").collect()
     rows = sorted(((tuple(r["slots"]), tuple(r["values"]), labels.posterior[tuple(r["votes"])]) for r in sample))
     return labels, fit([(np.array(s, dtype=np.int64), np.array(v), p) for s, v, p in rows], labels.prior)
@@ -248,12 +277,11 @@ def score_quality(docs: DataFrame, text: str = "text", out: str = "quality", mod
     def kernel():
         posterior, model = shared.value
 
-        def one(t: str) -> dict:
-            x = look(t)
-            v, s = vote(x), model.score(x)
-            return {"score": s, "keep": s >= threshold, "votes": list(v), "posterior": posterior.get(v)}
+        def rows_of(a) -> list[dict]:
+            x = look(_texts(a))
+            return [{"score": s, "keep": s >= threshold, "votes": v, "posterior": posterior.get(tuple(v))} for v, s in zip(vote(x).tolist(), model.score(x).tolist(), strict=True)]
 
-        return lambda a: [one(t) for t in _texts(a)]
+        return rows_of
 
     return append_struct(docs, text, out, QUALITY, kernel)
 
