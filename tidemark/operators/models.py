@@ -6,7 +6,7 @@ batch of arrays to a batch of score vectors can be scored instead.
 
 Training is data-parallel: in each round every task sums the gradients of its rows at the present
 weights, Spark sums the tasks' vectors, and the driver, which sees model-sized sums only, takes the
-optimiser's step. Dense layers are trained; what lies below them are fixed features.
+optimiser's step.
 """
 
 from __future__ import annotations
@@ -165,25 +165,52 @@ def inception_recipe(n_blocks: int, filters: int = 8, n_classes: int = 2) -> Rec
     return Recipe([*layers, {"kind": "global_mean"}], n_classes)
 
 
-def _conv(x: np.ndarray, w: np.ndarray) -> np.ndarray:
-    """Same-size convolution over all axes but first and last; w is (*kernel, in, out)."""
+def _windows(x: np.ndarray, kernel: tuple[int, ...], flipped: bool = False) -> np.ndarray:
+    """(n, *places, channels, *kernel) windows of a same-size convolution over all axes but first and last."""
+    dims = len(kernel)
+    pads = [((k - 1) // 2, k // 2)[:: -1 if flipped else 1] for k in kernel]
+    return np.lib.stride_tricks.sliding_window_view(np.pad(x, [(0, 0), *pads, (0, 0)]), kernel, axis=tuple(range(1, dims + 1)))
+
+
+def _conv(x: np.ndarray, w: np.ndarray, flipped: bool = False) -> np.ndarray:
+    """Same-size convolution; w is (*kernel, in, out)."""
     dims = x.ndim - 2
-    pads = [(0, 0), *[((k - 1) // 2, k // 2) for k in w.shape[:dims]], (0, 0)]
-    views = np.lib.stride_tricks.sliding_window_view(np.pad(x, pads), w.shape[:dims], axis=tuple(range(1, dims + 1)))
-    return np.tensordot(views, w, axes=([*range(x.ndim, x.ndim + dims), x.ndim - 1], [*range(dims), dims]))
+    return np.tensordot(_windows(x, w.shape[:dims], flipped), w, axes=([*range(x.ndim, x.ndim + dims), x.ndim - 1], [*range(dims), dims]))
 
 
-def _pool(x: np.ndarray, size: int) -> np.ndarray:
-    for axis in range(1, x.ndim - 1):
-        n = x.shape[axis] // size
-        if n:
-            cut = np.take(x, range(n * size), axis)
-            x = cut.reshape(*cut.shape[:axis], n, size, *cut.shape[axis + 1 :]).max(axis + 1)
-    return x
+def _conv_back(x: np.ndarray, w: np.ndarray, g: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Gradients by the input and by the weights."""
+    dims = x.ndim - 2
+    by_weight = np.tensordot(_windows(x, w.shape[:dims]), g, axes=([*range(dims + 1)], [*range(dims + 1)]))
+    turned = np.flip(w, tuple(range(dims))).swapaxes(-1, -2)
+    return _conv(g, turned, flipped=True), np.moveaxis(by_weight, 0, dims)
+
+
+def _pool(x: np.ndarray, size: int) -> tuple[np.ndarray, Callable[[np.ndarray], np.ndarray]]:
+    """Maxima over blocks, what is left over at the ends cut off, and the way back to the maxima's places."""
+    places = [s // size or 1 for s in x.shape[1:-1]]
+    sizes = [size if s >= size else s for s in x.shape[1:-1]]
+    inside = (slice(None), *[slice(0, a * b) for a, b in zip(places, sizes, strict=True)], slice(None))
+    split = [x.shape[0], *[v for ab in zip(places, sizes, strict=True) for v in ab], x.shape[-1]]
+    axes = tuple(2 + 2 * i for i in range(len(places)))
+    blocks = x[inside].reshape(split)
+    top = blocks.max(axes, keepdims=True)
+
+    def back(g: np.ndarray) -> np.ndarray:
+        hit = blocks == top
+        out = np.zeros_like(x)
+        out[inside] = (hit / hit.sum(axes, keepdims=True) * g.reshape(top.shape)).reshape(x[inside].shape)
+        return out
+
+    return top.reshape(x.shape[0], *places, x.shape[-1]), back
 
 
 class Network:
-    """A stack of layers with a softmax top. Dense layers can be trained; others are fixed features."""
+    """A stack of layers with a softmax top.
+
+    Each layer gives its output and a function from the gradient by its output to that by its input and those by
+    its arrays, so all of them can be trained; arrays of layers named in ``frozen`` stay as they are.
+    """
 
     def __init__(self, recipe: Recipe, input_shape: tuple[int, ...], seed: int = 1, weights: dict[str, np.ndarray] | None = None):
         self.recipe, self.input_shape, self.rng = recipe, tuple(input_shape), np.random.default_rng(seed)
@@ -198,56 +225,93 @@ class Network:
             self.weights[name] = self.rng.normal(0, np.sqrt(2 / fan), shape) if len(shape) > 1 else np.zeros(shape)
         return self.weights[name]
 
-    def _layer(self, i: int, spec: dict, x: np.ndarray) -> np.ndarray:
+    def _convolved(self, x: np.ndarray, name: str, kernel: int, filters: int, bias: str | None = None):
+        w = self._get(name, *[kernel] * (x.ndim - 2), x.shape[-1], filters)
+        b = self._get(bias, filters) if bias else 0.0
+
+        def back(g):
+            gx, gw = _conv_back(x, w, g)
+            return gx, {name: gw} | ({bias: g.sum(tuple(range(g.ndim - 1)))} if bias else {})
+
+        return _conv(x, w) + b, back
+
+    def _layer(self, i: int, spec: dict, x: np.ndarray, training: bool = False):
         kind = spec["kind"]
-        if kind in ("conv1d", "conv2d", "concat_conv", "residual"):
-            k = [spec["kernel"]] * (x.ndim - 2)
-            y = _conv(x, self._get(f"{i}.w", *k, x.shape[-1], spec["filters"])) + self._get(f"{i}.b", spec["filters"])
-            y = np.maximum(y, 0)
-            if kind == "concat_conv":
-                return np.concatenate([x, y], -1)
-            if kind == "residual":
-                y = _conv(y, self._get(f"{i}.w2", *k, spec["filters"], spec["filters"]))
-                short = x if x.shape[-1] == spec["filters"] else _conv(x, self._get(f"{i}.ws", *[1] * (x.ndim - 2), x.shape[-1], spec["filters"]))
-                return np.maximum(short + y, 0)
-            return y
+        if kind in ("conv1d", "conv2d", "concat_conv"):
+            z, back = self._convolved(x, f"{i}.w", spec["kernel"], spec["filters"], f"{i}.b")
+            y = np.maximum(z, 0)
+            if kind != "concat_conv":
+                return y, lambda g: back(g * (z > 0))
+
+            def joined(g):
+                gx, found = back(g[..., x.shape[-1] :] * (z > 0))
+                return gx + g[..., : x.shape[-1]], found
+
+            return np.concatenate([x, y], -1), joined
+        if kind == "residual":
+            z, first = self._convolved(x, f"{i}.w", spec["kernel"], spec["filters"], f"{i}.b")
+            y, second = self._convolved(np.maximum(z, 0), f"{i}.w2", spec["kernel"], spec["filters"])
+            short, third = (x, lambda g: (g, {})) if x.shape[-1] == spec["filters"] else self._convolved(x, f"{i}.ws", 1, spec["filters"])
+            out = short + y
+
+            def summed(g):
+                g = g * (out > 0)
+                inner, two = second(g)
+                gx, one = first(inner * (z > 0))
+                side, three = third(g)
+                return gx + side, one | two | three
+
+            return np.maximum(out, 0), summed
         if kind == "branches":
-            return np.concatenate([np.maximum(_conv(x, self._get(f"{i}.w{k}", *[k] * (x.ndim - 2), x.shape[-1], spec["filters"])), 0) for k in spec["kernels"]], -1)
+            made = [self._convolved(x, f"{i}.w{k}", k, spec["filters"]) for k in spec["kernels"]]
+
+            def forked(g):
+                parts = [back(part * (z > 0)) for (z, back), part in zip(made, np.split(g, len(made), -1), strict=True)]
+                return sum(gx for gx, _ in parts), {k: v for _, found in parts for k, v in found.items()}
+
+            return np.concatenate([np.maximum(z, 0) for z, _ in made], -1), forked
         if kind in ("pool1d", "pool2d"):
-            return _pool(x, spec["size"])
+            y, back = _pool(x, spec["size"])
+            return y, lambda g: (back(g), {})
+        if kind == "dropout":
+            keep = (self.rng.random(x.shape) >= spec["rate"]) / (1 - spec["rate"]) if training else 1.0
+            return x * keep, lambda g: (g * keep, {})
         if kind == "flatten":
-            return x.reshape(len(x), -1)
+            return x.reshape(len(x), -1), lambda g: (g.reshape(x.shape), {})
         if kind == "global_mean":
-            return x.mean(axis=tuple(range(1, x.ndim - 1)))
+            axes = tuple(range(1, x.ndim - 1))
+            return x.mean(axis=axes), lambda g: (np.broadcast_to(np.expand_dims(g, axes), x.shape) / np.prod([x.shape[k] for k in axes]), {})
         if kind == "dense":
-            y = x @ self._get(f"{i}.w", x.shape[-1], spec["units"]) + self._get(f"{i}.b", spec["units"])
-            return np.maximum(y, 0) if spec.get("activation") == "relu" else y
+            return self._dense_layer(str(i), x, spec["units"], spec.get("activation") == "relu")
         raise ValueError(f"unknown layer {kind!r}")
 
-    def features(self, x: np.ndarray) -> np.ndarray:
-        """Outputs below the first dense layer."""
+    def _dense_layer(self, name: str, x: np.ndarray, units: int, relu: bool):
+        flat = x.reshape(len(x), -1)
+        w, b = self._get(f"{name}.w", flat.shape[-1], units), self._get(f"{name}.b", units)
+        z = flat @ w + b
+
+        def back(g):
+            g = g * (z > 0) if relu else g
+            return (g @ w.T).reshape(x.shape), {f"{name}.w": flat.T @ g, f"{name}.b": g.sum(0)}
+
+        return np.maximum(z, 0) if relu else z, back
+
+    def _layers(self) -> list[str]:
+        return [*map(str, range(len(self.recipe.layers))), "top"]
+
+    def _forward(self, x: np.ndarray, training: bool = False) -> tuple[np.ndarray, list[Callable]]:
+        """Probabilities, and the ways back through the layers."""
+        backs = []
         for i, spec in enumerate(self.recipe.layers):
-            if spec["kind"] == "dense":
-                break
-            x = self._layer(i, spec, x)
-        return x.reshape(len(x), -1)
-
-    def _dense(self) -> list[str]:
-        return [str(i) for i, s in enumerate(self.recipe.layers) if s["kind"] == "dense"] + ["top"]
-
-    def _forward(self, x: np.ndarray) -> list[np.ndarray]:
-        out = [self.features(x)]
-        for name in self._dense():
-            units = self.recipe.n_classes if name == "top" else self.recipe.layers[int(name)]["units"]
-            z = out[-1] @ self._get(f"{name}.w", out[-1].shape[-1], units) + self._get(f"{name}.b", units)
-            out.append(z if name == "top" else np.maximum(z, 0))
-        e = np.exp(out[-1] - out[-1].max(1, keepdims=True))
-        out[-1] = e / e.sum(1, keepdims=True)
-        return out
+            x, back = self._layer(i, spec, x, training)
+            backs.append(back)
+        z, back = self._dense_layer("top", x, self.recipe.n_classes, False)
+        e = np.exp(z - z.max(1, keepdims=True))
+        return e / e.sum(1, keepdims=True), [*backs, back]
 
     def __call__(self, x: np.ndarray) -> np.ndarray:
         """(n, classes) probabilities for (n, *input_shape), or with a channel axis at the end."""
-        return self._forward(self.with_channel(x))[-1]
+        return self._forward(self.with_channel(x))[0]
 
     def with_channel(self, x: np.ndarray) -> np.ndarray:
         x = np.asarray(x, float)
@@ -269,13 +333,13 @@ class Network:
         new = Network(recipe, self.input_shape, weights=kept)
         new(np.zeros((1, *self.input_shape)))
         if freeze_base:
-            new.freeze(*self._dense()[:-1])
+            new.freeze(*self._layers()[:-1])
         return new
 
     def gradients(self, x: np.ndarray, y: np.ndarray, loss: str = "CategoricalCrossentropy") -> tuple[float, dict[str, np.ndarray]]:
-        """The summed loss of a batch and the sums of its gradients by the arrays of the dense layers that aren't frozen."""
-        out = self._forward(self.with_channel(x))
-        hot, p = np.eye(self.recipe.n_classes)[np.asarray(y, int)], out[-1]
+        """The summed loss of a batch and the sums of its gradients by the arrays of the layers that aren't frozen."""
+        p, backs = self._forward(self.with_channel(x), training=True)
+        hot = np.eye(self.recipe.n_classes)[np.asarray(y, int)]
         if loss == "MeanSquaredError":
             value = float(((p - hot) ** 2).mean(1).sum())
             d = 2 * (p - hot) / p.shape[1]
@@ -285,12 +349,12 @@ class Network:
             g = p - hot
         else:
             raise ValueError(f"{loss} is not a loss that training minimises; it is one of {TRAINABLE}")
-        names, found = self._dense(), {}
-        for i in range(len(names) - 1, -1, -1):
-            if names[i] not in self.frozen:
-                found[f"{names[i]}.w"], found[f"{names[i]}.b"] = out[i].T @ g, g.sum(0)
-            g = (g @ self.weights[f"{names[i]}.w"].T) * (out[i] > 0)
-        return value, found
+        sums: dict[str, np.ndarray] = {}
+        for name, back in zip(self._layers()[::-1], backs[::-1], strict=True):
+            g, found = back(g)
+            if name not in self.frozen:
+                sums |= found
+        return value, sums
 
     def optimizer(self) -> Optimizer:
         """The recipe's optimizer; its learning rate may be a schedule {"recipe_name", "parameters"}."""

@@ -7,6 +7,7 @@ import math
 import numpy as np
 from pyspark.sql import functions as F
 
+from tidemark import schema
 from tidemark.functions import arrays, scalar
 from tidemark.functions import kernels as K
 from tidemark.operators import models as M
@@ -188,6 +189,12 @@ def parsed_configurations(spark, d):
     return spark.createDataFrame(rows, "form string, is_encoded boolean, name string, number double")
 
 
+@query("SELECT * FROM (VALUES ('label', 0), ('signal', 1), ('image', 2)) t(name, dimensions)")
+def array_dimensions(spark, d):
+    kinds = V.signals(spark, d).select("label", F.col("data").alias("signal"), _image().alias("image")).schema
+    return spark.createDataFrame([(f.name, schema.dimensions(f.dataType)) for f in kinds], "name string, dimensions int")
+
+
 # Images ------------------------------------------------------------------------------------------
 
 _WEIGHTS = [math.exp(-0.5 * i * i) for i in range(-4, 5)]
@@ -292,3 +299,27 @@ def model_detections(spark, d):
     """Scores of a table of inputs as detections of one class."""
     table = V.signals(spark, d).select(F.concat(F.lit("f"), F.col("id") % 7).alias("filename"), F.floor(F.col("id") / 7).cast("double").alias("offset"), "data")
     return M.detect(table, _network(), label=1, threshold=0.12, spec_dur=3.0).withColumn("score", F.round("score", 6))
+
+
+def _convolutions() -> M.Network:
+    """A convolution of 3 x 3 to two channels, maxima of 2 x 2 and the top, with weights by formula."""
+    a, b, k = np.arange(3)[:, None, None], np.arange(3)[None, :, None], np.arange(2)
+    weights = {"0.w": np.cos(a * 6 + b * 2 + k)[:, :, None, :] / 2, "0.b": np.array([0.1, -0.1]), "top.w": np.sin(np.arange(32)[:, None] * 10 + np.arange(10)) / 4, "top.b": np.cos(np.arange(10)) / 10}
+    return M.Network(M.cnn_recipe([2], [], 10), (8, 8), weights=weights)
+
+
+@query(
+    sql(
+        """WITH w AS (SELECT a, b, k, cos(a * 6 + b * 2 + k) / 2 AS w FROM (SELECT unnest(range(0, 3)) AS a), (SELECT unnest(range(0, 3)) AS b), (SELECT unnest(range(0, 2)) AS k)),
+c AS (SELECT p.filename, p.t_bin AS y, p.f_bin AS x, w.k, greatest(0, sum(coalesce(i.value, 0) * w.w) + CASE w.k WHEN 0 THEN 0.1 ELSE -0.1 END) AS v
+  FROM image p CROSS JOIN w LEFT JOIN image i ON i.filename = p.filename AND i.t_bin = p.t_bin + w.a - 1 AND i.f_bin = p.f_bin + w.b - 1 GROUP BY p.filename, p.t_bin, p.f_bin, w.k),
+m AS (SELECT filename, (y // 2) * 8 + (x // 2) * 2 + k AS j, max(v) AS v FROM c GROUP BY ALL),
+z AS (SELECT filename, c, sum(v * sin(j * 10 + c) / 4) + cos(c) / 10 AS z FROM m, (SELECT unnest(range(0, 10)) AS c) GROUP BY filename, c),
+p AS (SELECT filename, c, exp(z) / sum(exp(z)) OVER (PARTITION BY filename) AS p FROM z)
+SELECT filename AS id, c::INT AS c, round(p, 6) AS p FROM p""",
+        "image",
+    )
+)
+def convolution_scores(spark, d):
+    images = _images(spark, d).withColumnRenamed("filename", "id")
+    return M.score(images, _convolutions()).select("id", F.posexplode("scores").alias("c", "p")).select("id", "c", *rounded("p"))

@@ -287,6 +287,42 @@ def file_headers(spark, d):
     return heads.select("filename", "rate", "channels", "frames", "duration").join(sizes, "filename").crossJoin(F.broadcast(rates))
 
 
+@query(sql(f"WITH {_WAV} SELECT row_number() OVER (ORDER BY 'w' || id || '.wav', h) - 1 AS id, 'w' || id || '.wav' AS filename, h * 0.5 AS \"offset\", round(max(abs(x)), 6) AS loudest, count(*) AS samples FROM q, (SELECT unnest(range(0, 2)) AS h) WHERE pos // 32 = h GROUP BY q.id, h", "signal"))
+def database_from_selections(spark, d):
+    """Both halves of every file, loaded and stored with numbers by file and time."""
+    from tidemark.sources.store import create_database
+
+    files = spark.read.format("binaryFile").load(_wavs(spark, d)).select(F.regexp_extract("path", r"([^/]*)$", 1).alias("filename"), "content")
+    sel = files.select("filename", F.explode(F.array(F.lit(0.0), F.lit(0.5))).alias("start")).withColumn("end", F.col("start") + 0.5)
+    store = Store(spark, fresh_path(spark, "database"))
+    create_database(store, "waves", sel, files)
+    rows = store.open("waves")
+    return rows.select("id", "filename", "offset", F.round(F.array_max(F.transform("data", F.abs)), 6).alias("loudest"), F.size("data").cast("long").alias("samples"))
+
+
+@query(sql(f"WITH {_WAV} SELECT 'part-' || id % 3 || '.tar' AS archive, 'a/w' || id || '.wav' AS filename, 64::BIGINT AS frames FROM q WHERE pos = 0 AND id % 2 = 0", "signal"))
+def archive_members(spark, d):
+    """Files in tar archives, of which those wanted are read out."""
+    import io
+    import tarfile
+
+    import pandas as pd
+
+    def pack(frame: pd.DataFrame) -> pd.DataFrame:
+        out = io.BytesIO()
+        with tarfile.open(fileobj=out, mode="w") as tar:
+            for name, content in zip(frame["filename"], frame["content"], strict=True):
+                member = tarfile.TarInfo(f"a/{name}")
+                member.size = len(content)
+                tar.addfile(member, io.BytesIO(content))
+        return pd.DataFrame({"path": [f"x/part-{frame['part'].iloc[0]}.tar"], "content": [out.getvalue()]})
+
+    files = V.signals(spark, d).select(F.format_string("w%d.wav", "id").alias("filename"), audio.wav_bytes(F.col("data"), F.lit(64)).alias("content"), (F.col("id") % 3).alias("part"), "id")
+    archives = files.groupBy("part").applyInPandas(pack, "path string, content binary")
+    found = audio.members_of(archives, suffixes=tuple(f"{k}.wav" for k in range(0, 10, 2)))
+    return found.select(F.regexp_extract("archive", r"([^/]*)$", 1).alias("archive"), "filename", audio.wav_header("content")["frames"].alias("frames"))
+
+
 # Streams -----------------------------------------------------------------------------------------
 
 

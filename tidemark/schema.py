@@ -69,6 +69,11 @@ def empty_selections(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([], "filename string, sel_id int, start double, end double")
 
 
+def dimensions(kind: T.DataType) -> int:
+    """How deep arrays nest in a column type: 0 for a scalar, 2 for an image."""
+    return 1 + dimensions(kind.elementType) if isinstance(kind, T.ArrayType) else 0
+
+
 def missing(df: DataFrame, time: bool = False) -> list[str]:
     """Required columns that a table lacks."""
     return [c for c in ("filename", "label", *(("start", "end") if time else ())) if c not in df.columns]

@@ -18,6 +18,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidemark.functions import kernels as K
 from tidemark.functions.scalar import morlet, num_samples, parse_datetime
@@ -129,19 +130,35 @@ WAVEFORM = "rate: double, data: array<double>, error: string"
 def load_waveforms(selections: DataFrame, files: DataFrame, rate: float | None = None, channel: int = 0, mode: str = "reflect", normalize: bool = False) -> DataFrame:
     """Selections (filename, start, end, ...) with ``wave``: rate, samples, or what went wrong.
 
-    ``files`` has (filename, content). The selections of a file are grouped before the join, so a file
-    is read and decoded by one task however many selections it has. A null filename gives zeros.
+    ``files`` has (filename, content). The selections of a file are grouped before the join, so a file is read by
+    one task however many selections it has; its windows leave the task in batches of about ``BATCH_SAMPLES``, so
+    that only its bytes and one batch are held. A null filename gives zeros.
     """
     rest = [c for c in selections.columns if c != "filename"]
-    grouped = selections.groupBy("filename").agg(F.collect_list(F.struct(*rest)).alias("sel"))
+    grouped = selections.groupBy("filename").agg(F.sort_array(F.collect_list(F.struct("start", *[c for c in rest if c != "start"]))).alias("sel"))
     joined = grouped.join(files.select("filename", "content"), "filename", "left")
+    kind = T.StructType([selections.schema["filename"], *[selections.schema[c] for c in rest], T.StructField("wave", T.StructType.fromDDL(WAVEFORM))])
 
-    @F.pandas_udf(f"array<struct<{WAVEFORM}>>")
-    def load(content: pd.Series, sel: pd.Series) -> pd.Series:
-        return pd.Series([[_load(c, s, rate, channel, mode, normalize) for s in ss] for c, ss in zip(content, sel, strict=True)])
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for name, sel, content in frame[["filename", "sel", "content"]].itertuples(index=False):
+                made, size = [], 0
+                for s in sel:
+                    row = s if isinstance(s, dict) else s.asDict()
+                    wave_ = _load(content, row, rate, channel, mode, normalize)
+                    made.append((name, *(row[c] for c in rest), wave_))
+                    size += len(wave_["data"] or ())
+                    if size >= BATCH_SAMPLES:
+                        yield pd.DataFrame(made, columns=kind.names)
+                        made, size = [], 0
+                if made:
+                    yield pd.DataFrame(made, columns=kind.names)
 
-    loaded = joined.select("filename", F.explode(F.arrays_zip(F.col("sel"), load("content", "sel").alias("wave"))).alias("z"))
-    return loaded.select("filename", "z.sel.*", "z.wave")
+    return joined.mapInPandas(run, kind)
+
+
+#: Samples of the windows that leave a task together.
+BATCH_SAMPLES = 1_000_000
 
 
 def _load(content, s, rate, channel, mode, normalize) -> dict:
@@ -195,6 +212,11 @@ def stitch(waves: DataFrame, n_smooth: int = 0) -> DataFrame:
 
 def archive_members(spark: SparkSession, path: str, members: list[str] | None = None) -> DataFrame:
     """(archive, filename, content) of the files in tar archives; only wanted members are read out."""
+    return members_of(spark.read.format("binaryFile").load(path), members)
+
+
+def members_of(archives: DataFrame, members: list[str] | None = None, suffixes: tuple[str, ...] = ("",)) -> DataFrame:
+    """``archive_members`` of a table (path, content); names may also be wanted by how they end."""
     wanted = set(members) if members is not None else None
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -202,10 +224,10 @@ def archive_members(spark: SparkSession, path: str, members: list[str] | None =
             for archive, content in zip(batch["path"], batch["content"], strict=True):
                 with tarfile.open(fileobj=io.BytesIO(content)) as tar:
                     for m in tar:
-                        if m.isfile() and (wanted is None or m.name in wanted):
+                        if m.isfile() and (wanted is None or m.name in wanted) and m.name.endswith(suffixes):
                             yield pd.DataFrame({"archive": [archive], "filename": [m.name], "content": [tar.extractfile(m).read()]})
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, "archive string, filename string, content binary")
+    return archives.select("path", "content").mapInPandas(run, "archive string, filename string, content binary")
 
 
 def encode_wav(data: np.ndarray, rate: float, loud: bool = True) -> bytes:
