@@ -68,7 +68,7 @@ def test_array_expressions_match_numpy(spark):
     assert one(spark, arrays.adjust_range(col)) == pytest.approx((x - x.min()) / np.ptp(x))
     assert np.allclose(one(spark, arrays.frames(col, 16, 8)), K.frames(x, 16, 8))
     assert np.allclose(one(spark, arrays.frames(col, 16, 8, offset=-5)), K.frames(x, 16, 8, offset=-5))
-    assert one(spark, arrays.dft_magnitude(col)) == pytest.approx(np.abs(np.fft.rfft(x * np.hamming(40))))
+    assert one(spark, arrays.dft_magnitude(col, 40)) == pytest.approx(np.abs(np.fft.rfft(x * np.hamming(40))))
     assert one(spark, arrays.pad_reflect(col, 3, 2)) == pytest.approx(K.pad(x, 3, 2)) and len(one(spark, arrays.pad_zero(col, 1, 2))) == 43
     assert one(spark, arrays.pad_reflect(col, 3, 2, invert=True)) == pytest.approx(K.pad(x, 3, 2, invert=True))
     assert one(spark, arrays.preemphasis(col)) == pytest.approx(np.concatenate([x[:1], x[1:] - 0.97 * x[:-1]]))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import math
 
 from pyspark.sql import Column
@@ -92,18 +93,17 @@ def nearest_values(x, i: int, n: int) -> Column:
     return F.slice(a, first + 1, F.least(F.lit(n), size))
 
 
-def dft_magnitude(x, window: str = "hamming") -> Column:
-    """Magnitudes of the real DFT of a short windowed frame as one expression, checkable in SQL."""
-    a = _c(x)
-    n = F.size(a)
-    shape = {"hamming": (0.54, 0.46), "hanning": (0.5, 0.5), None: (1.0, 0.0), "none": (1.0, 0.0)}[window]
-    w = F.transform(a, lambda v, i: v * (shape[0] - shape[1] * F.cos(2 * math.pi * i / F.greatest(n - 1, F.lit(1)))))
+def dft_magnitude(x, n: int, window: str = "hamming") -> Column:
+    """Magnitudes of the real DFT of a short windowed frame of ``n`` samples as one expression, checkable in SQL.
 
-    def part(fn, x_: Column, k: Column) -> Column:
-        return F.aggregate(F.transform(x_, lambda v, i: v * fn(2 * math.pi * k * i / n)), F.lit(0.0), lambda s, v: s + v)
-
-    bins = F.sequence(F.lit(0), F.floor(n / 2).cast("int"))
-    return let(w, lambda x_: F.transform(bins, lambda k: F.sqrt(F.pow(part(F.cos, x_, k), F.lit(2.0)) + F.pow(part(F.sin, x_, k), F.lit(2.0)))))
+    The windowed cosines and sines are a constant, folded once for the whole query.
+    """
+    level, depth = {"hamming": (0.54, 0.46), "hanning": (0.5, 0.5), None: (1.0, 0.0), "none": (1.0, 0.0)}[window]
+    shape = [level - depth * math.cos(2 * math.pi * i / max(1, n - 1)) for i in range(n)]
+    basis = [{"c": [w * math.cos(2 * math.pi * k * i / n) for i, w in enumerate(shape)], "s": [w * math.sin(2 * math.pi * k * i / n) for i, w in enumerate(shape)]} for k in range(n // 2 + 1)]
+    constant = F.from_json(F.lit(json.dumps(basis)), "array<struct<c: array<double>, s: array<double>>>")
+    dot = lambda b: F.aggregate(F.zip_with(_c(x), b, lambda u, v: u * v), F.lit(0.0), lambda t, v: t + v)
+    return F.transform(constant, lambda b: F.sqrt(F.pow(dot(b["c"]), F.lit(2.0)) + F.pow(dot(b["s"]), F.lit(2.0))))
 
 
 def mean(x) -> Column:

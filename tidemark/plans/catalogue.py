@@ -364,10 +364,17 @@ def add_images(spark, d):
     return X.add_images(i, i, 2, 0.5).withColumn("value", F.round("value", 6))
 
 
-@query(sql("SELECT id, (pos // 8)::INT AS frame, (s.pos - (pos // 8) * 8)::INT AS i, round(x, 6) AS x FROM signal s UNION ALL SELECT id, (pos // 8)::INT - 1 AS frame, (pos % 8 + 8)::INT AS i, round(x, 6) AS x FROM signal WHERE pos >= 8", "signal") + " ORDER BY 1")
+@query(
+    sql(
+        """SELECT id, (pos // 8)::INT AS frame, (pos % 8)::INT AS i, round(x, 6) AS x FROM signal UNION ALL SELECT id, (pos // 8)::INT - 1 AS frame, (pos % 8 + 8)::INT AS i, round(x, 6) AS x FROM signal WHERE pos >= 8
+UNION ALL SELECT id, 7 AS frame, pos::INT + 8 AS i, 0.0 AS x FROM signal WHERE pos < 8""",
+        "signal",
+    )
+)
 def framing(spark, d):
+    """Frames of 16 samples every 8; the last one is half padding."""
     f = V.signals(spark, d).select("id", F.posexplode(arrays.frames("data", 16, 8, num=8, pad="zero")).alias("frame", "w"))
-    return f.select("id", "frame", F.posexplode("w").alias("i", "x")).where("frame * 8 + i < 64").select("id", "frame", "i", *rounded("x"))
+    return f.select("id", "frame", F.posexplode("w").alias("i", "x")).select("id", "frame", "i", *rounded("x"))
 
 
 DFT = """w AS (SELECT id, pos, x * (0.54 - 0.46 * cos(2 * pi() * pos / 63)) AS x FROM signal), k AS (SELECT unnest(range(0, 33)) AS k),
@@ -376,12 +383,12 @@ dft AS (SELECT id, k::INT AS k, sqrt(power(sum(x * cos(2 * pi() * k * pos / 64))
 
 @query(sql(f"WITH {DFT} SELECT id, k, round(m, 5) AS m FROM dft", "signal"))
 def dft_magnitude(spark, d):
-    return V.signals(spark, d).select("id", F.posexplode(arrays.dft_magnitude("data")).alias("k", "m")).select("id", "k", F.round("m", 5).alias("m"))
+    return V.signals(spark, d).select("id", F.posexplode(arrays.dft_magnitude("data", 64)).alias("k", "m")).select("id", "k", F.round("m", 5).alias("m"))
 
 
 @query(sql(f"WITH {DFT} SELECT id, k, round(20 * log10(m * m / 64), 3) AS db FROM dft WHERE m > 0", "signal"))
 def power_decibel(spark, d):
-    f = V.signals(spark, d).select("id", F.posexplode(arrays.dft_magnitude("data")).alias("k", "m"))
+    f = V.signals(spark, d).select("id", F.posexplode(arrays.dft_magnitude("data", 64)).alias("k", "m"))
     return f.select("id", "k", F.round(scalar.to_decibel(scalar.mag_to_power(F.col("m"), F.lit(64))), 3).alias("db")).where("db IS NOT NULL")
 
 
@@ -511,7 +518,7 @@ def mel_bands(spark, d):
     bank = K.mel_bank(64, 64.0, 8)
     rows = [(m, k, float(bank[m, k])) for m in range(8) for k in range(33)]
     table = spark.createDataFrame(rows, "m int, f_bin int, weight double")
-    power = V.signals(spark, d).select(F.col("id"), F.lit(0).alias("t_bin"), F.posexplode(arrays.dft_magnitude("data")).alias("f_bin", "x")).select("id", "t_bin", "f_bin", scalar.mag_to_power(F.col("x"), F.lit(64)).alias("value"))
+    power = V.signals(spark, d).select(F.col("id"), F.lit(0).alias("t_bin"), F.posexplode(arrays.dft_magnitude("data", 64)).alias("f_bin", "x")).select("id", "t_bin", "f_bin", scalar.mag_to_power(F.col("x"), F.lit(64)).alias("value"))
     return X.weighted_bands(power, table, "id").select("id", "m", F.round("value", 5).alias("v"))
 
 

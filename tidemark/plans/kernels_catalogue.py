@@ -276,7 +276,7 @@ def model_scores(spark, d):
 @query(
     sql(
         f"""WITH {_NETWORK}, b AS (SELECT id, label, max(p) AS top, max(CASE WHEN c = label THEN p END) AS own, max(CASE WHEN c = 1 THEN p END) AS one FROM p GROUP BY id, label)
-SELECT round(avg(-ln(least(greatest(own, 1e-7), 1 - 1e-7))), 6) AS loss, round(avg((own = top)::INT), 6) AS accuracy, count(*) AS n, round(avg(((label = 1)::INT - one) * ((label = 1)::INT - one)), 6) AS mse, count_if(label = 1 AND one >= 0.5) AS tp FROM b""",
+SELECT round(avg(-ln(least(greatest(own, 1e-7), 1 - 1e-7))), 6) AS loss, round(avg((own = top)::INT), 6) AS accuracy, count(*) AS n, round(avg(((label = 1)::INT - one) * ((label = 1)::INT - one)), 6) AS mse, count_if(label = 1 AND one >= 0.5)::BIGINT AS tp FROM b""",
         "signal",
     )
 )
@@ -294,11 +294,11 @@ def summed_gradients(spark, d):
     return spark.createDataFrame(rows, "j int, c int, gradient double")
 
 
-@query(sql(f"WITH {_NETWORK} SELECT 0.12::DOUBLE AS threshold, 'f' || id % 7 AS filename, (id // 7)::DOUBLE AS start, 3.0::DOUBLE AS duration, round(p, 6) AS score FROM p WHERE c = 1 AND p >= 0.12", "signal"))
+@query(sql(f"WITH {_NETWORK} SELECT 0.1::DOUBLE AS threshold, 'f' || id % 7 AS filename, (id // 7)::DOUBLE AS start, 3.0::DOUBLE AS duration, round(p, 6) AS score FROM p WHERE c = 1 AND p >= 0.1", "signal"))
 def model_detections(spark, d):
     """Scores of a table of inputs as detections of one class."""
     table = V.signals(spark, d).select(F.concat(F.lit("f"), F.col("id") % 7).alias("filename"), F.floor(F.col("id") / 7).cast("double").alias("offset"), "data")
-    return M.detect(table, _network(), label=1, threshold=0.12, spec_dur=3.0).withColumn("score", F.round("score", 6))
+    return M.detect(table, _network(), label=1, threshold=0.1, spec_dur=3.0).withColumn("score", F.round("score", 6))
 
 
 def _convolutions() -> M.Network:

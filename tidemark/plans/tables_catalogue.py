@@ -121,7 +121,7 @@ def appended_annotations(spark, d):
     return A.append(a, more, "filename").select("filename", "annot_id", "label", *rounded("start", "end"))
 
 
-@query(sql("SELECT (SELECT max(annot_id) FROM annot) + 1 AS first, (SELECT max(annot_id) FROM annot) + count(*) AS last, count(*) AS n, count(*) AS different FROM annot WHERE label = 2", "annot"))
+@query(sql("SELECT (SELECT max(annot_id) FROM annot) + 1 AS first, ((SELECT max(annot_id) FROM annot) + count(*))::INT AS last, count(*) AS n, count(*) AS different FROM annot WHERE label = 2", "annot"))
 def appended_numbers(spark, d):
     """Annotations of one object are numbered on, in ranges: no gaps and no number twice."""
     a = V.annotations(spark, d).select("filename", "annot_id", "label", "start", "end")
@@ -215,7 +215,7 @@ def epoch_order(spark, d):
     return one.join(two, "id").agg(F.count("*").alias("n"), F.count_distinct("ord").alias("different"), F.max("ord").alias("last"), (F.count_if(F.col("ord") == F.col("other")) < F.count("*") / 2).alias("moved"))
 
 
-@query("SELECT count(*) AS rows, 1 AS shapes, count_if(label IS NULL) AS missing_labels FROM embeddings")
+@query("SELECT count(*) AS rows, 1 AS shapes, count_if(label IS NULL)::BIGINT AS missing_labels FROM embeddings")
 def consistent_shapes(spark, d):
     return B.require_same_shape(V.signals(spark, d)).select("rows", F.col("shapes").cast("int").alias("shapes"), "missing_labels")
 
