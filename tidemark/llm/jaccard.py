@@ -513,15 +513,15 @@ def keep_one(docs: DataFrame, id_column: str = "doc_id", text: str = "text") ->
     groups = group_similar(docs, id_column, text)
     other = F.when(F.col("component").isNull(), F.col("fp") != F.col("root")).otherwise(F.col("id").isNull() | (F.col("id") != F.col("component")))
     gone = groups.where((F.col("n") > 0) & other).select("id", "fp").distinct()
-    name = free_name(docs, "__class")
-    marked = _token_classes(docs, text, name)
+    name, only = free_name(docs, "__class"), free_name(docs, "__only")
+    worded = F.coalesce(column(text).rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    marked = _token_classes(docs.where(worded), text, name)
     own = F.col(f"{name}.fp")
     gone = gone.select(F.struct("fp", "id").alias("gone"))
     kept = marked.join(gone, (own == F.col("gone.fp")) & column(id_column).eqNullSafe(F.col("gone.id")), "left_anti")
-    # Rows that repeat one id and one set are one document; a row without shingles is one by itself.
-    only = free_name(docs, "__only")
-    unique = F.struct(column(id_column), own, F.when(own == 0, F.monotonically_increasing_id()))
-    return kept.withColumn(only, unique).dropDuplicates([only]).select(*columns(docs))
+    # Rows that repeat one id and one set are one document; those without a word, and so without shingles, all stay.
+    single = kept.withColumn(only, F.struct(column(id_column), own)).dropDuplicates([only])
+    return single.select(*columns(docs)).unionByName(docs.where(~worded))
 
 
 def _token_classes(docs: DataFrame, text: str, name: str) -> DataFrame:
