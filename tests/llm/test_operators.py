@@ -298,3 +298,74 @@ def test_model_files_are_reused_and_deleted(spark):
     assert first[0] < 0 and seen[0]["perplexity"] < seen[1]["perplexity"] and seen[1]["n_known"] == 1
     language_model.delete(spark, model)
     assert not path_exists(spark, model.path)
+
+
+@pytest.mark.parametrize("order", [2, 4])
+def test_models_of_other_orders(spark, order):
+    import brute
+
+    rng = random.Random(order)
+    docs = [(i, " ".join(rng.choice("abcdef") for _ in range(rng.randint(0, 40)))) for i in range(60)] + [(100, None), (101, "never seen")]
+    table = spark.createDataFrame(docs, "doc_id long, text string")
+    ids = [i for i, _ in docs if not brute.held_out(i)]
+    model = language_model.train(table.where(F.col("doc_id").isin(ids)), order=order, buckets=3)
+    got = {r["doc_id"]: r for r in language_model.score_texts(table, model).collect()}
+    for i, _, n, known, total, base, score in brute.language_model([(i, t or "") for i, t in docs], order):
+        assert (got[i]["n_tokens"], got[i]["n_known"], model.tokens) == (n, known, total)
+        assert got[i]["base_score"] == pytest.approx(base) and got[i]["score"] == pytest.approx(score)
+    assert brute.language_model.sums == pytest.approx([1.0] * len(brute.language_model.sums))
+    with pytest.raises(ValueError, match="two words"):
+        language_model.train(table, order=1)
+
+
+def test_hash_arrays():
+    from tidemark.llm.store import Bundle, HashArray, Sparse
+
+    rng = np.random.default_rng(6)
+    for n in (0, 1, 15, 16, 5000):
+        h = np.unique(rng.integers(0, 2**64, n, dtype=np.uint64))
+        counts = np.where(rng.random(len(h)) < 0.1, rng.integers(255, 2**40, len(h)), rng.integers(0, 255, len(h)))
+        b = Bundle()
+        HashArray.put(b, "h", h)
+        Sparse.put(b, "c", counts)
+        at = rng.permutation(len(h))
+        assert np.array_equal(HashArray.get(b, "h").find(h[at]), at)
+        assert np.array_equal(Sparse.get(b, "c")[at], counts[at])
+        assert (HashArray.get(b, "h").find(rng.integers(0, 2**64, 1000, dtype=np.uint64)) == -1).all()
+
+
+def test_large_registries_and_many_sources_are_shuffled(spark, monkeypatch):
+    """Beyond what is broadcast the results are the same."""
+    texts = [(1, licenses.LICENSES["MIT"]), (2, licenses.LICENSES["Zlib"]), (3, None), (4, ""), (5, "none of them")]
+    docs = spark.createDataFrame([(i, t, f"s{i % 2}") for i, t in texts] + [(10 + i, "w " * (i + 1), None) for i in range(60)], "doc_id long, text string, source string")
+    read = lambda: {r["doc_id"]: (r["license"], r["license_digest"]) for r in licenses.find_licenses(docs).collect()}
+    mixed = lambda: {r["doc_id"]: (r["copies"], r["target"]) for r in mixing.mix(docs).collect()}
+    whole, plan = read(), mixed()
+    table = licenses.find_licenses(docs, licenses=spark.createDataFrame([("Zlib", licenses.LICENSES["Zlib"])], "license string, text string"))
+    assert {r["doc_id"]: r["license"] for r in table.collect()}[2] == "Zlib"
+    monkeypatch.setattr(licenses, "BROADCAST_TEXTS", 0)
+    monkeypatch.setattr(mixing, "BROADCAST_SOURCES", 0)
+    assert read() == whole and whole[2][0] == "Zlib" and whole[3] == (None, None) and mixed() == plan
+
+
+def test_conversations_without_an_id(spark):
+    turns = spark.createDataFrame([(None, 0, "user", "a"), (1, 0, "user", "b"), (None, 1, "assistant", "c")], "conv_id long, turn long, role string, text string")
+    made = chat.format_chats(turns, chat.INST)
+    got = {r["conv_id"]: [x["text"] for x in r["t"]] for r in made.select("conv_id", chat.INST.parse(F.col("formatted")).alias("t")).collect()}
+    assert got == {None: ["a", "c"], 1: ["b"]}
+
+
+def test_many_personal_spans_in_one_text():
+    """Spans and masking of a text with thousands of names grow with it and no faster."""
+    import time
+
+    def run(n):
+        began = time.process_time()
+        found = pii._candidates("Call Anna Berg at a@b.co now. " * n, pii._GAZETTEER)
+        spans = sorted(found["base"] + found["more"], key=lambda s: s["start"])
+        masked = pii._masked("Call Anna Berg at a@b.co now. " * n, spans)
+        return time.process_time() - began, len(spans), masked
+
+    small, n, masked = run(8000)
+    assert n == 16_000 and masked == "Call [NAME] at [EMAIL] now. " * 8000
+    assert run(32_000)[0] < 8 * small
