@@ -30,6 +30,8 @@ def _small_star(edges: DataFrame) -> DataFrame:
 def components(edges: DataFrame, rounds: int = 100) -> DataFrame:
     """(node, root): the least node of its component, for every node with an edge except the roots."""
     now = materialize(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), "edges")
+    if now.isEmpty():
+        return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
     mark = None
     for _ in range(rounds):
         before, now = now, materialize(_small_star(_large_star(now)), "edges")
