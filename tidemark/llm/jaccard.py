@@ -497,12 +497,13 @@ def group_similar(docs: DataFrame, id_column: str = "doc_id", text: str = "text"
     linked = components(verified)
     for path in (counts[0], filter_path):
         delete_path(spark, path)  # the links are stored by now
-    full = classes.join(linked, classes["fp"] == linked["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    named = full.select("fp", "root").join(full.groupBy("root").agg(F.min("least").alias("component")), "root").select("fp", "component", "root")
-    named = materialize(named, "named")
-    for table in (member, wanted):
+    full = materialize(classes.join(linked, classes["fp"] == linked["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root")), "classes")
+    # A component of very many classes, and below a class of very many copies, get their names by broadcast.
+    names = full.groupBy("root").agg(F.min("least").alias("component"))
+    named = materialize(lookup(full.select("fp", "root"), names, "root").select("fp", "component", "root"), "named")
+    for table in (member, wanted, full):
         discard(table)
-    # Documents without shingles are in no class; a class of very many copies gets its name by broadcast.
+    # Documents without shingles are in no class.
     out = lookup(rows.where("n > 0"), named, "fp").select("id", "fp", "n", "component", "root")
     alone = rows.where("n = 0").select("id", "fp", "n", F.col("id").alias("component"), F.lit(None).cast("long").alias("root"))
     return out.unionByName(alone)
