@@ -5,6 +5,8 @@ import math
 import re
 import zlib
 from collections import Counter, defaultdict
+from fractions import Fraction
+from itertools import accumulate
 
 
 def sha(s):
@@ -287,3 +289,97 @@ def mixed(rows, targets, sizes):
                     break
                 out[r[0]] += 1
     return out
+
+
+def _words(text):
+    return (text or "").encode().split()
+
+
+def op11(docs, window=50):
+    """doc_id: (n_words, n_removed, kept_sha256) from sets of whole windows."""
+    least = {}
+    for i, t in docs:
+        w = _words(t)
+        for k in range(len(w) - window + 1) if i is not None else ():
+            key = tuple(w[k : k + window])
+            least[key] = min(i, least.get(key, i))
+    out = {}
+    for i, t in docs:
+        w = _words(t)
+        gone = set()
+        for k in range(len(w) - window + 1) if i is not None else ():
+            if least[tuple(w[k : k + window])] < i:
+                gone.update(range(k, k + window))
+        out[i] = (len(w), len(gone), hashlib.sha256(b" ".join(x for k, x in enumerate(w) if k not in gone)).hexdigest())
+    return out
+
+
+def runs(w, least=24, times=3):
+    """(start, length, period) of all runs, by comparing the words at each distance."""
+    found = {}
+    for q in range(1, len(w) // times + 1):
+        i = 0
+        while i + q < len(w):
+            if w[i] == w[i + q]:
+                j = i
+                while j + q < len(w) and w[j] == w[j + q]:
+                    j += 1
+                if j + q - i >= max(least, times * q):
+                    found.setdefault((i, j + q - i), q)
+                i = j
+            i += 1
+    return sorted((a, n, q) for (a, n), q in found.items())
+
+
+def op12(docs):
+    out = {}
+    for i, t in docs:
+        w = _words(t)
+        n, h = len(w), zlib.crc32(str("" if i is None else i).encode())
+        g = h // 10
+        if h % 10 == 0 and n:
+            a = g % n
+            p = 1 + (n - a) // (3 + g % 8)
+            w = [w[k] if k < a else w[a + (k - a) % p] for k in range(n)]
+        found = runs(w)
+        gone = {k for a, m, q in found for k in range(a + q, a + m)}
+        best = min(found, key=lambda r: (-Fraction(r[1], r[2]), r[0], r[2])) if found else (None, None, None)
+        lines = "".join(f"{a},{m},{q}\n" for a, m, q in found)
+        kept = b" ".join(x for k, x in enumerate(w) if k not in gone)
+        out[i] = (len(found), *best, 1000 * best[1] // best[2] if found else None, hashlib.sha256(lines.encode()).hexdigest(), hashlib.sha256(kept).hexdigest())
+    return out
+
+
+def op13(docs, folder="/opt/tokenizers"):
+    """Whole texts encoded at once; every byte knows its token of each side, and pairs of owners are the links."""
+    import sentencepiece
+    from tokenizers import Tokenizer
+
+    a = Tokenizer.from_file(f"{folder}/byte_bpe_50k.json")
+    a.encode_special_tokens = True
+    b = sentencepiece.SentencePieceProcessor(model_file=f"{folder}/piece_bpe_32k.model")
+    plain = [c for c in range(256) if 33 <= c <= 126 or 161 <= c <= 172 or c >= 174]
+    rest = [c for c in range(256) if c not in plain]
+    letters = {chr(c): bytes([c]) for c in plain} | {chr(256 + k): bytes([c]) for k, c in enumerate(rest)}
+    bytes_a = lambda k: b"".join(letters[c] for c in a.id_to_token(k))
+    bytes_b = lambda k: bytes([int(b.id_to_piece(k)[3:5], 16)]) if b.is_byte(k) else b.id_to_piece(k).replace("\u2581", " ").encode()
+    rows = []
+    for i, t in docs:
+        x, y = (a.encode(" " + t, add_special_tokens=False).ids, b.encode(t)) if t else ([], [])
+        p, q = [bytes_a(k) for k in x], [bytes_b(k) for k in y]
+        if not t or b"".join(p) != (" " + t).encode() or b"".join(q) != (" " + t).encode():
+            x, y, p, q = [], [], [], []
+        owner_a, owner_b = ([k for k, piece in enumerate(pieces) for _ in piece] for pieces in (p, q))
+        links = [(y[m], x[k]) for k, m in sorted(set(zip(owner_a, owner_b, strict=True)))]
+        cut_a, cut_b = (set(accumulate(map(len, pieces))) for pieces in (p, q))
+        parts, from_a, from_b = [], 0, 0
+        for e in sorted(cut_a & cut_b):
+            k, m = owner_a[e - 1] + 1, owner_b[e - 1] + 1
+            parts.append(",".join(map(str, x[from_a:k])) + "|" + ",".join(map(str, y[from_b:m])))
+            from_a, from_b = k, m
+        rows.append((i, (len(x), len(y), len(parts)), links, sha(";".join(parts)) if x else ""))
+    count = Counter(k for r in rows for k in r[2])
+    most = defaultdict(int)
+    for (side, _), n in count.items():
+        most[side] = max(n, most[side])
+    return {i: (*sizes, len(links), sum(count[k] == most[k[0]] for k in links), sum(count[k] for k in links), g) for i, sizes, links, g in rows}

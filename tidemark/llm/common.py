@@ -168,6 +168,16 @@ def pack(a: np.ndarray) -> bytes:
     return np.ascontiguousarray(a).tobytes()
 
 
+def planes(a: np.ndarray, width: int = 4) -> bytes:
+    """Whole numbers of ``width`` bytes by byte planes, which compress well where most are small and not negative."""
+    return a.astype(f"<i{width}").view(np.uint8).reshape(-1, width).T.tobytes()
+
+
+def unplanes(b: bytes, width: int = 4) -> np.ndarray:
+    """What ``planes`` packed."""
+    return np.ascontiguousarray(np.frombuffer(b, np.uint8).reshape(width, -1).T).view(f"<i{width}").ravel().astype(np.int64)
+
+
 def map_batches(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: StructType) -> DataFrame:
     """``mapInArrow`` for columns of any name, also with dots and backticks, which it can't name itself."""
     names = df.columns

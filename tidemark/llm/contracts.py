@@ -1,12 +1,12 @@
-"""The queries of the ten operators: each applies its operator to the whole table and derives digests."""
+"""The queries of the operators: each applies its operator to the whole table and derives digests."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import chat, decontaminate, jaccard, language_model, licenses, media, mixing, pii, quality, secrets
-from tidemark.llm.common import materialize, read_table
+from tidemark.llm import alignment, chat, decontaminate, jaccard, language_model, licenses, media, mixing, periodic, pii, quality, secrets, substrings
+from tidemark.llm.common import let, materialize, read_table
 
 CONFLICT = "</s>[INST] ok [/INST]"
 
@@ -105,4 +105,47 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(_span_text(base), 256).alias("base_sha256"), _span_text(F.col("findings")).alias("spans"))
 
 
-QUERIES = {f.__name__: f for f in (op1_chat_formatting, op2_license_scan, op3_quality_classifier, op4_media_columns, op5_pii, op6_decontamination, op7_mixing, op8_language_model, op9_jaccard_join, op10_secret_scan)}
+def op11_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = substrings.remove_repeats(read_table(spark, sf_dir, "documents").select("doc_id", "text"), keep_text=False)
+    r = F.col("repeats")
+    return cut.select("doc_id", r["n_words"].alias("n_words"), r["n_removed"].alias("n_removed"), F.sha2(r["kept"], 256).alias("kept_sha256"))
+
+
+def _with_tails(docs: DataFrame) -> DataFrame:
+    """The documents of op12: words of a tenth of them repeat a period from some word on."""
+    h = F.crc32(F.encode(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "utf-8"))
+    g = F.floor(h / 10).cast("long")
+
+    def tail(words: Column) -> Column:
+        n = F.size(words)
+        a = g % n
+        p = 1 + F.floor((n - a) / (3 + g % 8))
+        return F.array_join(F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.get(words, F.when(i < a, i).otherwise(a + (i - a) % p).cast("int"))), " ")
+
+    words = F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    return docs.withColumn("text", F.when(h % 10 == 0, let(words, lambda w: F.when(F.size(w) > 0, tail(w)).otherwise(""))).otherwise(F.col("text")))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic.find_periodic(_with_tails(read_table(spark, sf_dir, "documents").select("doc_id", "text"))).drop("text")
+    r, best = F.col("periodic.runs"), F.col("periodic.strongest")
+    lines = F.array_join(F.transform(r, lambda x: F.concat(F.concat_ws(",", x["start"].cast("string"), x["length"].cast("string"), x["period"].cast("string")), F.lit("\n"))), "")
+    return found.select(
+        "doc_id", F.size(r).cast("long").alias("n_runs"), best["start"].alias("start"), best["length"].alias("length"), best["period"].alias("period"),
+        F.expr("1000 * periodic.strongest.length DIV periodic.strongest.period").alias("exponent_milli"),
+        F.sha2(lines, 256).alias("runs_sha256"), F.sha2("periodic.collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = alignment.align(read_table(spark, sf_dir, "documents").select("doc_id", "text"), digest=True)
+    return found.select("doc_id", *[F.col(f"alignment.{n}").alias(n) for n in ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum")], F.col("alignment.groups").alias("groups_sha256"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_chat_formatting, op2_license_scan, op3_quality_classifier, op4_media_columns, op5_pii, op6_decontamination, op7_mixing, op8_language_model, op9_jaccard_join, op10_secret_scan,
+        op11_substring_dedup, op12_periodic_runs, op13_token_alignment,
+    )
+}

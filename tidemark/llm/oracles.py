@@ -74,4 +74,13 @@ reach(a, b) AS (SELECT doc_id, doc_id FROM dw UNION SELECT reach.a, link.y FROM
 SELECT dw.doc_id, coalesce(n.n, 0) AS n_shingles, c.component_id
 FROM dw LEFT JOIN n USING (doc_id) JOIN (SELECT a, min(b) AS component_id FROM reach GROUP BY a) c ON c.a = dw.doc_id"""
 
-ORACLES = {"op1_chat_formatting": _op1(), "op2_license_scan": _op2(), "op6_decontamination": _OP6, "op9_jaccard_join": _OP9}
+_OP11 = r"""
+WITH dw AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+win AS (SELECT doc_id, i, array_to_string(w[i:i + 49], ' ') AS k FROM (SELECT doc_id, w, unnest(range(1, len(w) - 48)) AS i FROM dw WHERE len(w) >= 50)),
+least AS (SELECT k, min(doc_id) AS m FROM win GROUP BY k),
+gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 50)) AS p FROM win JOIN least USING (k) WHERE m < doc_id),
+word AS (SELECT doc_id, unnest(range(1, len(w) + 1)) AS p, unnest(w) AS x FROM dw),
+kept AS (SELECT doc_id, string_agg(x, ' ' ORDER BY p) AS t, count(*) AS n FROM word ANTI JOIN gone USING (doc_id, p) GROUP BY doc_id)
+SELECT dw.doc_id, len(w) AS n_words, len(w) - coalesce(n, 0) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256 FROM dw LEFT JOIN kept USING (doc_id)"""
+
+ORACLES = {"op1_chat_formatting": _op1(), "op2_license_scan": _op2(), "op6_decontamination": _OP6, "op9_jaccard_join": _OP9, "op11_substring_dedup": _OP11}
