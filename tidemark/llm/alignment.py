@@ -46,12 +46,13 @@ from tidemark.llm.common import column, discard, free_name, map_batches, materia
 FOLDER = "/opt/tokenizers"
 VOCABULARY_A = "byte_bpe_50k.json"
 VOCABULARY_B = "piece_bpe_32k.model"
-#: Bytes of text that are aligned in one go; a token side has at most one token a byte.
-STEP = 2 << 20
+#: Bytes of text that are aligned in one go, and bytes of packed pairs (4 each) that are dealt in one go.
+STEP = 512 << 10
+DEALT_STEP = 1 << 20
 #: Postings of one slice on average, and entries of partial counts that a task holds before it sends them.
-SLICE = HELD = 4 << 20
+SLICE, HELD = 2 << 20, 1 << 20
 #: Units and bytes of their results that a worker remembers.
-REMEMBERED = (400_000, 64 << 20)
+REMEMBERED = (200_000, 32 << 20)
 
 _U = np.uint64
 _COUNTS = ("n_a", "n_b", "n_groups", "n_links")
@@ -217,7 +218,7 @@ def _postings(step: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]
 
 def _weights(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total = np.zeros(1 << 16, np.int64)
-    for step in steps(batches, "keys", 8 * STEP):
+    for step in steps(batches, "keys", 4 * DEALT_STEP):
         total += np.bincount(_postings(step)[1] >> 16, minlength=len(total))
     used = np.flatnonzero(total)
     yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[used])], names=["side", "n"])
@@ -269,7 +270,7 @@ def _deal(plan: Plan):
 
     def run(batches):
         held: list[tuple[np.ndarray, np.ndarray]] = []
-        for step in steps(batches, "keys", STEP):
+        for step in steps(batches, "keys", DEALT_STEP):
             rows, keys, counts = _postings(step)
             if not len(rows):
                 continue
