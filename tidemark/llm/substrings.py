@@ -12,12 +12,14 @@ How the count is distributed:
    by ``window - 1`` words. Within a batch only the occurrences in the least document of each hash go
    on; those in its other documents are removed already (the combiner, which also bounds what a
    passage that everybody has can send: one document for each batch).
-2. The hashes are dealt by their upper bits into slices, packed at 7 bytes a hash plus coded positions.
+2. The hashes are dealt by their upper bits into slices, packed at 7 bytes a hash and about two for document and place.
    Slices follow the text's size, so a slice is bounded however much text there is.
-3. A slice sorts its hashes, takes each one's least document, and answers with the positions to remove.
-4. Answers meet their documents by (id, hash of the text), and each document's intervals are merged.
+3. A slice sorts its hashes, takes each one's least document, and answers with the places to remove, packed for
+   groups of documents.
+4. A group of documents merges the answers of all slices; each document meets its own by id.
 
-Nothing is broadcast, stored or collected but the table's size in bytes. Hashes have 64 bits (56 stored and the
+Nothing is broadcast, stored or collected but the table's size in bytes, and whether ids repeat (then
+the hash of the text travels along with the id). Hashes have 64 bits (56 stored and the
 slice's own), so that two different windows among n are taken for equal with a chance of about
 n * n / 2 ** 64: none to speak of up to a terabyte, about one window in a million at 100 terabytes.
 
@@ -42,13 +44,15 @@ from tidemark.llm.common import STEP_BYTES, column, free_name, hash_words, map_b
 
 WINDOW = 50
 #: Bytes of text whose windows one slice gets on average.
-SLICE_BYTES = 6 << 20
+SLICE_BYTES = 24 << 20
 REMOVAL = "struct<n_words: bigint, n_removed: bigint, removed: array<struct<start: bigint, end: bigint>>, kept: string>"
 
 _U = np.uint64
 _BASE = _U(0xD6E8FEB86659FD93)
 _INVERSE = _U(pow(int(_BASE), -1, 1 << 64))
-_REQUEST = "slice int, id bigint, key bigint, hashes binary, docs binary, places binary"
+#: Requests have hashes; rows without any tell what a batch itself removes. Answers go to groups of documents in the same form.
+_PACKED = "slice int, hashes binary, ids binary, keys binary, many binary, places binary"
+_ARROW = pa.schema([("slice", pa.int32()), *((n, pa.binary()) for n in ("hashes", "ids", "keys", "many", "places"))])
 
 
 def _word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -118,95 +122,119 @@ def _slice_of(hashes: np.ndarray, slices: int) -> np.ndarray:
     return ((hashes >> _U(32)) * _U(slices) >> _U(32)).astype(np.int64)
 
 
+def _packed(number: np.ndarray, hashes: np.ndarray | None, ids: np.ndarray, keys: np.ndarray, places: np.ndarray) -> pa.RecordBatch:
+    """A row for each ``number``: hashes if any, and places by runs of equal (id, key). All arrays are sorted by number."""
+    rows = []
+    first, length = _runs(number)
+    for a, n in zip(first.tolist(), length.tolist(), strict=True):
+        i, k = ids[a : a + n], keys[a : a + n]
+        new = np.flatnonzero(np.concatenate([[True], (i[1:] != i[:-1]) | (k[1:] != k[:-1])]))
+        own = None if hashes is None else np.ascontiguousarray(hashes[a : a + n]).view(np.uint8).reshape(-1, 8)[:, :7].tobytes()
+        rows.append((int(number[a]), own, planes(np.diff(i[new], prepend=0), 8), planes(k[new], 8), planes(np.diff(np.append(new, n))), planes(np.diff(places[a : a + n], prepend=0))))
+    columns = list(zip(*rows, strict=True)) or [()] * len(_ARROW)
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _ARROW, strict=True)], schema=_ARROW)
+
+
+def _unpacked(batch: pa.RecordBatch) -> Iterator[tuple]:
+    """(number, hashes or None, ids, keys, many, places) of each row."""
+    for number, hashes, ids, keys, many, places in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+        if hashes is not None:
+            wide = np.zeros((len(hashes) // 7, 8), np.uint8)
+            wide[:, :7] = np.frombuffer(hashes, np.uint8).reshape(-1, 7)
+            hashes = wide.view(_U).ravel()
+        yield number, hashes, np.cumsum(unplanes(ids, 8)), unplanes(keys, 8), unplanes(many), np.cumsum(unplanes(places))
+
+
 def _requests(window: int, slices: int):
     """Batches of documents to requests by slice, and to what the batch itself already removes."""
 
     def run(batches):
-        names = [x.split()[0] for x in _REQUEST.split(", ")]
         for ids, keys, words, sizes, firsts in pieces(batches, window):
             hashes, piece, place = window_hashes(words, sizes, window)
             if not len(hashes):
                 continue
-            doc = ids[piece]
+            doc, place = ids[piece], place + firsts[piece]
             order = np.lexsort((doc, hashes))
             first, length = _runs(hashes[order])
-            least = np.repeat(doc[order][first], length)
             goes = np.zeros(len(hashes), bool)
-            goes[order] = doc[order] == least
-            rows = []
+            goes[order] = doc[order] == np.repeat(doc[order][first], length)
             gone = np.flatnonzero(~goes)
-            first, length = _runs(piece[gone])
-            for a, n in zip(first.tolist(), length.tolist(), strict=True):
-                p = piece[gone[a]]
-                rows.append((int(_U(keys[p].astype(_U)) % _U(slices)), int(ids[p]), int(keys[p]), None, None, planes(np.diff(place[gone[a : a + n]] + firsts[p], prepend=0))))
+            if len(gone):  # any slice can pass this on
+                at = int(scramble(hashes[:1])[0] % _U(slices))
+                yield _packed(np.full(len(gone), at), None, doc[gone], keys[piece[gone]], place[gone])
             sent = np.flatnonzero(goes)
             slice_of = _slice_of(hashes[sent], slices)
-            by_slice = np.argsort(slice_of, kind="stable")  # by piece and place within a slice
-            first, length = _runs(slice_of[by_slice])
-            for a, n in zip(first.tolist(), length.tolist(), strict=True):
-                mine = sent[by_slice[a : a + n]]
-                own, many = _runs(piece[mine])
-                p = piece[mine[own]]
-                docs = np.stack([ids[p], keys[p], many]).astype(np.int64)
-                steps_ = np.diff(place[mine] + firsts[piece[mine]], prepend=0)
-                packed = hashes[mine].view(np.uint8).reshape(-1, 8)[:, :7]
-                rows.append((int(slice_of[by_slice[a]]), None, None, packed.tobytes(), docs.tobytes(), planes(steps_)))
-            yield pa.RecordBatch.from_pydict(dict(zip(names, map(list, zip(*rows, strict=True)), strict=True)), schema=_REQUEST_ARROW)
+            by_slice = np.argsort(slice_of, kind="stable")  # by document and place within a slice
+            mine = sent[by_slice]
+            yield _packed(slice_of[by_slice], hashes[mine], doc[mine], keys[piece[mine]], place[mine])
 
     return run
 
 
-_REQUEST_ARROW = pa.schema([("slice", pa.int32()), ("id", pa.int64()), ("key", pa.int64()), ("hashes", pa.binary()), ("docs", pa.binary()), ("places", pa.binary())])
-_REPLY_ARROW = pa.schema([("id", pa.int64()), ("key", pa.int64()), ("places", pa.binary())])
-
-
-def _answer(group: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One slice: the places of windows that a document with a smaller id also has, by document."""
-    hashes, docs, places = [], [], []
-    for batch in group:
-        own = batch.filter(pc.is_valid(batch.column("id")))
-        if own.num_rows:
-            yield pa.RecordBatch.from_arrays([own.column(n) for n in _REPLY_ARROW.names], schema=_REPLY_ARROW)
-        asked = batch.filter(pc.is_null(batch.column("id")))
-        for h, d, p in zip(*(asked.column(n).to_pylist() for n in ("hashes", "docs", "places")), strict=True):
-            packed = np.zeros((len(h) // 7, 8), np.uint8)
-            packed[:, :7] = np.frombuffer(h, np.uint8).reshape(-1, 7)
-            hashes.append(packed.view(_U).ravel())
-            docs.append(np.frombuffer(d, np.int64).reshape(3, -1))
-            places.append(np.cumsum(unplanes(p)).astype(np.int32))
-    if not hashes:
-        return
-    hashes, places, docs = np.concatenate(hashes), np.concatenate(places), np.concatenate(docs, axis=1)
-    owner = np.repeat(np.arange(docs.shape[1], dtype=np.int32), docs[2])
-    order = np.argsort(hashes)
-    first, length = _runs(hashes[order])
-    several = np.repeat(length > 1, length)
-    order = order[several]
-    if not len(order):
-        return
-    doc = docs[0][owner[order]]
-    first, length = _runs(hashes[order])
-    hit = np.sort(order[doc > np.repeat(np.minimum.reduceat(doc, first), length)])
-    first, length = _runs(owner[hit])
-    told = [planes(np.diff(places[hit[a : a + n]].astype(np.int64), prepend=0)) for a, n in zip(first.tolist(), length.tolist(), strict=True)]
-    p = owner[hit[first]]
-    for a in range(0, len(told), 10_000):
-        part = slice(a, a + 10_000)
-        yield pa.RecordBatch.from_arrays([pa.array(docs[0][p[part]]), pa.array(docs[1][p[part]]), pa.array(told[part], pa.binary())], schema=_REPLY_ARROW)
-
-
-def covered(places: list[bytes] | None, window: int) -> list[tuple[int, int]]:
+def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
+    """The rows of each number in a stream that is sorted by it."""
+    held: list[tuple] = []
+    for batch in batches:
+        for row in _unpacked(batch):
+            if held and held[-1][0] != row[0]:
+                yield held
+                held = []
+            held.append(row)
+    if held:
+        yield held
+
+
+def _answers(slices: int):
+    """Slices to the places of windows that a document with a smaller id also has, for groups of documents."""
+
+    def run(batches):
+        for rows in _grouped(batches):
+            asked, told = [r for r in rows if r[1] is not None], [r for r in rows if r[1] is None]
+            found = [(np.repeat(r[2], r[4]), np.repeat(r[3], r[4]), r[5]) for r in told]
+            if asked:
+                hashes, ids, keys, many, places = (np.concatenate([r[k] for r in asked]) for k in (1, 2, 3, 4, 5))
+                del asked
+                owner = np.repeat(np.arange(len(ids), dtype=np.int32), many)
+                order = np.argsort(hashes)
+                hashes = hashes[order]
+                _, length = _runs(hashes)
+                several = np.repeat(length > 1, length)
+                order, hashes = order[several], hashes[several]
+                doc = ids[owner[order]]
+                first, length = _runs(hashes)
+                if len(first):
+                    hit = order[doc > np.repeat(np.minimum.reduceat(doc, first), length)]
+                    found.append((ids[owner[hit]], keys[owner[hit]], places[hit]))
+            if found:
+                ids, keys, places = (np.concatenate(x) for x in zip(*found, strict=True))
+                group = (scramble(ids.astype(_U)) % _U(slices)).astype(np.int64)
+                order = np.lexsort((places, keys, ids, group))
+                yield _packed(group[order], None, ids[order], keys[order], places[order])
+
+    return run
+
+
+def _marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Groups of documents to one row for each document: its places, distinct and in order."""
+    for rows in _grouped(batches):
+        ids, keys, places = (np.concatenate(x) for x in zip(*((np.repeat(r[2], r[4]), np.repeat(r[3], r[4]), r[5]) for r in rows), strict=True))
+        order = np.lexsort((places, keys, ids))
+        ids, keys, places = ids[order], keys[order], places[order]
+        new = np.flatnonzero(np.concatenate([[True], (ids[1:] != ids[:-1]) | (keys[1:] != keys[:-1])]))
+        told = [planes(np.diff(np.unique(places[a:b]), prepend=0)) for a, b in zip(new.tolist(), [*new[1:].tolist(), len(ids)], strict=True)]
+        yield pa.RecordBatch.from_arrays([pa.array(ids[new]), pa.array(keys[new]), pa.array(told, pa.binary())], names=["id", "key", "places"])
+
+
+def covered(places: bytes | None, window: int) -> list[tuple[int, int]]:
     """Maximal intervals [start, end) of the words that the windows at these packed places cover."""
     if not places:
         return []
-    at = np.unique(np.concatenate([np.cumsum(unplanes(p)) for p in places]))
-    if not len(at):
-        return []
+    at = np.cumsum(unplanes(places))
     new = np.concatenate([[True], at[1:] > at[:-1] + window])
     return list(zip(at[new].tolist(), (at[np.append(np.flatnonzero(new)[1:] - 1, len(at) - 1)] + window).tolist(), strict=True))
 
 
-def _removal(text: str, places: list[bytes] | None, window: int) -> dict:
+def _removal(text: str, places: bytes | None, window: int) -> dict:
     words = text.encode("utf-8", "surrogatepass").split()
     gaps = covered(places, window)
     kept, at = [], 0
@@ -223,18 +251,18 @@ def remove_repeats(docs: DataFrame, id: str = "doc_id", text: str = "text", out:
 
     spark = docs.sparkSession
     docs = docs.drop(out)
-    keyed = docs.select(column(id).cast("long").alias("id"), F.xxhash64(column(text)).alias("key"), column(text).alias("text")).where("id IS NOT NULL AND text IS NOT NULL")
+    ids = docs.select(column(id).cast("long").alias("id")).where("id IS NOT NULL")
+    repeated = bool(ids.groupBy("id").count().where("count > 1").take(1))
+    key = F.xxhash64(column(text)) if repeated else F.lit(0).cast("long")
+    keyed = docs.select(column(id).cast("long").alias("id"), key.alias("key"), column(text).alias("text")).where("id IS NOT NULL AND text IS NOT NULL")
     size = keyed.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    slices = max(4 * partitions, -(-size // SLICE_BYTES))
-    replies = (
-        map_batches(keyed, _requests(window, slices), StructType.fromDDL(_REQUEST))
-        .groupBy("slice")
-        .applyInArrow(_answer, "id bigint, key bigint, places binary")
-    )
+    slices = max(partitions, -(-size // SLICE_BYTES))
+    dealt = lambda df: df.repartitionById(partitions, F.col("slice") % partitions).sortWithinPartitions("slice")
+    answers = dealt(map_batches(keyed, _requests(window, slices), StructType.fromDDL(_PACKED))).mapInArrow(_answers(slices), _PACKED)
     own_id, own_key, marks = (free_name(docs, f"__{n}") for n in ("id", "key", "places"))
-    by_doc = replies.groupBy(F.col("id").alias(own_id), F.col("key").alias(own_key)).agg(F.collect_list("places").alias(marks))
-    joined = docs.withColumns({own_id: column(id).cast("long"), own_key: F.xxhash64(column(text))}).join(by_doc, [own_id, own_key], "left").drop(own_id, own_key)
+    by_doc = dealt(answers).mapInArrow(_marks, "id bigint, key bigint, places binary").toDF(own_id, own_key, marks)
+    joined = docs.withColumns({own_id: column(id).cast("long"), own_key: key}).join(by_doc, [own_id, own_key], "left").drop(own_id, own_key)
     names = [n for n in docs.columns if keep_text or n != text]
     made = StructType.fromDDL(f"r {REMOVAL}")[0].dataType
     arrow = to_arrow_type(made)
