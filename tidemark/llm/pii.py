@@ -63,8 +63,9 @@ CONTEXT_WORDS = ("account", "address", "born", "call", "card", "contact", "corre
 _GAZETTEER = frozenset(GIVEN_NAMES)
 _TITLED = frozenset(TITLES)
 _CONTEXT = frozenset(CONTEXT_WORDS)
-# Capitalised words in a row; which of them begin with a title or a given name is looked up after the match.
-_CAPITALS = re.compile(r"[A-ZÀ-ÖØ-Þ][\w'-]*\.?(?: [A-ZÀ-ÖØ-Þ][\w'-]+)+")
+# Capitalised words in a row (group 1); which of them begin with a title or a given name is looked up after the match.
+# Whether a row begins in a word is the same for all its capitals, so each word is tried once, at its beginning.
+_CAPITALS = re.compile(r"(?<![\w'-])(?:[^\WA-ZÀ-ÖØ-Þ]|['-])*+([A-ZÀ-ÖØ-Þ][\w'-]*+\.?(?: [A-ZÀ-ÖØ-Þ][\w'-]++)++)")
 _CAPITAL = re.compile(r"[A-ZÀ-ÖØ-Þ][\w'-]*\.?")
 _IDNUM = re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])")
 _IBAN = re.compile(r"\b[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?\b")
@@ -136,9 +137,9 @@ _HAS_DIGIT = re.compile(r"[0-9]").search
 def _names(text: str, given: frozenset[str]):
     """A title or given name and the one or two capitalised words after it, without overlap."""
     for run in _CAPITALS.finditer(text):
-        if run.start() and text[run.start() - 1].isalnum():
+        if run.start(1) and text[run.start(1) - 1].isalnum():
             continue
-        parts = [m.span() for m in _CAPITAL.finditer(text, *run.span())]
+        parts = [m.span() for m in _CAPITAL.finditer(text, *run.span(1))]
         i = 0
         while i + 1 < len(parts):
             word = text[slice(*parts[i])].lower()
