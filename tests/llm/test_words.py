@@ -161,9 +161,15 @@ def test_units_give_the_tokens_of_whole_texts(texts):
     for t in [*filter(None, texts), *mixed]:
         units, many = alignment.split_units([t.encode()])
         assert b"".join(units.to_pylist()) == b" " + t.encode() and many.tolist() == [len(units)]
-        parts = coders.encode(units.to_pylist())
-        whole = coders.encode([b" " + t.encode()])
-        assert [sum(side, []) for side in parts] == [side[0] for side in whole]
+        units = units.to_pylist()
+        alone = [coders.encode(u) for u in units]
+        whole = coders.a.encode(" " + t, add_special_tokens=False).ids, coders.b.encode(t)
+        assert tuple(sum((u[side] for u in alone), []) for side in (0, 1)) == whole
+        a, size_a, b, size_b, ok = coders.encode_all(units)
+        kept = [u if o else ([], []) for u, o in zip(alone, ok.tolist(), strict=True)]
+        assert (a.tolist(), b.tolist()) == tuple(sum((u[side] for u in kept), []) for side in (0, 1)) and size_a.tolist() == [len(u[0]) for u in kept] and size_b.tolist() == [len(u[1]) for u in kept]
+        if ok.all():
+            assert b"".join(coders.bytes_a[i] for i in a) == b"".join(coders.bytes_b[i] for i in b) == " ".encode() + t.encode()
 
 
 def test_alignment_keeps_other_columns_and_small_slices_change_nothing(spark, words_dir, monkeypatch):

@@ -7,7 +7,8 @@ cut them into groups. A pair's count is how many links of the whole corpus hold
 Texts are encoded by units: a unit begins at each space after a byte that cannot end white space. Neither
 vocabulary joins anything across such a place (A splits words there before it merges, no piece of B has a space behind
 another character), so a unit is encoded and aligned once in a worker however often it occurs, and tokens of a text are
-those of its units. Between two neighbouring ends of either side lies exactly one link, so
+those of its units. For the same reason new units are encoded many at a time, one after another in a single string;
+where all letters are Latin a faster implementation of A's merges does it, with the vocabulary of the same file. Between two neighbouring ends of either side lies exactly one link, so
 the links of a unit are the union of its ends.
 
 The corpus-wide part is a cogroup of postings:
@@ -33,6 +34,8 @@ result's name is replaced.
 from __future__ import annotations
 
 import hashlib
+import os
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -52,7 +55,7 @@ DEALT_STEP = 1 << 20
 #: Postings of one slice on average, and entries of partial counts that a task holds before it sends them.
 SLICE, HELD = 2 << 20, 1 << 20
 #: Units and bytes of their results that a worker remembers.
-REMEMBERED = (200_000, 32 << 20)
+REMEMBERED = (200_000, 48 << 20)
 
 _U = np.uint64
 _COUNTS = ("n_a", "n_b", "n_groups", "n_links")
@@ -65,11 +68,19 @@ def byte_of_letter() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+#: How byte-level vocabularies split text before they merge (fixed value).
+PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+#: Letters and signs of which all versions of Unicode that matter here agree what they are.
+_NOT_LATIN = re.compile("[^\x00-\u024f]")
+
+
 class Encoders:
     """Both vocabularies: ids of texts and the bytes of ids."""
 
     def __init__(self, a: str, b: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         import sentencepiece
+        import tiktoken
         from tokenizers import Tokenizer
 
         self.a, self.b = Tokenizer.from_file(a), sentencepiece.SentencePieceProcessor(model_file=b)
@@ -79,23 +90,76 @@ class Encoders:
         self.bytes_a = [b""] * (max(vocabulary.values()) + 1)
         for token, i in vocabulary.items():
             self.bytes_a[i] = bytes(letters[c] for c in token) if all(c in letters for c in token) else token.encode()
+        special = set(self.a.get_added_tokens_decoder())
+        self.fast = tiktoken.Encoding("a", pat_str=PATTERN, mergeable_ranks={t: i for i, t in enumerate(self.bytes_a) if i not in special}, special_tokens={})
         self.bytes_b = [
             bytes([int(piece[3:5], 16)]) if self.b.is_byte(i) else piece.replace("▁", " ").encode()
             for i, piece in enumerate(self.b.id_to_piece(i) for i in range(self.b.vocab_size()))
         ]
-
-    def encode(self, units: list[bytes]) -> tuple[list[list[int]], list[list[int]]]:
-        """Ids of units, each of which begins with a space; B adds that one itself, but not to nothing (a space that ends a text)."""
-        texts = [u.decode() for u in units]
-        of_b = self.b.encode([t[1:] for t in texts], num_threads=1)
-        space = [self.b.piece_to_id("▁")]
-        return [e.ids for e in self.a.encode_batch_fast(texts, add_special_tokens=False)], [ids if len(t) > 1 else space for t, ids in zip(texts, of_b, strict=True)]
-
-
-def _ragged(parts: list) -> tuple[np.ndarray, np.ndarray]:
-    """(all values, how many of each)."""
-    sizes = np.fromiter(map(len, parts), np.int64, len(parts))
-    return np.fromiter((x for p in parts for x in p), np.int64, int(sizes.sum())), sizes
+        self.length_a, self.length_b = (np.fromiter(map(len, t), np.int64, len(t)) for t in (self.bytes_a, self.bytes_b))
+
+    def encode(self, unit: bytes) -> tuple[list[int], list[int]]:
+        """Ids of one unit, which begins with a space; B adds that one itself, but not to nothing (a space that ends a text)."""
+        text = unit.decode()
+        return self.a.encode(text, add_special_tokens=False).ids, self.b.encode(text[1:], num_threads=1) if len(text) > 1 else [self.b.piece_to_id("▁")]
+
+    def encode_all(self, units: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(A ids, how many of each unit, B ids, how many, whether the tokens are the unit's bytes), in the order of the units.
+
+        Units whose tokens are not their bytes have none.
+        """
+        kinds: list[list[int]] = [[], [], []]
+        for k, u in enumerate(units):
+            kinds[2 if _may_end_space(u) else 1 if _NOT_LATIN.search(u.decode()) else 0].append(k)
+        order = [k for kind in kinds for k in kind]
+        parts = []
+        for kind, fast in ((0, True), (1, False)):
+            for members in _portions(kinds[kind], units):
+                parts += self._together([units[k] for k in members], fast)
+        parts += [self._alone(units[k]) for k in kinds[2]]
+        (ids_a, size_a), (ids_b, size_b) = ((np.concatenate([p[k] for p in parts]), np.concatenate([p[k + 1] for p in parts])) for k in (0, 2))
+        ok = np.concatenate([p[4] for p in parts])
+        back = np.argsort(order, kind="stable")
+        turn = lambda ids, size: (ids[_gather((np.cumsum(size) - size)[back], size[back])], size[back])
+        return (*turn(ids_a, size_a), *turn(ids_b, size_b), ok[back])
+
+    def _together(self, units: list[bytes], fast: bool) -> list[tuple]:
+        joined = b"".join(units)
+        text = joined.decode()
+        a = self.fast.encode_to_numpy(text, disallowed_special=()).astype(np.int64) if fast else np.array(self.a.encode(text, add_special_tokens=False).ids, np.int64)
+        b = np.array(self.b.encode(text[1:], num_threads=1), np.int64)
+        ends = np.cumsum(np.fromiter(map(len, units), np.int64, len(units)))
+        sizes = []
+        for ids, length, table in ((a, self.length_a, self.bytes_a), (b, self.length_b, self.bytes_b)):
+            if b"".join([table[i] for i in ids.tolist()]) != joined:
+                return [self._alone(u) for u in units]
+            sizes.append(np.diff(np.searchsorted(np.cumsum(length[ids]), ends, "right"), prepend=0))
+        return [(a, sizes[0], b, sizes[1], np.ones(len(units), bool))]
+
+    def _alone(self, unit: bytes) -> tuple:
+        a, b = self.encode(unit)
+        ok = b"".join([self.bytes_a[i] for i in a]) == unit == b"".join([self.bytes_b[i] for i in b])
+        a, b = (a, b) if ok else ([], [])
+        return np.array(a, np.int64), np.array([len(a)]), np.array(b, np.int64), np.array([len(b)]), np.array([ok])
+
+
+def _may_end_space(unit: bytes) -> bool:
+    """Whether the last byte may end white space, as in ``split_units``: such a unit can only end a text."""
+    last = unit[-1]
+    return last <= 32 or (last >= 0x80 and (unit[-2] == 0xC2 or (len(unit) > 2 and 0xE1 <= unit[-3] <= 0xE3)))
+
+
+def _portions(members: list[int], units: list[bytes], size: int = 128 << 10):
+    """Units of about ``size`` bytes together."""
+    held, n = [], 0
+    for k in members:
+        held.append(k)
+        n += len(units[k])
+        if n >= size:
+            yield held
+            held, n = [], 0
+    if held:
+        yield held
 
 
 def _gather(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -108,8 +172,7 @@ class Units:
 
     def __init__(self, a: str, b: str):
         self.encoders = Encoders(a, b)
-        self.length_a, self.length_b = (np.fromiter(map(len, t), np.int64, len(t)) for t in (self.encoders.bytes_a, self.encoders.bytes_b))
-        self.names = [np.array([f"{i}{end}" for i in range(len(t))], object) for t, ends in ((self.length_a, ",|"), (self.length_b, ",;")) for end in ends]
+        self.names = [np.array([f"{i}{end}" for i in range(len(t))], object) for t, ends in ((self.encoders.bytes_a, ",|"), (self.encoders.bytes_b, ",;")) for end in ends]
         self.forget()
 
     def forget(self) -> None:
@@ -129,13 +192,8 @@ class Units:
 
     def _learn(self, units: list[bytes]) -> None:
         e = self.encoders
-        of_a, of_b = e.encode(units)
-        own = lambda of, table: np.fromiter((b"".join([table[i] for i in ids]) == u for ids, u in zip(of, units, strict=True)), bool, len(units))
-        ok = own(of_a, e.bytes_a) & own(of_b, e.bytes_b)
-        for k in np.flatnonzero(~ok):
-            of_a[k] = of_b[k] = []
-        (a, size_a), (b, size_b) = _ragged(of_a), _ragged(of_b)
-        end_a, end_b = np.cumsum(self.length_a[a]), np.cumsum(self.length_b[b])
+        a, size_a, b, size_b, ok = e.encode_all(units)
+        end_a, end_b = np.cumsum(e.length_a[a]), np.cumsum(e.length_b[b])
         links, both = np.union1d(end_a, end_b), np.intersect1d(end_a, end_b, assume_unique=True)
         at_a, at_b = np.searchsorted(end_a, links), np.searchsorted(end_b, links)
         ends = np.cumsum(np.where(ok, np.fromiter(map(len, units), np.int64, len(units)), 0))
