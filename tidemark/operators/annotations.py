@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.window import Window
 
 from tidemark import schema
 from tidemark.functions.scalar import parse_datetime, to_hertz, to_seconds
 from tidemark.operators.batching import with_ordinal
+from tidemark.operators.scans import PART, Parts
 
 LABEL_MAP = "label_map"
 
@@ -29,10 +29,11 @@ def trim(table: DataFrame, extra: list[str] | None = None) -> DataFrame:
     return table.select([c for c in table.columns if c in keep])
 
 
-def ordinal(table: DataFrame, name: str, order: list | None = None, by: str = "filename") -> DataFrame:
-    """Key rows within a file by their place, from 0, in the given total order."""
-    w = Window.partitionBy(by).orderBy(*(order or [c for c in ("start", "end", "label") if c in table.columns]))
-    return table.withColumn(name, (F.row_number().over(w) - 1).cast("int"))
+def ordinal(table: DataFrame, name: str, order: list | None = None, by: str = "filename", spread: bool | None = None) -> DataFrame:
+    """Key rows within a file by their place, from 0, in the given total order; long files are numbered in ranges."""
+    parts = Parts.of(table, [by], order or [c for c in ("start", "end", "label") if c in table.columns], spread)
+    numbered = parts.scan(__place=("count", F.lit(1))).df
+    return numbered.withColumn(name, (F.col("__place") - 1).cast("int")).drop(PART, "__place")
 
 
 def label_codes(labels: list | None, found: list[str], start_at_1: bool = False) -> dict[str, int]:
@@ -184,16 +185,15 @@ def stack(tables: list[DataFrame], keys: list[int] | None = None, name: str = "s
 
 def append(annotations: DataFrame, more: DataFrame, set_column: str | None = None) -> DataFrame:
     """More annotations with the next free annot_id of their set; unit texts become numbers."""
-    key = [set_column] if set_column else []
     conv = {c: (to_seconds if c in ("start", "end") else to_hertz)(F.col(c)) for c in schema.FLOATS if c in more.columns and isinstance(more.schema[c].dataType, T.StringType)}
     more = more.withColumns(conv).withColumn("label", F.col("label").cast("int"))
     order = [c for c in ("start", "end", "label") if c in more.columns]
-    if key:
-        numbered = more.withColumn("annot_id", F.row_number().over(Window.partitionBy(*key).orderBy(*order)) - 1)
+    if set_column:
+        numbered = ordinal(more, "annot_id", order, set_column)
+        joined = numbered.join(annotations.groupBy(set_column).agg((F.max("annot_id") + 1).alias("__next")), set_column, "left")
     else:
-        numbered = with_ordinal(more, order, "annot_id")
-    top = annotations.groupBy(*key).agg((F.max("annot_id") + 1).alias("__next"))
-    joined = numbered.join(F.broadcast(top), key, "left") if key else numbered.withColumn("__next", F.lit(top.first()[0]))
+        top = annotations.agg(F.max("annot_id") + 1).first()[0]
+        joined = with_ordinal(more, order, "annot_id").withColumn("__next", F.lit(top))
     placed = joined.withColumn("annot_id", (F.col("annot_id") + F.coalesce("__next", F.lit(0))).cast("int")).drop("__next")
     return annotations.unionByName(placed, allowMissingColumns=True)
 

@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tidemark.functions.scalar import ceil_tolerant, floor_tolerant, fractional_overlap
-from tidemark.operators.intervals import banded_join, touching
-from tidemark.storage import stored
+from tidemark.operators.annotations import ordinal
+from tidemark.operators.intervals import nested_join, touching
+from tidemark.operators.scans import Parts
+from tidemark.storage import running, stored
 
 
 def _list(x) -> list:
@@ -78,8 +78,7 @@ def select(
     df = df.withColumn("start_new", F.col("start") + shift * (span - length))
     if step > 0:
         df = time_shift(df, length, step, min_overlap)
-        w = Window.partitionBy("filename").orderBy("start_new", "annot_id")
-        df = df.withColumn("sel_id", (F.row_number().over(w) - 1).cast("int"))
+        df = ordinal(df, "sel_id", ["start_new", "annot_id"])
     else:
         df = df.withColumn("sel_id", F.col("annot_id"))
     drop = {"start", "end", "start_new", "annot_id", "filename", "sel_id"} | (set() if keep_freq else {"freq_min", "freq_max"})
@@ -91,8 +90,8 @@ def select(
         else:
             unwanted = annotations.where(F.col("label").isin(_list(avoid_label)))
         if unwanted is not None:
-            # Windows and annotations meet in bands of time, so a file with very many of both is no product.
-            out = out.join(touching(out, unwanted, ["filename", "sel_id"], length, closed=True), ["filename", "sel_id"], "left_anti").select(*out.columns)
+            # Windows and annotations meet in nested bins of time, so a file with very many of both is no product.
+            out = out.join(touching(out, unwanted, ["filename", "sel_id"], closed=True, lengths=(length, None)), ["filename", "sel_id"], "left_anti").select(*out.columns)
     if files is not None:
         inside = out.join(files.select("filename", "duration"), "filename").where("start >= 0 AND end <= duration")
         out = inside.select(*out.columns)
@@ -170,52 +169,61 @@ def random_choice(table: DataFrame, n: int, seed: int = 1, keys: list[str] | Non
     return drawn.orderBy(*keys)
 
 
-def random_selections(files: DataFrame, length: float, num: int, label: int = 0, annotations: DataFrame | None = None, no_overlap: bool = False, buffer: float = 0.0, seed: int = 1, oversample: int = 4, rounds: int = 8) -> DataFrame:
-    """``num`` windows at random places, clear of annotations and, if asked, of each other.
+def free_gaps(files: DataFrame, length: float, annotations: DataFrame | None = None, buffer: float = 0.0) -> DataFrame:
+    """Stretches of each file, from ``gap_start`` to ``gap_end``, that no annotation (widened by ``buffer``) covers and that hold a window of ``length``."""
+    room = files.where(F.col("duration") >= length)
+    edge = room.select(*room.columns, F.col("duration").alias("__a"), F.col("duration").alias("__b"))
+    if annotations is not None:
+        wide = annotations.where("end >= start").select("filename", (F.col("start") - buffer).alias("__a"), (F.col("end") + buffer).alias("__b"))
+        edge = edge.unionByName(room.join(wide, "filename"))
+    covered = Parts.of(edge, ["filename"], ["__a", "__b"]).scan(inclusive=False, __seen=("max", F.col("__b")))
+    gaps = covered.df.withColumns({"gap_start": F.greatest(F.coalesce("__seen", F.lit(0.0)), F.lit(0.0)), "gap_end": F.least("__a", "duration")})
+    return gaps.where(F.col("gap_end") - F.col("gap_start") >= length).select(*room.columns, "gap_start", "gap_end")
 
-    A file's chance is proportional to its room for a window. Each file proposes its share of
-    ``num * oversample`` windows from its own hash stream, so no draw passes through one place;
-    proposals that meet an annotation (widened by ``buffer``) go, and the first ``num`` by a random
-    rank stay. Proposals double until there are enough, at most ``rounds`` times.
-    """
-    room = files.where(F.col("duration") >= length).withColumn("__room", F.col("duration") - length + 1e-9)
-    total = room.agg(F.sum("__room")).first()[0]
-    if not total:
-        return files.sparkSession.createDataFrame([], "filename string, sel_id int, start double, end double, label int")
-    found, wanted = None, num * oversample
-    for _ in range(rounds):
-        share = F.col("__room") / total * wanted
-        extra = (uniform(seed + 2, "filename") < share - F.floor(share)).cast("int")
-        n = (F.floor(share) + extra).cast("int")
-        tries = room.where(n > 0).withColumn("__i", F.explode(F.sequence(F.lit(1), n)))
-        tries = tries.withColumns({"start": F.col("__room") * uniform(seed, "filename", "__i"), "__rank": uniform(seed + 1, "filename", "__i")}).withColumn("end", F.col("start") + length)
-        if annotations is not None:
-            a = annotations.select("filename", (F.col("start") - buffer).alias("start"), (F.col("end") + buffer).alias("end"))
-            tries = tries.join(touching(tries, a, ["filename", "__i"], length), ["filename", "__i"], "left_anti")
-        if no_overlap:
-            tries = tries.groupBy("filename").applyInPandas(_disjoint, tries.schema)
-        found = stored(tries.orderBy("__rank", "filename", "start").limit(num), "drawn")
-        if found.count() >= num:
-            break
-        wanted *= 2
-    w = Window.partitionBy("filename").orderBy("start")
-    rest = [c for c in files.columns if c not in ("filename", "duration")]
-    return found.select("filename", (F.row_number().over(w) - 1).cast("int").alias("sel_id"), *rest, "start", "end", F.lit(label).alias("label"))
 
+def random_selections(files: DataFrame, length: float, num: int, label: int = 0, annotations: DataFrame | None = None, no_overlap: bool = False, buffer: float = 0.0, seed: int = 1) -> DataFrame:
+    """Exactly ``num`` windows at random places, clear of annotations and, if asked, of each other.
 
-def _disjoint(tries: pd.DataFrame) -> pd.DataFrame:
-    """The proposals of one file, in the order of their ranks, that do not overlap an earlier one."""
-    import bisect
-
-    starts: list[float] = []
-    keep = []
-    for i, start, end in tries.sort_values("__rank")[["start", "end"]].itertuples():
-        at = bisect.bisect_left(starts, start)
-        length = end - start
-        if (at == 0 or starts[at - 1] + length <= start) and (at == len(starts) or starts[at] >= end):
-            starts.insert(at, start)
-            keep.append(i)
-    return tries.loc[keep]
+    The free gaps of all files get whole-number shares, which are summed along an order, and each draw
+    looks up the gap that its number falls into. A file's chance follows its duration, and places within it are alike:
+    what drawing places and rejecting those that meet an annotation would give. Without overlap a gap has a share for
+    each window that fits into it; draws are numbers from ``num`` disjoint ranges, so no gap gets
+    more windows than it holds. Its ``n`` windows then lie at the order statistics of ``n`` uniform numbers over
+    the room that remains beside them. Draws are hashes of their numbers and the seed. A ``ValueError`` says that there is no room.
+    """
+    gaps = free_gaps(files, length, annotations, buffer)
+    size = F.col("gap_end") - F.col("gap_start")
+    if no_overlap:
+        share = F.floor(size / length + 1e-9).cast("long")
+    else:
+        tiny = 1e-9  # gaps and files that hold just one window have a place, too
+        part = F.col("duration") * (size - length + tiny) / (F.col("duration") - length + tiny)
+        most = files.where(F.col("duration") >= length).agg(F.sum("duration")).first()[0] or 1.0
+        share = F.greatest(F.lit(1), F.floor(part / F.lit(float(most)) * F.lit(2.0**50))).cast("long")
+    summed = stored(running(gaps.withColumn("__share", share), ["filename", "gap_start"], {"__upto": "__share"}), "gaps")
+    total = summed.agg(F.max("__upto")).first()[0] or 0
+    if num and total < (num if no_overlap else 1):
+        raise ValueError(f"there is room for {total if no_overlap else 0} windows of {length}, not for {num}")
+    draws = files.sparkSession.range(num).withColumns({"__u": uniform(seed, "id"), "__v": uniform(seed + 1, "id")})
+    if no_overlap:
+        low, high = (F.expr(f"cast(cast(id + {k} AS decimal(38, 0)) * {total} DIV {max(1, num)} AS bigint)") for k in (0, 1))
+        at = low + F.floor(F.col("__u") * (high - low))
+    else:
+        at = F.floor(F.col("__u") * F.lit(float(total)))
+    points = draws.select("id", "__v", F.lit(0).alias("__all"), at.cast("double").alias("start"), at.cast("double").alias("end"))
+    ranges = summed.select(*[F.col(c).alias(f"__file_{c}") for c in files.columns], "gap_start", "gap_end", F.lit(0).alias("__all"), (F.col("__upto") - F.col("__share")).cast("double").alias("start"), (F.col("__upto") - 1).cast("double").alias("end"))
+    found = nested_join(points, ranges, "__all", closed=True, lengths=(0.0, None)).drop("start", "end", "start_right", "end_right")
+    found = found.withColumnsRenamed({f"__file_{c}": c for c in files.columns})
+    if no_overlap:
+        placed = Parts.of(found, ["filename", "gap_start"], ["__v", "id"]).scan(__j=("count", F.lit(1))).totals(__n=("count", F.lit(1)))
+        found, slack, before = placed.df, size - F.col("__n") * length, (F.col("__j") - 1) * length
+    else:
+        slack, before = size - length, F.lit(0.0)
+    rest = [c for c in files.columns if c not in ("filename", "duration")]
+    start = F.col("gap_start") + F.col("__v") * F.greatest(slack, F.lit(0.0)) + before
+    windows = found.select("filename", *rest, start.alias("start"), (start + length).alias("end"), F.lit(label).alias("label"), "id")
+    numbered = ordinal(windows, "sel_id", ["start", "id"])
+    return numbered.select("filename", "sel_id", *rest, "start", "end", "label")
 
 
 def outside_status(selections: DataFrame, files: DataFrame) -> DataFrame:
@@ -226,21 +234,19 @@ def outside_status(selections: DataFrame, files: DataFrame) -> DataFrame:
     return s.withColumn("status", status).drop("__d")
 
 
-def attach_annotations(selections: DataFrame, annotations: DataFrame, width: float | None = None) -> DataFrame:
+def attach_annotations(selections: DataFrame, annotations: DataFrame, length: float | None = None) -> DataFrame:
     """Each selection with the annotations that overlap it, in time relative to it.
 
     A selection may consist of parts of several files (rows with one sel_id, in order of ``part``); the
     lengths of the parts before an annotation's own part are added to its times. Both sides meet in
-    bands of ``width`` seconds, the mean length of the selections if none is given.
+    nested bins of time; ``length`` is that of all selections, if they have one.
     """
     in_parts = "part" in selections.columns
     key = ["sel_id", "part"] if in_parts else ["filename", "sel_id"]
-    if width is None:
-        width = selections.agg(F.avg(F.col("end") - F.col("start"))).first()[0] or 1.0
     w = Window.partitionBy("sel_id").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     before = F.coalesce(F.sum(F.col("end") - F.col("start")).over(w), F.lit(0.0)) if in_parts else F.lit(0.0)
     placed = selections.select(*dict.fromkeys([*key, "filename", "start", "end"]), before.alias("__before"))
-    met = banded_join(placed, annotations.select("filename", "label", "start", "end"), width)
+    met = nested_join(placed, annotations.select("filename", "label", "start", "end"), lengths=(length, None))
     at = lambda t: (F.col(t) - F.col("start") + F.col("__before")).alias(t.removesuffix("_right"))
     one = F.struct(at("start_right"), at("end_right"), F.col("label"))
     found = met.groupBy(*key).agg(F.array_sort(F.collect_list(one)).alias("annotations"))

@@ -202,7 +202,7 @@ LEFT JOIN annot a ON a.filename = s.filename AND a."end" > s.start AND a.start <
     )
 )
 def attached_annotations(spark, d):
-    got = S.attach_annotations(V.segments(spark, d), V.annotations(spark, d))
+    got = S.attach_annotations(V.segments(spark, d), V.annotations(spark, d), V.LENGTH)
     first = F.aggregate("annotations", F.lit(0.0), lambda s, a: s + a["start"])
     return got.select("filename", "sel_id", F.size("annotations").cast("long").alias("n"), F.round(first, 3).alias("first"))
 
@@ -210,7 +210,7 @@ def attached_annotations(spark, d):
 @query(sql('SELECT a.filename, a.annot_id, b.annot_id AS other FROM annot a JOIN annot b ON a.filename = b.filename AND a.label = 1 AND b.label = 2 AND a."end" > b.start AND a.start < b."end"', "annot"))
 def interval_self_join(spark, d):
     a = V.annotations(spark, d)
-    joined = I.banded_join(a.where("label = 1").select("filename", "annot_id", "start", "end"), a.where("label = 2").select("filename", F.col("annot_id").alias("other"), "start", "end"), 43200.0)
+    joined = I.nested_join(a.where("label = 1").select("filename", "annot_id", "start", "end"), a.where("label = 2").select("filename", F.col("annot_id").alias("other"), "start", "end"))
     return joined.select("filename", "annot_id", "other")
 
 
