@@ -5,7 +5,7 @@ import pandas as pd
 import pytest
 
 import __spark_entry__ as entry
-from tidemark.plans import catalogue, kernels_catalogue, tables_catalogue  # noqa: F401
+from tidemark.plans import catalogue, kernels_catalogue, scale_catalogue, tables_catalogue  # noqa: F401
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
