@@ -136,10 +136,75 @@ def crop(x, first: Column, last: Column) -> Column:
     return F.slice(_c(x), col(first) + 1, col(last) - col(first) + 1)
 
 
+def linear_recurrence(x, feedback: list[float], init: list[Column] | None = None, block: int = 256) -> Column:
+    """``y[i] = x[i] + feedback[0] * y[i-1] + feedback[1] * y[i-2] + ...``, with ``init`` as y[-1], y[-2], ... (0 if not given).
+
+    A fold that appends copies what it has, so it runs over blocks: each block is solved from 0, the states between
+    blocks are folded, and each block adds its response to the state that it starts from. Linear in
+    the length up to ``block * block`` values; longer signals come as chunks (``operators.chunks``).
+    """
+    order = len(feedback)
+    response = _responses(tuple(feedback), block)
+    zero = F.array().cast("array<double>")
+
+    def solve(b: Column) -> Column:
+        start = F.struct(*[F.lit(0.0).alias(f"y{j}") for j in range(order)], zero.alias("out"))
+
+        def step(s: Column, v: Column) -> Column:
+            y = v
+            for j, f in enumerate(feedback):
+                y = y + f * s[f"y{j}"]
+            return let(y, lambda y_: F.struct(y_.alias("y0"), *[s[f"y{j - 1}"].alias(f"y{j}") for j in range(1, order)], F.array_append(s["out"], y_).alias("out")))
+
+        return F.aggregate(b, start, step, lambda s: s["out"])
+
+    def after(state: Column, solved: Column, i) -> list[Column]:
+        """The state behind a full block that starts from ``state``."""
+        return [F.get(solved, F.lit(block - 1 - j)) + sum((float(response[m][block - 1 - j]) * F.get(state, F.lit(m)) for m in range(order)), F.lit(0.0)) for j in range(order)]
+
+    first = F.array(*[c.cast("double") for c in init]) if init else F.array(*[F.lit(0.0)] * order)
+
+    def join(solved: Column) -> Column:
+        none = F.struct(first.alias("c"), F.array().cast("array<array<double>>").alias("all"))
+        step = lambda s, b: F.struct(F.array(*after(s["c"], b, None)).alias("c"), F.array_append(s["all"], s["c"]).alias("all"))
+        states = F.aggregate(solved, none, step, lambda s: s["all"])
+        table = [F.lit(r) for r in response]
+
+        def add(b: Column, c: Column) -> Column:
+            return F.transform(b, lambda v, i: v + sum((F.get(table[m], i) * F.get(c, F.lit(m)) for m in range(order)), F.lit(0.0)))
+
+        return F.flatten(F.zip_with(solved, states, add))
+
+    def run(a: Column) -> Column:
+        count = F.ceil(F.size(a) / F.lit(float(block))).cast("int")
+        blocks = F.transform(F.sequence(F.lit(0), count - 1), lambda k: F.slice(a, k * block + 1, block))
+        return F.when(F.size(a) > 0, let(F.transform(blocks, solve), join)).otherwise(zero)
+
+    return let(_c(x).cast("array<double>"), run)
+
+
+def _responses(feedback: tuple[float, ...], n: int) -> list[list[float]]:
+    """For each value before the start, what a 1 there gives in the next ``n`` values."""
+    out = []
+    for m in range(len(feedback)):
+        y = [1.0 if j == m else 0.0 for j in range(len(feedback))]  # y[-1], y[-2], ...
+        row = []
+        for _ in range(n):
+            new = sum(f * v for f, v in zip(feedback, y, strict=True))
+            row.append(new)
+            y = [new, *y[:-1]]
+        out.append(row)
+    return out
+
+
 def ema_residual(x, time_const: float) -> Column:
     """Signal less its exponential background, which starts at the mean: eps = 1 - exp(ln 0.15 / T)."""
     eps = 1 - math.exp(math.log(0.15) / time_const)
+
+    def run(p: Column) -> Column:
+        after = linear_recurrence(F.transform(p["a"], lambda v: eps * v), [1 - eps], [p["m"]])
+        before = F.concat(F.array(p["m"]), F.slice(after, 1, F.greatest(F.size(p["a"]) - 1, F.lit(0))))
+        return F.zip_with(p["a"], before, lambda v, b: v - b)
+
     a = _c(x)
-    zero = F.struct(mean(a).alias("bg"), F.array().cast("array<double>").alias("out"))
-    step = lambda s, v: F.struct(((1 - eps) * s["bg"] + eps * v).alias("bg"), F.array_append(s["out"], v - s["bg"]).alias("out"))
-    return F.aggregate(a, zero, step, lambda s: s["out"])
+    return F.when(F.size(a) > 0, let(F.struct(a.alias("a"), mean(a).alias("m")), run)).otherwise(a)

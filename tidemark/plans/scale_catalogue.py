@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import functions as F
 
 from tidemark.operators import annotations as A
+from tidemark.operators import chunks
 from tidemark.operators import detections as D
 from tidemark.operators import intervals as I
 from tidemark.operators import selections as S
@@ -143,3 +146,42 @@ def streamed_detections(spark, d):
     return spark.read.schema(islands.FOUND).parquet(f"{out}/*").where("filename <> ''").select("threshold", "filename", *rounded("start", "duration", "score"))
 
 
+
+
+# One signal of all embeddings, in chunks ------------------------------------------------------------
+
+_ONE = """v AS (SELECT embedding, row_number() OVER (ORDER BY vec_id) - 1 AS chunk FROM embeddings),
+one AS (SELECT chunk * 64 + pos AS i, x FROM (SELECT chunk, unnest(range(0, 64)) AS pos, unnest(embedding)::DOUBLE AS x FROM v))"""
+
+
+def _one_signal(spark, d):
+    return V.numbered(spark, d).select(F.lit(0).cast("long").alias("id"), F.col("ord").alias("chunk"), "data")
+
+
+@query(f"""WITH {_ONE}, f AS (SELECT unnest(range(0, (SELECT (count(*) - 96) // 160 + 1 FROM one))) AS frame),
+p AS (SELECT frame, x * (0.54 - 0.46 * cos(2 * pi() * (i - frame * 160) / 95)) AS x, i - frame * 160 AS n FROM f JOIN one ON i >= frame * 160 AND i < frame * 160 + 96)
+SELECT frame, k, round(sqrt(power(sum(x * cos(2 * pi() * k * n / 96)), 2) + power(sum(x * sin(2 * pi() * k * n / 96)), 2)), 5) AS m FROM p, (SELECT unnest(range(0, 49)) AS k) GROUP BY frame, k""")
+def chunked_spectra(spark, d):
+    """Frames of 96 samples every 160 over chunks of 64: each lies in two or three."""
+    found = chunks.spectra(_one_signal(spark, d), 64, 96, 160).select("frame", F.posexplode("data").alias("k", "m"))
+    return found.select("frame", "k", F.round("m", 5).alias("m"))
+
+
+_EPS = "(1 - exp(ln(0.15) / 4.0))"
+
+
+@query(f"""WITH {_ONE}, m AS (SELECT avg(x) AS m FROM one),
+s AS (SELECT a.i, sum({_EPS} * power(1 - {_EPS}, a.i - b.i - 1) * b.x) AS s FROM one a JOIN one b ON b.i < a.i AND b.i >= a.i - 100 GROUP BY a.i)
+SELECT one.i, round(x - coalesce(s, 0) - m * power(1 - {_EPS}, one.i), 6) AS x FROM one CROSS JOIN m LEFT JOIN s ON s.i = one.i""")
+def chunked_running_mean(spark, d):
+    """Less a running mean along the whole signal, whose state is scanned over its chunks."""
+    found = chunks.running_residual(_one_signal(spark, d), 64, 4.0).select("chunk", F.posexplode("data").alias("pos", "x"))
+    return found.select((F.col("chunk") * 64 + F.col("pos")).alias("i"), *rounded("x"))
+
+
+@query(f"""WITH {_ONE}, h AS (SELECT n, power(0.8, n) * sin((n + 1) * 0.7) / sin(0.7) AS h FROM (SELECT unnest(range(0, 160)) AS n))
+SELECT a.i, round(sum(h.h * (b.x + 0.5 * coalesce(c.x, 0))), 6) AS y FROM one a JOIN h ON h.n <= a.i JOIN one b ON b.i = a.i - h.n LEFT JOIN one c ON c.i = b.i - 1 GROUP BY a.i""")
+def chunked_filter(spark, d):
+    """A resonance of the second order (poles 0.8 exp(+-0.7 i), one zero) along the whole signal; SQL sums its impulse response."""
+    found = chunks.filter_signal(_one_signal(spark, d), 64, [1.0, 0.5], [-1.6 * math.cos(0.7), 0.64]).select("chunk", F.posexplode("data").alias("pos", "y"))
+    return found.select((F.col("chunk") * 64 + F.col("pos")).alias("i"), F.round("y", 6).alias("y"))
