@@ -100,7 +100,7 @@ def free_gaps(spark, d):
 @query(sql(f"WITH {_WAV} SELECT 'w' || id || '.wav' AS filename, (pos // 20)::BIGINT AS chunk, pos % 20 AS place, round(x, 6) AS x FROM q WHERE pos >= 20 AND pos < 60", "signal"))
 def wav_ranges(spark, d):
     """Chunks of 20 samples from ranges of 50 bytes; the filter on time is the reader's."""
-    found = wav.chunks(spark, _wavs(spark, d), chunk=20, rangeBytes=50).where("start >= 0.3 AND start < 0.9")
+    found = wav.chunks(spark, _wavs(spark, d), chunk=20, rangeBytes=50, taskBytes=1 << 16).where("start >= 0.3 AND start < 0.9")
     return found.select("filename", "chunk", F.posexplode("data").alias("place", "x")).select("filename", "chunk", "place", *rounded("x"))
 
 

@@ -130,15 +130,15 @@ def _listed(options: dict) -> list[tuple[str, int, int]]:
     return sorted((f.path, f.size, f.mtime_ns or 0) for f in found if f.is_file and f.path.lower().endswith(".wav"))
 
 
-def _ranged(files: list[tuple[str, int]], size: int, whole: bool = False) -> list[Ranges]:
-    """Parts of about ``size`` bytes: long files cut, short ones together."""
+def _ranged(files: list[tuple[str, int]], size: int, together: int, whole: bool = False) -> list[Ranges]:
+    """Files cut into parts of at most ``size`` bytes, and parts of about ``together`` bytes for each task."""
     out, held, n = [], [], 0
     for path, length in files:
         for low in range(0, 1 if whole else max(1, length), size):
             high = length if whole else min(length, low + size)
             held.append((path, length, low, high))
             n += min(size, high - low)
-            if n >= size:
+            if n >= together:
                 out.append(Ranges(held))
                 held, n = [], 0
     return [*out, Ranges(held)] if held else out
@@ -154,6 +154,7 @@ class _Chunks:
         self.options = dict(options)
         self.chunk, self.channel = int(options.get("chunk", CHUNK)), int(options.get("channel", 0))
         self.range, self.heads = int(options.get("rangebytes", RANGE)), options.get("heads", "false") == "true"
+        self.together = int(options.get("taskbytes", self.range))
         self.tests: list[tuple[str, type, object]] = []
 
     def passes(self, column: str, value) -> bool:
@@ -213,7 +214,7 @@ class WavReader(_Chunks, DataSourceReader):
 
     def partitions(self):
         files = [(p, n) for p, n, _ in _listed(self.options) if self.passes("filename", p.rsplit("/", 1)[-1])]
-        return _ranged(files, self.range if not self.heads else 1 << 30, whole=self.heads)
+        return _ranged(files, 1 << 30, 1 << 30, True) if self.heads else _ranged(files, self.range, self.together)
 
 
 class WavStream(_Chunks, DataSourceStreamReader):
@@ -228,11 +229,11 @@ class WavStream(_Chunks, DataSourceStreamReader):
 
     def partitions(self, start: dict, end: dict):
         after, upto = ((x["changed"], x["path"]) for x in (start, end))
-        return _ranged([(p, n) for p, n, t in _listed(self.options) if after < (t, p) <= upto], self.range)
+        return _ranged([(p, n) for p, n, t in _listed(self.options) if after < (t, p) <= upto], self.range, self.together)
 
 
 class WavSource(DataSource):
-    """Options: path, recursive, chunk (frames in a row), rangeBytes, channel; heads=true gives a row for each file from headers alone."""
+    """Options: path, recursive, chunk (frames in a row), rangeBytes (of one part of a file), taskBytes (of one task's parts), channel; heads=true gives a row for each file from headers alone."""
 
     @classmethod
     def name(cls) -> str:

@@ -34,7 +34,15 @@ def stored(df: DataFrame, what: str) -> DataFrame:
     """The rows, written to the shared folder and read back: lineage ends there."""
     path = fresh_path(df.sparkSession, what)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
+
+
+def discard(table: DataFrame) -> None:
+    """Delete what ``stored`` wrote, once nothing reads it any more."""
+    path = table.sparkSession._jvm.org.apache.hadoop.fs.Path(table.stored_at)
+    path.getFileSystem(table.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def in_ranges(table: DataFrame, order: list, partitions: int | None = None) -> DataFrame:
