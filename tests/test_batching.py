@@ -64,3 +64,33 @@ def test_strong_labels_and_feed(spark):
     assert [(b, sorted(x)) for b, x in fed] == [(0, [0, 1, 2]), (1, [3, 4, 5, 6])]
     sums = B.map_batches(B.batches(spark.range(6), 3, ["id"]), lambda p: p.groupby("batch_id", as_index=False)["id"].sum(), "batch_id int, id long")
     assert sorted(r["id"] for r in sums.collect()) == [3, 12]
+
+
+@pytest.mark.parametrize("lockstep", [False, True])
+def test_an_epoch_on_the_executors(spark, lockstep):
+    """Every batch is seen once, by one task, in the epoch's order; each task has every third one."""
+    import pyarrow as pa
+
+    rows = spark.range(106).select("id", (F.col("id") * 2.0).alias("x"))
+    batched = B.batches(rows, 8, ["id"], drop_ordinal=True)
+
+    def see(turn, batch, table):
+        from pyspark import TaskContext
+
+        ids = table.column("id").to_pylist()
+        return pa.table({"turn": [turn], "batch": [batch], "task": [TaskContext.get().partitionId()], "rows": [len(ids)], "first": [ids[0]], "total": [sum(table.column("x").to_pylist())], "at": [__import__("time").time()]})
+
+    seen = []
+    for seed in (None, 1, 2):
+        got = sorted(B.feed_tasks(batched, see, "turn long, batch long, task int, rows long, first long, total double, at double", 3, seed, ("id",), lockstep).collect())
+        assert [r["turn"] for r in got] == list(range(13)) and sorted(r["batch"] for r in got) == list(range(13))
+        assert all(r["task"] == r["turn"] % 3 for r in got) and sum(r["rows"] for r in got) == 106 and sum(r["total"] for r in got) == 2.0 * sum(range(106))
+        assert all(r["first"] == 8 * r["batch"] for r in got)
+        for task in range(3):
+            times = [r["at"] for r in got if r["task"] == task]
+            assert times == sorted(times)
+        if lockstep:
+            assert all(max(r["at"] for r in got[k : k + 3]) <= min(r["at"] for r in got[k + 3 : k + 6]) + 0.01 for k in range(0, 9, 3))
+        seen.append([r["batch"] for r in got])
+    assert seen[0] == list(range(13)) and len({tuple(s) for s in seen}) == 3
+    assert B.feed_tasks(batched.limit(0), see, "turn long, batch long, task int, rows long, first long, total double, at double", 3).count() == 0

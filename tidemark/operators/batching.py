@@ -6,6 +6,7 @@ one task: rows are cut into ranges of their order and stored, counted by range,
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from tidemark.storage import running
+from tidemark.storage import running, stored
 
 
 def label_codes(table: DataFrame, label: str = "label") -> DataFrame:
@@ -122,6 +123,69 @@ def feed(batched: DataFrame, transform: Callable | None = None) -> Iterator[tupl
         yield current, transform(rows) if transform else rows
 
 
+def in_turns(batched: DataFrame, workers: int, seed: int | None = None) -> DataFrame:
+    """Rows with ``turn``: the place of their batch in an epoch's order (that of the batch numbers without a seed).
+
+    Turns are numbered over the distinct batches, in ranges; rows lie in the partition ``turn % workers``, by turn.
+    """
+    ids = batched.select("batch_id").distinct()
+    order = [F.col("batch_id")] if seed is None else shuffled(seed, "batch_id")
+    turns = with_ordinal(ids, order, "turn").withColumnRenamed("batch_id", "__id")
+    joined = batched.join(turns, F.col("batch_id") == F.col("__id")).drop("__id")
+    return joined.repartitionById(workers, (F.col("turn") % workers).cast("int"))
+
+
+def feed_tasks(batched: DataFrame, fn: Callable, schema: str | T.StructType, workers: int, seed: int | None = None, order: tuple[str, ...] = (), lockstep: bool = False) -> DataFrame:
+    """One epoch on the executors: task k gets batches k, k + workers, ... of the epoch's order, each once.
+
+    ``fn(turn, batch_id, rows)`` gets an Arrow table of one batch and returns one of ``schema``; no row passes through the
+    driver. The tasks run together in a barrier stage, as data-parallel training needs; with ``lockstep`` they also wait for each other
+    after every batch, and those without a last one wait along. A task holds one batch. The rows are stored
+    by turn first, so that a stage that is tried again reads the same ones.
+    """
+    import pyarrow as pa
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    rows = stored(in_turns(batched, workers, seed).sortWithinPartitions("turn", *order), "epoch")
+    steps = int(rows.agg(F.coalesce(F.floor(F.max("turn") / workers) + 1, F.lit(0))).first()[0])
+    dealt = rows.repartitionById(workers, (F.col("turn") % workers).cast("int")).sortWithinPartitions("turn", *order)
+    names = batched.columns
+    kind = to_arrow_schema(T.StructType.fromDDL(schema) if isinstance(schema, str) else schema)
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import BarrierTaskContext
+
+        context, done = BarrierTaskContext.get(), 0
+
+        def one(held: list[pa.RecordBatch]) -> list[pa.RecordBatch]:
+            nonlocal done
+            table = pa.Table.from_batches(held)
+            got = fn(table.column("turn")[0].as_py(), table.column("batch_id")[0].as_py(), table.select(names))
+            done += 1
+            if lockstep:
+                context.barrier()
+            return got.select(kind.names).cast(kind).combine_chunks().to_batches()
+
+        held: list[pa.RecordBatch] = []
+        for part in parts:
+            turns = part.column("turn").to_pylist()
+            at = 0
+            while at < len(turns):
+                end = bisect_right(turns, turns[at], at)
+                if held and held[0].column("turn")[0].as_py() != turns[at]:
+                    yield from one(held)
+                    held = []
+                held.append(part.slice(at, end - at))
+                at = end
+        if held:
+            yield from one(held)
+        while lockstep and done < steps:
+            context.barrier()
+            done += 1
+
+    return dealt.mapInArrow(run, schema, barrier=True)
+
+
 def map_batches(batched: DataFrame, fn: Callable, schema: str | T.StructType) -> DataFrame:
     """Apply ``fn`` (a pandas frame of one batch to another) on the executors."""
     return batched.groupBy("batch_id").applyInPandas(fn, schema)

@@ -6,6 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tidemark.operators.medians import medians, with_median
+from tidemark.operators.scans import has_long_group
+
 KEY = "filename"
 
 
@@ -20,10 +23,19 @@ def implode_image(long: DataFrame, key: str = KEY) -> DataFrame:
     return rows.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("t_bin", "row"))), lambda s: s["row"]).alias("data"))
 
 
-def statistics(long: DataFrame, by: tuple[str, ...] = (KEY, "f_bin"), value: str = "value") -> DataFrame:
+def statistics(long: DataFrame, by: tuple[str, ...] = (KEY, "f_bin"), value: str = "value", spread: bool | None = None) -> DataFrame:
     """Maximum, minimum, population deviation, mean and interpolated median along the other axis."""
     v = F.col(value).cast("double")
-    return long.groupBy(*by).agg(F.max(v).alias("max"), F.min(v).alias("min"), F.stddev_pop(v).alias("std"), F.avg(v).alias("average"), F.median(v).alias("median"))
+    spread = has_long_group(long, list(by)) if spread is None else spread
+    plain = [F.max(v).alias("max"), F.min(v).alias("min"), F.stddev_pop(v).alias("std"), F.avg(v).alias("average")]
+    if not spread:
+        return long.groupBy(*by).agg(*plain, F.median(v).alias("median"))
+    return _join(long.groupBy(*by).agg(*plain), medians(long, list(by), value), list(by))
+
+
+def _join(left: DataFrame, right: DataFrame, by: list[str]) -> DataFrame:
+    other = right.withColumnsRenamed({b: f"__b_{b}" for b in by})
+    return left.join(other, [F.col(b).eqNullSafe(F.col(f"__b_{b}")) for b in by], "left").drop(*[f"__b_{b}" for b in by])
 
 
 def normalize(long: DataFrame, mu: float = 0.0, sd: float = 1.0, key: str = KEY, value: str = "value") -> DataFrame:
@@ -39,16 +51,21 @@ def adjust_range(long: DataFrame, low: float = 0.0, high: float = 1.0, key: str
     return long.withColumn(value, low + (high - low) * F.try_divide(F.col(value) - lo, hi - lo))
 
 
-def enhance(long: DataFrame, enhancement: float = 1.0, key: str = KEY, value: str = "value") -> DataFrame:
+def enhance(long: DataFrame, enhancement: float = 1.0, key: str = KEY, value: str = "value", spread: bool | None = None) -> DataFrame:
     """Values times a logistic weight of their distance from median plus deviation."""
-    w = Window.partitionBy(key)
-    half, s = F.median(value).over(w), F.stddev_pop(value).over(w)
-    z = F.try_divide(F.col(value) - half - s, s / enhancement)
-    return long.withColumn(value, F.when(s > 0, F.col(value) / (F.exp(-z) + 1)).otherwise(F.col(value)))
+    spread = has_long_group(long, [key]) if spread is None else spread
+    rows = with_median(long, [key], value, "__median", spread)
+    if spread:
+        rows = _join(rows, long.groupBy(key).agg(F.stddev_pop(value).alias("__std")), [key])
+    else:
+        rows = rows.withColumn("__std", F.stddev_pop(value).over(Window.partitionBy(key)))
+    s = F.col("__std")
+    z = F.try_divide(F.col(value) - F.col("__median") - s, s / enhancement)
+    return rows.withColumn(value, F.when(s > 0, F.col(value) / (F.exp(-z) + 1)).otherwise(F.col(value))).drop("__median", "__std")
 
 
-def reduce_tonal_median(long: DataFrame, key: str = KEY, value: str = "value") -> DataFrame:
-    return long.withColumn(value, F.col(value) - F.median(value).over(Window.partitionBy(key, "f_bin")))
+def reduce_tonal_median(long: DataFrame, key: str = KEY, value: str = "value", spread: bool | None = None) -> DataFrame:
+    return with_median(long, [key, "f_bin"], value, "__median", spread).withColumn(value, F.col(value) - F.col("__median")).drop("__median")
 
 
 def reduce_tonal_running(df: DataFrame, time_const: float, data: str = "data") -> DataFrame:
@@ -61,11 +78,13 @@ def reduce_tonal_running(df: DataFrame, time_const: float, data: str = "data") -
     return df.withColumn(data, let(columns, lambda cs: F.transform(times, lambda t: F.transform(cs, lambda c: F.get(c, t)))))
 
 
-def median_filter(long: DataFrame, row_factor: float = 3.0, col_factor: float = 4.0, key: str = KEY, value: str = "value") -> DataFrame:
+def median_filter(long: DataFrame, row_factor: float = 3.0, col_factor: float = 4.0, key: str = KEY, value: str = "value", spread: bool | None = None) -> DataFrame:
     """1 for values above a multiple of their row's median and then of their column's median, else 0."""
-    rows, cols = Window.partitionBy(key, "t_bin"), Window.partitionBy(key, "f_bin")
-    kept = long.withColumn("__v", F.when(F.col(value) > row_factor * F.median(value).over(rows), F.col(value)).otherwise(0.0))
-    return kept.withColumn(value, F.when((F.col("__v") > col_factor * F.median("__v").over(cols)) & (F.col("__v") > 0), 1.0).otherwise(0.0)).drop("__v")
+    spread = has_long_group(long, [key]) if spread is None else spread
+    rows = with_median(long, [key, "t_bin"], value, "__row", spread)
+    kept = rows.withColumn("__v", F.when(F.col(value) > row_factor * F.col("__row"), F.col(value)).otherwise(0.0))
+    both = with_median(kept, [key, "f_bin"], "__v", "__col", spread)
+    return both.withColumn(value, F.when((F.col("__v") > col_factor * F.col("__col")) & (F.col("__v") > 0), 1.0).otherwise(0.0)).drop("__v", "__row", "__col")
 
 
 def detect_peaks(df: DataFrame, distance: int = 1, multiplicity: int = 1, prominence: float = 1.0, height: float | None = None, data: str = "data", out: str = "peaks") -> DataFrame:

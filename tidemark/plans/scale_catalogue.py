@@ -7,10 +7,12 @@ import math
 from pyspark.sql import functions as F
 
 from tidemark.operators import annotations as A
+from tidemark.operators import batching as B
 from tidemark.operators import chunks
 from tidemark.operators import detections as D
 from tidemark.operators import intervals as I
 from tidemark.operators import selections as S
+from tidemark.operators import signals
 from tidemark.plans import views as V
 from tidemark.plans.catalogue import _RUNS, query, rounded
 from tidemark.plans.tables_catalogue import _WAV, _wavs
@@ -185,3 +187,32 @@ def chunked_filter(spark, d):
     """A resonance of the second order (poles 0.8 exp(+-0.7 i), one zero) along the whole signal; SQL sums its impulse response."""
     found = chunks.filter_signal(_one_signal(spark, d), 64, [1.0, 0.5], [-1.6 * math.cos(0.7), 0.64]).select("chunk", F.posexplode("data").alias("pos", "y"))
     return found.select((F.col("chunk") * 64 + F.col("pos")).alias("i"), F.round("y", 6).alias("y"))
+
+
+# Medians of one long group --------------------------------------------------------------------------
+
+
+@query("SELECT label, max(x) AS max, min(x) AS min, round(median(x), 9) AS median FROM (SELECT label, unnest(embedding)::DOUBLE AS x FROM embeddings) GROUP BY label")
+def long_group_medians(spark, d):
+    """All samples of a label are one group; its middle values are selected by their bits."""
+    long = V.signals(spark, d).select("label", F.explode("data").alias("value"))
+    return signals.statistics(long, ("label",), spread=True).select("label", "max", "min", F.round("median", 9).alias("median"))
+
+
+# An epoch on the executors ---------------------------------------------------------------------------
+
+
+@query("""WITH n AS (SELECT embedding, row_number() OVER (ORDER BY vec_id) - 1 AS ord, count(*) OVER () AS total FROM embeddings)
+SELECT least(ord // 64, total // 64 - 1)::BIGINT AS batch, least(ord // 64, total // 64 - 1)::BIGINT AS turn, (least(ord // 64, total // 64 - 1) % 2)::INT AS worker, count(*) AS rows, round(sum(embedding[1]::DOUBLE), 5) AS total FROM n GROUP BY ALL""")
+def epoch_on_executors(spark, d):
+    """Batches of 64 signals, every other one for each of two tasks that run together."""
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    rows = V.signals(spark, d).select("id", F.get("data", F.lit(0)).alias("x"))
+
+    def sums(turn, batch, table):
+        return pa.table({"batch": [batch], "turn": [turn], "worker": pa.array([turn % 2], pa.int32()), "rows": [table.num_rows], "total": [pc.sum(table.column("x")).as_py()]})
+
+    fed = B.feed_tasks(B.batches(rows, 64, ["id"], drop_ordinal=True), sums, "batch long, turn long, worker int, rows long, total double", 2, lockstep=True)
+    return fed.select("batch", "turn", "worker", "rows", F.round("total", 5).alias("total"))

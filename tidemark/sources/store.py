@@ -23,7 +23,7 @@ from pyspark.sql import types as T
 
 from tidemark.operators.batching import strong_labels, with_ordinal
 from tidemark.schema import SchemaError
-from tidemark.storage import discard, stored
+from tidemark import storage
 
 ATTRS = "representation"
 CODEC = "zstd"
@@ -171,7 +171,7 @@ class Store:
             data = fit_shape(data, shape, resize, discard)
         numbered = None
         if "id" not in data.columns:
-            numbered = stored(with_ordinal(data, order or [c for c, t in data.dtypes if not t.startswith("array")], "id"), "numbered")
+            numbered = storage.stored(with_ordinal(data, order or [c for c, t in data.dtypes if not t.startswith("array")], "id"), "numbered")
             first = 0 if mode == "overwrite" else self._reserve(name, numbered.count())
             data = numbered.withColumn("id", (F.col("id") + first).cast("long"))
         if attrs:
@@ -183,7 +183,7 @@ class Store:
             parts[f"{name}_annot"] = (annotations, [])
         written = {table: self._files(table, df, by, max_records if table == name else 0) for table, (df, by) in parts.items()}
         if numbered is not None:
-            discard(numbered)
+            storage.discard(numbered)
 
         def entry(tables: dict) -> dict:
             out = {}
