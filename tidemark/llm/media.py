@@ -17,6 +17,7 @@ reads as null; one that is corrupt, or that unpacks to more than its header says
 
 Scale: each row is encoded where it is and there is no shuffle. A step holds a few MB of payload, when
 writing and when reading: the size once unpacked is taken from the headers before anything is unpacked.
+A longer text is filtered, restored and hashed in bands of rows, so it needs a few times its own size.
 """
 
 from __future__ import annotations
@@ -35,11 +36,15 @@ WIDTH = 96
 #: zlib level and chunk size of the stored form; with zlib they fix its bytes.
 LEVEL = 6
 CHUNK = 1 << 16
+#: Bytes of rows that are filtered in one go, at about 28 bytes of memory each.
+BAND = 1 << 20
 
 # Fixed values of the PNG format.
 SIGNATURE = b"\x89PNG\r\n\x1a\n"
 
 _GRID, _LOW = 32, 8
+#: Rows that are summed in one go.
+_ROWS = 4096
 
 
 def payload(text: bytes) -> bytes:
@@ -55,30 +60,42 @@ def _paeth(a: np.ndarray, b: np.ndarray, c: np.ndarray) -> np.ndarray:
     return np.where((da <= db) & (da <= dc), a, np.where(db <= dc, b, c))
 
 
-def _differences(rows: np.ndarray) -> np.ndarray:
-    """(5, height, width): the rows under each filter."""
+def _differences(rows: np.ndarray, above: np.ndarray) -> np.ndarray:
+    """(5, height, width): the rows under each filter; ``above`` is the row before the first."""
     x = rows.astype(np.int16)
-    left, up, corner = np.zeros_like(x), np.zeros_like(x), np.zeros_like(x)
-    left[:, 1:], up[1:], corner[1:, 1:] = x[:, :-1], x[:-1], x[:-1, :-1]
+    left, up, corner = np.zeros_like(x), np.empty_like(x), np.zeros_like(x)
+    left[:, 1:], up[1:], up[0] = x[:, :-1], x[:-1], above
+    corner[:, 1:] = up[:, :-1]
     guesses = (0, left, up, (left + up) >> 1, _paeth(left, up, corner))
     return np.stack([(x - g).astype(np.uint8) for g in guesses])
 
 
 def encode(data: bytes, width: int = WIDTH, filters: bytes | None = None, level: int = LEVEL) -> bytes:
-    """Samples as PNG. ``filters`` names a filter type (0 to 4) for each row; without it each row gets the best."""
+    """Samples as PNG. ``filters`` names a filter type (0 to 4) for each row; without it each row gets the best.
+
+    A row's filters only need the row above, so rows are filtered and packed in bands of ``BAND`` bytes, however tall the image is.
+    """
     rows = np.frombuffer(data, np.uint8).reshape(-1, width)
-    under = _differences(rows)
-    if filters is None:
-        # Differences count as signed bytes; of equal sums the first filter wins.
-        kinds = np.abs(under.view(np.int8).astype(np.int16)).sum(2, dtype=np.int64).argmin(0)
-    else:
-        kinds = np.frombuffer(filters, np.uint8).astype(np.int64)
-    body = np.empty((len(rows), width + 1), np.uint8)
-    body[:, 0] = kinds
-    body[:, 1:] = under[kinds, np.arange(len(rows))]
-    packed = zlib.compress(body.tobytes(), level)
-    parts = [_chunk(b"IDAT", packed[i : i + CHUNK]) for i in range(0, len(packed), CHUNK)]
+    step = max(1, BAND // width)
+    packer, packed, above = zlib.compressobj(level), [], np.zeros(width, np.uint8)
+    for at in range(0, len(rows), step):
+        band = rows[at : at + step]
+        under = _differences(band, above)
+        if filters is None:
+            # Differences count as signed bytes; of equal sums the first filter wins.
+            kinds = np.abs(under.view(np.int8).astype(np.int16)).sum(2, dtype=np.int64).argmin(0)
+        else:
+            kinds = np.frombuffer(filters[at : at + step], np.uint8).astype(np.int64)
+        body = np.empty((len(band), width + 1), np.uint8)
+        body[:, 0] = kinds
+        body[:, 1:] = under[kinds, np.arange(len(band))]
+        packed.append(packer.compress(body.tobytes()))
+        above = band[-1]
+    packed.append(packer.flush())
+    whole = b"".join(packed)
+    del packed
     head = struct.pack(">IIBBBBB", width, len(rows), 8, 0, 0, 0, 0)
+    parts = (_chunk(b"IDAT", whole[i : i + CHUNK]) for i in range(0, len(whole), CHUNK))
     return b"".join([SIGNATURE, _chunk(b"IHDR", head), *parts, _chunk(b"IEND", b"")])
 
 
@@ -133,8 +150,11 @@ def decode_all(pngs: list[bytes]) -> list[np.ndarray]:
     """The samples of 8-bit grey PNGs as (height, width) each, or Corrupt; images of one width go together."""
     found = [_filtered(p) for p in pngs]
     out: list[np.ndarray] = [np.empty(0)] * len(found)
-    for width in sorted({f.shape[1] for f in found}):
-        own = [i for i, f in enumerate(found) if f.shape[1] == width]
+    tall = [f.size > BAND for f in found]
+    for i in np.flatnonzero(tall).tolist():
+        out[i] = _unfilter_tall(found[i])
+    for width in sorted({f.shape[1] for f, t in zip(found, tall, strict=True) if not t}):
+        own = [i for i, f in enumerate(found) if f.shape[1] == width and not tall[i]]
         for i, rows in zip(own, _unfilter([found[i] for i in own]), strict=True):
             out[i] = rows
     return out
@@ -144,6 +164,17 @@ def decode(png: bytes) -> np.ndarray:
     return decode_all([png])[0]
 
 
+def _unfilter_tall(rows: np.ndarray) -> np.ndarray:
+    """One image in bands, each below the last row of the one before it, which comes as an unfiltered row."""
+    step = max(1, BAND // rows.shape[1])
+    out = np.empty((len(rows), rows.shape[1] - 1), np.uint8)
+    out[:step] = _unfilter([rows[:step]])[0]
+    for at in range(step, len(rows), step):
+        band = np.concatenate([np.append(np.uint8(0), out[at - 1])[None], rows[at : at + step]])
+        out[at : at + step] = _unfilter([band])[0][1:]
+    return out
+
+
 def _unfilter(images: list[np.ndarray]) -> list[np.ndarray]:
     """Undo the row filters of images of equal width.
 
@@ -192,21 +223,27 @@ _ACROSS = _areas(WIDTH, _GRID).T
 
 def feature(image: np.ndarray) -> str:
     """24 hex digits: 64 bits of low-frequency signs, then mean and spread as 16-bit numbers."""
-    x = image.astype(np.float64)
-    across = x @ (_ACROSS if x.shape[1] == WIDTH else _areas(x.shape[1], _GRID).T)
-    n = len(x)
-    if n > 4 * _GRID:  # tall images: rows are summed within each part, whole and partial, by prefix sums
-        total = np.vstack([np.zeros(_GRID), np.cumsum(across, axis=0)])
+    n, width = image.shape
+    side = _ACROSS if width == WIDTH else _areas(width, _GRID).T
+    if n > 4 * _GRID:  # tall images: the rows of each part, whole and partial, are summed on their own
         edges = np.arange(_GRID + 1) * (n / _GRID)
-        low = np.minimum(edges.astype(int), n - 1)
-        at = total[low] + (edges - low)[:, None] * across[low]
-        small = np.diff(at, axis=0) * (_GRID / n)
+        small = np.empty((_GRID, _GRID))
+        for k, (a, b) in enumerate(zip(edges, edges[1:], strict=False)):
+            first, last = int(a), min(n, int(np.ceil(b)))
+            weight = np.minimum(np.arange(first + 1, last + 1), b) - np.maximum(np.arange(first, last), a)
+            total = np.zeros(width)
+            for at in range(first, last, _ROWS):
+                total += weight[at - first : at - first + _ROWS] @ image[at : min(last, at + _ROWS)].astype(np.float64)
+            small[k] = (total @ side) * (_GRID / n)
     else:
-        small = _areas(n, _GRID) @ across
+        small = _areas(n, _GRID) @ (image.astype(np.float64) @ side)
+    counts = sum(np.bincount(image[at : at + _ROWS].ravel(), minlength=256) for at in range(0, n, _ROWS))
+    mean = float((counts * np.arange(256)).sum() / counts.sum())
+    spread = float(np.sqrt((counts * (np.arange(256) - mean) ** 2).sum() / counts.sum()))
     low = (_COS @ small @ _COS.T).ravel()
     low = np.round(low, 6)
     bits = low > np.median(low[1:])
-    return np.packbits(bits).tobytes().hex() + f"{round(float(x.mean()) * 256) & 0xFFFF:04x}{round(float(x.std()) * 256) & 0xFFFF:04x}"
+    return np.packbits(bits).tobytes().hex() + f"{round(mean * 256) & 0xFFFF:04x}{round(spread * 256) & 0xFFFF:04x}"
 
 
 MEDIA = "n_bytes long, png binary"
