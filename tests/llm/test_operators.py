@@ -27,6 +27,28 @@ def test_png_filters_round_trip_and_damage_is_noticed():
     assert zlib.decompress(b"".join(p for k, p in _chunks(media.encode(bytes(media.UNIT))) if k == b"IDAT"))
 
 
+def test_tall_images_in_bands(monkeypatch):
+    """Bands change neither the stored bytes nor what is read back, and memory stays a few times the text's size."""
+    import tracemalloc
+
+    rng = np.random.default_rng(5)
+    text = b" ".join(rng.choice([b"alpha", b"beta", b"gamma", b"x"], 60_000).tolist())
+    data = media.payload(text)
+    whole, mark = media.encode(data), media.feature(np.frombuffer(data, np.uint8).reshape(-1, media.WIDTH))
+    monkeypatch.setattr(media, "BAND", 5000)
+    assert media.encode(data) == whole and media.decode(whole).tobytes() == data
+    monkeypatch.setattr(media, "_ROWS", 7)
+    assert media.feature(np.frombuffer(data, np.uint8).reshape(-1, media.WIDTH)) == mark
+    monkeypatch.undo()
+    large = media.payload(text * 80)
+    tracemalloc.start()
+    png = media.encode(large)
+    media._read([png])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(large) > 20_000_000 and peak < 5 * len(large) + (40 << 20)
+
+
 def _chunks(png):
     at = 8
     while at < len(png):
@@ -162,15 +184,49 @@ def test_licences_of_whole_texts(spark):
         licenses.find_licenses(docs, licenses={"a": "Some text", "b": "some TEXT."})
 
 
-def test_automaton_blocks_agree(spark, sf_dir):
+def test_automaton_finds_what_plain_search_finds(spark, sf_dir):
+    """Windows of mixed lengths that overlap, nest and repeat, in texts that end and begin with parts of them."""
+    rng = random.Random(6)
+    for width in (1, 3, 10):
+        items = [(rng.choice(["a", "b", "c", None]), " ".join(rng.choice("uvwxyz") for _ in range(rng.choice([0, 1, 2, 3, 9, 10, 11, 30]))).encode()) for _ in range(25)]
+        automaton = decontaminate.Automaton.build(items, width)
+        texts = [" ".join(rng.choice("uvwxyz!") for _ in range(rng.choice([0, 1, 5, 40, 700]))).encode() for _ in range(30)]
+        sizes, found = automaton.find(texts, width)
+        windows = {}
+        for i, t in items:
+            w = t.split()
+            for k in range(max(1, len(w) - width + 1) if w else 0):
+                windows.setdefault(tuple(w[k : k + width]), set()).add(i)
+        for t, n, f in zip(texts, sizes.tolist(), found, strict=True):
+            w = decontaminate.words(t)
+            want = {(i, i + len(k), tuple(sorted(map(str, ids)))) for k, ids in windows.items() for i in range(len(w) - len(k) + 1) if tuple(w[i : i + len(k)]) == k}
+            assert n == len(w) and {(a, b, tuple(sorted(map(str, ids)))) for a, b, ids in f} == want and len(f) == len(want)
     docs, bench = spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    one = decontaminate.find_contamination(docs.select("doc_id", "text"), bench, out="c")
-    many = decontaminate.find_contamination(docs.select("doc_id", "text"), bench, out="c", block_bytes=2000)
-    digest = lambda df: sorted((r["doc_id"], r["c"]["n_hit"], tuple(r["c"]["items"]), len(r["c"]["hits"])) for r in df.collect())
-    assert digest(one) == digest(many) and any(x[1] for x in digest(one))
-    hit = one.where("c.n_hit > 0").first()
+    hit = decontaminate.find_contamination(docs.select("doc_id", "text"), bench, out="c").where("c.n_hit > 0").first()
     h = hit["c"]["hits"][0]
-    assert decontaminate.words(hit["text"][h["start"] : h["end"]].encode())[:1] != []
+    assert decontaminate.words(hit["text"][h["start"] : h["end"]].encode())[:1] != [] 
+
+
+def test_a_large_benchmark_is_one_automaton(spark, tmp_path):
+    """Three MB of items, mapped: a text takes as long as with a few, and all planted windows are found."""
+    import time
+
+    rng = random.Random(9)
+    word = lambda: f"{rng.randrange(60_000):x}"
+    items = [(f"i{k}", " ".join(word() for _ in range(200)).encode()) for k in range(3000)]
+    planted = {k: items[k * 7][1].split()[20:30] for k in range(200)}
+    texts = [b" ".join([*(word().encode() for _ in range(300)), *planted.get(k, []), b"end"]) for k in range(1000)]
+    spent = []
+    for n in (50, 3000):
+        path = f"file://{tmp_path}/{n}"
+        decontaminate.Automaton.build(items[:n], 10).save(path)
+        automaton = decontaminate.Automaton.open(path)
+        began = time.process_time()
+        found = automaton.find(texts, 10)[1]
+        spent.append(time.process_time() - began)
+        if n == 3000:
+            assert {k for k, f in enumerate(found) if f} == set(planted) and all(found[k] == [(300, 310, [f"i{k * 7}"])] for k in planted)
+    assert len(automaton.word) > 3_000_000 and spent[1] < 6 * spent[0] + 0.5
 
 
 def test_targets_and_epochs(spark):

@@ -10,34 +10,33 @@ item without id marks words but is not listed; equal items or equal windows of s
 one pattern that names all of them; repeated rows give repeated results; an empty benchmark hits
 nothing; other columns pass through, a column with the name of the result is replaced.
 
-Scale: documents are only scanned, nothing of them is shuffled. The windows are prepared by executors
-and stored in the shared folder; they are not broadcast and never reach the driver. A benchmark of up to
-``block_bytes`` of text (more than the usual public ones have together) is one automaton, which a task
-builds once. A larger one is stored in parts by a hash of the item; a task then reads its documents in
-chunks of ``CHUNK_BYTES`` and passes each chunk through one part after the other, so that a worker
-never holds more than one chunk and one automaton, however large the benchmark is.
+Scale: documents are only scanned, nothing of them is shuffled. The automaton is built once, by a task, as flat
+arrays in the shared folder (children by sorted words, failure and output links, items of a window), and every worker
+maps it, so it costs a worker nothing however large the benchmark is, and the time of a text does not
+depend on the benchmark's size. It has a state for each distinct beginning of a window, at 17 bytes; building it level
+by level needs some 40 bytes for each, so 10 MB of items take about half a GB of one task.
+
+A batch is scanned in lanes: a state only depends on the last ``width`` words, so the words of a batch are cut into
+lanes that start ``width`` words early, and all lanes take a step together in numpy. Words are looked up by
+their hash and compared with the benchmark's word, so nothing is found by chance.
 """
 
 from __future__ import annotations
 
-import pickle
 import re
-from itertools import chain, groupby
 
-import ahocorasick
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import append_struct, column, columns, fresh_path, free_name, utf8
+from tidemark.llm.common import append_struct, column, columns, fresh_path, free_name, hash_words
 from tidemark.llm.store import Store
 
 WIDTH = 10
-#: Item text in one automaton; a window costs about 1 KB of a worker's memory.
-BLOCK_BYTES = 4 << 20
-#: Text that a task passes through the automata of a large benchmark at a time.
-CHUNK_BYTES = 16 << 20
+#: Words of one lane.
+LANE = 128
 
 _KEEP = bytes(i if 48 <= i <= 57 or 97 <= i <= 122 or i >= 128 else i + 32 if 65 <= i <= 90 else 32 for i in range(256))
 _WORD = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
@@ -50,33 +49,181 @@ def words(text: bytes) -> list[bytes]:
     return text.translate(_KEEP).split()
 
 
-def windows(rows: list[tuple[str | None, bytes]], width: int) -> dict[tuple[bytes, ...], list[str | None]]:
-    """Each window with the ids of the items that hold it."""
-    found: dict[tuple[bytes, ...], dict] = {}
-    for item_id, text in rows:
-        w = words(text)
-        for i in range(max(1, len(w) - width + 1) if w else 0):
-            found.setdefault(tuple(w[i : i + width]), {})[item_id] = True
-    return {k: list(v) for k, v in found.items()}
-
-
-class Matcher:
-    """The automaton over word numbers; words outside the benchmark are number 0."""
-
-    def __init__(self, patterns: dict[tuple[bytes, ...], list[str | None]]):
-        self.number: dict[bytes, int] = {}
-        self.automaton = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
-        for key, ids in patterns.items():
-            self.automaton.add_word(tuple(self.number.setdefault(w, len(self.number) + 1) for w in key), (len(key), ids))
-        if patterns:
-            self.automaton.make_automaton()
-
-    def find(self, w: list[bytes]) -> list[tuple[int, int, list[str | None]]]:
-        """(first word, end word, item ids) of every occurrence of a window."""
-        if not self.number:
-            return []
-        get = self.number.get
-        return [(end + 1 - n, end + 1, ids) for end, (n, ids) in self.automaton.iter(tuple([get(x, 0) for x in w]))]
+def _numbered(texts: list[bytes]) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """(distinct words, which of them each word is, how many words each text has)."""
+    lists = pc.ascii_split_whitespace(pa.array([t.translate(_KEEP) for t in texts], pa.binary()).cast(pa.large_string(), safe=False))
+    flat = lists.flatten().dictionary_encode()
+    word = flat.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    owner = np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy()))
+    blank = np.flatnonzero(np.asarray(pc.equal(flat.dictionary, "").to_numpy(zero_copy_only=False)))
+    if len(blank):
+        keep = word != blank[0]
+        word, owner = word[keep], owner[keep]
+    return flat.dictionary.cast(pa.large_binary()), word, np.bincount(owner, minlength=len(lists))
+
+
+def _ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    return np.arange(int(sizes.sum())) + np.repeat(starts - (np.cumsum(sizes) - sizes), sizes)
+
+
+class Automaton:
+    """Aho-Corasick over word numbers in flat arrays; state 0 is the root, word 0 any word outside the benchmark."""
+
+    NAMES = {"hashes": np.uint64, "word_ends": np.int64, "word_bytes": np.uint8, "root": np.int32, "child": np.int32, "word": np.int32, "fail": np.int32, "out": np.int32, "slot": np.int32, "depth": np.uint8, "item_start": np.int64, "items": np.int32, "name_ends": np.int64, "name_bytes": np.uint8, "named": np.uint8}
+
+    def __init__(self, arrays: dict[str, np.ndarray]):
+        self.__dict__.update(arrays)
+
+    @classmethod
+    def open(cls, path: str) -> Automaton:
+        store = Store(path)
+        return cls({n: store.get(n, k) for n, k in cls.NAMES.items()})
+
+    def save(self, path: str) -> None:
+        for n, k in self.NAMES.items():
+            Store(path).put(n, np.asarray(getattr(self, n), k))
+
+    @classmethod
+    def build(cls, rows: list[tuple[str | None, bytes]], width: int) -> Automaton:
+        """Of the windows of items (id, text); the ids may be null, and equal ones are one item."""
+        distinct, word, sizes = _numbered([t for _, t in rows])
+        hashes = hash_words(distinct)
+        order = np.argsort(hashes)
+        rank = np.empty(len(order), np.int64)
+        rank[order] = np.arange(1, len(order) + 1)
+        word = rank[word]
+        texts = [distinct[int(i)].as_py() for i in order]
+        names = sorted({i for i, _ in rows if i is not None})
+        place = {n: k for k, n in enumerate(names)} | {None: len(names)}
+        counts = np.where(sizes > 0, np.maximum(1, sizes - width + 1), 0)
+        start = _ranges(np.cumsum(sizes) - sizes, counts)
+        length = np.repeat(np.minimum(sizes, width), counts)
+        item = np.repeat(np.fromiter((place[i] for i, _ in rows), np.int64, len(rows)), counts)
+        at = np.zeros(len(start), np.int64)
+        parents, words_, base, levels = [np.zeros(1, np.int64)], [np.zeros(1, np.int64)], 1, [0, 1]
+        for d in range(int(length.max(initial=0))):
+            live = np.flatnonzero(length > d)
+            key, which = np.unique(at[live] << 32 | word[start[live] + d], return_inverse=True)
+            at[live] = base + which
+            parents.append(key >> 32)
+            words_.append(key & 0xFFFFFFFF)
+            base += len(key)
+            levels.append(base)
+        parent, own = np.concatenate(parents), np.concatenate(words_).astype(np.int32)
+        # Children of a state are states in a row, in the order of their words: parents only grow.
+        child = np.append(np.searchsorted(parent[1:], np.arange(base)) + 1, base).astype(np.int32)
+        depth = np.repeat(np.arange(len(levels) - 1), np.diff(levels)).astype(np.uint8)
+        root = np.zeros(len(order) + 1, np.int32)
+        if base > 1:
+            root[own[1 : levels[2]]] = np.arange(1, levels[2])
+        pair = np.unique(at * (len(names) + 1) + item) if len(at) else np.empty(0, np.int64)
+        ends, items = pair // (len(names) + 1), pair % (len(names) + 1)
+        final, item_start = np.unique(ends, return_index=True)
+        slot = np.full(base, -1, np.int32)
+        slot[final] = np.arange(len(final))
+        fail, out = np.zeros(base, np.int32), np.zeros(base, np.int32)
+        made = cls({"root": root, "child": child, "word": own, "fail": fail})
+        for a, b in zip(levels[2:-1], levels[3:], strict=True):
+            fail[a:b] = made.step(fail[parent[a:b]], own[a:b])
+            f = fail[a:b]
+            out[a:b] = np.where(slot[f] >= 0, f, out[f])
+        pack = lambda parts: (np.cumsum([len(x) for x in parts], dtype=np.int64), np.frombuffer(b"".join(parts), np.uint8))
+        word_ends, word_bytes = pack(texts)
+        name_ends, name_bytes = pack([n.encode() for n in names])
+        return cls({**made.__dict__, "hashes": hashes[order], "word_ends": word_ends, "word_bytes": word_bytes, "out": out, "slot": slot, "depth": depth, "item_start": np.append(item_start, len(items)), "items": items, "name_ends": name_ends, "name_bytes": name_bytes, "named": np.ones(len(names), np.uint8)})
+
+    def step(self, state: np.ndarray, word: np.ndarray) -> np.ndarray:
+        """The states after one word each: to a child, or to one of the nearest failure link that has it."""
+        new = self.root[word]
+        left = np.flatnonzero((state != 0) & (word != 0))
+        s, w = state[left], word[left]
+        while len(left):
+            low, high = self.child[s], self.child[s + 1]
+            stop = high
+            while True:
+                open_ = low < high
+                if not open_.any():
+                    break
+                middle = (low + high) >> 1
+                right = open_ & (self.word[np.minimum(middle, len(self.word) - 1)] < w)
+                low, high = np.where(right, middle + 1, low), np.where(open_ & ~right, middle, high)
+            found = (low < stop) & (self.word[np.minimum(low, len(self.word) - 1)] == w)
+            new[left[found]] = low[found]
+            rest = ~found
+            s = self.fail[s[rest]]
+            left, w = left[rest], w[rest]
+            going = s != 0
+            left, s, w = left[going], s[going], w[going]
+        return new
+
+    def numbers(self, distinct: pa.Array) -> np.ndarray:
+        """The number of each word, 0 for those outside the benchmark; what has the same hash is compared."""
+        out = np.zeros(len(distinct), np.int32)
+        if not len(self.hashes) or not len(distinct):
+            return out
+        hashes = hash_words(distinct)
+        at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
+        for k in np.flatnonzero(self.hashes[at] == hashes).tolist():
+            i = int(at[k])
+            first = int(self.word_ends[i - 1]) if i else 0
+            if self.word_bytes[first : int(self.word_ends[i])].tobytes() == distinct[k].as_py():
+                out[k] = i + 1
+        return out
+
+    def scan(self, words_: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+        """(place of its last word, state) of every occurrence of a window in a sequence of word numbers."""
+        n = len(words_)
+        if not n or len(self.word) < 2:
+            return np.empty(0, np.int64), np.empty(0, np.int32)
+        lanes = -(-n // LANE)
+        padded = np.zeros(width + lanes * LANE, np.int32)
+        padded[width : width + n] = words_
+        first = np.arange(lanes) * LANE
+        state = np.zeros(lanes, np.int32)
+        places, states = [], []
+        for t in range(width + LANE):
+            state = self.step(state, padded[first + t])
+            if t >= width:
+                ends = np.flatnonzero((self.slot[state] >= 0) | (self.out[state] > 0))
+                places.append(first[ends] + t - width)
+                states.append(state[ends])
+        place, state = np.concatenate(places), np.concatenate(states)
+        found = [np.empty(0, np.int64)], [np.empty(0, np.int32)]
+        while len(place):
+            final = self.slot[state] >= 0
+            found[0].append(place[final])
+            found[1].append(state[final])
+            state = self.out[state]
+            place, state = place[state > 0], state[state > 0]
+        return np.concatenate(found[0]), np.concatenate(found[1])
+
+    def names(self, state: int) -> list[str | None]:
+        """The ids of the items that hold the window of a state; None for items without one."""
+        k = int(self.slot[state])
+        out: list[str | None] = []
+        for i in self.items[int(self.item_start[k]) : int(self.item_start[k + 1])].tolist():
+            first = int(self.name_ends[i - 1]) if 0 < i <= len(self.name_ends) else 0
+            out.append(None if i == len(self.name_ends) else self.name_bytes[first : int(self.name_ends[i])].tobytes().decode())
+        return out
+
+    def find(self, texts: list[bytes], width: int) -> tuple[np.ndarray, list[list[tuple[int, int, list[str | None]]]]]:
+        """(number of words of each text, (first word, end word, item ids) of every occurrence of a window in each)."""
+        distinct, word, sizes = _numbered(texts)
+        # A 0 after each text keeps the next one apart.
+        starts = np.cumsum(sizes) - sizes + np.arange(len(sizes))
+        row = np.zeros(int(sizes.sum()) + len(sizes), np.int32)
+        row[_ranges(starts, sizes)] = self.numbers(distinct)[word]
+        place, state = self.scan(row, width)
+        found: list[list] = [[] for _ in texts]
+        order = np.argsort(place, kind="stable")
+        known: dict[int, list] = {}
+        for p, s in zip(place[order].tolist(), state[order].tolist(), strict=True):
+            t = int(np.searchsorted(starts, p, "right")) - 1
+            if s not in known:
+                known[s] = self.names(s)
+            end = p - int(starts[t]) + 1
+            found[t].append((end - int(self.depth[s]), end, known[s]))
+        return sizes, found
 
 
 def _summary(text: bytes, n: int, found: list[tuple[int, int, list[str | None]]]) -> dict:
@@ -104,56 +251,34 @@ def _summary(text: bytes, n: int, found: list[tuple[int, int, list[str | None]]]
     }
 
 
-def _store_windows(items: DataFrame, path: str, blocks: int, width: int) -> None:
-    """Store the windows of items (i, t), each block as one file that a task writes."""
+def store_automaton(items: DataFrame, path: str, width: int = WIDTH) -> None:
+    """Build the automaton of items (i, t) in a task and store its arrays."""
 
     def run(batches):
-        rows = chain.from_iterable(b.to_pylist() for b in batches)
-        n = 0
-        for block, group in groupby(rows, key=lambda r: r["block"]):
-            found = windows([(r["i"], bytes(r["t"])) for r in group], width)
-            Store(path).put(str(block), np.frombuffer(pickle.dumps(found, 5), np.uint8))
-            n += 1
-        yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], names=["n"])
-
-    placed = items.withColumn("block", F.pmod(F.xxhash64("t"), F.lit(blocks)).cast("int"))
-    placed.repartition(blocks, "block").sortWithinPartitions("block").mapInArrow(run, "n long").agg(F.sum("n")).collect()
-
+        rows = [(i, bytes(t)) for b in batches for i, t in zip(b.column("i").to_pylist(), b.column("t").to_pylist(), strict=True)]
+        Automaton.build(rows, width).save(path)
+        yield pa.RecordBatch.from_arrays([pa.array([len(rows)], pa.int64())], names=["n"])
 
-def _matcher(path: str, block: int) -> Matcher:
-    stored = Store(path).get(str(block), np.uint8)
-    return Matcher(pickle.loads(stored.tobytes()) if len(stored) else {})
+    items.select("i", "t").repartition(1).mapInArrow(run, "n long").agg(F.sum("n")).collect()
 
 
-def find_contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text", out: str = "contamination", item_id: str = "item_id", item_text: str = "text", width: int = WIDTH, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def find_contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text", out: str = "contamination", item_id: str = "item_id", item_text: str = "text", width: int = WIDTH) -> DataFrame:
     """Documents with a struct ``out``: n_words, n_hit, items, hits (item and code point offsets)."""
     items = benchmark.select(column(item_id).cast("string").alias("i"), F.encode(column(item_text), "utf-8").alias("t")).where("length(t) > 0").distinct()
-    total = items.agg(F.sum(F.length("t"))).first()[0] or 0
-    blocks = max(1, -(-total // block_bytes))
-    path = fresh_path(docs.sparkSession, "windows")
-    _store_windows(items, path, blocks, width)
+    path = fresh_path(docs.sparkSession, "automaton")
+    store_automaton(items, path, width)
 
     def kernel():
-        only = _matcher(path, 0) if blocks == 1 else None
+        automaton = Automaton.open(path)
 
         def run(texts):
-            read = utf8(texts)
-            # With several parts the words of a chunk are kept while the parts pass by.
-            kept = [words(t) for t in read] if blocks > 1 else None
-            found: list[list] = [[] for _ in read]
-            made = []
-            for block in range(blocks):
-                m = only or _matcher(path, block)
-                for k, t in enumerate(read):
-                    w = kept[k] if kept else words(t)
-                    found[k] += m.find(w)
-                    if block == blocks - 1:
-                        made.append(_summary(t, len(w), found[k]))
-            return made
+            read = [t or b"" for t in texts.cast(pa.binary()).to_pylist()]
+            sizes, found = automaton.find(read, width)
+            return [_summary(t, n, f) for t, n, f in zip(read, sizes.tolist(), found, strict=True)]
 
         return run
 
-    return append_struct(docs, text, out, HITS, kernel, limit=CHUNK_BYTES if blocks > 1 else None)
+    return append_struct(docs, text, out, HITS, kernel)
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
