@@ -84,3 +84,10 @@ def test_attached_annotations_over_parts(spark):
 def test_empty_tables(spark, n):
     a = annot(spark).limit(0)
     assert S.select(a, 1.0, center=True).count() == 0 and S.segment_annotations(a, 5, 1.0).count() == 0
+
+
+def test_large_draws_are_the_rows_with_the_least_hashes(spark):
+    t = spark.range(5000).select(F.concat(F.lit("f"), F.col("id") % 7).alias("filename"), F.col("id").alias("sel_id"))
+    for n in (0, 40, 700, 4999, 5000, 9000):
+        ids = [r["sel_id"] for r in S.random_choice(t, n, 4).collect()]
+        assert ids == [r["sel_id"] for r in S.random_choice(t, n, 4, few=10).collect()] and len(set(ids)) == min(n, 5000)

@@ -160,3 +160,20 @@ def test_headers_of_compressed_files(spark, tmp_path):
     files = spark.read.format("binaryFile").load(str(tmp_path)).select(F.lit("a.flac").alias("filename"), "content")
     sel = spark.createDataFrame([("a.flac", 0.0, 1.0)], "filename string, start double, end double")
     assert audio.load_waveforms(sel, files).first()["wave"]["error"]
+
+
+def test_a_log_is_stored_and_replayed(spark, tmp_path):
+    """What was stored is what its log makes of the raw signals again."""
+    raw = spark.range(6).select(F.col("id").alias("k"), F.lit(100.0).alias("rate"), F.transform(F.sequence(F.lit(0), F.lit(99)), lambda i: F.sin(i * (F.col("id") + 1) * 0.1)).alias("data")).cache()
+    config = {"type": "MagSpectrogram", "window": "0.2 s", "step": "0.1 s", "window_func": "hamming", "waveform_transforms": [{"name": "preemphasis", "coeff": 0.9}, {"name": "normalize", "mean": 1.0, "std": 2.0}], "transforms": [{"name": "reduce_tonal_noise", "method": "MEDIAN"}, {"name": "adjust_range"}]}
+    made = R.represent(raw, config, lineage="lineage")
+    s = Store(spark, str(tmp_path / "logged"))
+    s.write("t", made, order=["k"])
+    stored = s.open("t")
+    (log,) = R.lineages(stored)
+    assert [e["name"] for e in log] == ["preemphasis", "normalize", "represent", "reduce_tonal_noise", "adjust_range"] and log[0]["coeff"] == 0.9
+    again = R.replay(raw, log, lineage="lineage")
+    rows = lambda df: [(r["k"], r["data"], r["lineage"]) for r in df.orderBy("k").collect()]
+    assert rows(again) == rows(stored)
+    more = R.apply_transforms(stored, [{"name": "blur", "sigma_time": 1.0}], image=True, lineage="lineage")
+    assert len(R.lineages(more)[0]) == 6 and R.lineages(raw.limit(0).withColumn("lineage", F.array().cast(R.LINEAGE))) == []

@@ -219,11 +219,11 @@ def label_array(annotations: DataFrame, label: int, bins: int, time_res: float,
     of = annotations.where(F.col("label") == label)
     first = F.greatest(F.lit(0), F.floor(F.col("start") / time_res)).cast("int")
     last = F.least(F.lit(bins - 1), F.ceil(F.col("end") / time_res) - 1).cast("int")
-    hit = of.where(first <= last).select(by, F.explode(F.sequence(first, last)).alias("b"))
-    sets = hit.groupBy(by).agg(F.collect_set("b").alias("s"))
-    every = F.sequence(F.lit(0), F.lit(bins - 1))
-    objects = annotations.select(by).distinct().join(sets, by, "left")
-    return objects.select(by, F.transform(every, lambda i: F.array_contains(F.coalesce("s", F.array().cast("array<int>")), i).cast("int")).alias("presence"))
+    hit = of.where(first <= last).select(by, F.explode(F.sequence(first, last)).alias("b")).distinct().withColumn("present", F.lit(1))
+    every = annotations.select(by).distinct().withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))))
+    # A row for each bin and one join: no bin looks through the others.
+    flags = every.join(hit, [by, "b"], "left").select(by, "b", F.coalesce("present", F.lit(0)).alias("present"))
+    return flags.groupBy(by).agg(F.transform(F.array_sort(F.collect_list(F.struct("b", "present"))), lambda x: x["present"]).alias("presence"))
 
 
 def presence(c: Column) -> Column:

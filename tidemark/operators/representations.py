@@ -122,14 +122,17 @@ def _clean(image: np.ndarray) -> list:
     return [[None if np.isnan(v) else float(v) for v in row] for row in image] if image.ndim == 2 else image.tolist()
 
 
-def represent(df: DataFrame, config: dict, data: str = "data", rate: str = "rate") -> DataFrame:
-    """Signals in ``data`` turned into the configured representation; undefined values are null."""
+def represent(df: DataFrame, config: dict, data: str = "data", rate: str = "rate", lineage: str | None = None) -> DataFrame:
+    """Signals in ``data`` turned into the configured representation; undefined values are null.
+
+    With ``lineage`` a column of that name tells what was done, in order (``apply_transforms``, ``replay``).
+    """
     p = parse_config(config)
     kind = p.get("type", "Waveform")
     if kind not in REPRESENTATIONS:
         raise ValueError(f"unknown representation {kind!r}")
     if p.get("waveform_transforms"):
-        df = apply_transforms(df, p["waveform_transforms"], data)
+        df = apply_transforms(df, p["waveform_transforms"], data, lineage=lineage)
     if kind != "Waveform":
         fn = REPRESENTATIONS[kind]
         @F.pandas_udf(K.IMAGE)
@@ -137,7 +140,39 @@ def represent(df: DataFrame, config: dict, data: str = "data", rate: str = "rate
             return pd.Series([_clean(fn(np.asarray(a, float), float(b), p)) if a is not None and len(a) else [] for a, b in zip(x, r, strict=True)])
 
         df = df.withColumn(data, run(data, rate))
-    return apply_transforms(df, p.get("transforms") or [], data, image=kind != "Waveform")
+    if lineage:
+        own = {k: v for k, v in encode_config({k: v for k, v in p.items() if k not in ("waveform_transforms", "transforms")}).items()}
+        df = _logged(df, lineage, "represent", own)
+    return apply_transforms(df, p.get("transforms") or [], data, kind != "Waveform", lineage)
+
+
+LINEAGE = "array<struct<name: string, arguments: string>>"
+
+
+def _logged(df: DataFrame, lineage: str, name: str, arguments: dict) -> DataFrame:
+    """One more entry at the end of the log, which is begun if there is none."""
+    before = F.coalesce(F.col(lineage), F.array().cast(LINEAGE)) if lineage in df.columns else F.array().cast(LINEAGE)
+    entry = F.struct(F.lit(name).alias("name"), F.lit(json.dumps(arguments, sort_keys=True)).alias("arguments"))
+    return df.withColumn(lineage, F.concat(before, F.array(entry)))
+
+
+def lineages(df: DataFrame, lineage: str = "lineage") -> list[list[dict]]:
+    """The distinct logs of a table, one for each way in which its rows were made, so few."""
+    found = df.select(lineage).distinct().collect()
+    return [[{"name": e["name"], **json.loads(e["arguments"])} for e in r[0] or ()] for r in found]
+
+
+def replay(df: DataFrame, log: list[dict], data: str = "data", rate: str = "rate", lineage: str | None = None) -> DataFrame:
+    """Do to the rows what a log says, so that raw signals become what was stored."""
+    image = False
+    for entry in log:
+        arguments = {k: v for k, v in entry.items() if k != "name"}
+        if entry["name"] == "represent":
+            df = represent(df, arguments, data, rate, lineage)
+            image = image or arguments.get("type", "Waveform") != "Waveform"
+        else:
+            df = apply_transforms(df, [entry], data, image, lineage)
+    return df
 
 
 def _native(fn):
@@ -189,12 +224,18 @@ TRANSFORMS = {
 }
 
 
-def apply_transforms(df: DataFrame, transforms: list[dict], data: str = "data", image: bool = False) -> DataFrame:
-    """Named transforms in order; an unknown name is an error."""
+def apply_transforms(df: DataFrame, transforms: list[dict], data: str = "data", image: bool = False, lineage: str | None = None) -> DataFrame:
+    """Named transforms in order; an unknown name is an error. ``lineage`` names a column that they are logged in."""
     unknown = [t.get("name") for t in transforms if t.get("name") not in TRANSFORMS]
     if unknown:
         raise ValueError(f"unknown transforms: {unknown}")
-    return reduce(lambda d, t: TRANSFORMS[t["name"]](d, data, image, **{k: v for k, v in t.items() if k != "name"}), transforms, df)
+
+    def step(d: DataFrame, t: dict) -> DataFrame:
+        arguments = {k: v for k, v in t.items() if k != "name"}
+        done = TRANSFORMS[t["name"]](d, data, image, **arguments)
+        return _logged(done, lineage, t["name"], arguments) if lineage else done
+
+    return reduce(step, transforms, df)
 
 
 def infer_shape(config: dict, duration: float, rate: float | None = None) -> tuple[int, ...]:

@@ -162,11 +162,35 @@ def select_by_segmenting(files: DataFrame, length: float, annotations: DataFrame
     return sel, annot
 
 
-def random_choice(table: DataFrame, n: int, seed: int = 1, keys: list[str] | None = None) -> DataFrame:
-    """``n`` rows without replacement (all if fewer), by key; the draw depends on keys and seed alone."""
+def random_choice(table: DataFrame, n: int, seed: int = 1, keys: list[str] | None = None, few: int = 100_000) -> DataFrame:
+    """``n`` rows without replacement (all if fewer), by key; the draw depends on keys and seed alone.
+
+    They are the rows with the least hashes. More than ``few`` are not sorted in one place: rows are counted by leading
+    bits of their hash, those below the bits in which the last one lies are taken as they are, and only
+    the rest is looked at more closely.
+    """
     keys = keys or [c for c in ("filename", "sel_id", "annot_id") if c in table.columns]
-    drawn = table.withColumn("__u", F.xxhash64(F.lit(seed), *keys)).orderBy("__u", *keys).limit(n).drop("__u")
-    return drawn.orderBy(*keys)
+    rows = table.withColumn("__u", F.xxhash64(F.lit(seed), *keys))
+    taken, shift, left = [], 48, n
+    while left > few and shift >= 0:
+        digit = F.shiftright("__u", shift)
+        counts = sorted(tuple(r) for r in rows.groupBy(digit.alias("d")).count().collect())  # 65,536 at most
+        last, below = None, 0
+        for d, count in counts:
+            if below + count > left:
+                last = d
+                break
+            below += count
+        if last is None:
+            taken.append(rows)
+            left = 0
+            break
+        taken.append(rows.where(digit < last))
+        rows, left, shift = rows.where(digit == last), left - below, shift - 16
+    drawn = rows.orderBy("__u", *keys).limit(left) if left else rows.limit(0)
+    for part in taken:
+        drawn = drawn.unionByName(part)
+    return drawn.drop("__u").orderBy(*keys)
 
 
 def free_gaps(files: DataFrame, length: float, annotations: DataFrame | None = None, buffer: float = 0.0) -> DataFrame:

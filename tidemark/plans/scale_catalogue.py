@@ -11,6 +11,7 @@ from tidemark.operators import batching as B
 from tidemark.operators import chunks
 from tidemark.operators import detections as D
 from tidemark.operators import intervals as I
+from tidemark.operators import representations as R
 from tidemark.operators import selections as S
 from tidemark.operators import signals
 from tidemark.plans import views as V
@@ -18,6 +19,7 @@ from tidemark.plans.catalogue import _RUNS, query, rounded
 from tidemark.plans.tables_catalogue import _WAV, _wavs
 from tidemark.plans.views import sql
 from tidemark.sources import wav
+from tidemark.sources.store import Store
 from tidemark.storage import fresh_path
 
 # One file of all events, cut into ranges -----------------------------------------------------------
@@ -216,3 +218,16 @@ def epoch_on_executors(spark, d):
 
     fed = B.feed_tasks(B.batches(rows, 64, ["id"], drop_ordinal=True), sums, "batch long, turn long, worker int, rows long, total double", 2, lockstep=True)
     return fed.select("batch", "turn", "worker", "rows", F.round("total", 5).alias("total"))
+
+
+# Lineage ---------------------------------------------------------------------------------------------
+
+
+@query(sql("SELECT id, (pos - 8)::INT AS place, round(x, 6) AS x FROM (SELECT id, pos, (x - avg(x) OVER w) / stddev_pop(x) OVER w AS x FROM signal WINDOW w AS (PARTITION BY id)) WHERE pos BETWEEN 8 AND 40", "signal"))
+def replayed_signals(spark, d):
+    """Raw signals made again by the log that was stored beside transformed ones."""
+    raw = V.signals(spark, d).select(F.col("id").alias("vec"), "data")
+    store = Store(spark, fresh_path(spark, "logged"))
+    store.write("t", R.apply_transforms(raw, [{"name": "normalize"}, {"name": "crop", "first": 8, "last": 40}], lineage="lineage"), order=["vec"])
+    (log,) = R.lineages(store.open("t"))
+    return R.replay(raw, log).select(F.col("vec").alias("id"), F.posexplode("data").alias("place", "x")).select("id", "place", *rounded("x"))
