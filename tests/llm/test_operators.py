@@ -175,6 +175,18 @@ def test_documents_without_ids_link(spark):
     assert sorted(kept, key=str) == sorted([(4, "w0"), (None, "x0"), (7, "al"), (None, ""), (None, "")], key=str)
 
 
+def test_long_sets_are_cut_into_blocks(spark, monkeypatch):
+    """Blocks and buckets by tokens and text give the components that whole neighbourhoods give."""
+    words = [f"w{i}" for i in range(400)]
+    texts = [" ".join([*words[: 200 + k], f"own{k}"]) for k in range(0, 60, 2)] + [" ".join(words[k::2]) for k in range(3)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = lambda: sorted((r["id"], r["component"]) for r in jaccard.group_similar(docs).collect())
+    whole = rows()
+    monkeypatch.setattr(jaccard, "BLOCK_TOKENS", 900)
+    monkeypatch.setattr(jaccard, "BUCKET_CHARS", 2000)
+    assert rows() == whole and len({c for _, c in whole}) < len(texts)
+
+
 def test_licences_of_whole_texts(spark):
     mit = "MIT Licence\n\nCopyright (c) 2020 Somebody\n\n" + licenses.LICENSES["MIT"].replace("sublicense", "sub-license").upper()
     docs = spark.createDataFrame([(1, mit), (2, mit + " and more"), (3, None), (4, licenses.LICENSES["Zlib"].replace(" ", "  "))], "doc_id long, text string")

@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
+from tidemark.llm import common
 from tidemark.llm.common import materialize, read_table
 
 
@@ -77,3 +78,11 @@ def test_quality_drops_labelled_bad(spark):
     bad = {r["doc_id"] for r in spark.read.parquet(f"{d}/labels.parquet").where("quality = 0").collect()}
     kept = {r["doc_id"] for r in corpus_pipeline.quality_stage(spark, read_table(spark, d, "documents"), d).select("doc_id").collect()}
     assert len(bad) >= 500 and len(bad & kept) <= 0.05 * len(bad)
+
+
+def test_a_run_leaves_one_table(spark, sf_dir, tmp_path, monkeypatch):
+    """Stage tables and what stages stored on their way are deleted; the result is whole."""
+    monkeypatch.setattr(common, "shared_dir", lambda _: f"file://{tmp_path}")
+    out = corpus_pipeline.run(spark, sf_dir)
+    left = [p.name for p in (tmp_path / "tidemark").iterdir()]
+    assert len(left) == 1 and left[0].startswith("stage-mixing") and out.count() > 50

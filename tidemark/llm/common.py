@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -75,8 +76,28 @@ def lookup(rows: DataFrame, table: DataFrame, key: str) -> DataFrame:
     return few.unionByName(rows.where(~is_hot).join(table.where(~is_hot), key, "left"))
 
 
+#: Lists of the folders that were named inside ``temporary``.
+_NAMED: list[list[str]] = []
+
+
 def fresh_path(spark: SparkSession, what: str) -> str:
-    return f"{shared_dir(spark)}/tidemark/{what}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/tidemark/{what}-{uuid.uuid4().hex}"
+    for names in _NAMED:
+        names.append(path)
+    return path
+
+
+@contextmanager
+def temporary(spark: SparkSession):
+    """Folders that are named inside are deleted at the end, but for those that are taken off the list."""
+    names: list[str] = []
+    _NAMED.append(names)
+    try:
+        yield names
+    finally:
+        _NAMED.remove(names)
+        for path in names:
+            delete_path(spark, path)
 
 
 def materialize(df: DataFrame, what: str) -> DataFrame:

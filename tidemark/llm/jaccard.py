@@ -19,8 +19,9 @@ frequent than they are, which only moves them back in the orders and never chang
 table is built in ranges, stored in the shared folder and memory-mapped. Tokens of a single set are
 left out of the index, since nothing can be shared through them.
 Neighbourhoods of more than ``BLOCK``
-classes are cut into blocks, every pair of blocks being a task of its own, so that no task holds more
-than two blocks however large a group of copies is.
+classes or ``BLOCK_TOKENS`` tokens are cut into blocks, every pair of blocks being a task of its own, so that no task holds more
+than two blocks however large a group of copies is and however long they are. The index is cut into buckets by
+the text's size, of which a task holds one at a time.
 
 Defined results: a null, empty or blank text has no shingles, links with nothing and is its own
 component; a text of fewer than five words has its word sequence as one shingle; repeated rows and
@@ -52,6 +53,10 @@ WORDS = 5
 PERCENT = 80
 ORDERS = 3
 BLOCK = 1024
+#: Tokens of a block, which take some 40 bytes each in the task that verifies it.
+BLOCK_TOKENS = 2 << 20
+#: Characters of text for each bucket of the index.
+BUCKET_CHARS = 32 << 20
 #: The filter that says which documents' sets are wanted is cut into files of 2 ** FILTER_RANGE bits (1 MB).
 FILTER_RANGE = 23
 #: Most rows (of about 40 bytes) of the wanted classes that are broadcast.
@@ -472,16 +477,17 @@ def group_similar(docs: DataFrame, id_column: str = "doc_id", text: str = "text"
     profile = materialize(_profile(docs, id_column, text, bits, ranges), "profile")
     _store_counts(profile.where("range IS NOT NULL").select("range", "blob"), *counts, parts)
     rows = profile.where("range IS NULL").select("id", "fp", "n")
-    classes = rows.where("n > 0").groupBy("fp").agg(F.min("id").alias("least"))
+    classes = rows.where("n > 0").groupBy("fp").agg(F.min("id").alias("least"), F.first("n").alias("n"))
 
-    index = _index(docs, text, counts, parts)
+    index = _index(docs, text, counts, max(parts, -(-chars // BUCKET_CHARS)))
     edges = index.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(_neighbours, "a long, b long")
     near = components(edges)
-    member = materialize(near.unionByName(near.select(F.col("root").alias("node"), "root").distinct()), "near")
+    member = near.unionByName(near.select(F.col("root").alias("node"), "root").distinct())
+    member = materialize(member.join(classes, member["node"] == classes["fp"]).select("root", "node", "least", "n"), "near")
     # How many blocks each neighbourhood is cut into, and each class's block.
-    cut = member.groupBy("root").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    cut = member.groupBy("root").agg(F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("n") / BLOCK_TOKENS)).cast("int").alias("blocks"))
     placed = member.join(cut, "root").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    wanted = materialize(placed.join(classes, placed["node"] == classes["fp"]).select("root", "node", "blocks", "block", "least"), "wanted")
+    wanted = materialize(placed.select("root", "node", "blocks", "block", "least"), "wanted")
     # Only the documents that stand for a wanted class send their sets; the join makes that exact.
     # A class of which no row has an id is in the filter twice: as rows without an id, and by its fp.
     nameless = wanted.where("least IS NULL").select("least", F.col("node").alias("h1"), F.shiftright("node", 32).alias("h2"))
