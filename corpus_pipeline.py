@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import decontaminate, jaccard, mixing, pii, quality
-from tidemark.llm.common import materialize, read_table
+from tidemark.llm.common import discard, materialize, read_table, temporary
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -52,7 +52,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last stage's table. What a stage stored on its way, and the table before it, go once its result is stored."""
     docs = read_table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = materialize(stage(spark, docs, sf_dir), f"stage-{name}")
+        before = docs
+        with temporary(spark) as made:
+            docs = materialize(stage(spark, before, sf_dir), f"stage-{name}")
+            made.remove(docs.stored_at)
+        if hasattr(before, "stored_at"):
+            discard(before)
     return docs
