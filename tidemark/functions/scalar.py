@@ -73,6 +73,14 @@ def segment_args(rate: float, offset: float, window: float, step: float, duratio
     return {"win_len": win, "step_len": hop, "num_segs": frames, "offset_len": first - win // 2 + hop // 2}
 
 
+def frame_arguments(rate, offset, window, step, duration) -> Column:
+    """``segment_args`` of columns, as a struct."""
+    win, hop = num_samples(window, rate, True), num_samples(step, rate, True)
+    frames = num_samples(duration, col(rate) / hop)
+    first = num_samples(offset, rate) - F.floor(win / 2) + F.floor(hop / 2)
+    return F.struct(win.alias("win_len"), hop.alias("step_len"), frames.alias("num_segs"), first.cast("long").alias("offset_len"))
+
+
 def to_decibel(x) -> Column:
     """20 log10 x, null where that is undefined."""
     return F.when(col(x) > 0, 20 * F.log10(col(x)))

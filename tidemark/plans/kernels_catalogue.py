@@ -100,22 +100,30 @@ UNION ALL SELECT s.id, {extra} + 126 - pos, 2 * tail - x FROM signal s JOIN ends
     return f"WITH RECURSIVE {V.SQL['signal']},\n{ends},\n{wide},\n{run('one', 'wide')},\nback AS (SELECT id, {last} - i AS i, y AS x FROM one),\n{run('two', 'back')}\nSELECT id, ({last} - i - {extra})::INT AS pos, round(y, 6) AS x FROM two WHERE {last} - i - {extra} BETWEEN 0 AND 63"
 
 
-# Coefficients of the third-order Butterworth band-pass from 4 to 16 Hz at 64 samples a second.
-_BAND = K.butterworth(64.0, 4.0, 16.0, 3)
+# The third-order Butterworth band-pass from 4 to 16 Hz at 64 samples a second, and its state after a long run of ones,
+# worked out from the analogue polynomial (s^2 + w0^2) / (B s) in 1 / (s^3 + 2 s^2 + 2 s + 1) by the bilinear transform.
+_BAND = (
+    [0.08456652578282248, 0.0, -0.25369957734846743, 0.0, 0.25369957734846743, 0.0, -0.08456652578282248],
+    [1.0, -2.4872553459257247, 2.917725887977626, -2.272974488546121, 1.314402467300694, -0.4622513488829758, 0.07320878558564828],
+)
+_BAND_SETTLED = [-0.08456652578282096, -0.08456652578282477, 0.1691330515656471, 0.16913305156564362, -0.08456652578282188, -0.08456652578282259]
 
 
-@query(_recursion(*_BAND, K.settled(*_BAND)))
+@query(_recursion(*_BAND, _BAND_SETTLED))
 def bandpass_filter(spark, d):
     return _samples(spark, d, K.kernel(lambda x: K.bandpass(x, 64.0, 4.0, 16.0), together=True)("data"))
 
 
-_TONE = K.gammatone_section(64.0, 9.0)[0]
+# A resonator at 9 Hz and 64 samples a second, with the bandwidth 1.019 * 24.7 * (0.00437 * 9 + 1) and unit gain at its centre.
+_RESONATOR = [0.9397051309350107, 0.0, 0.0], [1.0, -0.09728472312975582, 0.005879117628538991]
+_RESONATOR_SETTLED = [0.09453538014957447, -0.006080421620866561]
 
 
-@query(_recursion(np.pad(_TONE[0], (0, 3 - len(_TONE[0]))), _TONE[1], K.settled(*_TONE)))
+@query(_recursion(*_RESONATOR, _RESONATOR_SETTLED))
 def resonator_filter(spark, d):
     """One resonator of the gammatone bank, forward and backward."""
-    return _samples(spark, d, K.kernel(lambda x: K.zero_phase([_TONE], x), together=True)("data"))
+    section = K.gammatone_section(64.0, 9.0)[0]
+    return _samples(spark, d, K.kernel(lambda x: K.zero_phase([section], x), together=True)("data"))
 
 
 # Spectra -----------------------------------------------------------------------------------------
@@ -171,12 +179,13 @@ def represented_bands(spark, d):
     return made.select("id", F.posexplode(F.get("data", F.lit(0))).alias("k", "db")).select("id", "k", F.round("db", 4).alias("db")).where("db IS NOT NULL")
 
 
-@query("SELECT t || ' s' AS duration, greatest(1, ceil((t::DOUBLE * 1000 - 512) / 32) + 1)::INT AS times, 257 AS bins FROM (VALUES ('1'), ('2.5'), ('0.3')) d(t)")
+@query("SELECT vec_id AS id, greatest(1, ceil((64 - 16) / 8.0) + 1)::INT AS times, 9 AS bins, greatest(1, ceil((64 - 16) / 8.0) + 1)::INT AS inferred_times, 9 AS inferred_bins FROM embeddings")
 def inferred_shapes(spark, d):
-    """Shapes of a configured representation of so many seconds."""
-    config = {"type": "MagSpectrogram", "rate": "1000 Hz", "window": "0.512 s", "step": "0.032 s"}
-    rows = [(t, *R.infer_shape(config, float(t.split()[0]))) for t in ("1 s", "2.5 s", "0.3 s")]
-    return spark.createDataFrame(rows, "duration string, times int, bins int")
+    """The shape of every spectrogram, and that which its configuration gives for a second of signal."""
+    config = {"type": "MagSpectrogram", "rate": "64 Hz", "window": "0.25 s", "step": "0.125 s", "decibel": False}
+    times, bins = R.infer_shape(config, 1.0)
+    made = R.represent(V.signals(spark, d).withColumn("rate", F.lit(64.0)), config)
+    return made.select("id", F.size("data").alias("times"), F.size(F.get("data", F.lit(0))).alias("bins"), F.lit(times).alias("inferred_times"), F.lit(bins).alias("inferred_bins"))
 
 
 @query("SELECT * FROM (VALUES ('encoded', true, 'rate', 1000.0), ('encoded', true, 'window', 0.256), ('encoded', true, 'step', 1.92), ('encoded', true, 'freq_max', 2500.0), ('parsed', false, 'rate', 1000.0), ('parsed', false, 'window', 0.256), ('parsed', false, 'step', 1.92), ('parsed', false, 'freq_max', 2500.0)) t(form, is_encoded, name, number)".replace("0.256)", "0.256::DOUBLE)"))

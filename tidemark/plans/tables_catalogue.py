@@ -58,17 +58,27 @@ def wavelets(spark, d):
     return V.table(spark, d, "events").select("event_id", F.round(scalar.morlet(t, 1.5, 0.8, 0.25, dfdt=0.1), 6).alias("wave"), F.round(z["re"], 6).alias("re"), F.round(z["im"], 6).alias("im"))
 
 
-@query("SELECT rate, win_len, step_len, floor(3.3 * rate / step_len)::INT + (3.3 * rate / step_len - floor(3.3 * rate / step_len) > 1.2e-7)::INT AS num_segs, (rate * 0.5)::INT - win_len // 2 + step_len // 2 AS offset_len FROM (SELECT rate::DOUBLE AS rate, (rate * 0.25)::INT AS win_len, (rate * 0.1)::INT AS step_len FROM (VALUES (1000), (4000), (16000), (44000)) r(rate))")
+@query(
+    """WITH e AS (SELECT event_id, (user_id % 48 + 1) * 1000 AS rate, round(value, 1) AS v FROM events), w AS (SELECT *, rate // 4 AS win_len, rate // 10 AS step_len FROM e)
+SELECT event_id, win_len::BIGINT AS win_len, step_len::BIGINT AS step_len, (floor(v * rate / step_len) + (v * rate / step_len - floor(v * rate / step_len) > 1.2e-7)::INT)::BIGINT AS num_segs, (rate // 2 - win_len // 2 + step_len // 2)::BIGINT AS offset_len FROM w"""
+)
 def frame_arguments(spark, d):
-    rows = [(float(r), *(scalar.segment_args(r, 0.5, 0.25, 0.1, 3.3)[k] for k in ("win_len", "step_len", "num_segs", "offset_len"))) for r in (1000, 4000, 16000, 44000)]
-    return spark.createDataFrame(rows, "rate double, win_len int, step_len int, num_segs int, offset_len int")
+    """Frames of a quarter of a second every tenth, from half a second on, for a rate and a duration of each event."""
+    e = V.table(spark, d, "events").select("event_id", ((F.col("user_id") % 48 + 1) * 1000).alias("rate"), F.round("value", 1).alias("v"))
+    return e.select("event_id", scalar.frame_arguments(F.col("rate"), 0.5, 0.25, 0.1, F.col("v")).alias("a")).select("event_id", "a.*")
 
 
-@query("SELECT 'linear' AS axis, i::INT AS i, i * 50.0 AS tick, printf('%.1f', i * 50.0) AS text FROM (SELECT unnest(range(0, 11, 2)) AS i) UNION ALL SELECT 'octave', i::INT, 8 * power(2, i / 4.0), printf('%.1f', 8 * power(2, i / 4.0)) FROM (SELECT unnest(range(0, 17, 2)) AS i)")
+@query(
+    """SELECT event_id, ceil(least(value, 499) / 100) * 100.0 AS linear, printf('%.1f', ceil(least(value, 499) / 100) * 100.0) AS text,
+8 * power(2, ceil(2 * log2(8 + least(value, 400) / 4) - 6) / 2.0) AS octave FROM events"""
+)
 def axis_ticks(spark, d):
-    one = spark.range(1)
-    ticks = lambda a, name: one.select(F.lit(name).alias("axis"), F.posexplode(a.labels(2)).alias("i", "t")).select("axis", (F.col("i") * 2).alias("i"), F.col("t.tick").alias("tick"), F.col("t.text").alias("text"))
-    return ticks(axis.LinearAxis(10, 0.0, 500.0), "linear").unionByName(ticks(axis.Log2Axis(16, 4.0, 8.0), "octave"))
+    """The first tick at or above each event's value, on a linear axis and on one of octaves."""
+    e = V.table(spark, d, "events")
+    above = lambda a, n, v: F.get(F.filter(a.labels(n), lambda t: t["tick"] >= v - 1e-9), F.lit(0))
+    linear = above(axis.LinearAxis(10, 0.0, 500.0), 2, F.least("value", F.lit(499)))
+    octave = above(axis.Log2Axis(16, 4.0, 8.0), 2, 8 + F.least("value", F.lit(400)) / 4)
+    return e.select("event_id", linear["tick"].alias("linear"), linear["text"].alias("text"), octave["tick"].alias("octave"))
 
 
 @query("SELECT event_id, least(floor(value / 4), 99)::INT AS first, greatest(least(floor(value / 4), 99), CASE WHEN value >= 320 THEN 99 WHEN (value + 80) / 4 = floor((value + 80) / 4) THEN (value + 80) / 4 - 1 ELSE floor((value + 80) / 4) END)::INT AS last, least(floor(value / 4), 99)::INT + 4 AS fifth FROM events WHERE value > 0")
@@ -78,10 +88,13 @@ def axis_cuts(spark, d):
     return e.select("event_id", a.cut(v, v + 80).alias("c"), a.cut(v, bins=5)["last"].alias("fifth")).select("event_id", "c.*", "fifth")
 
 
-@query("SELECT k::INT AS channel, round(f, 5) AS centre, round(1.007 * 12200.0 * 12200.0 * f * f / ((f * f + 20.6 * 20.6) * (f * f + 12200.0 * 12200.0)), 6) AS weight FROM (SELECT k, exp(ln(50 + 228.8) + k * (ln(8000 + 228.8) - ln(50 + 228.8)) / 20) - 228.8 AS f FROM (SELECT unnest(range(0, 20)) AS k))")
+@query("""WITH c AS (SELECT exp(ln(50 + 228.8) + k * (ln(8000 + 228.8) - ln(50 + 228.8)) / 20) - 228.8 AS f FROM (SELECT unnest(range(0, 20)) AS k)), e AS (SELECT event_id, 50 + value * 16 AS v FROM events)
+SELECT event_id, (SELECT count(*) FROM c WHERE f <= v)::INT AS channels, round(1.007 * 12200.0 * 12200.0 * v * v / ((v * v + 20.6 * 20.6) * (v * v + 12200.0 * 12200.0)), 6) AS weight FROM e""")
 def loudness_weights(spark, d):
-    rows = list(enumerate(scalar.erb_centre_frequencies(20, 16000.0, 50.0)))
-    return spark.createDataFrame(rows, "channel int, centre double").select("channel", F.round("centre", 5).alias("centre"), F.round(scalar.c_weight(F.col("centre")), 6).alias("weight"))
+    """How many of twenty channels lie below a frequency of each event, and that frequency's weight."""
+    v = 50 + F.col("value") * 16
+    below = F.size(F.filter(F.array(*map(F.lit, scalar.erb_centre_frequencies(20, 16000.0, 50.0))), lambda c: c <= v))
+    return V.table(spark, d, "events").select("event_id", below.alias("channels"), F.round(scalar.c_weight(v), 6).alias("weight"))
 
 
 # Annotations -------------------------------------------------------------------------------------
