@@ -386,6 +386,26 @@ def test_models_of_other_orders(spark, order):
         language_model.train(table, order=1)
 
 
+def test_many_files_with_few_maps(spark, monkeypatch):
+    """With 60 buckets and two files mapped at a time scores are those of one bucket; sums on the way change nothing."""
+    from tidemark.llm import store
+
+    rng = random.Random(3)
+    docs = spark.createDataFrame([(i, " ".join(rng.choice(["ab", "cd", "ef", f"w{rng.randrange(90)}"]) for _ in range(60))) for i in range(40)], "doc_id long, text string")
+    scores = lambda model: [r["score"] for r in language_model.score_texts(docs, model).orderBy("doc_id").collect()]
+    want = scores(language_model.train(docs, buckets=1))
+    monkeypatch.setattr(language_model, "MERGE", 50)
+    model = language_model.train(docs.repartition(4), buckets=60)
+    assert scores(model) == pytest.approx(want)
+    monkeypatch.setattr(store, "MAPPED", 2)
+    reader = language_model.Reader(model)
+    open_ = store.Recent(lambda k: [k])
+    assert [open_[k] for k in (1, 2, 1, 3, 1)] == [[1], [2], [1], [3], [1]] and list(open_.kept) == [3, 1]
+    for k in range(1, 200):
+        reader.words.maps[k % 60]
+    assert len(reader.words.maps.kept) == 2
+
+
 def test_hash_arrays():
     from tidemark.llm.store import Bundle, HashArray, Sparse
 

@@ -47,7 +47,7 @@ from pyspark.sql.types import LongType, StructField, StructType
 
 from tidemark.llm.common import MIX, append_struct, ascii_words, column, columns, delete_path, discard, free_name, fresh_path, hash_words, lookup, materialize, scramble, steps
 from tidemark.llm.graph import components
-from tidemark.llm.store import Store
+from tidemark.llm.store import Recent, Store
 
 WORDS = 5
 PERCENT = 80
@@ -143,7 +143,11 @@ class Counts:
     """The table of token counts: ranges of positions, each a mapped file."""
 
     def __init__(self, path: str, bits: int, ranges: int):
-        self.store, self.bits, self.ranges, self.maps = Store(path), bits, ranges, {}
+        self.store, self.bits, self.ranges, self.maps = Store(path), bits, ranges, Recent(self._range)
+
+    def _range(self, k: int) -> np.ndarray:
+        there = self.store.fs.get_file_info(f"{self.store.root}/{k}").type == pafs.FileType.File
+        return self.store.get(str(k), np.uint8) if there else np.zeros((1 << self.bits) // self.ranges, np.uint8)
 
     def __call__(self, token: np.ndarray) -> np.ndarray:
         out = np.zeros(len(token), np.uint8)
@@ -153,9 +157,6 @@ class Counts:
         edges = np.searchsorted(p[order], np.arange(self.ranges + 1) * width)
         for k in np.flatnonzero(np.diff(edges)).tolist():
             at = order[edges[k] : edges[k + 1]]
-            if k not in self.maps:
-                there = self.store.fs.get_file_info(f"{self.store.root}/{k}").type == pafs.FileType.File
-                self.maps[k] = self.store.get(str(k), np.uint8) if there else np.zeros(width, np.uint8)
             out[at] = self.maps[k][p[at] - k * width]
         return out
 
@@ -381,19 +382,18 @@ class Filter:
     """A Bloom filter of two hashes in the shared folder: ranges of bits, each a mapped file."""
 
     def __init__(self, path: str, bits: int):
-        self.store, self.bits, self.maps = Store(path), bits, {}
+        self.store, self.bits, self.maps = Store(path), bits, Recent(lambda k: self.store.get(str(k), np.uint8))
 
     def __call__(self, h: np.ndarray) -> np.ndarray:
         p = h.astype(np.int64) % self.bits
         out = np.zeros(len(p), bool)
         part = p >> FILTER_RANGE
         for k in np.unique(part).tolist():
-            if k not in self.maps:
-                self.maps[k] = self.store.get(str(k), np.uint8)
-            if len(self.maps[k]):
+            bits = self.maps[k]
+            if len(bits):
                 at = np.flatnonzero(part == k)
                 inner = p[at] & ((1 << FILTER_RANGE) - 1)
-                out[at] = (self.maps[k][inner >> 3] >> (inner & 7).astype(np.uint8)) & 1 > 0
+                out[at] = (bits[inner >> 3] >> (inner & 7).astype(np.uint8)) & 1 > 0
         return out
 
 

@@ -48,7 +48,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
 from tidemark.llm.common import MIX, ascii_words, column, delete_path, fresh_path, hash_words, map_batches, scramble, steps
-from tidemark.llm.store import Bundle, HashArray, Sparse, Store
+from tidemark.llm.store import Bundle, HashArray, Recent, Sparse, Store
 
 _U = np.uint64
 ORDER = 3
@@ -187,19 +187,17 @@ class Words:
     """Numbers and counts of words, by hash."""
 
     def __init__(self, path: str, buckets: int):
-        self.store, self.buckets, self.maps = Store(path), buckets, {}
+        self.store, self.buckets, self.maps = Store(path), buckets, Recent(self._bucket)
 
     def _bucket(self, b: int) -> tuple:
-        if b not in self.maps:
-            found = Bundle.open(self.store, f"words-{b}")
-            self.maps[b] = (found.get("words", _U), found.get("ranks", np.uint32), Sparse.get(found, "counts"))
-        return self.maps[b]
+        found = Bundle.open(self.store, f"words-{b}")
+        return found.get("words", _U), found.get("ranks", np.uint32), Sparse.get(found, "counts")
 
     def find(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(number, count) of each word; UNKNOWN and 0 if it is not in the training texts."""
         number, count = np.full(len(h), UNKNOWN), np.zeros(len(h), np.int64)
         for b, at in _by_bucket(bucket_of(scramble(h), self.buckets), h):
-            words, ranks, counts = self._bucket(b)
+            words, ranks, counts = self.maps[b]
             if len(words):
                 place = np.minimum(np.searchsorted(words, h[at]), len(words) - 1)
                 hit = np.flatnonzero(words[place] == h[at])
@@ -295,6 +293,19 @@ def _put_contexts(bundle: Bundle, context: np.ndarray, numbers: np.ndarray) -> N
     bundle.put("rest", np.concatenate([rest[:, None], numbers[rest]], 1).astype(np.int64).ravel())
 
 
+def _merged(parts: list[tuple]) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
+    """(sorted hashes, words, counts) of the distinct n-grams of all parts."""
+    *words, c = (np.concatenate(x) for x in zip(*parts, strict=True))
+    h = gram_hash(words)
+    order, first, c = _summed(h, c)
+    at = order[first]
+    return h[at], [w[at] for w in words], c
+
+
+#: N-grams of one bucket that are held before equal ones are summed.
+MERGE = 4_000_000
+
+
 def _store_grams(path: str, level: int, buckets: int):
     """Store the n-grams of each bucket; send on their ends of one word less, with how many first words each has."""
 
@@ -303,18 +314,18 @@ def _store_grams(path: str, level: int, buckets: int):
             if bucket < 0:
                 yield from map(_again, rows)
                 continue
-            parts = []
+            parts, held, limit = [], 0, MERGE
             for r in rows:
                 sizes, *words, last, counts = (_unpack(d) for d in r["data"])
                 sizes = sizes.astype(np.int64)
                 parts.append((*(np.repeat(w, sizes) for w in words), last, counts.astype(np.int64)))
-            *words, c = (np.concatenate(x) for x in zip(*parts, strict=True))
+                held += len(last)
+                if held > limit:  # what tasks sent alike is summed on the way, so no more than twice the distinct n-grams are held
+                    h, words, c = _merged(parts)
+                    parts, held, limit = [(*words, c)], len(c), max(MERGE, 2 * len(c))
+            h, words, c = _merged(parts)
             del parts
             bundle = Bundle()
-            h = gram_hash(words)
-            order, first, c = _summed(h, c)
-            at = order[first]
-            words, h = [w[at] for w in words], h[at]
             HashArray.put(bundle, "grams", h)
             Sparse.put(bundle, "counts", c)
             yield _statistics(level, c)
@@ -416,17 +427,13 @@ class Reader:
     """Probabilities from the mapped arrays of a model."""
 
     def __init__(self, model: Model):
-        self.m, self.store, self.maps = model, Store(model.path), {}
+        self.m, self.store = model, Store(model.path)
+        #: A mapped file, and what was made of its arrays so far.
+        self.maps = Recent(lambda file: (Bundle.open(self.store, file), {}))
         self.words = Words(model.path, model.buckets)
 
-    def _bundle(self, file: str) -> tuple[Bundle, dict]:
-        """A mapped file, and what was made of its arrays so far."""
-        if file not in self.maps:
-            self.maps[file] = (Bundle.open(self.store, file), {})
-        return self.maps[file]
-
     def _of(self, file: str, name: str, kind):
-        bundle, made = self._bundle(file)
+        bundle, made = self.maps[file]
         if name not in made:
             made[name] = kind.get(bundle, name)
         return made[name]
@@ -439,7 +446,7 @@ class Reader:
             found = self._of(file, "contexts", HashArray).find(h[at])
             hit = np.flatnonzero(found >= 0)
             if len(hit):
-                bundle, place = self._bundle(file)[0], found[hit]
+                bundle, place = self.maps[file][0], found[hit]
                 code, sets, rest = bundle.get("codes", np.uint8)[place], bundle.get("sets", np.int64).reshape(-1, 4), bundle.get("rest", np.int64).reshape(-1, 5)
                 numbers = np.zeros((len(hit), 4), np.int64)
                 listed = code == 255

@@ -6,6 +6,7 @@ import json
 import os
 import shutil
 import tempfile
+from collections import OrderedDict
 
 import numpy as np
 import pyarrow.fs as pafs
@@ -53,6 +54,26 @@ def _local_copies() -> str:
     return _copies.name
 
 
+#: Files that one reader keeps mapped; the system allows a process some 65,000 maps.
+MAPPED = 4096
+
+
+class Recent:
+    """Values by key, made when they are wanted; only those used last are kept, and their maps with them."""
+
+    def __init__(self, make):
+        self.make, self.kept = make, OrderedDict()
+
+    def __getitem__(self, key):
+        if key in self.kept:
+            self.kept.move_to_end(key)
+        else:
+            self.kept[key] = self.make(key)
+            if len(self.kept) > MAPPED:
+                self.kept.popitem(last=False)
+        return self.kept[key]
+
+
 class Bundle:
     """Named arrays in one file, which is written and mapped as a whole; ``put`` and ``get`` as of a Store."""
 
