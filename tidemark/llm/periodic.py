@@ -18,7 +18,7 @@ third of the stretch around them (``1 / times``) are in no run, again until noth
 run as a whole, go through the algorithm; hashes that agree by chance only make a stretch longer.
 
 All work on a text is inside the task that reads it: no shuffle. A text's words are needed as a whole, so
-memory grows with the longest text (its words at about 60 bytes each), not with the table.
+memory grows with the longest text (its words at some 80 bytes each), not with the table.
 
 Defined results: null and empty texts have no words and no runs; repeated rows give equal results; an empty
 table gives an empty table; texts may have any length; of two runs with equal exponents the earlier is the
