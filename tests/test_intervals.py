@@ -69,8 +69,8 @@ def test_exactly_as_many_as_asked(spark, no_overlap):
     files, a, length = _files(spark), _annotations(spark), 2.0
     gaps = [(r["filename"], r["gap_start"], r["gap_end"]) for r in S.free_gaps(files, length, a, 1.0).collect()]
     room = sum(math.floor((e - s) / length) for _, s, e in gaps)
-    for num in (0, 1, 7, room, *([300] if not no_overlap else [])):
-        for seed in (1, 2):
+    for num in (0, 7, room, *([300] if not no_overlap else [])):
+        for seed in (num % 3,):
             got = S.random_selections(files, length, num, 5, a, no_overlap, 1.0, seed).collect()
             assert len(got) == num
             for r in got:
