@@ -41,26 +41,26 @@ def interval_join(left: DataFrame, right: DataFrame, on: str | list[str] = "file
     return joined.select("l.*", *[F.col(f"r.{c}").alias(c + suffix if c in left.columns else c) for c in right.columns if c not in keys])
 
 
-def _level(lo: Column, hi: Column) -> Column:
+def _level(lo: Column, hi: Column, least: int) -> Column:
     """The binary order of magnitude of an interval: bins of ``2 ** level`` are no shorter than it is.
 
     Far from 0 bins are as long as exact bin numbers need; endless intervals have a level of their own.
     """
-    order = F.ceil(F.log2(F.greatest(hi - lo, F.lit(2.0**LEAST_LEVEL))))
+    order = F.ceil(F.log2(F.greatest(hi - lo, F.lit(2.0**least))))
     exact = F.ceil(F.log2(F.greatest(F.abs(lo), F.abs(hi), F.lit(1.0)))) - 45
-    return F.when(hi - lo < 2.0**60, F.greatest(order, exact, F.lit(LEAST_LEVEL))).otherwise(ENDLESS).cast("int")
+    return F.when(hi - lo < 2.0**60, F.greatest(order, exact, F.lit(least))).otherwise(ENDLESS).cast("int")
 
 
 def _bin(at: Column, level: Column) -> Column:
     return F.when(level == ENDLESS, F.lit(0).cast("long")).otherwise(F.floor(at / F.pow(F.lit(2.0), level)).cast("long"))
 
 
-def _bounded(df: DataFrame, side: str) -> DataFrame:
+def _bounded(df: DataFrame, side: str, least: int) -> DataFrame:
     """Columns under new names, so that those of both sides never clash, with least and greatest time and level."""
     named = df.toDF(*[f"{side}{i}" for i in range(len(df.columns))])
     start, end = (F.col(f"{side}{df.columns.index(c)}").cast("double") for c in ("start", "end"))
     named = named.where(start.isNotNull() & end.isNotNull()).withColumns({f"{side}lo": F.least(start, end), f"{side}hi": F.greatest(start, end)})
-    return named.withColumn(f"{side}level", _level(F.col(f"{side}lo"), F.col(f"{side}hi")))
+    return named.withColumn(f"{side}level", _level(F.col(f"{side}lo"), F.col(f"{side}hi"), least))
 
 
 def nested_join(left: DataFrame, right: DataFrame, on: str = "filename", suffix: str = "_right", closed: bool = False, lengths: tuple[float | None, float | None] = (None, None)) -> DataFrame:
@@ -73,8 +73,10 @@ def nested_join(left: DataFrame, right: DataFrame, on: str = "filename", suffix:
     Levels in use are looked up unless all intervals of a side have one known length. Rows with a null start or end meet nothing.
     """
     known = [None if length is None else max(LEAST_LEVEL, math.ceil(math.log2(length)) + 1 if length > 0 else LEAST_LEVEL) for length in lengths]
+    # Beside intervals of one length shorter ones share its bins: they are looked for in all of such a bin anyway.
+    least = max((level for level in known if level is not None), default=LEAST_LEVEL)
     levels = {side: [level] for side, level in zip("lr", known, strict=True) if level is not None}
-    l, r = (df if level is None else df.withColumn(f"{side}level", F.lit(level)) for df, side, level in zip((_bounded(left, "l"), _bounded(right, "r")), "lr", known, strict=True))
+    l, r = (df if level is None else df.withColumn(f"{side}level", F.lit(level)) for df, side, level in zip((_bounded(left, "l", least), _bounded(right, "r", least)), "lr", known, strict=True))
     unknown = [df.select(F.lit(side).alias("side"), F.col(f"{side}level").alias("level")) for side, df in (("l", l), ("r", r)) if side not in levels]
     if unknown:
         found = reduce(DataFrame.union, unknown).distinct().collect()
