@@ -256,6 +256,16 @@ def test_targets_and_epochs(spark):
     assert len(unit) == 1 and all(got[s] == 2 * many[s] or weight[s] * min(unit) <= 2 * many[s] for s in many)
 
 
+def test_sizes_without_arrays_of_words(spark):
+    """Sizes are those of a plain pattern on odd texts too, and the plan gathers no words."""
+    import re
+
+    texts = [None, "", " ", "\t\n\v\f\r ", "a", " a", "a ", "  a  b\x0b", "a b\n", "\u2003x\u00a0y", "\U0001f600 \U0001f600\r\n", "$1 \\x x", "a\x1cb c\x00d\x85e", "w " * 50_000]
+    sized = spark.createDataFrame(list(enumerate(texts)), "i long, text string").select("i", mixing.size_of(F.col("text")).alias("n"))
+    assert {r["i"]: r["n"] for r in sized.collect()} == {i: len(re.findall(r"[^\x20\x09-\x0D]+", t or "")) for i, t in enumerate(texts)}
+    assert "regexp_extract_all" not in sized._jdf.queryExecution().optimizedPlan().toString()
+
+
 CLASHING = ["ps", "epochs", "end_key", "end_tie", "s", "n", "key", "tie", "plan", "id", "fp", "root", "component", "t", "blob", "found", "bucket", "level", "__known", "__mix", "__plan", "__source", "__class", "__only", "__quality", "__contamination", "__spans", "__pii", "__own", "__found", "a.b", "sp ace", "tick`"]
 
 

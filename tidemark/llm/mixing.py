@@ -43,8 +43,12 @@ RESULT = ("size", "source_size", "target", "copies", "taken")
 
 
 def size_of(text: Column) -> Column:
-    """Words between ASCII white space; null has none."""
-    return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
+    """Words between ASCII white space; null has none.
+
+    Each word, with the white space after it, becomes one character. (``regexp_count`` gathers all words in an array first.)
+    """
+    marks = F.regexp_replace(F.ltrim(text, F.lit(" \t\n\v\f\r")), F.lit(r"[^\x20\x09-\x0D]+[\x20\x09-\x0D]*"), F.lit("x"))
+    return F.coalesce(F.length(marks), F.lit(0)).cast("long")
 
 
 def default_weight(text: Column, size: Column) -> Column:
