@@ -416,6 +416,32 @@ def test_many_files_with_few_maps(spark, monkeypatch):
     assert len(reader.words.maps.kept) == 2
 
 
+def test_words_are_looked_up_once_in_a_batch(spark, monkeypatch):
+    """Contexts of one word are looked up for each word that occurs (with the end and the start mark), not for each token."""
+    import pyarrow as pa
+
+    texts = ["a b c a b c d a", "d d a unseen b", "", None] * 25
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    model = language_model.train(table.where("doc_id % 4 = 0"), buckets=2)
+    want = [(r["n_tokens"], r["n_known"], r["base_score"], r["score"]) for r in language_model.score_texts(table, model).orderBy("doc_id").collect()]
+    asked, reader, look = [], language_model.Reader(model), language_model.Reader._contexts
+    monkeypatch.setattr(reader, "_contexts", lambda level, h: asked.append((level, len(h))) or look(reader, level, h))
+    got = reader.score(pa.array(texts))
+    assert np.allclose(np.array(got).T, np.array(want)) and got[1].sum() < got[0].sum()
+    assert [n for level, n in asked if level == 2] == [len({"", "a", "b", "c", "d", "unseen", "end", "start"})]  # splitting empty texts leaves an empty word
+
+
+def test_hashes_of_words():
+    import pyarrow as pa
+    import xxhash
+    from tidemark.llm.common import hash_words
+
+    words = ["", "a", "\u00e9\u2003", "\U0001f600", "x" * 500]
+    want = [xxhash.xxh3_64_intdigest(w) for w in words]
+    arrays = [pa.array(words), pa.array(words, pa.large_string()), pa.array([w.encode() for w in words]), pa.array(["skipped", *words])[1:]]
+    assert all(hash_words(a).tolist() == want for a in arrays) and hash_words(pa.array([], pa.string())).tolist() == []
+
+
 def test_hash_arrays():
     from tidemark.llm.store import Bundle, HashArray, Sparse
 

@@ -71,10 +71,15 @@ def gram_hash(words: list[np.ndarray]) -> np.ndarray:
     """The hash of n-grams given by columns of word numbers, first word first."""
     h = scramble(words[0] + MIX)
     for w in words[1:]:
-        h = scramble(h * MIX + w)
+        h = longer_hash(h, w)
     return h
 
 
+def longer_hash(h: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """The hash of n-grams with hashes ``h`` and one more word ``w``."""
+    return scramble(h * MIX + w)
+
+
 def _pack(a: np.ndarray) -> bytes:
     """Non-negative numbers by their bytes, lowest first, compressed: small numbers cost little."""
     a = np.ascontiguousarray(a, _U)
@@ -214,26 +219,26 @@ def _by_bucket(bucket: np.ndarray, h: np.ndarray):
         yield int(bucket[order[i]]), order[i:j]
 
 
-def _tokens(texts: pa.Array, words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, number, training count) of every token in order, with an end token after the words of each row."""
+def _tokens(texts: pa.Array, words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(row, word) of every token in order, an end token after the words of each row; (number, training count) of the words that occur."""
     row, word, dictionary = ascii_words(texts)
     number, count = words.find(np.append(hash_words(dictionary), END))
     n, end = len(texts), len(dictionary)
     sizes = np.bincount(row, minlength=n)
     token = np.full(len(row) + n, end)
     token[np.arange(len(row)) + row] = word
-    return np.repeat(np.arange(n), sizes + 1), number[token], count[token]
+    return np.repeat(np.arange(n), sizes + 1), token, number, count
 
 
-def _columns(row: np.ndarray, number: np.ndarray, order: int) -> list[np.ndarray]:
+def _columns(row: np.ndarray, word: np.ndarray, order: int, start) -> list[np.ndarray]:
     """The words of the n-gram that ends in each token, first word first; start marks before a text."""
-    out = [number]
+    out = [word]
     begins = np.flatnonzero(np.diff(row, prepend=-1))
     place = np.arange(len(row)) - np.repeat(begins, np.diff(begins, append=len(row)))
     for k in range(1, order):
-        w = np.full(len(number), START)
+        w = np.full_like(word, start)
         inside = np.flatnonzero(place >= k)
-        w[inside] = number[inside - k]
+        w[inside] = word[inside - k]
         out.insert(0, w)
     return out
 
@@ -264,9 +269,9 @@ def _count_grams(batches, text: str, path: str, buckets: int, order: int):
         yield from _grams([w[at[first]] for w in cols[:-1]], c, buckets)
 
     for step in steps(batches, text):
-        row, number, _ = _tokens(step.column(text), words)
-        cols = _columns(row, number, order)
-        at, first, c = _summed(gram_hash(cols), np.ones(len(number), np.int64))
+        row, word, number, _ = _tokens(step.column(text), words)
+        cols = _columns(row, number[word], order, START)
+        at, first, c = _summed(gram_hash(cols), np.ones(len(word), np.int64))
         held.append((*(w[at[first]] for w in cols), c))
         size += len(c)
         if size >= HELD:
@@ -438,23 +443,27 @@ class Reader:
             made[name] = kind.get(bundle, name)
         return made[name]
 
-    def _contexts(self, level: int, h: np.ndarray) -> np.ndarray:
-        """(len(h), 4): total, and how many words followed once, twice and more; 0 where a context is not stored."""
-        out = np.zeros((len(h), 4), np.int64)
+    def _contexts(self, level: int, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(total, what discounts take off in all) of each context; 0 where a context is not stored."""
+        total, off, d = np.zeros(len(h), np.int64), np.zeros(len(h)), np.array(self.m.discounts[level - 1])
         for b, at in _by_bucket(bucket_of(h, self.m.buckets), h):
             file = f"grams-{level}-{b}"
             found = self._of(file, "contexts", HashArray).find(h[at])
             hit = np.flatnonzero(found >= 0)
             if len(hit):
-                bundle, place = self.maps[file][0], found[hit]
-                code, sets, rest = bundle.get("codes", np.uint8)[place], bundle.get("sets", np.int64).reshape(-1, 4), bundle.get("rest", np.int64).reshape(-1, 5)
-                numbers = np.zeros((len(hit), 4), np.int64)
-                listed = code == 255
-                numbers[~listed] = sets[code[~listed]]
-                if listed.any():
-                    numbers[listed] = rest[np.searchsorted(rest[:, 0], place[listed]), 1:]
-                out[at[hit]] = numbers
-        return out
+                (bundle, made), place = self.maps[file], found[hit]
+                if "totals" not in made:
+                    sets = bundle.get("sets", np.int64).reshape(-1, 4)
+                    made["totals"], made["off"] = np.zeros(256, np.int64), np.zeros(256)
+                    made["totals"][: len(sets)], made["off"][: len(sets)] = sets[:, 0], sets[:, 1:] @ d
+                code = bundle.get("codes", np.uint8)[place]
+                totals, offs, listed = made["totals"][code], made["off"][code], np.flatnonzero(code == 255)
+                if len(listed):
+                    rest = bundle.get("rest", np.int64).reshape(-1, 5)
+                    numbers = rest[np.searchsorted(rest[:, 0], place[listed])]
+                    totals[listed], offs[listed] = numbers[:, 1], numbers[:, 2:] @ d
+                total[at[hit]], off[at[hit]] = totals, offs
+        return total, off
 
     def _counts(self, level: int, context: np.ndarray, h: np.ndarray) -> np.ndarray:
         out = np.zeros(len(h), np.int64)
@@ -467,45 +476,59 @@ class Reader:
         return out
 
     def _lowest(self, number: np.ndarray) -> np.ndarray:
-        """P(w) without context, for words by number."""
+        """P(w) without context, for words by number (no start mark)."""
         m = self.m
         if not m.lower_total:
             return np.ones(len(number))
-        different, which = np.unique(number, return_inverse=True)
-        k = np.zeros(len(different), np.int64)
-        known = np.flatnonzero(different != UNKNOWN)
-        owner = ((different[known] - _U(1)) % _U(m.buckets)).astype(np.int64)
-        rank = ((different[known] - _U(1)) // _U(m.buckets)).astype(np.int64)
-        for b, at in _by_bucket(owner, different[known]):
+        k = np.zeros(len(number), np.int64)
+        known = np.flatnonzero(number != UNKNOWN)
+        owner = ((number[known] - _U(1)) % _U(m.buckets)).astype(np.int64)
+        rank = ((number[known] - _U(1)) // _U(m.buckets)).astype(np.int64)
+        for b, at in _by_bucket(owner, number[known]):
             k[known[at]] = self._of(f"continuations-{b}", "before", Sparse)[rank[at]]
         d = np.array([0.0, *m.discounts[0]])
         rest = float(np.dot(d[1:], m.lower_ones)) / m.lower_total
-        return ((k - d[np.minimum(k, 3)]) / m.lower_total + rest / (m.types + 1))[which]
-
-    def probabilities(self, words: list[np.ndarray]) -> np.ndarray:
-        """P(last word | words before), for n-grams of ``order`` words by columns of numbers."""
-        m = self.m
-        p = self._lowest(words[-1])
+        return (k - d[np.minimum(k, 3)]) / m.lower_total + rest / (m.types + 1)
+
+    def probabilities(self, number: np.ndarray, row: np.ndarray, word: np.ndarray) -> np.ndarray:
+        """P(token | words before) for every token; ``word`` tells which of the words, given by ``number``, it is.
+
+        What depends on one word alone is computed once for each word that occurs.
+        """
+        m, end = self.m, len(number)
+        words = _columns(row, word, m.order, end)
+        p = self._lowest(number)[word]
+        number = np.append(number, START)
+        known, first = number != UNKNOWN, gram_hash([number])
         for level in range(2, m.order + 1):
-            part = words[-level:]
-            context = gram_hash(part[:-1])
-            numbers = self._contexts(level, context)
-            seen = np.flatnonzero((numbers[:, 0] > 0) & ~np.any([w == UNKNOWN for w in part[:-1]], axis=0))
-            count = np.zeros(len(p), np.int64)
-            whole = seen[part[-1][seen] != UNKNOWN]
-            count[whole] = self._counts(level, context[whole], gram_hash([w[whole] for w in part]))
+            before = words[-level:-1]
+            if level == 2:
+                total, off = self._contexts(level, first)
+                total[~known] = 0
+                context, total, off = (x[before[0]] for x in (first, total, off))
+            else:
+                context = first[before[0]]
+                for w in before[1:]:
+                    context = longer_hash(context, number[w])
+                total, off = self._contexts(level, context)
+                for w in before:
+                    total[~known[w]] = 0
+            seen = np.flatnonzero(total)
+            total, count = total[seen], np.zeros(len(seen), np.int64)
+            whole = np.flatnonzero(known[word[seen]])
+            at = seen[whole]
+            count[whole] = self._counts(level, context[at], longer_hash(context[at], number[word[at]]))
             d = np.array([0.0, *m.discounts[level - 1]])
-            total, c = numbers[seen, 0], count[seen]
-            p[seen] = (c - d[np.minimum(c, 3)]) / total + (numbers[seen, 1:] @ d[1:]) / total * p[seen]
+            p[seen] = (count - d[np.minimum(count, 3)]) / total + off[seen] / total * p[seen]
         return p
 
     def score(self, texts: pa.Array) -> tuple[np.ndarray, ...]:
         """(tokens, known tokens, base score, model score) of each text."""
         m, n = self.m, len(texts)
-        row, number, c = _tokens(texts, self.words)
-        p = self.probabilities(_columns(row, number, m.order))
-        base = np.log10((c + 1.0) / (m.tokens + 1.0 * (m.types + 1)))
-        return np.bincount(row, minlength=n), np.bincount(row, c > 0, n).astype(np.int64), np.bincount(row, base, n), np.bincount(row, np.log10(p), n)
+        row, word, number, c = _tokens(texts, self.words)
+        p = self.probabilities(number, row, word)
+        base = np.log10((c + 1.0) / (m.tokens + 1.0 * (m.types + 1)))[word]
+        return np.bincount(row, minlength=n), np.bincount(row, (c > 0)[word], n).astype(np.int64), np.bincount(row, base, n), np.bincount(row, np.log10(p), n)
 
 
 RESULT = ("n_tokens", "n_known", "base_score", "score", "perplexity")

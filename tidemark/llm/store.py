@@ -33,14 +33,14 @@ class Store:
         if self.fs.get_file_info(path).size in (0, None):
             return np.empty(0, dtype)
         if isinstance(self.fs, pafs.LocalFileSystem):
-            return np.memmap(path, dtype, mode="r")
+            return np.asarray(np.memmap(path, dtype, mode="r"))
         local = os.path.join(_local_copies(), f"{abs(hash(self.root))}-{name}")
         if not os.path.exists(local):
             own = f"{local}.{os.getpid()}"
             with self.fs.open_input_stream(path) as source, open(own, "wb") as out:
                 shutil.copyfileobj(source, out, 1 << 20)
             os.replace(own, local)
-        return np.memmap(local, dtype, mode="r")
+        return np.asarray(np.memmap(local, dtype, mode="r"))
 
 
 _copies: tempfile.TemporaryDirectory | None = None
@@ -165,11 +165,10 @@ class HashArray:
         bits = (len(self.index) - 1).bit_length() - 1
         upper = (hashes >> _U(64 - bits)).astype(np.int64)
         want = ((hashes << _U(bits)) >> _U(32)).astype(np.uint32)
-        low, high = self.index[upper].astype(np.int64), self.index[upper + 1].astype(np.int64)
-        end = high
-        for _ in range(int((high - low).max(initial=0)).bit_length()):
-            middle = (low + high) >> 1
-            right = (low < high) & (self.low[np.minimum(middle, len(self.low) - 1)] < want)
-            low, high = np.where(right, middle + 1, low), np.where(right, high, middle)
-        at = np.minimum(low, len(self.low) - 1)
-        return np.where((low < end) & (self.low[at] == want), at, -1)
+        at, end = self.index[upper].astype(np.int64), self.index[upper + 1].astype(np.int64)
+        step = 1 << int((end - at).max(initial=0)).bit_length() >> 1
+        while step:  # lower hashes are passed in steps of falling powers of two
+            place = at + (step - 1)
+            at += step * ((self.low.take(place, mode="clip") < want) & (place < end))
+            step >>= 1
+        return np.where((at < end) & (self.low.take(at, mode="clip") == want), at, -1)
