@@ -6,6 +6,9 @@ one task: rows are cut into ranges of their order and stored, counted by range,
 
 from __future__ import annotations
 
+import os
+import time
+import uuid
 from bisect import bisect_right
 from collections.abc import Callable, Iterator
 
@@ -14,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from tidemark.storage import running, stored
+from tidemark.storage import fresh_folder, running, stored
 
 
 def label_codes(table: DataFrame, label: str = "label") -> DataFrame:
@@ -135,12 +138,52 @@ def in_turns(batched: DataFrame, workers: int, seed: int | None = None) -> DataF
     return joined.repartitionById(workers, (F.col("turn") % workers).cast("int"))
 
 
+def meeting(folder: str | None) -> Callable[[], None]:
+    """What a task of a barrier stage calls to wait until all tasks have called it as often.
+
+    Spark's own ``barrier`` sleeps for a second whenever it is called. It is called twice to find out whether all tasks see ``folder``;
+    if so each has a file there that grows by a byte with every call, and waits for those of the others. If not, Spark's is all there is.
+    The files' names are new ones in every attempt of a stage.
+    """
+    from pyspark import BarrierTaskContext
+
+    context = BarrierTaskContext.get()
+    own = f"{folder}/{uuid.uuid4().hex}" if folder else ""
+    try:
+        if own:
+            open(own, "xb").close()
+    except OSError:
+        own = ""
+    names = context.allGather(own)
+    seen = all(n and os.path.exists(n) for n in names)
+    if "no" in context.allGather("yes" if seen else "no"):
+        return context.barrier
+    others, calls = [n for n in names if n != own], 0
+
+    def length(name: str) -> int:
+        with open(name, "rb") as f:  # opened anew each time, for which a network's file system asks its server
+            return os.fstat(f.fileno()).st_size
+
+    def meet() -> None:
+        nonlocal calls
+        calls += 1
+        with open(own, "ab") as f:
+            f.write(b".")
+        for name in others:
+            pause = 1e-4
+            while length(name) < calls:
+                time.sleep(pause)
+                pause = min(2 * pause, 0.02)
+
+    return meet
+
+
 def feed_tasks(batched: DataFrame, fn: Callable, schema: str | T.StructType, workers: int, seed: int | None = None, order: tuple[str, ...] = (), lockstep: bool = False) -> DataFrame:
     """One epoch on the executors: task k gets batches k, k + workers, ... of the epoch's order, each once.
 
     ``fn(turn, batch_id, rows)`` gets an Arrow table of one batch and returns one of ``schema``; no row passes through the
     driver. The tasks run together in a barrier stage, as data-parallel training needs; with ``lockstep`` they also wait for each other
-    after every batch, and those without a last one wait along. A task holds one batch. The rows are stored
+    after every batch (see ``meeting``), and those without a last one wait along. A task holds one batch. The rows are stored
     by turn first, so that a stage that is tried again reads the same ones.
     """
     import pyarrow as pa
@@ -150,12 +193,11 @@ def feed_tasks(batched: DataFrame, fn: Callable, schema: str | T.StructType, wor
     steps = int(rows.agg(F.coalesce(F.floor(F.max("turn") / workers) + 1, F.lit(0))).first()[0])
     dealt = rows.repartitionById(workers, (F.col("turn") % workers).cast("int")).sortWithinPartitions("turn", *order)
     names = batched.columns
+    folder = fresh_folder(batched.sparkSession, "meeting") if lockstep else None
     kind = to_arrow_schema(T.StructType.fromDDL(schema) if isinstance(schema, str) else schema)
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import BarrierTaskContext
-
-        context, done = BarrierTaskContext.get(), 0
+        meet, done = meeting(folder) if lockstep else None, 0
 
         def one(held: list[pa.RecordBatch]) -> list[pa.RecordBatch]:
             nonlocal done
@@ -163,7 +205,7 @@ def feed_tasks(batched: DataFrame, fn: Callable, schema: str | T.StructType, wor
             got = fn(table.column("turn")[0].as_py(), table.column("batch_id")[0].as_py(), table.select(names))
             done += 1
             if lockstep:
-                context.barrier()
+                meet()
             return got.select(kind.names).cast(kind).combine_chunks().to_batches()
 
         held: list[pa.RecordBatch] = []
@@ -180,7 +222,7 @@ def feed_tasks(batched: DataFrame, fn: Callable, schema: str | T.StructType, wor
         if held:
             yield from one(held)
         while lockstep and done < steps:
-            context.barrier()
+            meet()
             done += 1
 
     return dealt.mapInArrow(run, schema, barrier=True)

@@ -30,6 +30,16 @@ def fresh_path(spark: SparkSession, what: str) -> str:
     return f"{shared_dir(spark)}/tidemark/{what}-{uuid.uuid4().hex}"
 
 
+def fresh_folder(spark: SparkSession, what: str) -> str | None:
+    """A new shared folder by the name under which tasks open files in it; None if it is not in a file system of theirs."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(fresh_path(spark, what))
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    if fs.getUri().getScheme() != "file":
+        return None
+    fs.mkdirs(path)
+    return path.toUri().getPath()
+
+
 def stored(df: DataFrame, what: str) -> DataFrame:
     """The rows, written to the shared folder and read back: lineage ends there."""
     path = fresh_path(df.sparkSession, what)
