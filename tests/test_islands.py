@@ -86,3 +86,65 @@ def test_smoothing_of_pieces():
     x = np.arange(9.0)
     assert islands.smooth(x, 3, True, True).tolist() == [0, 1, 2, 3, 4, 5, 6, 7, 0]
     assert islands.smooth(x, 3, False, False).tolist() == [1, 2, 3, 4, 5, 6, 7] and islands.smooth(x[:1], 3, True, False).tolist() == [] and islands.smooth(x[:2], 3, True, True).tolist() == [0, 0]
+
+
+class _State:
+    """A state variable or a handle in memory, which counts what is asked of it."""
+
+    asked = 0
+
+    def __init__(self):
+        self.value, self.timers = None, set()
+
+    def getListState(self, *_):
+        return _State()
+
+    getValueState = getMapState = getListState
+
+    def exists(self):
+        _State.asked += 1
+        return self.value is not None
+
+    def get(self):
+        _State.asked += 1
+        return self.value
+
+    def update(self, value):
+        _State.asked += 1
+        self.value = value
+
+    def appendValue(self, value):
+        self.update([*(self.value or ()), value])
+
+    def clear(self):
+        self.update(None)
+
+    def registerTimer(self, t):
+        self.timers.add(t)
+
+    def deleteTimer(self, t):
+        self.timers.remove(t)
+
+
+def test_many_short_files_are_worked_on_together(spark):
+    """2000 files in one group, in three unordered parts: a few questions to the state for all of them, and the rows of the batch operator."""
+    from types import SimpleNamespace as Answers
+
+    import pandas as pd
+
+    rng = random.Random(5)
+    rows = [(f"f{f}", i * 0.5, round(rng.random(), 3)) for f in range(2000) for i in range(1 + f % 9)]
+    parts = [[] for _ in range(3)]
+    for r in rows:
+        parts[rng.randrange(3)].append((r[0], int(r[1] * 1000), r[1], r[2]))
+    handle, processor = _State(), islands.Islands([0.4, 0.7], 0.5, 0.25, 3, 60_000)
+    processor.init(handle)
+    _State.asked, out = 0, []
+    at = lambda w: Answers(getCurrentWatermarkInMs=lambda: w)
+    for part in parts:
+        out += processor.handleInputRows((0,), iter([pd.DataFrame(part, columns=["filename", "ts", "offset", "score"])]), at(-1))
+    while due := [t for t in handle.timers if t <= 10**6]:
+        out += processor.handleExpiredTimer((0,), at(10**6), Answers(getExpiryTimeInMs=lambda t=due[0]: t))
+        handle.timers.discard(due[0])
+    assert _State.asked < 40 and not handle.timers
+    assert _found(spark.createDataFrame(pd.concat(out))) == _batch(spark, rows, [0.4, 0.7], 3, step=0.5, buffer=0.25)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from itertools import pairwise
 
 from pyspark.sql import functions as F
 
@@ -20,7 +21,7 @@ from tidemark.plans.tables_catalogue import _WAV, _wavs
 from tidemark.plans.views import sql
 from tidemark.sources import wav
 from tidemark.sources.store import Store
-from tidemark.storage import fresh_path
+from tidemark.storage import discard, fresh_path, stored
 
 # One file of all events, cut into ranges -----------------------------------------------------------
 
@@ -133,15 +134,20 @@ def streamed_detections(spark, d):
     from tidemark.streaming import islands
 
     source, out, state = (fresh_path(spark, x) for x in ("frames", "found", "state"))
-    frames = islands.event_times(V.frames(spark, d)).withColumn("part", F.abs(F.xxhash64("filename", "offset")) % 3)
+    kind = "filename string, offset double, score double, ts timestamp"
+    frames = stored(islands.event_times(V.frames(spark, d)).withColumn("part", F.abs(F.xxhash64("filename", "offset")) % 3), "scored")
+    written = [0]
     for part in range(3):
-        frames.where(F.col("part") == part).drop("part").coalesce(1).write.mode("append").parquet(source)
-    last = islands.event_times(V.frames(spark, d).agg(F.lit("").alias("filename"), (F.max("offset") + 4e7).alias("offset"), F.lit(0.0).alias("score")))
+        frames.where(F.col("part") == part).drop("part").write.mode("append").parquet(source)
+        written.append(len(spark.read.schema(kind).parquet(source).inputFiles()))
+    last = islands.event_times(frames.agg(F.lit("").alias("filename"), (F.max("offset") + 4e7).alias("offset"), F.lit(0.0).alias("score")))
     last.coalesce(1).write.mode("append").parquet(source)
+    discard(frames)
+    at_once = max(b - a for a, b in pairwise(written))  # the files of a part
     before = spark.conf.get(islands.PROVIDER, None)
     islands.use_rocksdb(spark)
     try:
-        stream = spark.readStream.schema("filename string, offset double, score double, ts timestamp").option("maxFilesPerTrigger", 1).parquet(source)
+        stream = spark.readStream.schema(kind).option("maxFilesPerTrigger", at_once).parquet(source)
         found = islands.detections(stream, [0.2, 0.5], 0.5, 0.25, late="365 days", idle="60 seconds")
         run = found.writeStream.foreachBatch(lambda batch, n: batch.write.mode("overwrite").parquet(f"{out}/batch={n}"))
         run.option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
